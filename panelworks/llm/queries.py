@@ -6,8 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelworks.llm.decontaminate import contaminated
 from panelworks.llm.simhash import simhash_groups
+from panelworks.llm.langid import language
+from panelworks.llm.packing import pack
+from panelworks.llm.toxicity import toxicity
 from panelworks.session import prepare, table
 
+TOKENIZER = "byte_bpe_50k.tiktoken"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
@@ -20,7 +31,20 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("doc_id", "item_id", "round(similarity, 6) AS similarity", "window_start")
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op10_decontaminate": op10_decontaminate}
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(prepare(spark), sf_dir, "documents"), tokenizer_path())
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language(table(prepare(spark), sf_dir, "documents"))
+
+
+QUERIES = {"op4_toxicity": op4_toxicity, "op8_packing": op8_packing, "op9_language": op9_language, "op3_simhash": op3_simhash, "op10_decontaminate": op10_decontaminate}
 
 #: Every window of a document as long as the item, compared in full.
 OP10_SQL = r"""
