@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from panelworks.llm.chat import conversation_digests, format_turns, text_part
 from panelworks.llm.decontaminate import contaminated
 from panelworks.llm.simhash import simhash_groups
 from panelworks.llm.langid import language
@@ -31,6 +33,17 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("doc_id", "item_id", "round(similarity, 6) AS similarity", "window_start")
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(prepare(spark), sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.range(2).select(
+        F.lit(-7).cast(turns.schema["conv_id"].dataType).alias("conv_id"), F.col("id").cast(turns.schema["turn"].dataType).alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"),
+    )
+    turns = turns.unionByName(probe).select("conv_id", "turn", "role", text_part(F.col("text")).alias("parts"))
+    return conversation_digests(format_turns(turns)).drop("media_tokens")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -44,7 +57,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language(table(prepare(spark), sf_dir, "documents"))
 
 
-QUERIES = {"op4_toxicity": op4_toxicity, "op8_packing": op8_packing, "op9_language": op9_language, "op3_simhash": op3_simhash, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_chat": op1_chat, "op4_toxicity": op4_toxicity, "op8_packing": op8_packing, "op9_language": op9_language, "op3_simhash": op3_simhash, "op10_decontaminate": op10_decontaminate}
 
 #: Every window of a document as long as the item, compared in full.
 OP10_SQL = r"""
@@ -75,4 +88,22 @@ WHERE best >= 0.8 - 1e-12
 GROUP BY doc_id, th, item_id
 """
 
-SQL = {"op10_decontaminate": OP10_SQL}
+#: Escapes add one character for each backslash and each place where a control string begins.
+OP1_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, role AS r0, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', 'assistant', '</s>[INST] ok [/INST]'),
+c AS (SELECT unnest(['<|', '|>', '<s>', '</s>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>', '<start_of_turn>', '<end_of_turn>']) AS mark),
+u AS (SELECT row_number() OVER () AS k, * FROM t),
+e AS (SELECT k, sum((length(text) - length(replace(text, mark, ''))) // length(mark) + (length(role) - length(replace(role, mark, ''))) // length(mark)) AS marks
+      FROM u, c GROUP BY k)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, r0 NULLS FIRST, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, r0 NULLS FIRST, text), '')) AS loss_sha256,
+  CAST(sum(length(role) + length(text) + 24 + marks + length(text) - length(replace(text, chr(92), '')) + length(role) - length(replace(role, chr(92), ''))) AS BIGINT) AS formatted_chars
+FROM u JOIN e USING (k) GROUP BY conv_id
+"""
+
+SQL = {"op1_chat": OP1_SQL, "op10_decontaminate": OP10_SQL}
