@@ -9,6 +9,7 @@ from panelworks.llm.chat import conversation_digests, format_turns, text_part
 from panelworks.llm.decontaminate import contaminated
 from panelworks.llm.simhash import simhash_groups
 from panelworks.llm.langid import language
+from panelworks.llm.media import media_columns
 from panelworks.llm.packing import pack
 from panelworks.llm.toxicity import toxicity
 from panelworks.session import prepare, table
@@ -49,6 +50,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(table(prepare(spark), sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(prepare(spark), sf_dir, "documents"), tokenizer_path())
 
@@ -57,7 +62,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language(table(prepare(spark), sf_dir, "documents"))
 
 
-QUERIES = {"op1_chat": op1_chat, "op4_toxicity": op4_toxicity, "op8_packing": op8_packing, "op9_language": op9_language, "op3_simhash": op3_simhash, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_chat": op1_chat, "op7_media": op7_media, "op4_toxicity": op4_toxicity, "op8_packing": op8_packing, "op9_language": op9_language, "op3_simhash": op3_simhash, "op10_decontaminate": op10_decontaminate}
 
 #: Every window of a document as long as the item, compared in full.
 OP10_SQL = r"""
