@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelworks.llm.chat import conversation_digests, format_turns, text_part
 from panelworks.llm.decontaminate import contaminated
+from panelworks.llm.pii import replace_pii
 from panelworks.llm.simhash import simhash_groups
 from panelworks.llm.langid import language
+from panelworks.llm.licenses import scan_licenses
 from panelworks.llm.media import media_columns
 from panelworks.llm.packing import pack
+from panelworks.llm.token_counts import Rollup, counted, deletes, inserts, revisions, words_counted
 from panelworks.llm.toxicity import toxicity
-from panelworks.session import prepare, table
+from panelworks.session import checkpoint, prepare, shared_dir, table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
+#: For the registered queries; a real run reads its key from where secrets are kept.
+PII_KEY = b"registered queries"
 
 
 def tokenizer_path() -> str:
@@ -45,6 +52,38 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(format_turns(turns)).drop("media_tokens")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    return replace_pii(docs, PII_KEY).select("doc_id", "text", F.size("pii").alias("n_replaced"), F.array_join(F.transform("pii", lambda p: p["kind"]), ",").alias("kinds"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences of every document in the order of its text, and how many sentences they took."""
+    found = scan_licenses(table(prepare(spark), sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.array_join(F.transform("hits", lambda h: h["license"]), ",").alias("licenses"),
+        F.aggregate("hits", F.lit(0), lambda n, h: n + F.size(h["sentences"])).cast("long").alias("n_matched"),
+    )
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after five commits: words of all documents, those of one source taken back, words revised
+    to vocabulary tokens where the language is not null, and two commits again that change nothing."""
+    docs = table(prepare(spark), sf_dir, "documents")
+    words = words_counted(docs, "words-1")
+    tokens = checkpoint(counted(docs, tokenizer_path(), "byte_bpe_50k-1"))
+    rollup = Rollup(spark, f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}")
+    batches = [
+        ("1", inserts(words)),
+        ("2", deletes(words.where("source = 'src1'"))),
+        ("3", revisions(words.where("lang = 'en' AND source <> 'src1'"), tokens.where("lang = 'en' AND source <> 'src1'"))),
+        ("4", inserts(tokens.where("source = 'src1' OR lang IS NULL OR lang <> 'en'"))),
+    ]
+    for name, changes in [*batches, batches[1], batches[3]]:
+        rollup.commit(name, changes)
+    return rollup.totals()
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -62,7 +101,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language(table(prepare(spark), sf_dir, "documents"))
 
 
-QUERIES = {"op1_chat": op1_chat, "op7_media": op7_media, "op4_toxicity": op4_toxicity, "op8_packing": op8_packing, "op9_language": op9_language, "op3_simhash": op3_simhash, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_chat": op1_chat, "op2_pii": op2_pii, "op5_licenses": op5_licenses, "op6_token_counts": op6_token_counts, "op7_media": op7_media, "op4_toxicity": op4_toxicity, "op8_packing": op8_packing, "op9_language": op9_language, "op3_simhash": op3_simhash, "op10_decontaminate": op10_decontaminate}
 
 #: Every window of a document as long as the item, compared in full.
 OP10_SQL = r"""
