@@ -78,7 +78,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 cell, held, number = int(cells[lo]), [], 0
             while lo < hi:
                 room = TILE_ROWS - sum(map(len, held))
-                held.append(prints[lo : lo + room])
+                held.append(prints[lo : min(hi, lo + room)])
                 lo += room
                 if sum(map(len, held)) == TILE_ROWS:
                     yield tile()
