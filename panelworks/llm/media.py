@@ -211,7 +211,6 @@ def read(spark, path: str) -> DataFrame:
     direct = rows.where(alone).select("doc_id", "n_bytes", "sha", "digests", "bytes").mapInArrow(_own_only, f"doc_id long, n_bytes long, {FEATURES}")
     sharing = rows.where(~alone)
     media = sharing.groupBy("sha").agg(*[F.first(c).alias(c) for c in ("digests", "lengths", "own", "bytes")])
-    media = checkpoint(media)
     places = media.select("sha", "own", F.posexplode("digests").alias("place", "digest")).where(~F.get("own", F.col("place")))
     parts = places.join(chunks, "digest").groupBy("sha").agg(F.collect_list(F.struct("place", "chunk")).alias("parts"))
     described = checkpoint(media.join(parts, "sha").select("sha", "lengths", "own", "bytes", "parts").mapInArrow(_put_together, f"sha binary, {FEATURES}"))
