@@ -27,8 +27,10 @@ from panelworks.session import checkpoint
 SIZES = (3, 4, 5)
 BITS = 18
 FEATURES = 2048
-#: At most about so many labelled rows of each class are learned from, chosen by a hash of their text.
+#: At most so many labelled rows of each class are learned from, chosen by a hash of their id.
 TRAIN_ROWS = 20_000
+#: The sample is counted in so many partitions, so partial counts have a bound as well.
+FIT_PARTITIONS = 12
 #: Added to the count of each n-gram; log-count ratios of rare n-grams come out small.
 SMOOTH = 1.0
 REGULARISATION = 1e-4
@@ -88,23 +90,18 @@ def _log_likelihood(k1: np.ndarray, k0: np.ndarray, n1: int, n0: int) -> np.ndar
     return 2 * (term(k1, n1, k1 / n1) + term(k0, n0, k0 / n0) - term(k1, n1, p) - term(k0, n0, p))
 
 
-def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """``labelled`` has text and label (0 or 1). Rows with a null label are left out.
+def fit(sample: DataFrame, n1: int, n0: int) -> Model:
+    """``sample`` has text and label (0 or 1); ``n1`` and ``n0`` rows have these labels in all.
 
     With one class only, or none, the model scores every text alike: the smoothed share of label 1.
     """
-    spark = labelled.sparkSession
-    rows = labelled.where("label IN (0, 1)").select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     prior = math.log((n1 + 1) / (n0 + 1))
-    if not n1 or not n0:
-        return Model(np.zeros(1 << BITS), prior)
-    space = 1_000_000
-    share = F.when(F.col("label") == 1, min(1.0, train_rows / n1)).otherwise(min(1.0, train_rows / n0))
-    rows = checkpoint(rows.where(F.pmod(F.xxhash64("text", F.lit("train")), F.lit(space)) < share * space))
+    rows = checkpoint(sample.select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label")))
+    rows = rows.coalesce(FIT_PARTITIONS)
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    m1, m0 = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
+    m1, m0 = sizes.get(1, 0), sizes.get(0, 0)
+    if not m1 or not m0:
+        return Model(np.zeros(1 << BITS), prior)
     counted = (
         rows.mapInArrow(_occurrences, "label int, bucket long, n long").groupBy("bucket").agg(
             F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"),
@@ -158,10 +155,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, label) of labelled documents outside the held-out fifth; repeated labels count once."""
-    marks = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    return docs.where(~is_held_out()).join(marks, "doc_id").select("text", "label")
+def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
+    """Fits on at most ``train_rows`` documents of each label, none of them in the held-out fifth.
+
+    Which ones is decided on the labels alone, by a hash of the id; as their number is bounded they
+    are broadcast, and no text is shuffled. Repeated labels of a document count once, as toxic if any is.
+    """
+    marks = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~is_held_out()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    sizes = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    first = lambda label: marks.where(F.col("label") == label).orderBy(F.xxhash64("doc_id", F.lit("train")), "doc_id").limit(train_rows)
+    chosen = checkpoint(first(1).unionByName(first(0)))
+    return fit(docs.join(F.broadcast(chosen), "doc_id").select("text", "label"), sizes.get(1, 0), sizes.get(0, 0))
 
 
 def is_held_out():
@@ -175,14 +179,14 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Labels of held-out documents are never looked at, and only texts are scored. Nulls and empty
     texts get the score of an empty text, repeated rows equal scores, an empty table no rows.
     """
-    model = fit(training_rows(docs.select("doc_id", "text"), labels))
+    model = learn(docs.select("doc_id", "text"), labels)
     scored = score(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")), model)
     return scored.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text is predicted toxic; rows and columns else stay."""
-    model = fit(training_rows(docs.select("doc_id", "text"), labels))
+    model = learn(docs.select("doc_id", "text"), labels)
     return score(docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs, model).where("score < 0.5").select(
         *[F.col("_score").alias("score") if c == "score" else F.col(c) for c in docs.columns]
     )
