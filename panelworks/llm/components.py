@@ -18,7 +18,7 @@ def _canonical(links: DataFrame) -> DataFrame:
 
 
 def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum("a")).first())
+    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
 
 
 def connected_components(links: DataFrame) -> DataFrame:
