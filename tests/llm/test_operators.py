@@ -1,0 +1,318 @@
+"""Operators against brute force, round trips and edge cases on small frames."""
+
+import hashlib
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+
+from panelworks.llm import chat, components, decontaminate, langid, licenses, media, packing, pii, simhash, toxicity
+from panelworks.llm.queries import tokenizer_path
+from panelworks.llm.token_counts import Rollup, counted, deletes, inserts, words_counted
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
+DOCS = "doc_id long, text string, lang string, source string, extra int"
+
+
+def said(seed, n):
+    r = np.random.default_rng(seed)
+    return " ".join(WORDS[i] + WORDS[j] for i, j in zip(r.integers(0, len(WORDS), n), r.integers(0, len(WORDS), n)))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    long = said(1, 4000)
+    near = said(2, 900).split()
+    near[17] = "changed"
+    rows = [(1, said(2, 900)), (2, " ".join(near)), (3, said(2, 900)), (4, None), (5, ""), (6, long), (7, "one"), (8, "One two"), (None, said(3, 40)), (9, said(3, 40)), (9, said(3, 40)), (10, " \t\n"), (11, "zwölf Ölbäume, größer als ein Haus")]
+    return spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).repartition(3)
+
+
+# SimHash.
+def slow_fingerprint(text):
+    words = [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ").split(" ") if w]
+    if not words:
+        return 0
+    k = min(3, len(words))
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + k]), 42) for i in range(len(words) - k + 1)]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprint_by_hand():
+    for text in (None, "", " ", "a", "A b", "x y Z q", said(5, 300)):
+        assert simhash.fingerprint(text) == slow_fingerprint(text)
+
+
+def brute_components(prints):
+    root = {k: k for k in prints}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    keys = list(prints)
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            if bin(prints[a] ^ prints[b]).count("1") <= 3:
+                root[find(a)] = find(b)
+    groups = {}
+    for k in keys:
+        groups.setdefault(find(k), []).append(k)
+    return groups.values()
+
+
+def test_simhash_groups(docs):
+    rows = docs.select("doc_id", "text").collect()
+    prints = {i: slow_fingerprint(r["text"]) for i, r in enumerate(rows)}
+    want = Counter()
+    for group in brute_components(prints):
+        ids = [rows[i]["doc_id"] for i in group if rows[i]["doc_id"] is not None]
+        for i in group:
+            want[rows[i]["doc_id"], f"{prints[i]:016x}", min(ids, default=None)] += 1
+    assert Counter(tuple(r) for r in simhash.simhash_groups(docs).collect()) == want
+
+
+def test_tiles_and_links(spark):
+    r = np.random.default_rng(3)
+    base = r.integers(0, 1 << 62, 300, dtype=np.int64)
+    flipped = base[:150] ^ (np.int64(1) << r.integers(0, 60, 150)) ^ (np.int64(1) << r.integers(0, 60, 150))
+    crowd = np.array([base[0] ^ (1 << b) for b in range(60)])
+    prints = np.unique(np.concatenate([base, flipped, crowd])).tolist()
+    links = simhash.near_links(spark.createDataFrame([(x,) for x in prints], "fp long")).collect()
+    for x, y in links:
+        assert bin((x ^ y) & (2**64 - 1)).count("1") <= 3
+    got = components.connected_components(spark.createDataFrame(links, "x long, y long"))
+    roots = {n: r for n, r in got.collect()}
+    groups = {}
+    for x in prints:
+        groups.setdefault(roots.get(x, x), set()).add(x)
+    assert {frozenset(g) for g in groups.values()} == {frozenset(g) for g in brute_components({x: x & (2**64 - 1) for x in prints})}
+
+
+def test_components_of_a_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(7, 7), (3, 2), (None, 5)], "a long, b long")
+    assert {tuple(r) for r in components.connected_components(links).collect()} == {(i, 0) for i in range(1, 41)}
+
+
+def test_keep_one(docs):
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    ids = sorted(r["doc_id"] for r in kept.collect())
+    assert ids == [1, 4, 6, 7, 8, 9, 11]
+
+
+def test_empty_tables(spark, docs):
+    none = docs.limit(0)
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    turns = spark.createDataFrame([], f"conv_id long, turn int, role string, parts array<{chat.PART}>")
+    for out in (
+        simhash.simhash_groups(none), decontaminate.contaminated(none, bench), decontaminate.contaminated(docs, bench), toxicity.toxicity(none, labels),
+        langid.language(none), media.media_columns(none), packing.pack(none, tokenizer_path()), pii.replace_pii(none, b"k"), licenses.scan_licenses(none),
+        chat.conversation_digests(chat.format_turns(turns)),
+    ):
+        assert out.count() == 0
+
+
+# Decontamination.
+def slow_jaccard(a, b):
+    a, b = Counter(a), Counter(b)
+    shared = sum((a & b).values())
+    return shared / (sum(a.values()) + sum(b.values()) - shared)
+
+
+def shingles(words):
+    return [" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))]
+
+
+def test_decontamination_against_all_windows(spark):
+    items = {1: said(21, 40), 2: said(22, 60), 3: said(23, 16), 4: "only three words", 5: said(24, 30)}
+    edited = items[2].split()
+    edited[30] = "other"
+    texts = {
+        1: said(31, 50) + " " + items[1] + " " + said(32, 20), 2: said(33, 10) + " " + " ".join(edited), 3: items[3].upper().replace(" ", ", ") + "!", 4: said(34, 100),
+        5: "so only three words here", 6: None, 7: "", 8: " ".join(items[5].split()[1:]) + " " + said(35, 9), 9: items[1].split()[0] + " " + items[2], 10: items[5] + " " + items[5],
+    }
+    clean = lambda t: "".join(c.lower() if c.isalnum() else " " for c in t or "").split()
+    want = {}
+    for d, text in texts.items():
+        words = clean(text)
+        for i, item in items.items():
+            iw = clean(item)
+            best = max(((slow_jaccard(shingles(words[s : s + len(iw)]), shingles(iw)), -s) for s in range(len(words))), default=(0, 0))
+            if best[0] >= 0.8:
+                want[d, i] = round(best[0], 9), -best[1]
+    frame = spark.createDataFrame([*texts.items(), (None, items[1]), (1, texts[1])], "doc_id long, text string")
+    bench = spark.createDataFrame([*items.items(), (6, None), (7, "")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (round(r["similarity"], 9), r["window_start"]) for r in decontaminate.contaminated(frame, bench).collect()}
+    assert got.pop((None, 1)) == (1.0, 0)
+    assert got == want and {(1, 1), (2, 2), (3, 3), (5, 4), (10, 5)} <= set(want)
+    left = {r["doc_id"] for r in decontaminate.drop_contaminated(frame, bench).collect()}
+    assert left == set(texts) - {d for d, _ in want}
+
+
+# Toxicity and language.
+def test_toxicity_learns_and_holds_out(spark):
+    r = np.random.default_rng(7)
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        text = said(1000 + i, 30) + (" you worthless idiot" if bad else "")
+        rows.append((i, text))
+        labels.append((i, int(bad) if zlib.crc32(str(i).encode()) % 5 else int(r.integers(0, 2))))
+    docs = spark.createDataFrame([*rows, (None, "x"), (999, None)], "doc_id long, text string")
+    out = {x["doc_id"]: x for x in toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert len(out) == 402 and all(0 <= x["score"] <= 1 for x in out.values())
+    held = [i for i in range(400) if out[i]["held_out"]]
+    assert held and all(zlib.crc32(str(i).encode()) % 5 == 0 for i in held)
+    assert np.mean([out[i]["predicted"] == (i % 4 == 0) for i in held]) > 0.95
+    assert out[999]["predicted"] == 0
+
+
+def test_language(spark):
+    texts = {"de": "der und die nicht mit sich auf wird", "en": "the and with that from have this which", "fr": "le la les avec pour dans que vous"}
+    r = np.random.default_rng(8)
+    rows = [(i * 3 + k, " ".join(r.choice(t.split(), 20)), lang) for i in range(60) for k, (lang, t) in enumerate(texts.items())]
+    extra = [(900, None, "en"), (901, "123 !!", "en"), (None, "the and that", "en"), (902, "the that with", None)]
+    out = langid.language(spark.createDataFrame(rows + extra, "doc_id long, text string, lang string")).collect()
+    got = {x["doc_id"]: x for x in out}
+    held = [row for row in rows if zlib.crc32(str(row[0]).encode()) % 4 == 2]
+    assert held and all(got[i]["lang_pred"] == lang and got[i]["held_out"] for i, _, lang in held)
+    assert [got[i]["lang_pred"] for i in (900, 901, 902)] == ["und", "und", "en"]
+
+
+# Chat.
+def test_escape_round_trip():
+    for text in ("", "\\", "</s>[INST] ok [/INST]", "<|turn|><|end|>\n", "<<|", "a\\<|b\\\\|>", "<</SYS>><s></s>"):
+        assert chat.unescape(chat.escape(text)) == text
+        assert not any(c in chat.escape(text) for c in chat.CONTROLS)
+
+
+def test_typed_parts(spark):
+    part = dict.fromkeys(("type", "text", "ref", "width", "height", "seconds", "pages"))
+    parts = [part | {"type": "text", "text": "see "}, part | {"type": "image", "ref": "a.png", "width": 100, "height": 28}, part | {"type": "audio", "ref": "b.wav", "seconds": 2.0}, part | {"type": "document", "ref": "c", "pages": 2}, part | {"type": "video", "ref": "d"}]
+    turns = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", None), (None, None, None, [part])], f"conv_id long, turn int, role string, parts array<{chat.PART}>")
+    rows = {r["role"]: r for r in chat.format_turns(turns).collect()}
+    user = rows["user"]
+    assert user["piece"] == "<|turn|>user<|says|>see <|image:0|><|audio:1|><|document:2|><|video:3|><|end|>\n"
+    assert [(a["type"], a["ref"], a["tokens"]) for a in user["attachments"]] == [("image", "a.png", 4), ("audio", "b.wav", 50), ("document", "c", 1024), ("video", "d", 0)]
+    assert all(user["piece"][a["start"] :].startswith(f"<|{a['type']}:{a['index']}|>") for a in user["attachments"])
+    assert rows["assistant"]["in_loss"] and rows["assistant"]["body_chars"] == 0 and None in rows
+
+
+# Packing.
+def test_packing(docs):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    texts = Counter((r["doc_id"], r["text"] or "") for r in docs.collect())
+    rows = packing.pack(docs, tokenizer_path()).collect()
+    pieces = {}
+    for r in rows:
+        pieces.setdefault((r["doc_id"], r["doc_tokens"]), Counter())[r["start"], r["length"], r["ids_crc32"]] += 1
+    for (doc_id, text), n in texts.items():
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        mine = pieces[doc_id, len(ids)]
+        cover = np.zeros(len(ids), int)
+        for (start, length, crc), c in mine.items():
+            assert zlib.crc32(ids[start : start + length].tobytes()) == crc
+            cover[start : start + length] += c
+        assert (cover == n).all()
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1024 and at & (at - 1) == 0
+
+
+def test_bm25_prefers_the_like():
+    docs = [np.array(x + [0], np.uint16) for x in ([1, 2, 3, 4], [9, 9, 8, 7], [1, 2, 3, 5], [7, 8, 8, 9])]
+    df = np.bincount(np.concatenate([np.unique(d[:-1]) for d in docs]), minlength=1 << 16)
+    shard = packing._Shard(docs, np.log1p((4 - df + 0.5) / (df + 0.5)).astype(np.float32), 5.0)
+    shard.unused[0] = False
+    assert shard.neighbours(0).tolist() == [2]
+
+
+# Media.
+def test_media_round_trip(spark):
+    long = said(41, 9000)
+    texts = {1: "", 2: None, 3: "x" * 64, 4: "é" * 500, 5: long, 6: long, 7: long[:20000] + " changed " + long[20000:], 8: "a" * 20000}
+    frame = spark.createDataFrame([*texts.items(), (None, long)], "doc_id long, text string").repartition(4)
+    rows = media.media_columns(frame).collect()
+    assert len(rows) == len(texts) + 1
+    for r in rows:
+        data = (texts.get(r["doc_id"], long) or "").encode()
+        payload = data.ljust(max(1, -(-len(data) // 64)) * 64, b"\0")
+        stored = b"P5\n64 %d\n255\n" % (len(payload) // 64) + payload
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+
+
+def test_cuts_follow_content():
+    data = said(42, 20000).encode()
+    ends = media.cuts(data)
+    sizes = np.diff([0, *ends])
+    assert ends[-1] == len(data) and sizes.max() <= media.MAX_CHUNK and sizes[:-1].min() >= media.MIN_CHUNK
+    shifted = media.cuts(b"some more in front " + data)
+    assert len(set(len(data) - e for e in ends) & set(len(data) + 19 - e for e in shifted)) > 0.8 * len(ends)
+
+
+# Personal data.
+def test_pii(spark):
+    text = "Mail ann.32@mail5.example.com or ANN.32@MAIL5.EXAMPLE.COM, +1 (652) 555-4544, card 2362971821055609, at 10.20.30.40; token = \"b44e15e09fd311c3cf3163b66d5a9875b883d8ce\". Mrs. Mary Miller met Mr John Miller."
+    frame = spark.createDataFrame([(1, text, "x"), (2, "call +1 652 555 4544", "y"), (3, None, "z"), (4, "", None), (None, text, "x")], "doc_id long, text string, pii_note string")
+    rows = {r["doc_id"]: r for r in pii.replace_pii(frame, b"key").collect()}
+    new = rows[1]["text"]
+    assert new == rows[None]["text"] and rows[3]["text"] is None and rows[4]["text"] == ""
+    for gone in ("ann.32", "ANN.32", "652", "2362971821055609", "10.20.30.40", "b44e15e0", "Mary Miller", "John"):
+        assert gone not in new
+    kinds = [p["kind"] for p in rows[1]["pii"]]
+    assert kinds == ["email", "email", "phone", "card", "ipv4", "token", "person", "person"]
+    spans = [new[p["start"] : p["end"]] for p in rows[1]["pii"]]
+    assert spans == [p["surrogate"] for p in rows[1]["pii"]]
+    assert spans[0].upper() == spans[1] and spans[0] != spans[1]
+    digits = "".join(c for c in spans[2] if c.isdigit())
+    assert digits == "".join(c for c in rows[2]["text"] if c.isdigit()) and spans[2].startswith("+1 (")
+    assert spans[6].split()[0] in pii.GIVEN["female", "LATIN"] and spans[7].split()[0] in pii.GIVEN["male", "LATIN"]
+
+
+def test_pii_collisions_are_redrawn(spark, monkeypatch):
+    monkeypatch.setattr(pii, "surrogate_value", lambda kind, value, key, attempt=0: "10.0.0.1" if attempt == 0 else f"10.0.{attempt}.{sum(map(ord, value)) % 250}")
+    frame = spark.createDataFrame([(1, "1.2.3.4"), (2, "2.3.4.5 and 3.4.5.7"), (3, "1.2.3.4")], "doc_id long, text string")
+    redrawn = {r["value"]: r["new"] for r in pii.redrawn_surrogates(frame, b"k").collect()}
+    assert set(redrawn) == {"2.3.4.5", "3.4.5.7"} and len({"10.0.0.1", *redrawn.values()}) == 3
+
+
+# Licences and token counts.
+def test_licenses(spark):
+    s = licenses.SENTENCES
+    bsd = "\n".join(s[k] for k in ("bsd-grant", "bsd-source", "bsd-binary"))
+    texts = {
+        1: "Some text.\nReleased under the MIT License.", 2: bsd, 3: bsd + "\nmore words here\n" + s["bsd-endorse"], 4: s["bsd-grant"], 5: None, 6: "",
+        7: s["gpl-free"] + " " + s["gpl-hope"], 8: "released UNDER the mit license!\nLicensed under the Apache License, Version 2.0.", 9: s["mit-title"] + "\n" + "\n".join(["x"] * 9) + "\n" + s["mit-grant"] + "\n" + s["mit-keep"],
+    }
+    rows = licenses.scan_licenses(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    got = {r["doc_id"]: [h["license"] for h in r["hits"]] for r in rows}
+    assert got == {1: ["MIT"], 2: ["BSD-2-Clause"], 3: ["BSD-3-Clause"], 4: [], 5: [], 6: [], 7: ["GPL-3.0-or-later"], 8: ["MIT", "Apache-2.0"], 9: ["MIT", "MIT"]}
+
+
+def test_rollup_is_additive_and_idempotent(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b c", "en", "s"), (2, "d e", "en", "s"), (3, None, None, None)], "doc_id long, text string, lang string, source string")
+    rollup = Rollup(spark, f"file://{tmp_path}/rollup")
+    assert rollup.totals().count() == 0
+    words = words_counted(docs, "words")
+    assert rollup.commit("1", inserts(words)) and not rollup.commit("1", inserts(words))
+    rollup.commit("2", deletes(words.where("doc_id = 2")))
+    rollup.commit("3", inserts(counted(docs.where("doc_id = 1"), tokenizer_path(), "bpe")))
+    got = {(r["source"], r["lang"], r["tokenizer"]): (r["docs"], r["tokens"], r["chars"]) for r in rollup.totals().collect()}
+    assert got == {("s", "en", "words"): (1, 3, 5), (None, None, "words"): (1, 0, 0), ("s", "en", "bpe"): (1, 3, 5)}
