@@ -1065,3 +1065,96 @@ SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDE
 WHERE score >= 0.12 QUALIFY rank <= 3""", "score")
 def tfidf_search(spark, d):
     return txt.tfidf_search(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+# Models and sampled results: no SQL twin, invariants are tested.
+def _parts(spark, d):
+    """Labelled rows before and after the split."""
+    return _halves(_marked(spark, d))
+
+
+MODEL_COLUMNS = ["current_balance", "interest_rate", "days_past_due", "loan_age_months", "modification_flag", "credit_score_band", "current_status"]
+
+
+@query()
+def baseline_model(spark, d):
+    from panelworks.operators import models as mod
+
+    train, test = _parts(spark, d)
+    fitted = mod.baseline_model(train.drop("p"), "delinq_3", MODEL_COLUMNS)
+    return met.roc_auc(met.score_table(mod.score(fitted, test.drop("p"), MODEL_COLUMNS), "delinq_3", "p"))
+
+
+@query()
+def boosted_model(spark, d):
+    from panelworks.operators import models as mod
+
+    train, test = _parts(spark, d)
+    fitted = mod.boosted_model(train.drop("p"), "delinq_3", MODEL_COLUMNS, rounds=10)
+    return mod.score(fitted, test.drop("p"), MODEL_COLUMNS).select("row_id", "p")
+
+
+@query()
+def platt(spark, d):
+    from panelworks.operators import models as mod
+
+    train, test = _parts(spark, d)
+    return mod.apply_platt(test, "p", mod.platt(train, "delinq_3", "p"), "q").select("row_id", "p", "q")
+
+
+@query()
+def isotonic(spark, d):
+    from panelworks.operators import models as mod
+
+    train, test = _parts(spark, d)
+    return mod.isotonic(train, "delinq_3", "p").transform(test).select("row_id", "p", F.col("prediction").alias("q"))
+
+
+@query()
+def adversarial_validation(spark, d):
+    from panelworks.operators import models as mod
+
+    return mod.adversarial_validation(*_halves(_panel(spark, d)), ["current_balance", "interest_rate", "days_past_due", "state"])
+
+
+@query()
+def transition_model(spark, d):
+    from panelworks.operators import models as mod
+
+    scored = _one_step(spark, d)
+    columns = ["loan_age_months", "interest_rate", "current_balance"]
+    return mod.score_transitions(scored, mod.transition_model(scored, columns), columns).select("row_id", "from_state", F.aggregate("p_model", F.lit(0.0), lambda a, x: a + x).alias("total"), F.array_max("p_model").alias("top"))
+
+
+def _sims(spark, d):
+    from panelworks.operators import simulate
+
+    p = _panel(spark, d)
+    return simulate.monte_carlo(rec.latest_per_loan(p), tra.empirical_matrix(tra.transition_frame(p)), tp.scenarios(spark))
+
+
+@query()
+def monte_carlo(spark, d):
+    return _sims(spark, d)
+
+
+@query()
+def mc_percentiles(spark, d):
+    from panelworks.operators import simulate
+
+    return simulate.mc_percentiles(_sims(spark, d))
+
+
+@query()
+def cluster_bootstrap(spark, d):
+    from panelworks.operators import simulate
+
+    return simulate.cluster_bootstrap(_marked(spark, d), "delinq_3", "p")
+
+
+@query()
+def isolation_forest(spark, d):
+    from panelworks.operators import simulate
+
+    train, rest = _halves(_panel(spark, d))
+    return sco.anomaly_score(simulate.isolation_forest(train, rest, NUMS)).select("row_id", "anomaly_score")

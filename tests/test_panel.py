@@ -178,3 +178,23 @@ def test_text(spark):
 def test_every_state_is_in_the_counts(spark):
     counts = transitions.transition_counts(transitions.transition_frame(walk(spark)))
     assert counts.count() == len(STATES) ** 2
+
+
+def test_sampled_paths_lie_around_the_curve(spark):
+    from panelworks.operators import simulate
+
+    panel = walk(spark)
+    cells, loans = transitions.empirical_matrix(transitions.transition_frame(panel)), reconcile.latest_per_loan(panel)
+    many = loans.crossJoin(spark.range(60)).withColumn("loan_id", F.concat("loan_id", F.lit("-"), F.col("id").cast("string")))
+    curve = {(r["scenario"], r["month"]): r["cif_default"] for r in transitions.portfolio_curves(transitions.simulate_paths(many, cells, testpanel.scenarios(spark))).collect()}
+    sims = simulate.monte_carlo(many, cells, testpanel.scenarios(spark), n_sims=100)
+    for r in simulate.mc_percentiles(sims).where("month = 12").collect():
+        assert abs(r["mean"] - curve[r["scenario"], 12]) < 0.02 and r["p5"] <= r["p50"] <= r["p95"]
+
+
+def test_isolation_forest_finds_the_odd_row(spark):
+    from panelworks.operators import simulate
+
+    df = spark.range(500).select(F.col("id").alias("row_id"), (F.col("id") * 7919 % 101).cast("double").alias("a"), F.when(F.col("id") == 77, 5000.0).otherwise((F.col("id") * 104729 % 97).cast("double")).alias("b"))
+    scored = scoring.anomaly_score(simulate.isolation_forest(df, df, ["a", "b"], trees=50, sample=128)).orderBy(F.desc("anomaly_score"))
+    assert scored.first()["row_id"] == 77
