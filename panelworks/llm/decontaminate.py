@@ -161,6 +161,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item. All other rows and columns stay."""
-    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    here = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("_leak_id"), F.col("text_hash").alias("_leak_hash")).distinct()
+    here = F.col("doc_id").eqNullSafe(F.col("_leak_id")) & (F.xxhash64("text") == F.col("_leak_hash"))
     return docs.join(found, here, "left_anti")

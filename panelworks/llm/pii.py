@@ -212,11 +212,12 @@ _SPANS = "array<struct<kind: string, start: int, end: int, surrogate: string>>"
 def replace_pii(docs: DataFrame, key: bytes) -> DataFrame:
     """``docs`` with surrogates in ``text`` and a column ``pii`` of what was put where.
 
-    Other columns stay as they are. Null and empty texts stay; repeated rows get equal results; an
+    Other columns stay as they are, but for one named pii. Null and empty texts stay; repeated rows get equal results; an
     empty table gives no rows. The same key gives the same surrogates for the same corpus.
     """
     spark = docs.sparkSession
     redrawn = checkpoint(redrawn_surrogates(docs, key))
+    docs = docs.drop("pii")
     columns = docs.columns
     if redrawn.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         held = spark.sparkContext.broadcast({(r["kind"], r["value"]): r["new"] for r in redrawn.collect()})
