@@ -174,3 +174,14 @@ def random_group_split(df: DataFrame, test_pct: int = 25) -> DataFrame:
     """Loan-disjoint and blind to time; a diagnostic."""
     held = F.pmod(F.crc32(F.col("loan_id").cast("binary")), F.lit(100)) < test_pct
     return df.withColumn("part", F.when(held, "test").otherwise("train"))
+
+
+def scoring_frame(train: DataFrame, score: DataFrame, prepare) -> DataFrame:
+    """The score rows with everything that ``prepare`` adds, worked out over both panels.
+
+    A score row's history reaches back into the training rows of its loan; ``prepare`` maps a panel to
+    one with flags, quality and features. Rows keep score_order, the order to write them in.
+    """
+    from panelworks.operators.reconcile import union_panels
+
+    return prepare(union_panels(train, score)).where("origin = 'score'").drop("origin")

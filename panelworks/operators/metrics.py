@@ -182,3 +182,32 @@ def confidence_band(df: DataFrame, spread: str = "relative_spread") -> DataFrame
     s, e = F.col(spread), F.col("_e")
     band = F.when(e[0] >= e[1], "medium").when(s <= e[0], "high").when(s <= e[1], "medium").otherwise("low")
     return df.crossJoin(F.broadcast(edges)).withColumn("confidence", band).drop("_e")
+
+
+def temporal_spread(df: DataFrame, columns: list[str]) -> DataFrame:
+    """mean_prediction, spread (population deviation), low, high and relative_spread of fold scores.
+
+    At least two folds are needed; null scores are left out of a row's figures.
+    """
+    if len(columns) < 2:
+        raise ValueError("at least two folds are needed")
+    ps = F.filter(F.array(*[F.col(c).cast("double") for c in columns]), lambda x: x.isNotNull())
+    mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(xs), F.lit(0))
+    df = df.withColumn("_ps", ps).withColumn("mean_prediction", mean(F.col("_ps")))
+    square = F.transform("_ps", lambda x: (x - F.col("mean_prediction")) * (x - F.col("mean_prediction")))
+    return df.withColumn("spread", F.sqrt(mean(square))).withColumns(
+        {"low": F.array_min("_ps"), "high": F.array_max("_ps"), "relative_spread": F.col("spread") / F.nullif(F.col("mean_prediction"), F.lit(0.0))}
+    ).drop("_ps")
+
+
+def spread_summary(df: DataFrame) -> DataFrame:
+    """(mean_spread, median_spread, n_wide, pct_wide): rows whose spread exceeds their mean prediction."""
+    wide = F.coalesce((F.col("spread") > F.col("mean_prediction")), F.lit(False))
+    return df.agg(F.avg("spread").alias("mean_spread"), F.percentile("spread", F.lit(0.5)).alias("median_spread"), F.sum(wide.cast("long")).alias("n_wide"), (100 * F.avg(wide.cast("double"))).alias("pct_wide"))
+
+
+def band_check(df: DataFrame, label: str, score: str, band: str = "confidence", least: int = 50) -> DataFrame:
+    """(band, n, observed_rate, mean_predicted, brier) of bands with enough rows."""
+    y, p = F.col(label).cast("double"), F.col(score)
+    out = df.groupBy(F.col(band).alias("band")).agg(F.count("*").alias("n"), F.avg(y).alias("observed_rate"), F.avg(p).alias("mean_predicted"), F.avg((p - y) * (p - y)).alias("brier"))
+    return out.where(F.col("n") >= least)

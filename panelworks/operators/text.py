@@ -71,3 +71,9 @@ def tfidf_search(docs: DataFrame, questions: DataFrame, least: float = 0.12, top
     scored = dots.join(dn, "doc_id").join(qn, "item_id").select("item_id", "doc_id", (F.col("dot") / (F.col("dn") * F.col("qn"))).alias("score")).where(F.col("score") >= least)
     rank = F.row_number().over(W.partitionBy("item_id").orderBy(F.desc(F.round("score", 9)), "doc_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top)
+
+
+def answer_lookup(questions: DataFrame, hits: DataFrame) -> DataFrame:
+    """(item_id, doc_id, covered): the best passage of each question, or none."""
+    best = hits.where("rank = 1").select("item_id", "doc_id")
+    return questions.select("item_id").join(best, "item_id", "left").withColumn("covered", F.col("doc_id").isNotNull())

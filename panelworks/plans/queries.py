@@ -1158,3 +1158,65 @@ def isolation_forest(spark, d):
 
     train, rest = _halves(_panel(spark, d))
     return sco.anomaly_score(simulate.isolation_forest(train, rest, NUMS)).select("row_id", "anomaly_score")
+
+
+FOLDS = ["f1", "f2", "f3"]
+FOLD_SQL = "SELECT *, ((row_id * 7) % 100 + 100) / 1000.0::DOUBLE AS f1, ((row_id * 11) % 100 + 100) / 1000.0::DOUBLE AS f2, ((row_id * 13) % 400) / 1000.0::DOUBLE AS f3 FROM marked"
+SPREAD_SQL = f"""SELECT row_id, delinq_3, mean_prediction, spread, low, high, spread / mean_prediction AS relative_spread FROM (
+  SELECT *, (f1 + f2 + f3) / 3 AS mean_prediction, sqrt(((f1 - mean_prediction) ** 2 + (f2 - mean_prediction) ** 2 + (f3 - mean_prediction) ** 2) / 3) AS spread, least(f1, f2, f3) AS low, greatest(f1, f2, f3) AS high FROM ({FOLD_SQL}))"""
+
+
+def _spread(spark, d):
+    part = lambda a, n, plus: (((F.col("row_id") * a) % n) + plus).cast("double") / 1000
+    return met.temporal_spread(_marked(spark, d).withColumns({"f1": part(7, 100, 100), "f2": part(11, 100, 100), "f3": part(13, 400, 0)}), FOLDS)
+
+
+@query("marked", f"SELECT row_id, mean_prediction, spread, low, high, relative_spread FROM ({SPREAD_SQL})", "mean_prediction spread low high relative_spread")
+def temporal_uncertainty(spark, d):
+    return _spread(spark, d).select("row_id", "mean_prediction", "spread", "low", "high", "relative_spread")
+
+
+@query("marked", f"SELECT avg(spread) AS mean_spread, quantile_cont(spread, 0.5) AS median_spread, CAST(count(*) FILTER (WHERE spread > mean_prediction) AS BIGINT) AS n_wide, 100.0 * count(*) FILTER (WHERE spread > mean_prediction) / count(*) AS pct_wide FROM ({SPREAD_SQL})", "mean_spread median_spread pct_wide")
+def spread_summary(spark, d):
+    return met.spread_summary(_spread(spark, d))
+
+
+@query("marked", """
+SELECT CASE WHEN p <= lo THEN 'high' WHEN p <= hi THEN 'medium' ELSE 'low' END AS band, count(*) AS n, avg(delinq_3) AS observed_rate, avg(p) AS mean_predicted, avg((p - delinq_3) * (p - delinq_3)) AS brier
+FROM marked, (SELECT quantile_cont(p, 1.0::DOUBLE / 3) AS lo, quantile_cont(p, 2.0::DOUBLE / 3) AS hi FROM marked) GROUP BY 1 HAVING count(*) >= 50""", "observed_rate mean_predicted brier")
+def band_check(spark, d):
+    return met.band_check(met.confidence_band(_marked(spark, d), "p"), "delinq_3", "p")
+
+
+@query("", """
+SELECT provider, n_calls, n_errors, n_accepted, n_rejected, median_latency_ms, n_rejected / nullif(n_accepted + n_rejected, 0)::DOUBLE AS rejection_rate FROM (
+  SELECT props AS provider, count(*) AS n_calls, count(*) FILTER (WHERE event_type = 'error') AS n_errors, count(*) FILTER (WHERE event_type <> 'error' AND value < 50) AS n_accepted,
+    count(*) FILTER (WHERE event_type <> 'error' AND value >= 50) AS n_rejected, quantile_cont(value, 0.5) AS median_latency_ms FROM events GROUP BY props)""", "median_latency_ms rejection_rate")
+def audit_summary(spark, d):
+    log = table(spark, d, "events").select(F.col("props").alias("provider"), (F.col("value") < 50).alias("accepted"), F.when(F.col("event_type") == "error", "error").alias("error"), F.col("value").alias("latency_ms"))
+    return txt.audit_summary(log)
+
+
+@query("", "SELECT conv_id, turn, substr(sha256(coalesce(text, '')), 1, 16) AS prompt_sha256_16 FROM conversations")
+def append_audit_log(spark, d):
+    from panelworks.sources.audit_log import with_hashes
+
+    return with_hashes(table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("prompt"))).drop("prompt")
+
+
+@query("", f"SELECT b.item_id, h.doc_id, h.doc_id IS NOT NULL AS covered FROM benchmark b LEFT JOIN ({SQL['tfidf_search']}) h ON h.item_id = b.item_id AND h.rank = 1")
+def answer_lookup(spark, d):
+    bench = table(spark, d, "benchmark")
+    return txt.answer_lookup(bench, txt.tfidf_search(table(spark, d, "documents"), bench))
+
+
+@query("scored rated hist", f"""
+SELECT s.row_id, s.row_id AS score_order, h.balance_ratio, r.rate_incentive, CAST(h.months_delinquent_to_date AS BIGINT) AS months_delinquent_to_date, s.data_quality_score
+FROM scored s JOIN rated r USING (row_id) JOIN hist h USING (row_id) WHERE NOT s.{HALF}""", "balance_ratio rate_incentive data_quality_score")
+def scoring_frame(spark, d):
+    def everything(df):
+        flagged = rul.rule_scores(rul.evaluate_rules(rec.reconcile(df, tp.feed(_panel(spark, d)))))
+        return feat.engineer_features(qual.record_quality(flagged))[0]
+
+    out = feat.scoring_frame(*_halves(_panel(spark, d)), everything)
+    return out.select("row_id", "score_order", "balance_ratio", "rate_incentive", "months_delinquent_to_date", "data_quality_score")

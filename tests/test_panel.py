@@ -198,3 +198,16 @@ def test_isolation_forest_finds_the_odd_row(spark):
     df = spark.range(500).select(F.col("id").alias("row_id"), (F.col("id") * 7919 % 101).cast("double").alias("a"), F.when(F.col("id") == 77, 5000.0).otherwise((F.col("id") * 104729 % 97).cast("double")).alias("b"))
     scored = scoring.anomaly_score(simulate.isolation_forest(df, df, ["a", "b"], trees=50, sample=128)).orderBy(F.desc("anomaly_score"))
     assert scored.first()["row_id"] == 77
+
+
+def test_audit_log(spark, tmp_path):
+    from panelworks.sources import audit_log
+
+    path = f"{tmp_path}/log"
+    assert audit_log.read_audit_log(spark, path).count() == 0
+    records = spark.createDataFrame([("p", "t", "x", 1.0), (None, "t", "y", 2.0)], "prompt string, task string, context string, latency_ms double")
+    audit_log.append_audit_log(records, path)
+    with open(f"{path}/more.json", "w") as f:
+        f.write('{"prompt": "q", "accepted": true}\nnot json\n')
+    rows = {r["prompt"]: r for r in audit_log.read_audit_log(spark, path).collect()}
+    assert set(rows) == {"p", None, "q"} and len(rows["p"]["prompt_sha256_16"]) == 16
