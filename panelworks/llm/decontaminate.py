@@ -114,13 +114,19 @@ def _windows(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _blocks(prints: DataFrame, radius: int) -> DataFrame:
-    """One row for each of radius + 1 blocks of the fingerprint."""
+def _cuts(radius: int) -> list[tuple[int, int]]:
+    """First bit and end of each of radius + 1 blocks of 64 bits."""
     edges = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
-    values = [
-        F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1)) for lo, hi in zip(edges, edges[1:])
-    ]
-    return prints.select("*", F.posexplode(F.array(*values)).alias("block", "value"))
+    return list(zip(edges, edges[1:]))
+
+
+def _bits(x: Column, lo: int, hi: int) -> Column:
+    return F.shiftrightunsigned(x, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1))
+
+
+def _blocks(prints: DataFrame, radius: int) -> DataFrame:
+    """One row for each block of the fingerprint."""
+    return prints.select("*", F.posexplode(F.array(*[_bits(F.col("fp"), *cut) for cut in _cuts(radius)])).alias("block", "value"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -143,9 +149,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         .where(F.bit_count(F.col("win_fp").bitwiseXOR(F.col("fp"))) <= radius)
     )
     # A pair that agrees in several blocks is scored at the first of them.
-    edges = [round(64 * i / (radius + 1)) for i in range(radius + 1)] + [64]
     apart = F.col("win_fp").bitwiseXOR(F.col("fp"))
-    agree = [F.when(F.shiftrightunsigned(apart, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1)) == 0, i) for i, (lo, hi) in enumerate(zip(edges, edges[1:]))]
+    agree = [F.when(_bits(apart, *cut) == 0, i) for i, cut in enumerate(_cuts(radius))]
     pairs = pairs.where(F.col("block") == F.coalesce(*agree))
     scored = checkpoint(
         pairs.select("w", "win", "item_id", weighted_jaccard(F.col("said"), F.col("shingles")).alias("similarity"))
