@@ -40,15 +40,37 @@ GIVEN = {
 TITLES = {"Mr": "male", "Mrs": "female", "Ms": "female", "Herr": "male", "Frau": "female", "Monsieur": "male", "Madame": "female", "Señor": "male", "Señora": "female", "Dr": None}
 _GENDER = {name: gender for (gender, _), names in GIVEN.items() for name in names}
 
-# One pattern finds every kind; the first alternative that fits at a place decides.
+# Two-digit calling codes; 1 and 7 have one digit and all others three.
+_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: Lower-case words inside names; they stay, and a capitalised word must follow.
+PARTICLES = frozenset("van von der den de del della di da dos du la le zu bin al ter ten y".split())
+
+
+def _upper_class() -> str:
+    """A pattern class of all upper-case and title-case letters, which ``re`` has no name for."""
+    codes = [c for c in range(0x110000) if chr(c).isupper() or chr(c).istitle()]
+    starts = [c for i, c in enumerate(codes) if not i or codes[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(codes) if i + 1 == len(codes) or codes[i + 1] != c + 1]
+    return "[" + "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends)) + "]"
+
+
+_UP = _upper_class()
+# A capitalised word (O'Brien is one) after initials and particles; no part begins with a lower-case letter but particles.
+_NAME_WORD = rf"(?:(?:{'|'.join(sorted(PARTICLES))})[ ])*(?:{_UP}\.[ -]?)*{_UP}(?:\w+|(?=['’]{_UP}))(?:['’]{_UP}\w*)*"
+_NAME = rf"{_NAME_WORD}(?:[ -]{_NAME_WORD})*"
+_TITLE = "(?:Mrs|Mr|Ms|Dr|Herr|Frau|Monsieur|Madame|Señora|Señor)"
+_GAP = r"[ ./\-   ‐‑]{0,2}"
+# One pattern finds every kind; the first alternative that fits at a place decides. Numbers with a plus sign have 8 to 15
+# digits in any groups (11 after +1).
 _ENTITY = re.compile(
     r"(?P<email>(?<![\w.+-])[^\W_][\w.%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![\w-]))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w.-]*\d))"
+    rf"|(?P<phone>(?<![\w+])\+1(?:{_GAP}\(?\d\)?){{10}}(?!\d)|(?<![\w+])\+\d(?:{_GAP}\(?\d\)?){{7,14}}(?!\d)"
+    r"|(?<![\w+(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w.-]*\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]*\d))"
     r"|(?P<card>(?<![\w.-])\d{4}(?P<sep>[ -]?)\d{4}(?P=sep)\d{4}(?P=sep)\d{4}(?![\w-]*\d))"
     r"|(?P<ipv4>(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\w))"
     r"|(?P<token>(?<![A-Za-z0-9])(?=[A-Fa-f]*\d)(?=\d*[A-Fa-f])[A-Fa-f0-9]{32,64}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9]))"
-    r"|(?P<person>\b(?:Mrs|Mr|Ms|Dr|Herr|Frau|Monsieur|Madame|Señora|Señor)\.?[ ](?P<name>[^\W\d_]\w+(?:[ -][^\W\d_]\w+)?))"
+    rf"|(?P<person>\b(?:{_TITLE}\.?[ ])+(?P<name>{_NAME}))"
 )
 #: No entity is without one of these; most texts have none and are left after one quick look.
 _HINT = re.compile("[0-9@]")
@@ -62,15 +84,15 @@ def find(text: str | None) -> Iterator[tuple[int, int, str, str]]:
     for m in _ENTITY.finditer(text):
         kind = next(k for k in KINDS if m[k] is not None)
         if kind == "person":
-            name = m["name"]
-            if all(w[0].isupper() for w in re.split("[ -]", name)):
-                yield m.start("name"), m.end("name"), kind, name.casefold()
+            yield m.start("name"), m.end("name"), kind, m["name"].casefold()
         elif kind in ("email", "token"):
             yield m.start(), m.end(), kind, m[0].casefold()
         elif kind == "ipv4":
             yield m.start(), m.end(), kind, ".".join(str(int(x)) for x in m[0].split("."))
         else:
-            yield m.start(), m.end(), kind, re.sub(r"\D", "", m[0])
+            # The plus sign tells +45 12 34 56 78 from (451) 234-5678; a trunk zero in brackets is no part of the number.
+            plus = "+" if m[0][0] == "+" else ""
+            yield m.start(), m.end(), kind, plus + re.sub(r"\D", "", m[0].replace("(0)", "") if plus else m[0])
 
 
 class Stream:
@@ -123,11 +145,14 @@ def surrogate_value(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
         gender = _GENDER.get(words[0].capitalize())
         pool = GIVEN[gender, script] if gender else None
         given = pool[draw.below(len(pool))].casefold() if pool else _syllables(draw, script, 3)
-        return " ".join([given, *(_syllables(draw, script, 5) for _ in words[1:])])
+        return " ".join([given, *(w if w in PARTICLES else _syllables(draw, script, 5) for w in words[1:])])
     if kind == "token":
         return "".join("0123456789abcdef"[draw.below(16)] if c in "0123456789abcdef" else _letters(c, draw) for c in value)
     if kind == "phone":
-        return value[:-10] + _letters("0" * len(value[-10:]), draw)
+        digits = value.removeprefix("+")
+        code = 0 if digits == value else 1 if digits[0] in "17" else 2 if digits[:2] in _CODES else 3
+        keep = len(value) - len(digits) + code if attempt < 16 else len(value) - len(digits)  # short numbers of one country may run out
+        return value[:keep] + _letters("0" * (len(value) - keep), draw)
     digits = _letters(value, draw)
     return ("9" if kind == "ssn" else "0") + digits[1:]  # no such numbers are given out
 
@@ -135,10 +160,11 @@ def surrogate_value(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
 def formed(kind: str, mention: str, new: str) -> str:
     """The canonical surrogate in the mention's form."""
     if kind in ("phone", "ssn", "card"):
-        digits = iter(new)
-        return "".join(next(digits) if ch.isdigit() else ch for ch in mention)
+        digits = iter(new.removeprefix("+"))
+        trunk = "(0)" if new.startswith("+") else "^"
+        return trunk.join("".join(next(digits) if ch.isdigit() else ch for ch in part) for part in mention.split(trunk))
     if kind == "person":
-        words = [w.capitalize() for w in new.split(" ")]
+        words = [w if w in PARTICLES else w.capitalize() for w in new.split(" ")]
         if mention.isupper():
             words = [w.upper() for w in words]
         return ("-" if "-" in mention and " " not in mention else " ").join(words)

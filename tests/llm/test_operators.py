@@ -293,6 +293,22 @@ def test_pii_collisions_are_redrawn(spark, monkeypatch):
     assert set(redrawn) == {"2.3.4.5", "3.4.5.7"} and len({"10.0.0.1", *redrawn.values()}) == 3
 
 
+def test_pii_finds_names_and_phones_in_any_form():
+    found = lambda text: [text[a:b] for a, b, *_ in pii.find(text)]
+    for text, want in {
+        "Mr Smith said so": ["Smith"], "Mr John Fitzgerald Kennedy went": ["John Fitzgerald Kennedy"], "Dr. J. F. O'Brien-Smith, here": ["J. F. O'Brien-Smith"],
+        "Herr Dr. Özil kam": ["Özil"], "Señora Ana de la Cruz dijo": ["Ana de la Cruz"], "Mr said so": [], "Mr Smith's dog": ["Smith"], "Frau Éva, Mr İlker": ["Éva", "İlker"],
+        "+44 20 7946 0958": ["+44 20 7946 0958"], "at +33 1 23 45 67 89.": ["+33 1 23 45 67 89"], "+4930123456": ["+4930123456"],
+        "+49 (0)30 12-34-56 an": ["+49 (0)30 12-34-56"], "+1 652 555 4544 12 times": ["+1 652 555 4544"], "+1 (652) 555-4544": ["+1 (652) 555-4544"], "+12 34": [], "+12345678901234567": [],
+    }.items():
+        assert found(text) == want, text
+    text = "+44 (0)20 7946 0958 or +442079460958, Ms Ana de la Cruz."
+    new, spans = pii.rewrite(text, b"k", lambda k, v: None)
+    a, b, name = (s["surrogate"] for s in spans)
+    assert a.startswith("+44 (0)") and a.replace("(0)", "").replace(" ", "") == b != "+442079460958"
+    assert name.split()[1:3] == ["de", "la"] and "Cruz" not in new
+
+
 # Licences and token counts.
 def test_licenses(spark):
     s = licenses.SENTENCES
