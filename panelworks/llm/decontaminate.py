@@ -7,7 +7,8 @@ have a weighted Jaccard similarity of 0.8 or more.
 1. Windows. Similarity t needs more than (1 - t) of an item's shingles to be found in the window, so
    a few anchor words of each item that together lie in more than that share of its shingles must
    occur there, with one neighbour in place. Windows without that cannot reach t. One pass over the
-   documents' words finds them and places the item-sized window at every shift that t allows.
+   documents' words finds them. Bags ignore order, so an item-sized window begins at every place from
+   which it holds the anchor word; of these stay the ones with as many shingles of the item as t needs.
 2. SimHash. Each distinct window and each item gets a 64-bit SimHash of its shingles.
 3. Multi-index Hamming. The 64 bits are cut into radius + 1 blocks; two fingerprints within the
    radius agree in one block at least, so joins on (window size, block, value) find all of them.
@@ -66,7 +67,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 
 def _anchors(items: DataFrame, similarity: float) -> DataFrame:
-    """(word, before, after, item_id, w, at, slack): positions whose words any similar window has.
+    """(word, before, after, key, w): words, each with its neighbours, of which any similar window has one.
 
     A word inside an item lies in five of its n shingles. Of (1 - similarity) * n / 5 + 1 words, each
     five positions from the next, at least one is left in every window of that similarity. Longer
@@ -94,23 +95,41 @@ def _anchors(items: DataFrame, similarity: float) -> DataFrame:
         F.get("words", F.col("at")).alias("word"),
         F.when(F.col("at") > 0, F.get("words", F.col("at") - 1)).alias("before"),
         F.get("words", F.col("at") + 1).alias("after"),
-        "w", "at", F.floor(n * miss + 1e-9).cast("int").alias("slack"),
+        "key", "w",
     ).distinct()
 
 
-def _windows(docs: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, start, w, win): item-sized windows, cut at the document's end."""
+def _windows(docs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, text_hash, start, w, win): item-sized windows, cut at the document's end.
+
+    Of bags of n and m shingles with similarity t, t (n + m) / (1 + t) are shared. A window in which fewer
+    positions hold a shingle of the item is left out, which loses none.
+    """
     said = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
+    items = items.select("words", "w", "shingles", F.xxhash64("words").alias("key")).dropDuplicates(["words"])
+    anchors = _anchors(items, similarity)
     if anchors.count() <= BROADCAST_ROWS:
         anchors = F.broadcast(anchors)
     hits = said.select("doc_id", "text_hash", "words", F.posexplode("words").alias("p", "word")).join(anchors, "word")
     beside = lambda step, want: F.when((F.col("p") + step >= 0) & (F.col("p") + step < F.size("words")), F.get("words", F.col("p") + step)).eqNullSafe(F.col(want))
     hits = hits.where(beside(-1, "before") | beside(1, "after") | (F.col("w") < WIDTH))
-    begin = F.col("p") - F.col("at")
-    starts = F.sequence(F.greatest(begin - F.col("slack"), F.lit(0)), F.greatest(begin + F.col("slack"), F.lit(0)))
-    placed = hits.select("doc_id", "text_hash", "words", "w", F.explode(starts).alias("start")).where(F.col("start") < F.size("words"))
+    # The words that windows with the hit can hold: w - 1 on either side of it.
+    first = F.greatest(F.col("p") - F.col("w") + 1, F.lit(0))
+    near = hits.select("doc_id", "text_hash", "key", "w", "p", first.alias("first"), F.slice("words", first + 1, F.col("p") + F.col("w") - first).alias("near"))
+    near = near.join(items.select("key", "shingles"), "key").select("*", F.least("w", F.lit(WIDTH)).alias("width"), F.size("near").alias("size"))
+    of_item = F.filter(
+        F.sequence(F.lit(0), F.col("size") - 1),
+        lambda i: (i + F.col("width") <= F.col("size")) & F.array_contains(F.col("shingles"), F.concat_ws(" ", F.slice("near", i + 1, F.col("width")))),
+    )
+    enough = lambda n, m: (n + m) * similarity / (1 + similarity) - 1e-9
+    n = F.size("shingles")
+    near = near.select("*", of_item.alias("found")).where(F.size("found") >= enough(n, n * similarity))
+    placed = near.select("*", F.explode(F.sequence(F.lit(0), F.col("p") - F.col("first"))).alias("o"))
+    m = F.least("w", F.col("size") - F.col("o")) - F.col("width") + 1
+    shared = F.size(F.filter("found", lambda i: (i >= F.col("o")) & (i < F.col("o") + m)))
+    placed = placed.where((m > 0) & (shared >= enough(n, m)))
     return placed.select(
-        "doc_id", "text_hash", "start", "w", F.concat_ws(" ", F.slice("words", F.col("start") + 1, F.col("w"))).alias("win")
+        "doc_id", "text_hash", (F.col("first") + F.col("o")).alias("start"), "w", F.concat_ws(" ", F.slice("near", F.col("o") + 1, F.col("w"))).alias("win")
     ).distinct()
 
 
@@ -138,7 +157,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     either table may be empty. Items under five words are one shingle and match exactly.
     """
     items = checkpoint(_items(benchmark))
-    windows = checkpoint(_windows(docs, _anchors(items, similarity)))
+    windows = checkpoint(_windows(docs, items, similarity))
     said = windows.select("w", "win").distinct().select("w", "win", shingles_of(F.split("win", " ")).alias("said"))
     # Fingerprints are stored, else each block and filter below would work them out anew.
     left = _blocks(checkpoint(said.select("*", simhash_of(F.col("said")).alias("fp"))), radius)

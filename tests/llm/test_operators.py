@@ -154,6 +154,27 @@ def test_decontamination_against_all_windows(spark):
     assert left == set(texts) - {d for d, _ in want}
 
 
+def test_decontamination_finds_swapped_parts(spark):
+    items = {1: said(51, 60), 2: said(52, 80), 3: said(53, 200)}
+    a, b, c = (items[i].split() for i in items)
+    texts = {
+        1: " ".join([*said(61, 30).split(), *a[30:], *a[:30], *said(62, 30).split()]), 2: " ".join([*b[:10], *b[45:], *b[10:45]]),
+        3: " ".join([*said(63, 7).split(), *c[50:100], *c[:50], *c[150:], *c[100:150]]), 4: " ".join([*a[45:], *a[30:45], *a[15:30], *a[:15]]), 5: " ".join(a[::-1]),
+        6: " ".join([*a[34:], *a[:26]]), 7: " ".join(a[40:] + a[:40] + a[20:]),
+    }
+    want = {}
+    for d, text in texts.items():
+        words = text.split()
+        for i, item in items.items():
+            iw = item.split()
+            best = max((slow_jaccard(shingles(words[s : s + len(iw)]), shingles(iw)), -s) for s in range(len(words)))
+            if best[0] >= 0.8:
+                want[d, i] = round(best[0], 9), -best[1]
+    got = decontaminate.contaminated(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]): (round(r["similarity"], 9), r["window_start"]) for r in got.collect()} == want
+    assert {(1, 1), (2, 2), (3, 3), (7, 1)} <= set(want)
+
+
 # Toxicity and language.
 def test_toxicity_learns_and_holds_out(spark):
     r = np.random.default_rng(7)
