@@ -73,11 +73,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = words_counted(docs, "words-1")
     tokens = checkpoint(counted(docs, tokenizer_path(), "byte_bpe_50k-1"))
     rollup = Rollup(spark, f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}")
+    revised = F.col("lang").eqNullSafe("en") & ~F.col("source").eqNullSafe("src1")  # never null, so batches 3 and 4 cover all rows
     batches = [
         ("1", inserts(words)),
         ("2", deletes(words.where("source = 'src1'"))),
-        ("3", revisions(words.where("lang = 'en' AND source <> 'src1'"), tokens.where("lang = 'en' AND source <> 'src1'"))),
-        ("4", inserts(tokens.where("source = 'src1' OR lang IS NULL OR lang <> 'en'"))),
+        ("3", revisions(words.where(revised), tokens.where(revised))),
+        ("4", inserts(tokens.where(~revised))),
     ]
     for name, changes in [*batches, batches[1], batches[3]]:
         rollup.commit(name, changes)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from panelworks.llm import chat, components, decontaminate, langid, licenses, media, packing, pii, simhash, toxicity
+from panelworks.llm import chat, components, decontaminate, langid, licenses, media, packing, pii, queries, simhash, toxicity
 from panelworks.llm.queries import tokenizer_path
 from panelworks.llm.token_counts import Rollup, counted, deletes, inserts, words_counted
 
@@ -353,3 +353,16 @@ def test_rollup_is_additive_and_idempotent(spark, tmp_path):
     rollup.commit("3", inserts(counted(docs.where("doc_id = 1"), tokenizer_path(), "bpe")))
     got = {(r["source"], r["lang"], r["tokenizer"]): (r["docs"], r["tokens"], r["chars"]) for r in rollup.totals().collect()}
     assert got == {("s", "en", "words"): (1, 3, 5), (None, None, "words"): (1, 0, 0), ("s", "en", "bpe"): (1, 3, 5)}
+
+
+def test_token_counts_query_counts_every_row(spark, tmp_path):
+    rows = [(i, "Ein paar words, " * (i + 1), lang, source) for i, (lang, source) in enumerate((lang, source) for lang in ("en", "de", None) for source in ("src1", "src2", None))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    encode = packing.token_ids(tokenizer_path())
+    want = Counter()
+    for _, text, lang, source in rows:
+        want[source, lang, "byte_bpe_50k-1"] += len(encode(text)) // 2
+        if source != "src1" and lang != "en":
+            want[source, lang, "words-1"] += len(text.split())
+    got = {(r["source"], r["lang"], r["tokenizer"]): r["tokens"] for r in queries.op6_token_counts(spark, str(tmp_path)).collect()}
+    assert {k: n for k, n in got.items() if n} == want
