@@ -106,9 +106,8 @@ def isolation_forest(train: DataFrame, rows: DataFrame, columns: list[str], tree
     med = train.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in columns]).first().asDict()
     filled = lambda df: [F.coalesce(F.col(c).cast("double"), F.lit(float(med[c] or 0.0))).alias(c) for c in columns]
     n = max(1, train.count())
-    space = 1_000_000
-    share = int(min(space, sample * space / n))
-    picks = train.select("row_id", *filled(train)).select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).where(F.pmod(F.xxhash64("row_id", "tree"), F.lit(space)) < share)
+    below = min(1.0, sample / n) * 2.0**64 - 2.0**63  # of all 64 bits, so that no panel is too large for a share above 0
+    picks = train.select("row_id", *filled(train)).select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).where(F.xxhash64("row_id", "tree").cast("double") <= below)
 
     def grow(pdf):
         import json

@@ -211,3 +211,12 @@ def test_audit_log(spark, tmp_path):
         f.write('{"prompt": "q", "accepted": true}\nnot json\n')
     rows = {r["prompt"]: r for r in audit_log.read_audit_log(spark, path).collect()}
     assert set(rows) == {"p", None, "q"} and len(rows["p"]["prompt_sha256_16"]) == 16
+
+
+def test_isolation_forest_samples_tables_of_any_size(spark):
+    from panelworks.operators import simulate
+
+    # Less than one row in a million is picked for a tree.
+    train = spark.range(4_000_000).select(F.col("id").alias("row_id"), (F.col("id") % 101).cast("double").alias("a"))
+    raw = simulate.isolation_forest(train, train.limit(200), ["a"], trees=8, sample=3).select("raw").distinct().collect()
+    assert len(raw) > 1 and all(-1 < r["raw"] < 0 for r in raw)
