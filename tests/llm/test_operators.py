@@ -343,6 +343,73 @@ def test_licenses(spark):
     assert got == {1: ["MIT"], 2: ["BSD-2-Clause"], 3: ["BSD-3-Clause"], 4: [], 5: [], 6: [], 7: ["GPL-3.0-or-later"], 8: ["MIT", "Apache-2.0"], 9: ["MIT", "MIT"]}
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Some One. All rights reserved.
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+BSD = """Copyright (c) 2020, Example Inc.
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+ENDORSE = """
+3. Neither the name of Example Inc. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+
+
+@pytest.mark.parametrize("front", ["", " * ", "# ", "// ", "    ", "REM "])
+def test_wrapped_licenses(front):
+    gpl2 = GPL.replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2")
+    for text, want in ((MIT, ("MIT", 4)), (BSD, ("BSD-2-Clause", 4)), (BSD + ENDORSE, ("BSD-3-Clause", 5)), (APACHE, ("Apache-2.0", 3)), (GPL, ("GPL-3.0-or-later", 2)), (gpl2, ("GPL-2.0-or-later", 2))):
+        for form in (text, text.replace("\n", "\r\n"), "Some words come first here.\n\n" + text + "\nint main;\n"):
+            lines = "\n".join(front + line for line in form.split("\n"))
+            found, n = licenses.known_sentences(lines)
+            assert [(h["license"], len(h["sentences"])) for h in licenses.match_rules(found)] == [want], lines
+            assert n > found[-1][0]
+
+
 def test_rollup_is_additive_and_idempotent(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b c", "en", "s"), (2, "d e", "en", "s"), (3, None, None, None)], "doc_id long, text string, lang string, source string")
     rollup = Rollup(spark, f"file://{tmp_path}/rollup")
