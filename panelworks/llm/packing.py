@@ -29,8 +29,6 @@ WINDOW = 1024
 SHARD_DOCS = 1024
 #: and so many tokens, unless a single document is longer.
 SHARD_TOKENS = 4_000_000
-QUERY_TERMS = 24
-NEIGHBOURS = 16
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -117,25 +115,20 @@ class _Shard:
             terms.append(t)
             owners.append(np.full(len(t), i, np.int32))
             weights.append(w)
-            top = np.argpartition(w, -QUERY_TERMS)[-QUERY_TERMS:] if len(w) > QUERY_TERMS else np.arange(len(w))
-            self._queries.append(t[top])
+            self._queries.append(t)
         term = np.concatenate(terms)
         order = np.argsort(term, kind="stable")
         self._owner, self._weight = np.concatenate(owners)[order], np.concatenate(weights)[order]
         self._starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=1 << 16))])
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Unused documents that share a term with the seed, by score, ties by position."""
-        score = np.zeros(len(self.unused), np.float32)
-        for t in self._queries[seed]:
-            at = slice(self._starts[t], self._starts[int(t) + 1])
-            score[self._owner[at]] += self._weight[at]
-        score[~self.unused] = 0
-        if np.count_nonzero(score) > NEIGHBOURS:
-            best = np.argpartition(score, -NEIGHBOURS)[-NEIGHBOURS:]
-        else:
-            best = np.flatnonzero(score)
-        return best[np.lexsort((best, -score[best]))]
+        """All unused documents of the shard that share a term with the seed, by score, ties by position."""
+        at = [slice(self._starts[t], self._starts[t + 1]) for t in self._queries[seed].tolist()]
+        if not at:
+            return np.zeros(0, np.int64)
+        score = np.bincount(np.concatenate([self._owner[x] for x in at]), np.concatenate([self._weight[x] for x in at]), len(self.unused))
+        found = np.flatnonzero((score > 0) & self.unused)
+        return found[np.argsort(-score[found], kind="stable")]
 
 
 class _Packer:

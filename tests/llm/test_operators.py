@@ -264,6 +264,15 @@ def test_bm25_prefers_the_like():
     assert shard.neighbours(0).tolist() == [2]
 
 
+def test_bm25_uses_all_terms_and_returns_all_matches():
+    # 40 documents share one common term of a seed with 60 rarer ones of its own.
+    docs = [np.array([*range(1, 61), 99, 0], np.uint16), *[np.array([99, 100 + i, 0], np.uint16) for i in range(40)], np.array([500, 0], np.uint16)]
+    df = np.bincount(np.concatenate([np.unique(d[:-1]) for d in docs]), minlength=1 << 16)
+    shard = packing._Shard(docs, np.log1p((42 - df + 0.5) / (df + 0.5)).astype(np.float32), 5.0)
+    shard.unused[[0, 7]] = False
+    assert shard.neighbours(0).tolist() == [i for i in range(1, 41) if i != 7]
+
+
 # Media.
 def test_media_round_trip(spark):
     long = said(41, 9000)
