@@ -5,11 +5,12 @@
    so all mentions of one entity share a surrogate.
 2. A surrogate is drawn from HMAC-SHA256(key, type, canonical value, attempt) and takes the mention's
    form: digits for digits and letters for letters of the same case and script, separators in place,
-   a given name of the same gender. Mail goes to example.com and addresses lie in 10.0.0.0/8, so no one
+   a given name of the same gender, which the title tells or else the given name; one gender for all
+   mentions of a name in the corpus. Mail goes to example.com and addresses lie in 10.0.0.0/8, so no one
    is reached by a surrogate.
 3. Collision checks: the distinct entities of all documents are grouped by surrogate. Of those that
    share one, or whose surrogate is itself an entity of the corpus, all but the first draw again,
-   until none is left. Only what drew again is handed to the rewriting pass.
+   until none is left. Only what drew again, or is said with different genders, is handed to the rewriting pass.
 """
 
 from __future__ import annotations
@@ -36,9 +37,17 @@ GIVEN = {
     ("male", "LATIN"): "Adam Alan Bruno Carl Carlos David Diego Emil Erik Felix Hugo Ivan James John Jonas Juan Karl Louis Luis Marc Oscar Paul Peter Simon Victor".split(),
     ("female", "CYRILLIC"): "Анна Вера Галина Дарья Елена Ирина Мария Наталья Ольга Светлана".split(),
     ("male", "CYRILLIC"): "Алексей Борис Виктор Дмитрий Иван Михаил Николай Олег Павел Сергей".split(),
+    ("female", "GREEK"): "Άννα Βασιλική Γεωργία Δήμητρα Ειρήνη Ελένη Ιωάννα Κατερίνα Μαρία Σοφία".split(),
+    ("male", "GREEK"): "Αλέξανδρος Ανδρέας Γιάννης Γιώργος Δημήτρης Κώστας Νίκος Πέτρος Σπύρος Χρήστος".split(),
+}
+#: Ends of drawn names by gender and script, for a lone name that is in no list.
+ENDS = {
+    ("female", "LATIN"): "a ia ina ella".split(), ("male", "LATIN"): "o us er on".split(),
+    ("female", "CYRILLIC"): "ова ина ева".split(), ("male", "CYRILLIC"): "ов ин ев".split(),
+    ("female", "GREEK"): "α η ου".split(), ("male", "GREEK"): "ος ης ας".split(),
 }
 TITLES = {"Mr": "male", "Mrs": "female", "Ms": "female", "Herr": "male", "Frau": "female", "Monsieur": "male", "Madame": "female", "Señor": "male", "Señora": "female", "Dr": None}
-_GENDER = {name: gender for (gender, _), names in GIVEN.items() for name in names}
+_GENDER = {name.casefold(): gender for (gender, _), names in GIVEN.items() for name in names}
 
 # Two-digit calling codes; 1 and 7 have one digit and all others three.
 _CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
@@ -70,7 +79,7 @@ _ENTITY = re.compile(
     r"|(?P<card>(?<![\w.-])\d{4}(?P<sep>[ -]?)\d{4}(?P=sep)\d{4}(?P=sep)\d{4}(?![\w-]*\d))"
     r"|(?P<ipv4>(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\w))"
     r"|(?P<token>(?<![A-Za-z0-9])(?=[A-Fa-f]*\d)(?=\d*[A-Fa-f])[A-Fa-f0-9]{32,64}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9]))"
-    rf"|(?P<person>\b(?:{_TITLE}\.?[ ])+(?P<name>{_NAME}))"
+    rf"|(?P<person>\b(?P<titles>(?:{_TITLE}\.?[ ])+)(?P<name>{_NAME}))"
 )
 #: No entity is without one of these; most texts have none and are left after one quick look.
 _HINT = re.compile("[0-9@]")
@@ -79,20 +88,27 @@ KINDS = ("email", "phone", "ssn", "card", "ipv4", "token", "person")
 
 def find(text: str | None) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, kind, canonical value) of the entities in order; none overlap."""
+    return (found[:4] for found in _find(text))
+
+
+def _find(text: str | None) -> Iterator[tuple[int, int, str, str, str | None]]:
+    """As :func:`find`, with the gender that a person's mention tells."""
     if not text or not (_HINT.search(text) or any(t in text for t in TITLES)):
         return
     for m in _ENTITY.finditer(text):
         kind = next(k for k in KINDS if m[k] is not None)
         if kind == "person":
-            yield m.start("name"), m.end("name"), kind, m["name"].casefold()
+            value = m["name"].casefold()
+            told = [TITLES[t] for t in re.findall(r"\w+", m["titles"]) if TITLES[t]]
+            yield m.start("name"), m.end("name"), kind, value, told[0] if told else _GENDER.get(re.split("[ -]", value)[0])
         elif kind in ("email", "token"):
-            yield m.start(), m.end(), kind, m[0].casefold()
+            yield m.start(), m.end(), kind, m[0].casefold(), None
         elif kind == "ipv4":
-            yield m.start(), m.end(), kind, ".".join(str(int(x)) for x in m[0].split("."))
+            yield m.start(), m.end(), kind, ".".join(str(int(x)) for x in m[0].split(".")), None
         else:
             # The plus sign tells +45 12 34 56 78 from (451) 234-5678; a trunk zero in brackets is no part of the number.
             plus = "+" if m[0][0] == "+" else ""
-            yield m.start(), m.end(), kind, plus + re.sub(r"\D", "", m[0].replace("(0)", "") if plus else m[0])
+            yield m.start(), m.end(), kind, plus + re.sub(r"\D", "", m[0].replace("(0)", "") if plus else m[0]), None
 
 
 class Stream:
@@ -125,11 +141,24 @@ def _letters(like: str, draw: Stream) -> str:
     return "".join(out)
 
 
-def _syllables(draw: Stream, script: str, n: int) -> str:
-    onsets, vowels = {"CYRILLIC": ("бвгдзклмнпрст", "аеиоу")}.get(script, ("bdfgklmnprstvz", "aeiou"))
+_SOUNDS = {"LATIN": ("bdfgklmnprstvz", "aeiou"), "CYRILLIC": ("бвгдзклмнпрст", "аеиоу"), "GREEK": ("βγδζκλμνπρστ", "αειου")}
+
+
+def _syllables(draw: Stream, script: str, n: int, like: str) -> str:
+    """n syllables of the script; of scripts without a list, of the letters beside ``like``."""
+    if script not in _SOUNDS:
+        beside = map(chr, range(max(0, ord(like) - 40), ord(like) + 41))
+        letters = "".join(c for c in beside if c.isalpha() and c == c.casefold() and unicodedata.name(c, "").split(" ")[0] == script) or like
+        return "".join(letters[draw.below(len(letters))] for _ in range(2 * n))
+    onsets, vowels = _SOUNDS[script]
     return "".join(onsets[draw.below(len(onsets))] + vowels[draw.below(len(vowels))] for _ in range(n))
 
 
+def _told(value: str, gender: str | None) -> str:
+    """The value as :func:`surrogate_value` takes it, with the gender of a person in front."""
+    return f"{gender}\t{value}" if gender else value
+
+
 def surrogate_value(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
     """The canonical surrogate of a canonical value."""
     draw = Stream(key, kind, value, attempt)
@@ -139,13 +168,25 @@ def surrogate_value(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
     if kind == "ipv4":
         return "10." + ".".join(str(draw.below(256)) for _ in range(3))
     if kind == "person":
-        script = unicodedata.name(value[0], "LATIN").split()[0]
-        script = script if ("male", script) in GIVEN else "LATIN"
+        told, _, value = value.rpartition("\t")
         words = re.split("[ -]", value)
-        gender = _GENDER.get(words[0].capitalize())
-        pool = GIVEN[gender, script] if gender else None
-        given = pool[draw.below(len(pool))].casefold() if pool else _syllables(draw, script, 3)
-        return " ".join([given, *(w if w in PARTICLES else _syllables(draw, script, 5) for w in words[1:])])
+        names = [i for i, w in enumerate(words) if w not in PARTICLES]
+        gender = told or _GENDER.get(words[names[0]])
+        out = []
+        for i, w in enumerate(words):
+            script = unicodedata.name(w[0], "LATIN").split()[0]
+            end, pool = ENDS.get((gender, script), [""]), GIVEN.get((gender, script))
+            if w in PARTICLES:
+                out.append(w)
+            elif i == names[0] and pool and (w in _GENDER or len(names) > 1):
+                # A lone given name grows when it is drawn again, so names never run out.
+                more = _syllables(draw, script, attempt + 2, w[0]) if attempt and len(names) == 1 else ""
+                out.append(pool[draw.below(len(pool))].casefold() + more)
+            elif i == names[0]:
+                out.append(_syllables(draw, script, 3 + attempt, w[0]) + end[draw.below(len(end))])
+            else:
+                out.append(_syllables(draw, script, 5, w[0]) + (end[draw.below(len(end))] if script != "LATIN" else ""))
+        return " ".join(out)
     if kind == "token":
         return "".join("0123456789abcdef"[draw.below(16)] if c in "0123456789abcdef" else _letters(c, draw) for c in value)
     if kind == "phone":
@@ -164,7 +205,7 @@ def formed(kind: str, mention: str, new: str) -> str:
         trunk = "(0)" if new.startswith("+") else "^"
         return trunk.join("".join(next(digits) if ch.isdigit() else ch for ch in part) for part in mention.split(trunk))
     if kind == "person":
-        words = [w if w in PARTICLES else w.capitalize() for w in new.split(" ")]
+        words = [w if w in PARTICLES else w.upper().capitalize() for w in new.split(" ")]  # upper first, for final sigmas
         if mention.isupper():
             words = [w.upper() for w in words]
         return ("-" if "-" in mention and " " not in mention else " ").join(words)
@@ -174,8 +215,8 @@ def formed(kind: str, mention: str, new: str) -> str:
 def rewrite(text: str | None, key: bytes, redrawn: Callable[[str, str], str | None]) -> tuple[str | None, list[dict]]:
     """The text with surrogates, and (kind, start, end, surrogate) of each in the new text."""
     out, at, size, spans = [], 0, 0, []
-    for start, end, kind, value in find(text):
-        new = formed(kind, text[start:end], redrawn(kind, value) or surrogate_value(kind, value, key))
+    for start, end, kind, value, gender in _find(text):
+        new = formed(kind, text[start:end], redrawn(kind, value) or surrogate_value(kind, _told(value, gender), key))
         size += start - at
         out += [text[at:start], new]
         spans.append({"kind": kind, "start": size, "end": size + len(new), "surrogate": new})
@@ -183,40 +224,37 @@ def rewrite(text: str | None, key: bytes, redrawn: Callable[[str, str], str | No
     return ("".join([*out, text[at:]]), spans) if spans else (text, [])
 
 
-def _entities(key: bytes):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen = sorted({(kind, value) for text in batch.column(0).to_pylist() for _, _, kind, value in find(text)})
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in seen], pa.string()), pa.array([v for _, v in seen], pa.string()),
-                 pa.array([surrogate_value(k, v, key) for k, v in seen], pa.string())],
-                names=["kind", "value", "new"],
-            )
-
-    return run
+def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        seen = {x[2:] for text in batch.column(0).to_pylist() for x in _find(text)}
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in seen], pa.string()) for i in range(3)], names=["kind", "value", "gender"])
 
 
-def _redraw(key: bytes, attempt: int):
+def _draw(key: bytes, attempt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, values = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([surrogate_value(k, v, key, attempt) for k, v in zip(kinds, values)], pa.string())],
-                names=["kind", "value", "new"],
-            )
+            rows = zip(*(c.to_pylist() for c in batch.columns[:3]))
+            new = [surrogate_value(k, _told(v, g), key, attempt) for k, v, g in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], names=[*_DRAWN])
 
     return run
 
 
+_DRAWN = {"kind": "string", "value": "string", "gender": "string", "mixed": "boolean", "new": "string"}
+
+
 def redrawn_surrogates(docs: DataFrame, key: bytes) -> DataFrame:
-    """(kind, value, new) of the entities whose first surrogate was taken.
+    """(kind, value, new) of the entities whose first surrogate was taken or whose mentions tell different genders.
 
     A surrogate is taken if an entity with a smaller value drew it too, if an entity settled on it
     before, or if it is itself the value of an entity.
     """
-    entities = checkpoint(docs.select("text").mapInArrow(_entities(key), "kind string, value string, new string").distinct())
+    schema = ", ".join(map(" ".join, _DRAWN.items()))
+    said = docs.select("text").mapInArrow(_entities, "kind string, value string, gender string").distinct()
+    said = said.groupBy("kind", "value").agg(F.min("gender").alias("gender"), (F.count("*") > 1).alias("mixed"))
+    entities = checkpoint(said.mapInArrow(_draw(key, 0), schema))
     values = entities.select("kind", F.col("value").alias("new"))
-    settled, open_, redrawn = None, entities, entities.limit(0)
+    settled, open_, redrawn = None, entities, None
     for attempt in range(1, ATTEMPTS + 1):
         first = open_.groupBy("kind", "new").agg(F.min("value").alias("value"))
         free = first.join(values, ["kind", "new"], "left_anti")
@@ -225,10 +263,10 @@ def redrawn_surrogates(docs: DataFrame, key: bytes) -> DataFrame:
         free = checkpoint(free.select("kind", "value", "new"))
         lost = checkpoint(open_.join(free, ["kind", "value"], "left_anti"))
         settled = free if settled is None else settled.unionByName(free)
-        redrawn = redrawn if attempt == 1 else redrawn.unionByName(free)
+        redrawn = free.join(entities.where("mixed").select("kind", "value"), ["kind", "value"], "left_semi") if attempt == 1 else redrawn.unionByName(free)
         if not lost.limit(1).count():
             return redrawn
-        open_ = checkpoint(lost.select("kind", "value").mapInArrow(_redraw(key, attempt), "kind string, value string, new string"))
+        open_ = checkpoint(lost.select("kind", "value", "gender", "mixed").mapInArrow(_draw(key, attempt), schema))
     raise ValueError("too few surrogates of a kind for the entities of the corpus")
 
 

@@ -339,6 +339,21 @@ def test_pii_finds_names_and_phones_in_any_form():
     assert name.split()[1:3] == ["de", "la"] and "Cruz" not in new
 
 
+def test_pii_keeps_genders_and_never_runs_out_of_names(spark):
+    given = [n for (g, script), names in pii.GIVEN.items() if script == "LATIN" for n in names]
+    texts = {i: f"{'Mr' if n in pii.GIVEN['male', 'LATIN'] else 'Mrs'} {n}." for i, n in enumerate(given)}
+    texts |= {100: "Mrs Robin Smith", 101: "Mr Robin Jones", 102: "Dr Robin Smith", 103: "Frau Schmidt", 104: "Herr Иванов", 105: "Frau Елизавета Иванова", 106: "Mr Σταύρος Παππάς"}
+    rows = {r["doc_id"]: [p["surrogate"] for p in r["pii"]] for r in pii.replace_pii(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), b"k").collect()}
+    new = [rows[i][0] for i in range(len(given))]
+    assert len(set(new)) == len(given) and not set(new) & set(given)
+    for n, x in zip(given, new):
+        assert any(x.startswith(g) for g in pii.GIVEN["male" if n in pii.GIVEN["male", "LATIN"] else "female", "LATIN"])
+    first = {i: rows[i][0].split()[0] for i in range(100, 107)}
+    assert first[100] in pii.GIVEN["female", "LATIN"] and first[101] in pii.GIVEN["male", "LATIN"] and rows[100] == rows[102]
+    assert first[103].endswith("a") and first[104].endswith(tuple(pii.ENDS["male", "CYRILLIC"]))
+    assert first[105] in pii.GIVEN["female", "CYRILLIC"] and first[106] in pii.GIVEN["male", "GREEK"]
+
+
 # Licences and token counts.
 def test_licenses(spark):
     s = licenses.SENTENCES
