@@ -31,9 +31,10 @@ def feature_columns(df: DataFrame, drop: list[str] = LEAKS + IDENTIFIERS) -> lis
 def pooled(df: DataFrame, columns: list[str], least: int = LEAST_LEVEL) -> DataFrame:
     """Levels of fewer than ``least`` rows become ``(rare)``; nulls the most frequent level."""
     for c in columns:
-        levels = [r[0] for r in df.where(F.col(c).isNotNull()).groupBy(c).count().where(F.col("count") >= least).orderBy(F.desc("count"), c).limit(1000).collect()]
-        mode = levels[0] if levels else "(rare)"
-        df = df.withColumn(c, F.when(F.col(c).isNull(), mode).when(F.col(c).isin(levels), F.col(c)).otherwise("(rare)"))
+        levels = df.where(F.col(c).isNotNull()).groupBy(c).count().where(F.col("count") >= least)
+        top = levels.orderBy(F.desc("count"), c).first()
+        df = df.join(levels.select(F.col(c).alias("_level")), F.col(c) == F.col("_level"), "left")
+        df = df.withColumn(c, F.when(F.col(c).isNull(), top[0] if top else "(rare)").when(F.col("_level").isNotNull(), F.col(c)).otherwise("(rare)")).drop("_level")
     return df
 
 

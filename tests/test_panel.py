@@ -220,3 +220,11 @@ def test_isolation_forest_samples_tables_of_any_size(spark):
     train = spark.range(4_000_000).select(F.col("id").alias("row_id"), (F.col("id") % 101).cast("double").alias("a"))
     raw = simulate.isolation_forest(train, train.limit(200), ["a"], trees=8, sample=3).select("raw").distinct().collect()
     assert len(raw) > 1 and all(-1 < r["raw"] < 0 for r in raw)
+
+
+def test_pooled_keeps_every_level_of_enough_rows(spark):
+    from panelworks.operators import models
+
+    df = spark.range(3003).select(F.when(F.col("id") < 3000, F.concat(F.lit("l"), F.col("id") % 1500)).when(F.col("id") < 3002, F.lit(None)).otherwise("rare").alias("c"))
+    got = {r["c"]: r["count"] for r in models.pooled(df, ["c"], least=2).groupBy("c").count().collect()}
+    assert len(got) == 1501 and got["(rare)"] == 1 and got["l0"] == 4 and got["l1499"] == 2
