@@ -11,7 +11,9 @@ have a weighted Jaccard similarity of 0.8 or more.
    which it holds the anchor word; of these stay the ones with as many shingles of the item as t needs.
 2. SimHash. Each distinct window and each item gets a 64-bit SimHash of its shingles.
 3. Multi-index Hamming. The 64 bits are cut into radius + 1 blocks; two fingerprints within the
-   radius agree in one block at least, so joins on (window size, block, value) find all of them.
+   radius agree in one block at least, so joins on (item key, block, value) find all of them. The
+   key is that of the item whose anchors placed the window, so a window meets the items it may hold
+   and no others, however many items there are.
 4. Exact weighted-shingle similarity decides.
 """
 
@@ -20,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelworks.llm.names import unused
 from panelworks.session import checkpoint
 
 WIDTH = 5
@@ -63,7 +66,7 @@ def weighted_jaccard(a: Column, b: Column) -> Column:
 
 def _items(benchmark: DataFrame) -> DataFrame:
     items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
-    return items.select("*", F.size("words").alias("w"), shingles_of(F.col("words")).alias("shingles"))
+    return items.select("*", F.size("words").alias("w"), shingles_of(F.col("words")).alias("shingles"), F.xxhash64("words").alias("key"))
 
 
 def _anchors(items: DataFrame, similarity: float) -> DataFrame:
@@ -99,20 +102,33 @@ def _anchors(items: DataFrame, similarity: float) -> DataFrame:
     ).distinct()
 
 
+def _hits(said: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, words, p, key, w): where an anchor with one of its neighbours stands in a document.
+
+    Beyond BROADCAST_ROWS anchors the words are joined without the document, which is fetched for the hits.
+    """
+    few = anchors.count() <= BROADCAST_ROWS
+    at = lambda p: F.when((p >= 0) & (p < F.size("words")), F.get("words", p))
+    words = said.select("doc_id", "text_hash", "words", F.posexplode("words").alias("p", "word"))
+    words = words.select("doc_id", "text_hash", *(["words"] if few else []), "p", "word", at(F.col("p") - 1).alias("left"), at(F.col("p") + 1).alias("right"))
+    hits = words.join(F.broadcast(anchors) if few else anchors, "word")
+    hits = hits.where(F.col("left").eqNullSafe(F.col("before")) | F.col("right").eqNullSafe(F.col("after")) | (F.col("w") < WIDTH)).drop("left", "right", "before", "after", "word")
+    if few:
+        return hits
+    hits = hits.distinct().select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "p", "key", "w")
+    said = said.dropDuplicates(["doc_id", "text_hash"])
+    return said.join(hits, said["doc_id"].eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).drop("d", "h")
+
+
 def _windows(docs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
-    """(doc_id, text_hash, start, w, win): item-sized windows, cut at the document's end.
+    """(doc_id, text_hash, start, key, w, win): item-sized windows, cut at the document's end.
 
     Of bags of n and m shingles with similarity t, t (n + m) / (1 + t) are shared. A window in which fewer
     positions hold a shingle of the item is left out, which loses none.
     """
     said = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
-    items = items.select("words", "w", "shingles", F.xxhash64("words").alias("key")).dropDuplicates(["words"])
-    anchors = _anchors(items, similarity)
-    if anchors.count() <= BROADCAST_ROWS:
-        anchors = F.broadcast(anchors)
-    hits = said.select("doc_id", "text_hash", "words", F.posexplode("words").alias("p", "word")).join(anchors, "word")
-    beside = lambda step, want: F.when((F.col("p") + step >= 0) & (F.col("p") + step < F.size("words")), F.get("words", F.col("p") + step)).eqNullSafe(F.col(want))
-    hits = hits.where(beside(-1, "before") | beside(1, "after") | (F.col("w") < WIDTH))
+    items = items.select("words", "w", "shingles", "key").dropDuplicates(["words"])
+    hits = _hits(said, _anchors(items, similarity))
     # The words that windows with the hit can hold: w - 1 on either side of it.
     first = F.greatest(F.col("p") - F.col("w") + 1, F.lit(0))
     near = hits.select("doc_id", "text_hash", "key", "w", "p", first.alias("first"), F.slice("words", first + 1, F.col("p") + F.col("w") - first).alias("near"))
@@ -129,7 +145,7 @@ def _windows(docs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
     shared = F.size(F.filter("found", lambda i: (i >= F.col("o")) & (i < F.col("o") + m)))
     placed = placed.where((m > 0) & (shared >= enough(n, m)))
     return placed.select(
-        "doc_id", "text_hash", (F.col("first") + F.col("o")).alias("start"), "w", F.concat_ws(" ", F.slice("near", F.col("o") + 1, F.col("w"))).alias("win")
+        "doc_id", "text_hash", (F.col("first") + F.col("o")).alias("start"), "key", "w", F.concat_ws(" ", F.slice("near", F.col("o") + 1, F.col("w"))).alias("win")
     ).distinct()
 
 
@@ -158,13 +174,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     """
     items = checkpoint(_items(benchmark))
     windows = checkpoint(_windows(docs, items, similarity))
-    said = windows.select("w", "win").distinct().select("w", "win", shingles_of(F.split("win", " ")).alias("said"))
+    said = windows.select("key", "w", "win").distinct().select("key", "w", "win", shingles_of(F.split("win", " ")).alias("said"))
     # Fingerprints are stored, else each block and filter below would work them out anew.
     left = _blocks(checkpoint(said.select("*", simhash_of(F.col("said")).alias("fp"))), radius)
-    right = _blocks(checkpoint(items.select("item_id", "w", "shingles", simhash_of(F.col("shingles")).alias("fp"))), radius)
+    right = _blocks(checkpoint(items.select("item_id", "key", "w", "shingles", simhash_of(F.col("shingles")).alias("fp"))), radius)
     pairs = (
         left.withColumnRenamed("fp", "win_fp")
-        .join(right, ["w", "block", "value"])
+        .join(right, ["key", "w", "block", "value"])
         .where(F.bit_count(F.col("win_fp").bitwiseXOR(F.col("fp"))) <= radius)
     )
     # A pair that agrees in several blocks is scored at the first of them.
@@ -172,11 +188,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     agree = [F.when(_bits(apart, *cut) == 0, i) for i, cut in enumerate(_cuts(radius))]
     pairs = pairs.where(F.col("block") == F.coalesce(*agree))
     scored = checkpoint(
-        pairs.select("w", "win", "item_id", weighted_jaccard(F.col("said"), F.col("shingles")).alias("similarity"))
+        pairs.select("key", "w", "win", "item_id", weighted_jaccard(F.col("said"), F.col("shingles")).alias("similarity"))
         .where(F.col("similarity") >= similarity - 1e-12)
     )
     return (
-        windows.join(scored, ["w", "win"])
+        windows.join(scored, ["key", "w", "win"])
         .groupBy("doc_id", "text_hash", "item_id")
         .agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
         .select("doc_id", "text_hash", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).cast("long").alias("window_start"))
@@ -185,6 +201,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item. All other rows and columns stay."""
-    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("_leak_id"), F.col("text_hash").alias("_leak_hash")).distinct()
-    here = F.col("doc_id").eqNullSafe(F.col("_leak_id")) & (F.xxhash64("text") == F.col("_leak_hash"))
+    leak_id, leak_hash = unused(docs, "_leak_id", "_leak_hash")
+    found = contaminated(docs, benchmark).select(F.col("doc_id").alias(leak_id), F.col("text_hash").alias(leak_hash)).distinct()
+    here = docs["doc_id"].eqNullSafe(F.col(leak_id)) & (F.xxhash64(docs["text"]) == F.col(leak_hash))
     return docs.join(found, here, "left_anti")

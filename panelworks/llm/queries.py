@@ -49,7 +49,7 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"),
     )
     turns = turns.unionByName(probe).select("conv_id", "turn", "role", text_part(F.col("text")).alias("parts"))
-    return conversation_digests(format_turns(turns)).drop("media_tokens")
+    return conversation_digests(format_turns(turns))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,26 +104,25 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_chat": op1_chat, "op2_pii": op2_pii, "op5_licenses": op5_licenses, "op6_token_counts": op6_token_counts, "op7_media": op7_media, "op4_toxicity": op4_toxicity, "op8_packing": op8_packing, "op9_language": op9_language, "op3_simhash": op3_simhash, "op10_decontaminate": op10_decontaminate}
 
-#: Every window of a document as long as the item, compared in full.
+#: Every window of a document as long as the item, compared in full; items under five words are one shingle.
 OP10_SQL = r"""
 WITH doc_words AS (
   SELECT doc_id, text, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS ws FROM documents),
 d AS (SELECT DISTINCT doc_id, hash(text) AS th, ws FROM doc_words WHERE ws <> ['']),
 item_words AS (
   SELECT item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS ws FROM benchmark),
-i AS (SELECT item_id, ws, len(ws) AS w, greatest(len(ws) - 4, 1) AS n FROM item_words WHERE ws <> ['']),
-ish AS (SELECT item_id, array_to_string(ws[p:p+4], ' ') AS s, count(*) AS c
-        FROM (SELECT item_id, ws, unnest(range(1, n + 1)) AS p FROM i) GROUP BY ALL),
-dsh AS (SELECT doc_id, th, p, array_to_string(ws[p:p+4], ' ') AS s
-        FROM (SELECT doc_id, th, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS p FROM d)),
-pair AS (SELECT DISTINCT doc_id, th, item_id FROM dsh JOIN ish USING (s)),
-win AS (SELECT p.doc_id, p.th, p.item_id, i.n, unnest(range(1, len(d.ws) + 1)) AS start, i.w, len(d.ws) AS nd
+i AS (SELECT item_id, ws, len(ws) AS w, least(len(ws), 5) AS k, greatest(len(ws) - 4, 1) AS n FROM item_words WHERE ws <> ['']),
+ish AS (SELECT item_id, k, array_to_string(ws[p:p+k-1], ' ') AS s, count(*) AS c
+        FROM (SELECT item_id, ws, k, unnest(range(1, n + 1)) AS p FROM i) GROUP BY ALL),
+dsh AS (SELECT doc_id, th, p, k, array_to_string(ws[p:p+k-1], ' ') AS s
+        FROM (SELECT doc_id, th, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM i) WHERE len(ws) >= k)),
+pair AS (SELECT DISTINCT doc_id, th, item_id FROM dsh JOIN ish USING (k, s)),
+win AS (SELECT p.doc_id, p.th, p.item_id, i.n, i.k, unnest(range(1, len(d.ws) + 1)) AS start, i.w, len(d.ws) AS nd
         FROM pair p JOIN d ON d.doc_id = p.doc_id AND d.th = p.th JOIN i ON i.item_id = p.item_id),
 sized AS (SELECT *, least(w, nd - start + 1) AS nw FROM win),
-have AS (SELECT z.doc_id, z.th, z.item_id, z.start, z.n, greatest(z.nw - 4, 1) AS m, x.s, count(*) AS cw
-         FROM sized z JOIN dsh x ON x.doc_id = z.doc_id AND x.th = z.th
-              AND x.p BETWEEN z.start AND z.start + greatest(z.nw - 4, 1) - 1
-         WHERE z.nw >= 5 GROUP BY ALL),
+have AS (SELECT z.doc_id, z.th, z.item_id, z.start, z.n, z.nw - z.k + 1 AS m, x.s, count(*) AS cw
+         FROM sized z JOIN dsh x ON x.doc_id = z.doc_id AND x.th = z.th AND x.k = z.k AND x.p BETWEEN z.start AND z.start + z.nw - z.k
+         WHERE z.nw >= z.k GROUP BY ALL),
 score AS (SELECT h.doc_id, h.th, h.item_id, h.start, h.n, h.m, sum(least(h.cw, ish.c)) AS shared
           FROM have h JOIN ish ON ish.item_id = h.item_id AND ish.s = h.s GROUP BY ALL),
 sim AS (SELECT doc_id, th, item_id, start, shared * 1.0 / (n + m - shared) AS j FROM score)
@@ -147,7 +146,8 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, r0 NULLS FIRST, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, r0 NULLS FIRST, text), '')) AS loss_sha256,
-  CAST(sum(length(role) + length(text) + 24 + marks + length(text) - length(replace(text, chr(92), '')) + length(role) - length(replace(role, chr(92), ''))) AS BIGINT) AS formatted_chars
+  CAST(sum(length(role) + length(text) + 24 + marks + length(text) - length(replace(text, chr(92), '')) + length(role) - length(replace(role, chr(92), ''))) AS BIGINT) AS formatted_chars,
+  CAST(0 AS BIGINT) AS media_tokens
 FROM u JOIN e USING (k) GROUP BY conv_id
 """
 
