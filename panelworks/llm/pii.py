@@ -1,8 +1,10 @@
 """PII surrogates: keyed replacements of the same type and form, distinct and coreferent.
 
 1. Detection finds e-mail addresses, telephone, card and IPv4 numbers, secret tokens and titled person
-   names in whole texts. What is compared is the canonical value (letter case and separators aside),
-   so all mentions of one entity share a surrogate.
+   names in whole texts. Within a text a person is carried on: an untitled repeat of the name, and its
+   family or given name alone (with a title or without), are mentions of the same person and receive
+   the same part of the surrogate. What is compared is the canonical value (letter case and separators
+   aside), so all mentions of one entity share a surrogate.
 2. A surrogate is drawn from HMAC-SHA256(key, type, canonical value, attempt) and takes the mention's
    form: digits for digits and letters for letters of the same case and script, separators in place,
    a given name of the same gender, which the title tells or else the given name; one gender for all
@@ -19,12 +21,16 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
 
+from panelworks.llm.names import unused
 from panelworks.session import checkpoint
 
 #: Redrawn surrogates are broadcast up to this many rows (some 100 bytes each), else joined.
@@ -81,34 +87,117 @@ _ENTITY = re.compile(
     r"|(?P<token>(?<![A-Za-z0-9])(?=[A-Fa-f]*\d)(?=\d*[A-Fa-f])[A-Fa-f0-9]{32,64}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9]))"
     rf"|(?P<person>\b(?P<titles>(?:{_TITLE}\.?[ ])+)(?P<name>{_NAME}))"
 )
-#: No entity is without one of these; most texts have none and are left after one quick look.
-_HINT = re.compile("[0-9@]")
+#: No entity but a person is without one of these; most texts have none and are left after one quick look.
+_HINT = re.compile("[0-9@]|AKIA|ASIA")
 KINDS = ("email", "phone", "ssn", "card", "ipv4", "token", "person")
+_CAPITAL = re.compile(rf"(?<!\w){_UP}\w*")
+_INITIAL = re.compile(rf"{_UP}\.", re.I)
 
 
-def find(text: str | None) -> Iterator[tuple[int, int, str, str]]:
-    """(start, end, kind, canonical value) of the entities in order; none overlap."""
-    return (found[:4] for found in _find(text))
+@dataclass(frozen=True)
+class Mention:
+    """An entity's place in a text, its canonical value, a person's gender, and which words of the name are said."""
 
+    start: int
+    end: int
+    kind: str
+    value: str
+    gender: str | None = None
+    words: tuple[int, int] | None = None
 
-def _find(text: str | None) -> Iterator[tuple[int, int, str, str, str | None]]:
-    """As :func:`find`, with the gender that a person's mention tells."""
+
+def find(text: str | None) -> list[Mention]:
+    """The entities of a text in order; none overlap."""
     if not text or not (_HINT.search(text) or any(t in text for t in TITLES)):
-        return
+        return []
+    out, named = [], []
     for m in _ENTITY.finditer(text):
         kind = next(k for k in KINDS if m[k] is not None)
         if kind == "person":
-            value = m["name"].casefold()
             told = [TITLES[t] for t in re.findall(r"\w+", m["titles"]) if TITLES[t]]
-            yield m.start("name"), m.end("name"), kind, value, told[0] if told else _GENDER.get(re.split("[ -]", value)[0])
+            named.append((m.start("name"), m.end("name"), m["name"], told[0] if told else None))
         elif kind in ("email", "token"):
-            yield m.start(), m.end(), kind, m[0].casefold(), None
+            out.append(Mention(m.start(), m.end(), kind, m[0].casefold()))
         elif kind == "ipv4":
-            yield m.start(), m.end(), kind, ".".join(str(int(x)) for x in m[0].split(".")), None
+            out.append(Mention(m.start(), m.end(), kind, ".".join(str(int(x)) for x in m[0].split("."))))
         else:
             # The plus sign tells +45 12 34 56 78 from (451) 234-5678; a trunk zero in brackets is no part of the number.
             plus = "+" if m[0][0] == "+" else ""
-            yield m.start(), m.end(), kind, plus + re.sub(r"\D", "", m[0].replace("(0)", "") if plus else m[0]), None
+            out.append(Mention(m.start(), m.end(), kind, plus + re.sub(r"\D", "", m[0].replace("(0)", "") if plus else m[0])))
+    if named:
+        out = sorted(out + _persons(text, named, out), key=lambda x: x.start)
+    return out
+
+
+def _words(name: str) -> list[str]:
+    return re.split("[ -]", name)
+
+
+def _persons(text: str, named: list[tuple], others: list[Mention]) -> list[Mention]:
+    """Mentions of the persons of a text, titled or not.
+
+    ``named`` has (start, end, name, gender told by the title). A name of one word is a mention of the person
+    of more words who has it as family or given name, unless the genders told differ; of several such persons
+    the one named last before it, else the first. A word of two letters or more that begins a sentence and is
+    also somebody's name is taken for the name.
+    """
+    genders: dict[str, str | None] = {}
+    parts: dict[str, list[tuple[int, str, tuple[int, int] | None]]] = {}  # name in lower case -> (place, person, its words)
+    forms: dict[str, set[str]] = {}  # first capitalised word -> names as they are written
+    full = [x for x in named if " " in x[2]]
+    for start, _, name, told in full + [x for x in named if " " not in x[2]]:
+        value = name.casefold()
+        pieces = [(name, None)]
+        if " " in name:
+            first, last = name[: name.index(" ")], name[name.rindex(" ") + 1 :]
+            n = len(_words(name))
+            pieces += [(last, (n - len(_words(last)), n))]
+            if not _INITIAL.fullmatch(first) and first not in PARTICLES:
+                pieces += [(first, (0, len(_words(first))))]
+        elif any(_fits(genders[person], told) for _, person, words in parts.get(value, ()) if words):
+            continue
+        given = _GENDER.get(_words(value)[0])
+        genders[value] = genders.get(value) or told or given
+        for piece, words in pieces:
+            parts.setdefault(piece.casefold(), []).append((start, value, words))
+            for form in (piece, piece.upper()):
+                if m := _CAPITAL.search(form):
+                    forms.setdefault(form[m.start() : m.end()], set()).add(form[m.start() :] if m.start() == 0 else form)
+    order = {k: sorted(v, key=len, reverse=True) for k, v in forms.items()}
+    out, taken = [], sorted((x.start, x.end) for x in others)
+    titled = {_CAPITAL.search(text, start).start(): (start, end, told) for start, end, _, told in named}  # particles may come first
+
+    def say(start: int, end: int, told: str | None) -> None:
+        known = parts.get(text[start:end].casefold(), [])
+        fit = [x for x in known if x[2] is None or _fits(genders[x[1]], told)] or known
+        before = [x for x in fit if x[0] <= start]
+        _, value, words = max(before, key=lambda x: (x[2] is None, x[0])) if before else min(fit, key=lambda x: (x[2] is not None, x[0]))
+        out.append(Mention(start, end, "person", value, genders[value], words))
+
+    at, k = 0, 0
+    for m in _CAPITAL.finditer(text):
+        start = m.start()
+        if start < at:
+            continue
+        if start in titled:
+            start, at, told = titled[start]
+            say(start, at, told)
+            continue
+        while k < len(taken) and taken[k][1] <= start:
+            k += 1
+        if k < len(taken) and taken[k][0] <= start:
+            continue
+        for form in order.get(m[0], ()):
+            end = start + len(form)
+            if text.startswith(form, start) and not text[end : end + 1].isalnum():
+                say(start, end, None)
+                at = end
+                break
+    return out
+
+
+def _fits(gender: str | None, told: str | None) -> bool:
+    return gender is None or told is None or gender == told
 
 
 class Stream:
@@ -166,10 +255,12 @@ def surrogate_value(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
         local, _, _ = value.partition("@")
         return "x" + _letters("a" * max(9, min(len(local), 20)), draw) + "@example.com"
     if kind == "ipv4":
-        return "10." + ".".join(str(draw.below(256)) for _ in range(3))
+        # The private network; where that runs out, the reserved addresses, then all.
+        front = ["10"] if attempt < 16 else [str(240 + draw.below(16))] if attempt < 32 else [str(draw.below(256))]
+        return ".".join(front + [str(draw.below(256)) for _ in range(3)])
     if kind == "person":
         told, _, value = value.rpartition("\t")
-        words = re.split("[ -]", value)
+        words = _words(value)
         names = [i for i, w in enumerate(words) if w not in PARTICLES]
         gender = told or _GENDER.get(words[names[0]])
         out = []
@@ -178,6 +269,8 @@ def surrogate_value(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
             end, pool = ENDS.get((gender, script), [""]), GIVEN.get((gender, script))
             if w in PARTICLES:
                 out.append(w)
+            elif w.endswith("."):
+                out.append(_letters(w, draw))
             elif i == names[0] and pool and (w in _GENDER or len(names) > 1):
                 # A lone given name grows when it is drawn again, so names never run out.
                 more = _syllables(draw, script, attempt + 2, w[0]) if attempt and len(names) == 1 else ""
@@ -188,14 +281,23 @@ def surrogate_value(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
                 out.append(_syllables(draw, script, 5, w[0]) + (end[draw.below(len(end))] if script != "LATIN" else ""))
         return " ".join(out)
     if kind == "token":
+        if len(value) == 20:  # an access key: its fixed beginning, then letters and the digits 2 to 7
+            return value[:4] + "".join("abcdefghijklmnopqrstuvwxyz234567"[draw.below(32)] for _ in value[4:])
         return "".join("0123456789abcdef"[draw.below(16)] if c in "0123456789abcdef" else _letters(c, draw) for c in value)
     if kind == "phone":
         digits = value.removeprefix("+")
         code = 0 if digits == value else 1 if digits[0] in "17" else 2 if digits[:2] in _CODES else 3
         keep = len(value) - len(digits) + code if attempt < 16 else len(value) - len(digits)  # short numbers of one country may run out
         return value[:keep] + _letters("0" * (len(value) - keep), draw)
-    digits = _letters(value, draw)
-    return ("9" if kind == "ssn" else "0") + digits[1:]  # no such numbers are given out
+    digits = ("9" if kind == "ssn" else "0") + _letters(value, draw)[1:]  # no such numbers are given out
+    if kind == "card" and not _check_sum(value):
+        digits = next(d for d in (digits[:-1] + str(i) for i in range(10)) if not _check_sum(d))
+    return digits
+
+
+def _check_sum(digits: str) -> int:
+    """0 for a card number that passes the usual check: every other digit from the right counts twice."""
+    return sum(int(d) if i % 2 == 0 else sum(map(int, str(2 * int(d)))) for i, d in enumerate(reversed(digits))) % 10
 
 
 def formed(kind: str, mention: str, new: str) -> str:
@@ -205,28 +307,40 @@ def formed(kind: str, mention: str, new: str) -> str:
         trunk = "(0)" if new.startswith("+") else "^"
         return trunk.join("".join(next(digits) if ch.isdigit() else ch for ch in part) for part in mention.split(trunk))
     if kind == "person":
+        said = _words(mention)
         words = [w if w in PARTICLES else w.upper().capitalize() for w in new.split(" ")]  # upper first, for final sigmas
-        if mention.isupper():
-            words = [w.upper() for w in words]
-        return ("-" if "-" in mention and " " not in mention else " ").join(words)
+        words = [w.upper() if len(old) > 1 and old.isupper() else w for w, old in zip(words, said)]
+        seps = re.findall("[ -]", mention)
+        return "".join(x for pair in zip(words, [*seps, ""]) for x in pair)
     return new.upper() if mention.isupper() else new
 
 
 def rewrite(text: str | None, key: bytes, redrawn: Callable[[str, str], str | None]) -> tuple[str | None, list[dict]]:
     """The text with surrogates, and (kind, start, end, surrogate) of each in the new text."""
-    out, at, size, spans = [], 0, 0, []
-    for start, end, kind, value, gender in _find(text):
-        new = formed(kind, text[start:end], redrawn(kind, value) or surrogate_value(kind, _told(value, gender), key))
-        size += start - at
-        out += [text[at:start], new]
-        spans.append({"kind": kind, "start": size, "end": size + len(new), "surrogate": new})
-        size, at = size + len(new), end
+    out, at, size, spans, drawn = [], 0, 0, [], {}
+    found = find(text)
+    for m in found:
+        if (m.kind, m.value) not in drawn:
+            drawn[m.kind, m.value] = redrawn(m.kind, m.value) or surrogate_value(m.kind, _told(m.value, m.gender), key)
+    # Two persons of a text may have drawn one given name: then that name alone would not tell them apart.
+    alone = Counter(new.split(" ")[0] for (kind, _), new in drawn.items() if kind == "person")
+    for m in found:
+        new = drawn[m.kind, m.value]
+        if m.words:
+            part = " ".join(new.split(" ")[slice(*m.words)])
+            new = formed(m.kind, text[m.start : m.end], part) if m.words[0] or alone[part] == 1 else " ".join(w.upper().capitalize() for w in new.split(" "))
+        else:
+            new = formed(m.kind, text[m.start : m.end], new)
+        size += m.start - at
+        out += [text[at : m.start], new]
+        spans.append({"kind": m.kind, "start": size, "end": size + len(new), "surrogate": new})
+        size, at = size + len(new), m.end
     return ("".join([*out, text[at:]]), spans) if spans else (text, [])
 
 
 def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seen = {x[2:] for text in batch.column(0).to_pylist() for x in _find(text)}
+        seen = {(m.kind, m.value, m.gender) for text in batch.column(0).to_pylist() for m in find(text)}
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in seen], pa.string()) for i in range(3)], names=["kind", "value", "gender"])
 
 
@@ -274,28 +388,26 @@ _SPANS = "array<struct<kind: string, start: int, end: int, surrogate: string>>"
 
 
 def replace_pii(docs: DataFrame, key: bytes) -> DataFrame:
-    """``docs`` with surrogates in ``text`` and a column ``pii`` of what was put where.
+    """``docs`` with surrogates in ``text`` and, last, a column ``pii`` of what was put where.
 
-    Other columns stay as they are, but for one named pii. Null and empty texts stay; repeated rows get equal results; an
-    empty table gives no rows. The same key gives the same surrogates for the same corpus.
+    Other columns stay as they are; where one is named pii, the new column is ``pii_``. Null and empty texts stay; repeated
+    rows get equal results; an empty table gives no rows. The same key gives the same surrogates for the same corpus.
     """
     spark = docs.sparkSession
     redrawn = checkpoint(redrawn_surrogates(docs, key))
-    docs = docs.drop("pii")
-    columns = docs.columns
+    columns, kept = docs.columns, [c for c in docs.columns if c != "text"]
+    spans_of, own_of, hash_of, said_of = unused(docs, "pii", "_redrawn", "_hash", "_said")
     if redrawn.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         held = spark.sparkContext.broadcast({(r["kind"], r["value"]): r["new"] for r in redrawn.collect()})
-        rows = docs.withColumn("_redrawn", F.lit(None).cast("map<string,string>"))
+        rows = docs.withColumn(own_of, F.lit(None).cast("map<string,string>"))
     else:
         held = None
         mentions = docs.select("text").distinct().mapInArrow(_mentions, "text string, kind string, value string")
-        maps = mentions.join(redrawn, ["kind", "value"]).groupBy(F.xxhash64("text").alias("_hash"), "text").agg(
-            F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\0", "kind", "value"), "new"))).alias("_redrawn")
+        maps = mentions.join(redrawn, ["kind", "value"]).groupBy(F.xxhash64("text").alias(hash_of), F.col("text").alias(said_of)).agg(
+            F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\0", "kind", "value"), "new"))).alias(own_of)
         )
-        maps = maps.withColumnRenamed("text", "_said")
-        rows = docs.join(maps, (F.xxhash64("text") == F.col("_hash")) & (F.col("text") == F.col("_said")), "left").drop("_hash", "_said")
-    rows = rows.select(*[rows[c] for c in columns if c != "text"], "text", "_redrawn")
-    kept = [c for c in columns if c != "text"]
+        rows = docs.join(maps, (F.xxhash64("text") == F.col(hash_of)) & (F.col("text") == F.col(said_of)), "left")
+    rows = rows.select(*kept, "text", own_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,15 +419,13 @@ def replace_pii(docs: DataFrame, key: bytes) -> DataFrame:
                 texts.append(new)
                 spans.append(found)
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(texts, pa.string()), pa.array(spans, kind)], names=[*kept, "text", "pii"])
-
-    from pyspark.sql.types import StructField, StructType, StringType, _parse_datatype_string
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(texts, pa.string()), pa.array(spans, kind)], names=[*kept, "text", spans_of])
 
-    schema = StructType([*(docs.schema[c] for c in kept), StructField("text", StringType()), StructField("pii", _parse_datatype_string(_SPANS))])
-    return rows.mapInArrow(run, schema).select(*columns, "pii")
+    schema = StructType([*(docs.schema[c] for c in kept), StructField("text", StringType()), StructField(spans_of, _parse_datatype_string(_SPANS))])
+    return rows.mapInArrow(run, schema).select(*columns, spans_of)
 
 
 def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(text, k, v) for text in batch.column(0).to_pylist() for k, v in sorted({(k, v) for _, _, k, v in find(text)})]
+        rows = [(text, k, v) for text in batch.column(0).to_pylist() for k, v in sorted({(m.kind, m.value) for m in find(text)})]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows) if rows else [()] * 3)], names=["text", "kind", "value"])
