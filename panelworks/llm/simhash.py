@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelworks.llm.components import connected_components
+from panelworks.llm.names import unused
 from panelworks.session import checkpoint
 
 SEED = 42
@@ -28,8 +29,6 @@ RADIUS = 3
 TILE_ROWS = 4096
 _STEP = 1 << 16
 _BASE = 32
-#: Nodes of fingerprints that no row with an id has lie above all ids.
-_NO_ID = 1 << 62
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -53,7 +52,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.fromiter((fingerprint(t) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["id", "fp"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:1], *batch.columns[2:], pa.array(prints.view(np.int64))], names=["id", "text_hash", "fp"])
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,6 +164,23 @@ def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.select("a", "fps").mapInArrow(_compare(radius), "x long, y long").where("x != y").distinct()
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
+    """(id, text_hash, fp, root) for every row; root is a fingerprint of the row's group.
+
+    Fingerprints are the nodes, so ids may be any number, null or repeated.
+    """
+    text = F.col(text_col).cast("string")
+    rows = checkpoint(
+        docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(
+            _fingerprints, "id long, text_hash long, fp long"
+        )
+    )
+    nodes = checkpoint(rows.select("fp").distinct())
+    roots = connected_components(near_links(nodes, radius))
+    groups = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return rows.join(groups, "fp")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """(id, fingerprint, component_id) for every row of ``docs``.
 
@@ -173,46 +189,22 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     part; a group in which no row has an id gets a null component_id. Repeated rows stay.
     An empty table gives an empty result; other columns are ignored.
     """
-    rows = checkpoint(
-        docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-            _fingerprints, "id long, fp long"
-        )
-    )
-    node = F.coalesce(F.min("id"), F.lit(_NO_ID) + F.first("fp").bitwiseAND(F.lit(_NO_ID - 1)))
-    nodes = checkpoint(rows.groupBy("fp").agg(node.alias("node")))
-    links = (
-        near_links(nodes, radius)
-        .join(nodes.select(F.col("fp").alias("x"), F.col("node").alias("p")), "x")
-        .join(nodes.select(F.col("fp").alias("y"), F.col("node").alias("q")), "y")
-        .select("p", "q")
-    )
-    groups = nodes.join(connected_components(links), "node", "left").select(
-        "fp", F.coalesce("root", "node").alias("component_id")
-    )
-    return rows.join(groups, "fp").select(
-        F.col("id").alias(id_col),
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("component_id") < _NO_ID, F.col("component_id")).alias("component_id"),
-    )
+    rows = checkpoint(_grouped(docs, id_col, text_col, radius))
+    least = rows.groupBy("root").agg(F.min("id").alias("component_id"))
+    return rows.join(least, "root").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` without near duplicates: of each group the row of the smallest doc_id stays.
 
-    Of equal (doc_id, text) rows one stays. Rows with a null doc_id stay only if their group has no
-    row with an id, and then one of each fingerprint. All columns are kept as they are.
+    Rows that share a doc_id are told apart by their texts, of which that of the smallest hash stays; of
+    equal (doc_id, text) rows one stays. A row with a null doc_id stays only if its group has no row with
+    an id. All columns are kept as they are.
     """
-    groups = simhash_groups(docs.select("doc_id", "text"), radius=radius)
-    heads = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(heads, "doc_id", "left_semi")
-    orphans = docs.where("doc_id IS NULL")
-    if orphans.limit(1).count() == 0:
-        return kept.dropDuplicates(["doc_id"])
-    lone = groups.where("doc_id IS NULL AND component_id IS NULL").select("fingerprint").distinct()
-    named = orphans.select("*", F.monotonically_increasing_id().alias("_row"))
-    named = checkpoint(named)
-    prints = named.select("_row", "text").mapInArrow(_fingerprints, "id long, fp long").select(
-        F.col("id").alias("_row"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    )
-    lone_rows = prints.join(lone, "fingerprint").groupBy("fingerprint").agg(F.min("_row").alias("_row")).select("_row")
-    return kept.dropDuplicates(["doc_id"]).unionByName(named.join(lone_rows, "_row", "left_semi").drop("_row"))
+    rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("head_id"), F.col("text_hash").alias("head_hash"))
+    heads = _grouped(docs, "doc_id", "text", radius).groupBy("root").agg(F.min(rank).alias("head"))
+    id_of, hash_of, own = unused(docs, "_head_id", "_head_hash", "_text_hash")
+    heads = heads.select(F.col("head.head_id").alias(id_of), F.col("head.head_hash").alias(hash_of))
+    hashed = docs.withColumn(own, F.xxhash64(F.col("text").cast("string")))
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col(id_of)) & (F.col(own) == F.col(hash_of))
+    return hashed.join(heads, here, "left_semi").dropDuplicates(["doc_id", own]).drop(own)
