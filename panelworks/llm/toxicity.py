@@ -16,11 +16,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import VectorUDT, Vectors
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from panelworks.llm.names import unused
 from panelworks.llm.textgrams import groups, hashed
 from panelworks.session import checkpoint
 
@@ -116,23 +117,25 @@ def fit(sample: DataFrame, n1: int, n0: int) -> Model:
     place = np.full(1 << BITS, -1, np.int64)
     place[bucket[best]] = np.arange(len(best))
 
-    def vectors(batches):
-        import pandas as pd
+    by = ratio[best]
 
-        for pdf in batches:
-            out = []
-            for first, part in groups(pdf["text"].tolist()):
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Presence times ratio as sparse vectors, in the storage form of Spark ML's vector type."""
+        for batch in batches:
+            at, labels = [], np.array(batch.column(1).to_pylist(), np.float64)
+            for _, part in groups(batch.column(0).to_pylist()):
                 owner, b = next(_features(part, r != 0))
-                for i in range(len(part)):
-                    own = b[owner == i]
-                    at = np.sort(place[own])
-                    out.append((at.tolist(), r[bucket[best]][at].tolist()))
-            yield pd.DataFrame({"at": [x for x, _ in out], "by": [x for _, x in out], "label": pdf["label"].to_numpy(float)})
-
-    to_vector = F.udf(lambda at, by: Vectors.sparse(len(best), at, by), VectorUDT())
-    sparse = rows.mapInPandas(vectors, "at array<int>, by array<double>, label double").select(
-        to_vector("at", "by").alias("features"), "label", F.when(F.col("label") == 1, TOXIC_WEIGHT).otherwise(1.0).alias("weight")
-    )
+                at += [np.sort(place[own]) for own in np.split(b, np.searchsorted(owner, np.arange(1, len(part))))]
+            n = len(at)
+            fields = [
+                pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, len(best), np.int32)),
+                pa.array([x.astype(np.int32) for x in at], pa.list_(pa.int32())), pa.array([by[x] for x in at], pa.list_(pa.float64())),
+            ]
+            vector = pa.StructArray.from_arrays(fields, names=["type", "size", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([vector, pa.array(labels), pa.array(np.where(labels == 1, TOXIC_WEIGHT, 1.0))], names=["features", "label", "weight"])
+
+    schema = StructType([StructField("features", VectorUDT()), StructField("label", DoubleType()), StructField("weight", DoubleType())])
+    sparse = rows.select("text", "label").mapInArrow(vectors, schema)
     fitted = LogisticRegression(regParam=REGULARISATION, maxIter=60, standardization=False, weightCol="weight").fit(checkpoint(sparse))
     weights = np.zeros(1 << BITS)
     weights[bucket[best]] = np.asarray(fitted.coefficients) * ratio[best]
@@ -141,16 +144,16 @@ def fit(sample: DataFrame, n1: int, n0: int) -> Model:
     return Model(weights, bias)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (with text; other columns stay) with score in [0, 1]. Null texts score as empty ones."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` (with text; other columns stay) with a score in [0, 1]. Null texts score as empty ones."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
     at = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
             scores = held.value.score(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
@@ -186,7 +189,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text is predicted toxic; rows and columns else stay."""
-    model = learn(docs.select("doc_id", "text"), labels)
-    return score(docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs, model).where("score < 0.5").select(
-        *[F.col("_score").alias("score") if c == "score" else F.col(c) for c in docs.columns]
-    )
+    (name,) = unused(docs, "score")
+    return score(docs, learn(docs.select("doc_id", "text"), labels), name).where(F.col(name) < 0.5).drop(name)
