@@ -25,7 +25,7 @@ SIZES = (1, 2, 3)
 BITS = 12
 CENTROIDS = 4
 ROUNDS = 5
-#: At most about so many texts of each language are learned from, chosen by a hash of the text.
+#: At most about so many texts of each language are learned from, chosen by a hash of the row.
 TRAIN_ROWS = 1500
 #: A cluster with a smaller share of its language's texts is dropped: likely wrong labels.
 LEAST_SHARE = 0.1
@@ -110,17 +110,20 @@ def _add(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """``docs`` has text and lang; rows with a null in either, or without a letter, are left out.
+    """``docs`` has doc_id, text and lang; rows with a null in the last two, or without a letter, are left out.
 
-    The sample holds at most about ``train_rows`` rows of each language, whatever the input.
+    The sample holds at most about ``train_rows`` rows of each language, whatever the input. It is chosen by
+    a hash of doc_id and text, so of a text that comes often no more than its share is taken. One row for each
+    language is broadcast; the model itself holds far more for each.
     """
     spark = docs.sparkSession
-    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").where(F.col("text").rlike(r"\p{L}")).select("lang", "text")
+    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("size"))
     space = 1_000_000
     share = F.least(F.lit(1.0), F.lit(train_rows) / F.col("size")) * space
-    sample = rows.join(sizes, "lang").where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(space)) < share)
-    sample = checkpoint(sample.select("lang", "text").repartition(max(1, min(16, int(spark.conf.get("spark.sql.shuffle.partitions")))), F.xxhash64("text")))
+    sample = rows.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(space)) < share)
+    parts = max(1, min(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    sample = checkpoint(sample.repartition(parts, F.xxhash64("doc_id", "text")).select("lang", "text"))
     df = sample.mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     if not len(df):
         return Model([], np.zeros((0, 1 << BITS), np.float32), np.ones(1 << BITS, np.float32), np.zeros(0))
@@ -128,7 +131,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     table[df["bucket"].to_numpy() + 1] = df["n"]
     idf = (np.log((1 + table[0]) / (1 + table[1:])) + 1).astype(np.float32)
     ranked = sample.select("lang", "text", F.xxhash64("text", F.lit("seed")).alias("h"))
-    seeds = ranked.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("h", "text"))), 1, CENTROIDS)["text"].alias("texts")).collect()
+    seeds = ranked.groupBy("lang").agg(F.slice(F.sort_array(F.collect_set(F.struct("h", "text"))), 1, CENTROIDS)["text"].alias("texts")).collect()
     centroids = {r["lang"]: vectors(r["texts"], idf) for r in seeds}
     if not centroids:
         return Model([], np.zeros((0, 1 << BITS), np.float32), idf, np.zeros(0))
@@ -176,5 +179,5 @@ def remainder():
 
 def language(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected), learned from the three quarters not held out."""
-    model = fit(docs.where(remainder() != 2).select("text", "lang"))
+    model = fit(docs.where(remainder() != 2).select("doc_id", "text", "lang"))
     return predict(docs, model).select("doc_id", F.coalesce(remainder() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
