@@ -7,9 +7,9 @@ stored bytes into chunks at places that depend on content only, so equal passage
    size (false hits only make a chunk travel that need not).
 2. One pass writes the store: a media row with its ordered chunk list and the bytes of the chunks that
    are its own, and rows with the chunks that it shares with others. Those are deduplicated by digest.
-3. Reading back, media that share no chunk are put together where they lie. For the others each
-   distinct chunk list is joined to the chunk table by digest and put together in order. The SHA-256
-   of what comes out is verified against the one that was stored.
+3. Reading back, every medium is put together from its ordered chunk list: its own chunks are cut out
+   of its row, the others come from the chunk table by a join on the digest (once for each distinct
+   medium). Each chunk is verified against its digest, and the medium against its SHA-256.
 """
 
 from __future__ import annotations
@@ -145,26 +145,32 @@ def _store(shared):
     return run
 
 
+def _in_order(row: dict, fetched: dict[int, bytes]) -> bytes:
+    """The chunks of a medium's list, each verified: its own ones from its row, the others by place."""
+    parts, at = [], 0
+    for place, (digest, size, own) in enumerate(zip(row["digests"], row["lengths"], row["own"])):
+        chunk = row["bytes"][at : at + size] if own else fetched[place]
+        at += size if own else 0
+        if len(chunk) != size or _digest(chunk) != digest:
+            raise ValueError("a stored chunk does not match its digest")
+        parts.append(chunk)
+    return b"".join(parts)
+
+
 def _own_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Media rows all of whose chunks are their own."""
     for batch in batches:
-        rows = batch.to_pylist()
-        yield _feature_batch([(r["doc_id"], r["n_bytes"], *_verified(r["bytes"], r["sha"], len(r["digests"]))) for r in rows], ("doc_id", "n_bytes"), (pa.int64(),) * 2)
+        out = [(r["doc_id"], r["n_bytes"], *_verified(_in_order(r, {}), r["sha"], len(r["digests"]))) for r in batch.to_pylist()]
+        yield _feature_batch(out, ("doc_id", "n_bytes"), (pa.int64(),) * 2)
 
 
 def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Media from their own bytes and the chunks that were fetched by place."""
+    """Media with chunks that were fetched by place."""
     for batch in batches:
         out = []
         for r in batch.to_pylist():
-            fetched, parts, at = {p["place"]: p["chunk"] for p in r["parts"]}, [], 0
-            for place, (size, own) in enumerate(zip(r["lengths"], r["own"])):
-                if own:
-                    parts.append(r["bytes"][at : at + size])
-                    at += size
-                else:
-                    parts.append(fetched[place])
-            out.append((r["sha"], *_verified(b"".join(parts), r["sha"], len(parts))))
+            media = _in_order(r, {p["place"]: p["chunk"] for p in r["parts"]})
+            out.append((r["sha"], *_verified(media, r["sha"], len(r["digests"]))))
         yield _feature_batch(out, ("sha",), (pa.binary(),))
 
 
@@ -208,12 +214,12 @@ def read(spark, path: str) -> DataFrame:
     rows = spark.read.schema(STORED).parquet(f"{path}/media").where("kind = 0")
     chunks = spark.read.parquet(f"{path}/chunks")
     alone = F.forall("own", lambda o: o)
-    direct = rows.where(alone).select("doc_id", "n_bytes", "sha", "digests", "bytes").mapInArrow(_own_only, f"doc_id long, n_bytes long, {FEATURES}")
+    direct = rows.where(alone).select("doc_id", "n_bytes", "sha", "digests", "lengths", "own", "bytes").mapInArrow(_own_only, f"doc_id long, n_bytes long, {FEATURES}")
     sharing = rows.where(~alone)
     media = sharing.groupBy("sha").agg(*[F.first(c).alias(c) for c in ("digests", "lengths", "own", "bytes")])
     places = media.select("sha", "own", F.posexplode("digests").alias("place", "digest")).where(~F.get("own", F.col("place")))
     parts = places.join(chunks, "digest").groupBy("sha").agg(F.collect_list(F.struct("place", "chunk")).alias("parts"))
-    described = checkpoint(media.join(parts, "sha").select("sha", "lengths", "own", "bytes", "parts").mapInArrow(_put_together, f"sha binary, {FEATURES}"))
+    described = checkpoint(media.join(parts, "sha").select("sha", "digests", "lengths", "own", "bytes", "parts").mapInArrow(_put_together, f"sha binary, {FEATURES}"))
     return direct.unionByName(sharing.select("doc_id", "n_bytes", "sha").join(described, "sha").drop("sha"))
 
 
