@@ -176,7 +176,8 @@ def conversation_digests(rendered: DataFrame) -> DataFrame:
     """Digests of what is read back from ``format_turns``, one row for each conversation.
 
     A conversation's turns reach one task sorted (by turn, then role and text) and stream through its
-    hashes, so its length does not matter for memory. Turns with a null conv_id make one conversation.
+    hashes, so its length does not matter for memory. Turns with a null conv_id make one conversation,
+    which is read in order by one task as any other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

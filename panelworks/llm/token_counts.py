@@ -2,13 +2,18 @@
 
 A batch of changes holds signed rows: +1 inserts a document's count, -1 takes one back, and a revised
 count is both. A commit sums a batch by source, language and tokenizer version and writes those sums
-as one folder of a Parquet table, ``batch=<id>``, in one move; a batch whose folder is there already
-is left alone, so a retried or repeated commit changes nothing. Totals are the sums over all batches:
-additive, in any order, without reading documents again.
+as a Parquet folder of their own, ``batch=<id>``, which counts from when Spark has marked it whole
+(``_SUCCESS``). A batch that is there already is left alone, so a retried or repeated commit changes
+nothing. Totals are the sums over all batches: additive, in any order, without reading documents again.
+
+``compact`` folds the batches into a base: their sums and their ids, so they still count as committed.
+A fold removes what the fold before it had taken in, not what it takes in itself, so readers that began
+before it find their files.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,26 +72,42 @@ def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """The table of committed sums at ``path``."""
+    """The table of committed sums at ``path``. Commits of different ids may run at once, folds one at a time."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _exists(self, path: str):
+    def _fs(self, path: str):
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
 
+    def _whole(self, kind: str) -> list[str]:
+        """Names behind ``kind=`` of the folders that were written to their end, by one listing."""
+        fs, at = self._fs(f"{self.path}/{kind}=*/_SUCCESS")
+        return sorted(s.getPath().getParent().getName().removeprefix(f"{kind}=") for s in fs.globStatus(at) or [])
+
+    def _base(self) -> int:
+        """The number of the newest base; 0 if there is none."""
+        return max(map(int, self._whole("base")), default=0)
+
+    def _folded(self, base: int) -> DataFrame:
+        """(batch) ids that a base has taken in."""
+        return self.spark.read.schema("batch string").parquet(f"{self.path}/ids={base}") if base else self.spark.createDataFrame([], "batch string")
+
     def committed(self, batch_id: str) -> bool:
-        fs, at = self._exists(f"{self.path}/batch={batch_id}/_SUCCESS")
-        return fs.exists(at)
+        fs, at = self._fs(f"{self.path}/batch={batch_id}/_SUCCESS")
+        return fs.exists(at) or self._folded(self._base()).where(F.col("batch") == batch_id).limit(1).count() > 0
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Adds a batch; False if it was there already. A half-written folder is overwritten.
 
         ``changes`` has KEYS, tokens, chars and sign; null keys are keys of their own, and null counts
-        count 0. Sums are combined in each task before the shuffle, so a hot source is no hot task.
+        count 0; no changes are a batch too. Sums are combined in each task before the shuffle, so a hot
+        source is no hot task. An id is letters, digits, dots, dashes and underscores.
         """
+        if not re.fullmatch(r"[\w.-]+", batch_id, re.A):
+            raise ValueError(f"not a batch id: {batch_id!r}")
         if self.committed(batch_id):
             return False
         sums = changes.groupBy(*KEYS).agg(
@@ -97,12 +118,36 @@ class Rollup:
         sums.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
         return True
 
+    def _open(self, base: int) -> list[str]:
+        """Batches that the base has not taken in: those of the fold before it are still there, so they are told by their ids."""
+        batches = self._whole("batch")
+        if not base or not batches:
+            return batches
+        here = self.spark.createDataFrame([(b,) for b in batches], "batch string")
+        return sorted(r["batch"] for r in here.join(self._folded(base), "batch", "left_anti").collect())
+
+    def _rows(self, base: int, batches: list[str]) -> DataFrame:
+        paths = [f"{self.path}/batch={b}" for b in batches] + ([f"{self.path}/base={base}"] if base else [])
+        rows = self.spark.read.schema(SUMS).parquet(*paths) if paths else self.spark.createDataFrame([], SUMS)
+        return rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in ("docs", "tokens", "chars")])
+
     def totals(self) -> DataFrame:
         """Sums by KEYS over all batches; keys whose documents were all taken back are left out."""
-        fs, at = self._exists(self.path)
-        names = [s.getPath().getName() for s in (fs.listStatus(at) if fs.exists(at) else [])]
-        whole = [f"{self.path}/{n}" for n in sorted(names) if self.committed(n.removeprefix("batch="))]
-        if not whole:
-            return self.spark.createDataFrame([], SUMS)
-        rows = self.spark.read.schema(SUMS).parquet(*whole)
-        return rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in ("docs", "tokens", "chars")]).where("docs <> 0 OR tokens <> 0 OR chars <> 0")
+        base = self._base()
+        return self._rows(base, self._open(base)).where("docs <> 0 OR tokens <> 0 OR chars <> 0")
+
+    def compact(self) -> int:
+        """Folds the open batches into a new base; returns its number (the old one if there is nothing to fold)."""
+        base = self._base()
+        batches = self._open(base)
+        if not batches:
+            return base
+        old = [b for b in self._whole("batch") if b not in set(batches)]
+        ids = self.spark.createDataFrame([(b,) for b in batches], "batch string")
+        # The base counts from its own mark on, so the ids are written first.
+        self._folded(base).unionByName(ids).write.mode("overwrite").parquet(f"{self.path}/ids={base + 1}")
+        self._rows(base, batches).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/base={base + 1}")
+        for name in [f"batch={b}" for b in old] + [f"{kind}={base - 1}" for kind in ("base", "ids") if base > 1]:
+            fs, at = self._fs(f"{self.path}/{name}")
+            fs.delete(at, True)
+        return base + 1
