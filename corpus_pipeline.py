@@ -3,7 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
 of documents. Between stages the rows are written as Parquet to the shared folder and read again, so
 a stage that passes over its input more than once does not run the stages before it again, and a lost
-executor costs no more than its own tasks.
+executor costs no more than its own tasks. A stage's folder is deleted once the next stage is written; the
+last one stays, as the result reads it.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from panelworks.llm.pii import replace_pii
 from panelworks.llm.queries import PII_KEY, tokenizer_path
 from panelworks.llm.simhash import keep_one
 from panelworks.llm.toxicity import drop_toxic
-from panelworks.session import prepare, shared_dir, table
+from panelworks.session import prepare, remove, shared_dir, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates for personal data, their lengths brought up to date."""
     prepare(spark)
-    done = replace_pii(docs, PII_KEY).drop("pii")
+    done = replace_pii(docs, PII_KEY).select(*docs.columns)
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 
@@ -66,8 +67,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = table(prepare(spark), sf_dir, "documents")
-    path = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    path, done = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{path}/{name}")
         docs = spark.read.parquet(f"{path}/{name}")
+        if done:
+            remove(spark, f"{path}/{done}")
+        done = name
     return STAGES[-1][1](spark, docs, sf_dir)
