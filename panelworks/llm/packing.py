@@ -29,7 +29,7 @@ from panelworks.session import checkpoint
 
 WINDOW = 1024
 #: A shard of the index holds so many documents at most.
-SHARD_DOCS = 1024
+SHARD_DOCS = 2048
 #: and so many tokens, unless a single document is longer.
 SHARD_TOKENS = 4_000_000
 #: Terms of more documents of a shard than this (or a 32nd of them) are summed as matrices.
