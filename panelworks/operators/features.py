@@ -7,8 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelworks.functions.columns import BY_INDEX, BY_MONTH, clip, lookup, no, per
+from panelworks.operators.metrics import prefix_sums
 from panelworks.operators.quality import folded
 from panelworks.schema import CREDIT_MIDPOINTS, DELINQUENT, DTI_MIDPOINTS, LTV_MIDPOINTS
+from panelworks.session import checkpoint
 
 HORIZONS = {"delinq_3": 3, "delinq_6": 6, "default_12": 12, "prepay_12": 12}
 
@@ -49,12 +51,16 @@ def rate_incentive(df: DataFrame) -> DataFrame:
 
 
 def rate_incentive_pctile(df: DataFrame) -> DataFrame:
-    """Average-rank percentile of rate_incentive within its month, ranked over distinct values."""
-    counts = df.groupBy("reporting_month", "rate_incentive").agg(F.count("*").alias("n")).where("rate_incentive IS NOT NULL")
-    w = W.partitionBy("reporting_month")
-    upto = F.sum("n").over(w.orderBy("rate_incentive"))
-    rank = (upto - F.col("n") + (F.col("n") + 1) / 2) / F.sum("n").over(w)
-    return df.join(counts.select("reporting_month", "rate_incentive", rank.alias("rate_incentive_pctile")), ["reporting_month", "rate_incentive"], "left")
+    """Average-rank percentile of rate_incentive within its month, ranked over distinct values.
+
+    One prefix sum over (month, value) serves all months, so a month is no single task.
+    """
+    counts = df.where("rate_incentive IS NOT NULL").groupBy("reporting_month", "rate_incentive").agg(F.count("*").alias("n"))
+    placed = prefix_sums(counts.select(F.struct("reporting_month", "rate_incentive").alias("k"), "n"), "k", ["n"]).select("k.*", "n", "up_n")
+    months = placed.groupBy("reporting_month").agg(F.sum("n").alias("_total"), F.min("up_n").alias("_base"))
+    rank = (F.col("up_n") - F.col("_base") + (F.col("n") + 1) / 2) / F.col("_total")
+    ranks = placed.join(F.broadcast(months), "reporting_month").select("reporting_month", "rate_incentive", rank.alias("rate_incentive_pctile"))
+    return df.join(ranks, ["reporting_month", "rate_incentive"], "left")
 
 
 def history(df: DataFrame) -> DataFrame:
@@ -95,7 +101,11 @@ def quality_features(df: DataFrame) -> DataFrame:
 
 
 def engineer_features(df: DataFrame) -> tuple[DataFrame, list[str]]:
-    """All features that the columns allow, and the names of those skipped."""
+    """All features that the columns allow, and the names of those skipped.
+
+    The panel is checkpointed once, as several steps first gather figures over all of it.
+    """
+    df = checkpoint(df)
     steps = [
         (canonicalise_state, ["state"]), (amortisation, ["current_balance", "original_balance", "loan_age_months", "remaining_term_months", "interest_rate"]),
         (rate_incentive, ["origination_month", "interest_rate"]), (rate_incentive_pctile, ["origination_month", "interest_rate"]),

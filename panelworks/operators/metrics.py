@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,6 +26,47 @@ def prefix_sums(counts: DataFrame, order: str, sums: list[str], partitions: int
     return out.withColumns({f"up_{c}": F.col(f"_l_{c}") + F.col(f"_o_{c}") for c in sums}).drop("_part", *[f"_l_{c}" for c in sums], *[f"_o_{c}" for c in sums])
 
 
+def quantiles(rows: DataFrame, qs: list[float]) -> DataFrame:
+    """(g, n, q): exact quantiles of x by group, interpolated between neighbours.
+
+    ``rows`` has g (a few groups; one row for each is broadcast) and x; null x is left out. Values are counted,
+    their places found by prefix sums, and only the values at the wanted places meet in one task.
+    """
+    counts = rows.where("x IS NOT NULL").groupBy("g", "x").agg(F.count("*").alias("n"))
+    placed = prefix_sums(counts.select(F.struct("g", "x").alias("k"), "n"), "k", ["n"]).select("k.g", "k.x", "n", "up_n")
+    ends = placed.groupBy("g").agg(F.sum("n").alias("_total"), F.min("up_n").alias("_base"))
+    placed = placed.join(F.broadcast(ends), "g").withColumn("_from", F.col("up_n") - F.col("_base"))
+    place = lambda q: F.lit(float(q)) * (F.col("_total") - 1)
+    here = lambda p: F.max(F.when((F.col("_from") <= p) & (p < F.col("_from") + F.col("n")), F.col("x")))
+    cells = [here(f(place(q))).alias(f"_{name}{i}") for i, q in enumerate(qs) for f, name in ((F.floor, "lo"), (F.ceil, "hi"))]
+    out = placed.groupBy("g").agg(F.max("_total").alias("_total"), *cells)
+    value = lambda i, q: F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (place(q) - F.floor(place(q)))
+    return out.select("g", F.col("_total").alias("n"), F.array(*[value(i, q) for i, q in enumerate(qs)]).alias("q"))
+
+
+def quantile_row(df: DataFrame, columns: dict[str, Column], qs: list[float], prefix: str) -> DataFrame:
+    """One row with <prefix><name>: the quantiles of each column as an array; null where it has no value."""
+    cells = F.array(*[F.struct(F.lit(name).alias("g"), c.cast("double").alias("x")) for name, c in columns.items()])
+    found = quantiles(df.select(F.explode(cells).alias("c")).select("c.*"), qs)
+    return found.agg(*[F.first(F.when(F.col("g") == name, F.col("q")), ignorenulls=True).alias(f"{prefix}{name}") for name in columns])
+
+
+def auc_by_group(rows: DataFrame) -> DataFrame:
+    """(g, roc_auc, pr_auc, pr_auc_lift) of rows with g, y (0 or 1) and s; null where a class is missing.
+
+    One prefix sum over (g, s) serves all groups, so a large group is no large task.
+    """
+    counts = rows.where("y IS NOT NULL AND s IS NOT NULL").groupBy("g", "s").agg(F.sum((F.col("y") == 1).cast("long")).alias("pos"), F.sum((F.col("y") != 1).cast("long")).alias("neg"))
+    placed = prefix_sums(counts.select(F.struct("g", "s").alias("k"), "pos", "neg"), "k", ["pos", "neg"]).select("k.g", "pos", "neg", "up_pos", "up_neg")
+    ends = placed.groupBy("g").agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"), F.min("up_pos").alias("_bp"), F.min("up_neg").alias("_bn"))
+    cut = placed.join(ends, "g").withColumns({"tp": F.col("all_pos") - (F.col("up_pos") - F.col("_bp")), "fp": F.col("all_neg") - (F.col("up_neg") - F.col("_bn"))})
+    both = F.first("all_pos") * F.first("all_neg")
+    area = F.sum(F.col("pos") * (F.col("up_neg") - F.col("_bn") + F.col("neg") / 2)) / F.nullif(both, F.lit(0))
+    ap = F.when(both > 0, F.sum(F.col("tp") / (F.col("tp") + F.col("fp")) * F.col("pos")) / F.first("all_pos"))
+    base = F.first("all_pos") / (F.first("all_pos") + F.first("all_neg"))
+    return cut.groupBy("g").agg(area.alias("roc_auc"), ap.alias("pr_auc"), (ap / F.nullif(base, F.lit(0.0))).alias("pr_auc_lift"))
+
+
 def score_table(df: DataFrame, label: str, score: str) -> DataFrame:
     """(s, pos, neg, up_pos, up_neg, all_pos, all_neg) by distinct score."""
     counts = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("s")).agg(
@@ -117,15 +158,14 @@ def calibration_by_segment(df: DataFrame, label: str, score: str, segment: str,
 
 
 def slice_metrics(df: DataFrame, label: str, score: str, segment: str, least: int = 200) -> DataFrame:
-    """By segment: n, observed rate, mean score, share at or above the 95th percentile, and AUC."""
-    bar = df.agg(F.percentile(score, F.lit(0.95)).alias("_bar"))
-    rows = df.where(F.col(segment).isNotNull()).crossJoin(F.broadcast(bar)).select(F.col(segment).cast("string").alias("segment"), F.col(label).alias("y"), F.col(score).alias("s"), "_bar")
-    flat = rows.groupBy("segment").agg(F.count("*").alias("n"), F.avg("y").alias("observed_rate"), F.avg("s").alias("mean_predicted"), F.avg((F.col("s") >= F.col("_bar")).cast("double")).alias("selection_rate"))
-    counts = rows.groupBy("segment", "s").agg(F.sum((F.col("y") == 1).cast("long")).alias("pos"), F.sum((F.col("y") != 1).cast("long")).alias("neg"))
-    w = W.partitionBy("segment").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
-    ranked = counts.withColumn("up", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    auc = ranked.groupBy("segment").agg((F.sum(F.col("pos") * (F.col("up") + F.col("neg") / 2)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("roc_auc"))
-    return flat.where(F.col("n") >= least).join(auc, "segment")
+    """By segment: n, observed rate, mean score, share at or above the 95th percentile, AUC and AP lift."""
+    bar = quantile_row(df, {"bar": F.col(score)}, [0.95], "_")
+    rows = df.where(F.col(segment).isNotNull()).select(F.col(segment).cast("string").alias("segment"), F.col(label).alias("y"), F.col(score).alias("s"))
+    flat = rows.crossJoin(F.broadcast(bar)).groupBy("segment").agg(
+        F.count("*").alias("n"), F.avg("y").alias("observed_rate"), F.avg("s").alias("mean_predicted"), F.avg((F.col("s") >= F.col("_bar")[0]).cast("double")).alias("selection_rate")
+    )
+    auc = auc_by_group(rows.withColumnRenamed("segment", "g")).select(F.col("g").alias("segment"), "roc_auc", "pr_auc_lift")
+    return flat.where(F.col("n") >= least).join(auc, "segment", "left")
 
 
 def classification_report(df: DataFrame, label: str, pred: str) -> DataFrame:
@@ -166,7 +206,7 @@ def segment_errors(df: DataFrame, label: str, score: str, segments: list[str], t
 
 def score_deciles(df: DataFrame, label: str, score: str) -> DataFrame:
     """(decile, n, rate) by quantile edges, right-closed, repeated edges dropped."""
-    edges = df.agg(F.array_distinct(F.percentile(score, F.array(*[F.lit(i / 10) for i in range(11)]))).alias("e"))
+    edges = quantile_row(df, {"e": F.col(score)}, [i / 10 for i in range(11)], "_").select(F.array_distinct("_e").alias("e"))
     rows = df.crossJoin(F.broadcast(edges))
     inner = F.slice("e", F.lit(2), F.greatest(F.size("e") - 2, F.lit(0)))
     return rows.groupBy((F.size(F.filter(inner, lambda x: x < F.col(score))) + 1).alias("decile")).agg(F.count("*").alias("n"), F.avg(F.col(label).cast("double")).alias("rate"))
@@ -176,9 +216,9 @@ def score_histogram(df: DataFrame, score: str, bins: int = 60) -> DataFrame:
     return df.where(F.col(score).isNotNull()).groupBy(F.least(F.floor(F.col(score) * bins) + 1, F.lit(bins)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def confidence_band(df: DataFrame, spread: str = "relative_spread") -> DataFrame:
-    """confidence: terciles of the spread; one band if the edges meet."""
-    edges = df.agg(F.percentile(spread, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_e"))
+def confidence_band(df: DataFrame, spread: str = "relative_spread", cuts: tuple[float, float] = (1 / 3, 2 / 3)) -> DataFrame:
+    """confidence: terciles of the spread (or quantiles at ``cuts``); one band if the edges meet."""
+    edges = quantile_row(df, {"e": F.col(spread)}, list(cuts), "_")
     s, e = F.col(spread), F.col("_e")
     band = F.when(e[0] >= e[1], "medium").when(s <= e[0], "high").when(s <= e[1], "medium").otherwise("low")
     return df.crossJoin(F.broadcast(edges)).withColumn("confidence", band).drop("_e")
@@ -203,11 +243,27 @@ def temporal_spread(df: DataFrame, columns: list[str]) -> DataFrame:
 def spread_summary(df: DataFrame) -> DataFrame:
     """(mean_spread, median_spread, n_wide, pct_wide): rows whose spread exceeds their mean prediction."""
     wide = F.coalesce((F.col("spread") > F.col("mean_prediction")), F.lit(False))
-    return df.agg(F.avg("spread").alias("mean_spread"), F.percentile("spread", F.lit(0.5)).alias("median_spread"), F.sum(wide.cast("long")).alias("n_wide"), (100 * F.avg(wide.cast("double"))).alias("pct_wide"))
+    rest = df.agg(F.avg("spread").alias("mean_spread"), F.sum(wide.cast("long")).alias("n_wide"), (100 * F.avg(wide.cast("double"))).alias("pct_wide"))
+    middle = quantile_row(df, {"m": F.col("spread")}, [0.5], "_")
+    return rest.crossJoin(F.broadcast(middle)).select("mean_spread", F.col("_m")[0].alias("median_spread"), "n_wide", "pct_wide")
 
 
 def band_check(df: DataFrame, label: str, score: str, band: str = "confidence", least: int = 50) -> DataFrame:
-    """(band, n, observed_rate, mean_predicted, brier) of bands with enough rows."""
+    """(band, n, observed_rate, mean_predicted, brier, roc_auc) of bands with enough rows."""
     y, p = F.col(label).cast("double"), F.col(score)
     out = df.groupBy(F.col(band).alias("band")).agg(F.count("*").alias("n"), F.avg(y).alias("observed_rate"), F.avg(p).alias("mean_predicted"), F.avg((p - y) * (p - y)).alias("brier"))
-    return out.where(F.col("n") >= least)
+    auc = auc_by_group(df.select(F.col(band).alias("g"), F.col(label).alias("y"), p.alias("s"))).select(F.col("g").alias("band"), "roc_auc")
+    return out.where(F.col("n") >= least).join(auc, "band", "left")
+
+
+def average_ranks(df: DataFrame, column: str) -> DataFrame:
+    """(v, r): the average rank of each distinct value, from 1 on; nulls are left out."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    return prefix_sums(counts, "v", ["n"]).select("v", (F.col("up_n") + (F.col("n") + 1) / 2).alias("r"))
+
+
+def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(spearman): the correlation of average ranks over rows with both values."""
+    df = checkpoint(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b")))
+    ra, rb = (average_ranks(df, c).select(F.col("v").alias(c), F.col("r").alias(f"r{c}")) for c in ("a", "b"))
+    return df.join(ra, "a").join(rb, "b").agg(F.corr("ra", "rb").alias("spearman"))

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelworks.operators.metrics import roc_auc, score_table
+from panelworks.operators.features import HORIZONS, mature_label_mask, months_of, time_aware_split, walk_forward_folds
+from panelworks.operators.metrics import binary_metrics, calibration_by_segment, classification_report, pr_auc, prefix_sums, reliability_bins, roc_auc, score_table, temporal_spread
 from panelworks.operators.quality import numeric_columns
+from panelworks.operators.rules import rule_covered
+from panelworks.operators.transitions import advance_covariates, fold_paths, log_loss_multiclass, one_step_scores, score_next_state, stressed
 from panelworks.schema import ABSORBING, STATES
 from panelworks.session import checkpoint
 
@@ -19,6 +25,8 @@ from panelworks.session import checkpoint
 LEAKS = ["delinq_3", "delinq_6", "default_12", "prepay_12", "next_state", "exception_required", "exception_type"]
 IDENTIFIERS = ["row_id", "loan_id", "reporting_month", "origination_month", "last_updated_at"]
 LEAST_LEVEL = 25
+#: Levels of fewer rows are pooled in transition models.
+RARE_LEVEL = 20
 
 
 def feature_columns(df: DataFrame, drop: list[str] = LEAKS + IDENTIFIERS) -> list[str]:
@@ -42,6 +50,7 @@ def preprocess(df: DataFrame, columns: list[str], scale: bool = True) -> list:
     """Pipeline stages: median impute (and scale) numbers, one-hot categories; unknown levels ignored."""
     numbers = [c for c in columns if c in numeric_columns(df)]
     names = [c for c in columns if c not in numbers]
+    # Medians are exact to a part in a thousand, from a sketch that tasks merge.
     stages = [Imputer(strategy="median", inputCols=numbers, outputCols=[f"_i_{c}" for c in numbers])] if numbers else []
     stages += [VectorAssembler(inputCols=[f"_i_{c}" for c in numbers], outputCol="_numbers")]
     if scale:
@@ -117,11 +126,17 @@ def select_calibrator(df: DataFrame, label: str, p: str) -> str:
     return "platt" if by_platt < raw else "identity"
 
 
-def adversarial_validation(a: DataFrame, b: DataFrame, columns: list[str], folds: int = 3, most_rows: int = 40_000) -> DataFrame:
+# Columns that tell the time.
+TIME_LIKE = ["reporting_month", "month_index", "origination_month", "loan_age_months", "remaining_term_months", "vintage", "last_updated_at", "market_rate"]
+
+
+def adversarial_validation(a: DataFrame, b: DataFrame, columns: list[str], folds: int = 3, most_rows: int = 40_000, with_time: bool = True) -> DataFrame:
     """(auc, verdict): how well two samples can be told apart, by out-of-fold scores.
 
-    The classifier is fitted on at most about ``most_rows`` rows of each side, chosen by hash.
+    The classifier is fitted on at most about ``most_rows`` rows of each side, chosen by hash. Without time, the
+    columns of TIME_LIKE are left out.
     """
+    columns = [c for c in columns if with_time or c not in TIME_LIKE]
     both = a.select("row_id", *columns, F.lit(1).alias("side")).unionByName(b.select("row_id", *columns, F.lit(0).alias("side")))
     sizes = {r["side"]: r["count"] for r in both.groupBy("side").count().collect()}
     space = 1_000_000
@@ -149,8 +164,10 @@ def transition_model(frame: DataFrame, columns: list[str], least_rows: int = 200
             continue
         rows = _doubles(rows.where(F.col("to_state").isin(classes)), columns)
         label = F.array_position(F.array(*[F.lit(s) for s in classes]), F.col("to_state")).cast("double") - 1
+        names = [c for c in columns if c not in numeric_columns(rows)]
+        rows = checkpoint(pooled(rows.withColumn("_y", label).select("_y", *columns), names, RARE_LEVEL))
         lr = LogisticRegression(labelCol="_y", family="multinomial", regParam=1e-3, maxIter=30)
-        models[state] = Pipeline(stages=[*preprocess(rows, columns), lr]).fit(rows.withColumn("_y", label)), classes
+        models[state] = Pipeline(stages=[*preprocess(rows, columns), lr]).fit(rows), classes
     return models
 
 
@@ -164,3 +181,339 @@ def score_transitions(frame: DataFrame, models: dict, columns: list[str], fallba
         p = F.array(*[got[classes.index(s)] if s in classes else F.lit(0.0) for s in STATES])
         parts = parts.unionByName(rows.select(*[F.col(c).cast(frame.schema[c].dataType).alias(c) for c in keep], p.alias("p_model")))
     return parts
+
+
+# Supervised targets.
+@dataclass
+class Fitted:
+    """A fitted target: the champion and its calibrator, with what was measured on the way."""
+
+    target: str
+    columns: list[str]
+    champion: str
+    model: PipelineModel | None
+    calibrator: str
+    fitted: object
+    metrics: DataFrame | None
+    reliability: DataFrame | None
+    segments: dict[str, DataFrame]
+    notes: list[str]
+
+    def score(self, df: DataFrame, name: str = "p") -> DataFrame:
+        """``df`` with the calibrated probability, within [0, 1]; a target without a model raises."""
+        if self.model is None:
+            raise ValueError(f"{self.target}: {'; '.join(self.notes)}")
+        raw = score(self.model, df, self.columns, "_raw")
+        if self.calibrator == "platt":
+            out = apply_platt(raw, "_raw", self.fitted, "_cal")
+        elif self.calibrator == "isotonic":
+            out = self.fitted.transform(raw).withColumn("_cal", F.col("prediction"))
+        else:
+            out = raw.withColumn("_cal", F.col("_raw"))
+        return out.select(*df.columns, F.least(F.greatest("_cal", F.lit(0.0)), F.lit(1.0)).alias(name))
+
+
+def target_parts(df: DataFrame, target: str, horizon: int | None = None, test_months: int = 6, least_calibration: int = 200) -> dict[str, DataFrame | int]:
+    """fit, calibration (None if too small) and test rows of a target, and how many labels were not mature.
+
+    Both splits are purged by the target's horizon; the inner one cuts the training rows again.
+    """
+    horizon = HORIZONS.get(target, 0) if horizon is None else horizon
+    usable = df.where(F.col(target).isNotNull())
+    mature = mature_label_mask(usable, horizon)
+    parts = checkpoint(time_aware_split(mature, horizon, test_months))
+    train, test = (parts.where(F.col("part") == p).drop("part") for p in ("train", "test"))
+    fit, calibration = train, None
+    if len(months_of(train)) >= 3:
+        inner = time_aware_split(train, horizon, test_months)
+        calibration = inner.where("part = 'test'").drop("part")
+        if calibration.count() > least_calibration:
+            fit = inner.where("part = 'train'").drop("part")
+        else:
+            calibration = None
+    return {"fit": fit, "calibration": calibration, "test": test, "n_immature": usable.count() - parts.count()}
+
+
+def fit_calibrator(df: DataFrame, label: str, p: str) -> tuple[str, object]:
+    kind = select_calibrator(df, label, p)
+    return kind, platt(df, label, p) if kind == "platt" else isotonic(df, label, p) if kind == "isotonic" else None
+
+
+def train_binary_target(df: DataFrame, target: str, base_columns: list[str], columns: list[str], rounds: int = 20, segments: tuple[str, ...] = ("credit_score_band",)) -> Fitted:
+    """Mature rows, purged split, two models, the champion by average precision, then its calibrator.
+
+    The champion is measured raw and calibrated on test rows that neither saw.
+    """
+    parts, notes = target_parts(df, target), []
+    fit, test = checkpoint(parts["fit"]), checkpoint(parts["test"])
+    if parts["n_immature"]:
+        notes.append(f"{parts['n_immature']} rows whose window ends after the panel are left out")
+    classes = lambda rows: rows.select(target).distinct().count()
+    if classes(test) < 2 or classes(fit) < 2:
+        return Fitted(target, columns, "none", None, "identity", None, None, None, {}, [*notes, "no label variation; skipped"])
+    candidates, rows = {}, []
+    for name, maker, cols in (("baseline", baseline_model, base_columns), ("boosted", boosted_model, columns)):
+        model = maker(fit, target, cols) if maker is baseline_model else maker(fit, target, cols, rounds)
+        scored = checkpoint(score(model, test, cols, "_p"))
+        candidates[name] = model, cols, scored, pr_auc(score_table(scored, target, "_p")).first()["pr_auc"] or 0.0
+        rows.append(binary_metrics(scored, target, "_p").select(F.lit(name).alias("model"), F.lit(len(cols)).alias("n_features"), F.lit(False).alias("calibrated"), "*"))
+    champion = max(candidates, key=lambda k: candidates[k][3])
+    model, cols, *_ = candidates[champion]
+    kind, fitted, reliability, by_segment = "identity", None, None, {}
+    if parts["calibration"] is None:
+        notes.append("too few rows to calibrate on")
+    else:
+        kind, fitted = fit_calibrator(checkpoint(score(model, parts["calibration"], cols, "_p")), target, "_p")
+    out = Fitted(target, cols, champion, model, kind, fitted, None, None, {}, notes)
+    if parts["calibration"] is not None:
+        final = checkpoint(out.score(test, "_p"))
+        rows.append(binary_metrics(final, target, "_p").select(F.lit(f"{champion} + {kind}").alias("model"), F.lit(len(cols)).alias("n_features"), F.lit(True).alias("calibrated"), "*"))
+        reliability = reliability_bins(final, target, "_p")
+        by_segment = {c: calibration_by_segment(final, target, "_p", c) for c in segments if c in final.columns}
+    metrics = rows[0]
+    for r in rows[1:]:
+        metrics = metrics.unionByName(r)
+    out.metrics, out.reliability, out.segments = metrics, reliability, by_segment
+    return out
+
+
+def score_targets(df: DataFrame, models: list[Fitted], names: dict[str, str] | None = None) -> DataFrame:
+    """``df`` with one calibrated probability for each target that has a model; others are left out."""
+    for m in models:
+        if m.model is not None:
+            df = m.score(df, (names or {}).get(m.target, f"{m.target}_prob"))
+    return df
+
+
+def predictability_ceiling(df: DataFrame, target: str, columns: list[str], rounds: int = 10, test_pct: int = 25) -> DataFrame:
+    """(split, n_test, prevalence, roc_auc, pr_auc, lift, share_lost_to_time): the same recipe out of time and on held-out loans.
+
+    Lift, not average precision, is compared, as the two test sets differ in prevalence.
+    """
+    horizon = HORIZONS.get(target, 0)
+    usable = checkpoint(mature_label_mask(df.where(F.col(target).isNotNull()), horizon))
+    timed = time_aware_split(usable, horizon)
+    held = F.pmod(F.xxhash64("loan_id", F.lit("ceiling")), F.lit(100)) < test_pct
+    out = None
+    for name, train, test in (("temporal", timed.where("part = 'train'"), timed.where("part = 'test'")), ("random", usable.where(~held), usable.where(held))):
+        scored = checkpoint(score(boosted_model(checkpoint(train), target, columns, rounds), test, columns, "_p"))
+        table = checkpoint(score_table(scored, target, "_p"))
+        row = scored.agg(F.count("*").alias("n_test"), F.avg(F.col(target).cast("double")).alias("prevalence")).crossJoin(roc_auc(table)).crossJoin(pr_auc(table).withColumnRenamed("pr_auc_lift", "lift"))
+        row = row.select(F.lit(name).alias("split"), "*")
+        out = row if out is None else out.unionByName(row)
+    lifts = out.agg(F.max(F.when(F.col("split") == "random", F.col("lift"))).alias("_r"), F.max(F.when(F.col("split") == "temporal", F.col("lift"))).alias("_t"))
+    lost = ((F.col("_r") - F.col("_t")) / F.nullif("_r", F.lit(0.0))).alias("share_lost_to_time")
+    return out.crossJoin(F.broadcast(lifts)).select(*out.columns, lost)
+
+
+def permutation_importance(model: PipelineModel, df: DataFrame, label: str, columns: list[str], top: int = 10) -> DataFrame:
+    """(column, auc_drop): how much AUC falls when a column's values are dealt to other rows.
+
+    Rows and values get places by prefix sums over two hashes of row_id, and are joined by place. ``df`` is the
+    bounded sample that the model is judged on.
+    """
+    df = checkpoint(df.select("row_id", label, *columns))
+    auc = lambda rows: roc_auc(score_table(score(model, rows, columns, "_p"), label, "_p")).first()["roc_auc"]
+    whole, out = auc(df), []
+
+    def placed(rows: DataFrame, seed: str) -> DataFrame:
+        keyed = rows.withColumns({"_k": F.struct(F.xxhash64("row_id", F.lit(seed)).alias("h"), F.col("row_id").alias("i")), "_one": F.lit(1).cast("long")})
+        return prefix_sums(keyed, "_k", ["_one"]).drop("_k", "_one").withColumnRenamed("up__one", "_at")
+
+    rows = checkpoint(placed(df, "rows"))
+    for c in columns:
+        values = placed(df.select("row_id", F.col(c).alias("_v")), c).select("_at", "_v")
+        out.append((c, whole - auc(rows.join(values, "_at").withColumn(c, F.col("_v")).drop("_v", "_at"))))
+    rows = sorted(out, key=lambda x: (-x[1], x[0]))[:top]
+    return df.sparkSession.createDataFrame(rows, "column string, auc_drop double")
+
+
+def temporal_ensemble(df: DataFrame, rows: DataFrame, target: str, columns: list[str], folds: int = 3, rounds: int = 5) -> DataFrame:
+    """``rows`` with mean_prediction, spread and the like over models that were fitted on expanding windows.
+
+    Folds without both labels are left out; fewer than two usable folds raise.
+    """
+    horizon, names = HORIZONS.get(target, 0), []
+    for f in walk_forward_folds(df, folds, horizon).collect():  # one row for each fold
+        train = checkpoint(df.where(F.col("reporting_month") <= F.lit(f["train_end"])))
+        if train.select(target).distinct().count() == 2:
+            names.append(f"_f{f['fold']}")
+            rows = checkpoint(score(boosted_model(train, target, columns, rounds), rows, columns, names[-1]))
+    return temporal_spread(rows, names).drop(*names)
+
+
+# Next state.
+def recombine(change: Column, destination: Column, current: Column) -> Column:
+    """Six probabilities: 1 - change for the current state, else change by destination without the current state.
+
+    ``destination`` has six probabilities; what it gives the current state belongs to no change. Where nothing is
+    left, only the stay cell has a value.
+    """
+    states = F.array(*[F.lit(s) for s in STATES])
+    others = F.zip_with(destination, states, lambda q, s: F.when(s == current, 0.0).otherwise(q))
+    total = F.aggregate(others, F.lit(0.0), lambda a, x: a + x)
+    return F.zip_with(others, states, lambda q, s: F.when(s == current, 1 - change).otherwise(F.when(total > 0, change * q / total).otherwise(0.0)))
+
+
+def _multiclass(train: DataFrame, label: str, columns: list[str]) -> tuple[PipelineModel, list[str]]:
+    classes = [s for s in STATES if train.where(F.col(label) == s).limit(1).count()]
+    y = F.array_position(F.array(*[F.lit(s) for s in classes]), F.col(label)).cast("double") - 1
+    rows = checkpoint(_doubles(train.where(F.col(label).isin(classes)), columns).withColumn("_y", y))
+    forest = RandomForestClassifier(labelCol="_y", numTrees=20, maxDepth=6, seed=7)
+    return Pipeline(stages=[*preprocess(rows, columns, scale=False), forest]).fit(rows), classes
+
+
+def _six(model: tuple[PipelineModel, list[str]], rows: DataFrame, columns: list[str], name: str) -> DataFrame:
+    fitted, classes = model
+    got = vector_to_array("probability")
+    p = F.array(*[got[classes.index(s)] if s in classes else F.lit(0.0) for s in STATES])
+    return fitted.transform(_doubles(rows, columns)).select(*[F.col(c) for c in rows.columns], p.alias(name))
+
+
+def next_state_hierarchical(df: DataFrame, columns: list[str], target: str = "next_state", least_changes: int = 100, rounds: int = 10) -> tuple[DataFrame, str, list[str]]:
+    """Will the state change, and then to what: (metrics, champion, notes).
+
+    metrics has a row for persistence (a reference, never the champion), a flat six-class model and, with
+    ``least_changes`` changes to two states or more, the two stages. The champion has the least log-loss. The first
+    stage is not class-weighted, as its output is multiplied and not cut.
+    """
+    notes = []
+    parts = checkpoint(time_aware_split(df.where(F.col(target).isNotNull() & F.col("current_status").isNotNull()), 1))
+    train, test = (parts.where(F.col("part") == p).drop("part") for p in ("train", "test"))
+    states = F.array(*[F.lit(s) for s in STATES])
+    scored = test.withColumn("_persistence", F.transform(states, lambda s: (s == F.col("current_status")).cast("double")))
+    scored = checkpoint(_six(_multiclass(train, target, columns), scored, columns, "_flat"))
+    names = {"persistence": "_persistence", "flat": "_flat"}
+    changed = train.withColumn("_changed", (F.col(target) != F.col("current_status")).cast("int"))
+    moves = checkpoint(changed.where("_changed = 1"))
+    if moves.count() >= least_changes and moves.select(target).distinct().count() >= 2:
+        rows = _doubles(changed, columns)
+        first = Pipeline(stages=[*preprocess(rows, columns, scale=False), GBTClassifier(labelCol="_changed", maxIter=rounds, maxDepth=4, stepSize=0.1, seed=7)]).fit(rows)
+        scored = _six(_multiclass(moves, target, columns), score(first, scored, columns, "_change"), columns, "_to")
+        scored = checkpoint(scored.withColumn("_two", recombine(F.col("_change"), F.col("_to"), F.col("current_status"))))
+        names["hierarchical"] = "_two"
+    else:
+        notes.append("too few state changes for a second stage")
+    out = None
+    for name, p in names.items():
+        row = log_loss_multiclass(scored, target, p).crossJoin(classification_report(score_next_state(scored, p), target, "next_state_pred")).select(F.lit(name).alias("model"), "*")
+        out = row if out is None else out.unionByName(row)
+    out = checkpoint(out)
+    champion = out.where("model <> 'persistence'").orderBy("log_loss", "model").first()["model"]
+    return out, champion, notes
+
+
+# What is left for a model once the rules have spoken.
+# Types that only rules assign.
+RULES_ONLY = ["status_reversal"]
+
+
+def residual_gates(flagged: DataFrame, label: str = "exception_required", kind: str = "exception_type", least: int = 20, least_type: int = 25) -> DataFrame:
+    """(n_residual, n_exceptions, enough, n_train_positive, n_test_positive, trainable, learnable_types) of rows that no detector rule covers."""
+    residual = flagged.where(~rule_covered())
+    months = months_of(residual)
+    if len(months) < 3:
+        part = F.lit("train")
+    else:
+        at = max(0, len(months) - 7)
+        part = F.when(F.col("reporting_month") <= F.lit(months[at]), "train").otherwise("test")
+    y = F.coalesce(F.col(label) == 1, F.lit(False))
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    counts = residual.agg(F.count("*").alias("n_residual"), n(y).alias("n_exceptions"), n(y & (part == "train")).alias("n_train_positive"), n(y & (part == "test")).alias("n_test_positive"))
+    types = residual.where(F.col(kind).isNotNull() & ~F.col(kind).isin("none", *RULES_ONLY)).groupBy(kind).count().where(F.col("count") >= least_type)
+    types = types.agg(F.array_join(F.sort_array(F.collect_set(kind)), ",").alias("learnable_types"))
+    enough = F.col("n_exceptions") >= least
+    return counts.crossJoin(types).select(
+        "n_residual", "n_exceptions", enough.alias("enough"), "n_train_positive", "n_test_positive", (enough & (F.col("n_train_positive") >= 5) & (F.col("n_test_positive") >= 3)).alias("trainable"), "learnable_types"
+    )
+
+
+def residual_exception_model(flagged: DataFrame, columns: list[str], label: str = "exception_required", rounds: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(scored, gates): ``flagged`` with residual_prob, null where a rule covers the row or the gates are not met."""
+    flagged = checkpoint(flagged)
+    gates = checkpoint(residual_gates(flagged, label))
+    if not gates.first()["trainable"]:
+        return flagged.withColumn("residual_prob", F.lit(None).cast("double")), gates
+    residual = flagged.where(~rule_covered())
+    cut = months_of(residual)
+    cut = cut[max(0, len(cut) - 7)]
+    train = checkpoint(residual.where(F.col("reporting_month") <= F.lit(cut)).withColumn(label, F.coalesce(label, F.lit(0))))
+    scored = score(boosted_model(train, label, columns, rounds), residual.select("row_id", *columns), columns, "residual_prob").select("row_id", "residual_prob")
+    return flagged.join(scored, "row_id", "left"), gates
+
+
+# Transition chains with covariates.
+def blend_weights(holdout: DataFrame, models: dict, columns: list[str]) -> dict[str, float]:
+    """The model's weight in each origin state, by log-loss on rows it was not fitted on; half where none came."""
+    from panelworks.operators.transitions import credibility_blend
+
+    scored = score_transitions(holdout, models, columns)
+    states = F.array(*[F.lit(s) for s in STATES])
+    hit = lambda p: F.coalesce(F.try_element_at(p, F.array_position(states, F.col("to_state")).cast("int")), F.lit(0.0))
+    found = credibility_blend(scored.select("from_state", hit("p_model").alias("p_model"), hit("p").alias("p_empirical"))).collect()  # one row for each state
+    return {s: 0.5 for s in models} | {r["from_state"]: float(r["alpha"]) for r in found if r["from_state"] in models}
+
+
+def covariate_paths(loans: DataFrame, models: dict, weights: dict[str, float], cells: DataFrame, scenarios: DataFrame, columns: list[str], horizon: int = 12) -> DataFrame:
+    """(row_id, scenario, month, p) of chains whose matrix is worked out anew each month from advanced covariates.
+
+    A loan becomes one row for each step; each origin state's model scores all of them, blended with the empirical
+    row by the state's weight; absorbing rows stay. The steps of a loan are folded in the end.
+    """
+    steps = loans.select(*dict.fromkeys(["row_id", "current_status", "loan_age_months", "remaining_term_months", "interest_rate", "balance_ratio", *columns]))
+    steps = advance_covariates(steps.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1)))), F.col("h"))
+    base = [c for c in steps.columns]
+    rows = []
+    for i, s in enumerate(STATES):
+        name = f"_row{i}"
+        if s in ABSORBING:
+            steps = steps.withColumn(name, F.array(*[F.lit(float(t == s)) for t in STATES]))
+        else:
+            steps = one_step_scores(steps.withColumn("from_state", F.lit(s)), cells).withColumnRenamed("p", name).drop("from_state")
+            if s in models:
+                steps = _six(models[s], steps, columns, "_m").withColumn(name, F.zip_with("_m", name, lambda a, b: weights[s] * a + (1 - weights[s]) * b)).drop("_m")
+        rows.append(name)
+    steps = checkpoint(steps.select(*base, F.array(*rows).alias("m")))
+    told = steps.crossJoin(F.broadcast(scenarios)).select(
+        "row_id", "scenario", F.col("current_status").alias("start"), "h", stressed(F.col("m"), F.col("default_mult"), F.col("delinq_mult"), F.col("prepay_mult")).alias("m")
+    )
+    return fold_paths(told, horizon)
+
+
+# Cause-specific hazards.
+def cox_cause_specific(events: DataFrame, covariates: dict[str, Column], cause: int = 1, ridge: float = 0.1, rounds: int = 25) -> DataFrame:
+    """(covariate, coef, hazard_ratio): proportional hazards of one cause, the other being censored; Breslow ties.
+
+    ``events`` has duration and event. Covariates are scaled to unit deviation and penalised by ``ridge`` / 2 times
+    the mean's square norm, as the mean log-likelihood is maximised. Each Newton step sums the risk sets by
+    duration on Spark; one row for each duration comes to the driver.
+    """
+    names = list(covariates)
+    rows = events.select("duration", (F.col("event") == cause).cast("double").alias("d"), *[c.cast("double").alias(f"x{i}") for i, c in enumerate(covariates.values())])
+    rows = rows.dropna()
+    k = len(names)
+    moments = rows.agg(F.count("*").alias("n"), *[f(f"x{i}").alias(f"{f.__name__}{i}") for i in range(k) for f in (F.avg, F.stddev_samp)]).first()
+    mean, dev = (np.array([moments[f"{f}{i}"] or 0.0 for i in range(k)]) for f in ("avg", "stddev_samp"))
+    live = dev > 0
+    scaled = checkpoint(rows.select("duration", "d", *[((F.col(f"x{i}") - float(mean[i])) / float(dev[i] if live[i] else 1.0)).alias(f"x{i}") for i in range(k)]))
+    b, n = np.zeros(k), max(1, moments["n"])
+    for _ in range(rounds):
+        w = F.exp(sum((F.lit(float(b[i])) * F.col(f"x{i}") for i in range(k)), F.lit(0.0)))
+        sums = [F.sum(w).alias("s0"), F.sum("d").alias("d")]
+        sums += [F.sum(w * F.col(f"x{i}")).alias(f"s{i + 1}") for i in range(k)] + [F.sum(F.col("d") * F.col(f"x{i}")).alias(f"e{i}") for i in range(k)]
+        sums += [F.sum(w * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i in range(k) for j in range(i, k)]
+        table = scaled.groupBy("duration").agg(*sums).orderBy(F.desc("duration")).toPandas()
+        risk = table.drop(columns=["duration"]).cumsum()
+        d, s0 = table["d"].to_numpy(), risk["s0"].to_numpy()
+        s1 = risk[[f"s{i + 1}" for i in range(k)]].to_numpy()
+        grad = table[[f"e{i}" for i in range(k)]].to_numpy().sum(axis=0) - (d[:, None] * s1 / s0[:, None]).sum(axis=0)
+        hess = np.zeros((k, k))
+        for i in range(k):
+            for j in range(i, k):
+                hess[i, j] = hess[j, i] = (d * (risk[f"q{i}_{j}"].to_numpy() / s0 - s1[:, i] * s1[:, j] / s0**2)).sum()
+        step = np.linalg.solve(hess / n + ridge * np.eye(k), grad / n - ridge * b)
+        b = b + step
+        if np.abs(step).max() < 1e-8:
+            break
+    coef = np.where(live, b / np.where(live, dev, 1.0), 0.0)
+    return events.sparkSession.createDataFrame([(name, float(c), float(np.exp(c))) for name, c in zip(names, coef)], "covariate string, coef double, hazard_ratio double")

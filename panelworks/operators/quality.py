@@ -7,30 +7,38 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from panelworks.functions.columns import clip
+from panelworks.operators.metrics import quantile_row, quantiles
 from panelworks.schema import ALIASES
+from panelworks.session import checkpoint
 
 KEY_COLUMNS = ["current_balance", "current_status", "days_past_due", "interest_rate", "credit_score_band", "document_status"]
 #: Numeric columns whose robust deviation counts; time-like columns and identifiers stay out.
 OUTLIER_COLUMNS = ["original_balance", "current_balance", "interest_rate", "days_past_due", "modification_flag"]
 
+MANY_LEVELS = 50
+
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
 
 
 def profile_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row for each column: missing, distinct, and for numbers min, median, max and 3-IQR outliers.
+    """One row for each column: type, missing, distinct, and for numbers min, median, max and 3-IQR outliers.
 
-    Pass one is one wide aggregate; pass two counts outliers beyond the fences found by it.
+    Pass one is one wide aggregate and the quartiles; pass two counts outliers beyond the fences found by it.
+    A text column of more than MANY_LEVELS values has high cardinality.
     """
+    df = checkpoint(df.select(*(columns or df.columns)))
     columns = columns or df.columns
     numbers = [c for c in numeric_columns(df) if c in columns]
     cells = [F.count("*").alias("n")]
     for c in columns:
         cells += [F.count(c).alias(f"n_{c}"), F.countDistinct(c).alias(f"d_{c}")]
-        if c in numbers:
-            cells.append(F.percentile(F.col(c).cast("double"), F.array(*[F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias(f"q_{c}"))
     first = df.agg(*cells)
+    if numbers:
+        first = first.crossJoin(F.broadcast(quantile_row(df, {c: F.col(c) for c in numbers}, [0.0, 0.25, 0.5, 0.75, 1.0], "q_")))
+    first = checkpoint(first)
+    kinds = dict(df.dtypes)
     wide = df.select(*[F.col(c).cast("double").alias(f"x_{c}") for c in numbers]).crossJoin(F.broadcast(first))
     iqr = lambda c: F.col(f"q_{c}")[3] - F.col(f"q_{c}")[1]
     out = lambda c: (F.col(f"x_{c}") < F.col(f"q_{c}")[1] - 3 * iqr(c)) | (F.col(f"x_{c}") > F.col(f"q_{c}")[3] + 3 * iqr(c))
@@ -38,11 +46,11 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None) -> DataFram
     both = first.crossJoin(beyond) if numbers else first
     null = "CAST(NULL AS DOUBLE)"
     rows = ", ".join(
-        f"'{c}', n - n_{c}, d_{c}, " + (f"q_{c}[0], q_{c}[2], q_{c}[4], o_{c}" if c in numbers else f"{null}, {null}, {null}, CAST(NULL AS BIGINT)")
+        f"'{c}', '{kinds[c]}', n - n_{c}, d_{c}, {f'd_{c} > {MANY_LEVELS}' if kinds[c] == 'string' else 'false'}, " + (f"q_{c}[0], q_{c}[2], q_{c}[4], o_{c}" if c in numbers else f"{null}, {null}, {null}, CAST(NULL AS BIGINT)")
         for c in columns
     )
-    return both.selectExpr("n", f"stack({len(columns)}, {rows}) AS (column, n_missing, n_distinct, min, median, max, n_outliers)").select(
-        "column", "n_missing", (100.0 * F.col("n_missing") / F.col("n")).alias("missing_pct"), "n_distinct", "min", "median", "max", "n_outliers"
+    return both.selectExpr("n", f"stack({len(columns)}, {rows}) AS (column, dtype, n_missing, n_distinct, high_cardinality, min, median, max, n_outliers)").select(
+        "column", "dtype", "high_cardinality", "n_missing", (100.0 * F.col("n_missing") / F.col("n")).alias("missing_pct"), "n_distinct", "min", "median", "max", "n_outliers"
     )
 
 
@@ -108,25 +116,28 @@ def inconsistent_categories(df: DataFrame, columns: list[str], most_levels: int
 
 
 def relationship_breaks(df: DataFrame) -> DataFrame:
-    """(invariant, n_breaks, pct) of what should hold between columns."""
+    """(invariant, n_breaks, pct) of what should hold between columns; those whose columns are missing are left out."""
     months = (F.year("reporting_month") - F.year("origination_month")) * 12 + F.month("reporting_month") - F.month("origination_month")
     breaks = {
-        "balance <= original": F.col("current_balance") > F.col("original_balance") * 1.0001,
-        "age + remaining = term": F.abs(F.col("loan_age_months") + F.col("remaining_term_months") - 360) > 1,
-        "age = months since origination": F.abs(F.col("loan_age_months") - months) > 1,
-        "current => dpd 0": (F.col("current_status") == "Current") & (F.col("days_past_due") > 0),
+        "balance <= original": (["current_balance", "original_balance"], F.col("current_balance") > F.col("original_balance") * 1.0001),
+        "age + remaining = term": (["loan_age_months", "remaining_term_months", "original_term_months"], F.abs(F.col("loan_age_months") + F.col("remaining_term_months") - F.col("original_term_months")) > 1),
+        "age = months since origination": (["reporting_month", "origination_month", "loan_age_months"], F.abs(F.col("loan_age_months") - months) > 1),
+        "current => dpd 0": (["current_status", "days_past_due"], (F.col("current_status") == "Current") & (F.col("days_past_due") > 0)),
+        "prepayment flag => prepaid": (["prepayment_flag", "current_status"], (F.col("prepayment_flag") == 1) & (F.col("current_status") != "Prepaid")),
     }
+    breaks = {name: test for name, (needs, test) in breaks.items() if set(needs) <= set(df.columns)}
     wide = df.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(b.cast("long")), F.lit(0)).alias(f"b{i}") for i, b in enumerate(breaks.values())])
     rows = ", ".join(f"'{name}', b{i}" for i, name in enumerate(breaks))
     return wide.selectExpr("n", f"stack({len(breaks)}, {rows}) AS (invariant, n_breaks)").select("invariant", "n_breaks", (100.0 * F.col("n_breaks") / F.col("n")).alias("pct"))
 
 
 def robust_stats(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: med_<c> and mad_<c> (median absolute deviation) of each column; two aggregates."""
-    med = df.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(f"med_{c}") for c in columns])
-    both = df.select(*columns).crossJoin(F.broadcast(med))
-    mad = both.agg(*[F.percentile(F.abs(F.col(c) - F.col(f"med_{c}")), F.lit(0.5)).alias(f"mad_{c}") for c in columns])
-    return med.crossJoin(mad)
+    """One row: med_<c> and mad_<c> (median absolute deviation) of each column, each by one pass of prefix sums."""
+    df = checkpoint(df.select(*columns))
+    med = checkpoint(quantile_row(df, {c: F.col(c) for c in columns}, [0.5], "_m_").select(*[F.col(f"_m_{c}")[0].alias(f"med_{c}") for c in columns]))
+    both = df.crossJoin(F.broadcast(med))
+    mad = quantile_row(both, {c: F.abs(F.col(c) - F.col(f"med_{c}")) for c in columns}, [0.5], "_d_")
+    return checkpoint(med.crossJoin(mad).select(*med.columns, *[F.col(f"_d_{c}")[0].alias(f"mad_{c}") for c in columns]))
 
 
 def record_quality(df: DataFrame, columns: list[str] = OUTLIER_COLUMNS) -> DataFrame:
@@ -186,11 +197,12 @@ def drift_report(expected: DataFrame, actual: DataFrame, numbers: list[str], cat
     open ends and the last bin closed; others and categories compare shares of their values.
     """
     both = _long(expected, numbers, categories).withColumn("side", F.lit("e")).unionByName(_long(actual, numbers, categories).withColumn("side", F.lit("a")))
-    qs = F.array(*[F.lit(i / buckets) for i in range(buckets + 1)])
-    edges = both.where("side = 'e'").groupBy("column").agg(
-        F.array_distinct(F.percentile("x", qs)).alias("edges"), F.countDistinct("x").alias("n_values")
-    )
-    rows = both.join(F.broadcast(edges), "column")
+    both = checkpoint(both)
+    there = both.where("side = 'e'").select(F.col("column").alias("g"), "x")
+    edges = quantiles(there, [i / buckets for i in range(buckets + 1)]).select(F.col("g").alias("column"), F.array_distinct("q").alias("edges"))
+    values = there.groupBy(F.col("g").alias("column")).agg(F.countDistinct("x").alias("n_values"))
+    # One row for each column of the report.
+    rows = both.join(F.broadcast(values.join(edges, "column", "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<double>")))), "column")
     inner = F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
     binned = (F.col("n_values") > buckets)
     value = F.when(binned & F.col("x").isNotNull(), F.size(F.filter(inner, lambda e: e <= F.col("x"))).cast("string")).when(F.col("x").isNotNull(), F.col("x").cast("string")).otherwise(F.col("level"))

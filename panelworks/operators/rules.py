@@ -98,16 +98,23 @@ def rule_scores(flagged: DataFrame) -> DataFrame:
     )
 
 
-def rule_catalog(flagged: DataFrame, declared: list[str] | None = None) -> DataFrame:
-    """(rule_id, severity, weight, implemented, n_flagged) of every declared rule."""
-    declared = declared or list(REGISTRY)
-    there = set(flag_columns(flagged))
-    counts = flagged.agg(*[F.coalesce(F.sum(F.col(r).cast("long")), F.lit(0)).alias(r) for r in declared if r in there])
-    rows = ", ".join(
-        f"'{r}', '{SEVERITIES.get(r, 'medium')}', {WEIGHTS[SEVERITIES.get(r, 'medium')]}D, {'true' if r in there else 'false'}, {r if r in there else '0L'}"
-        for r in declared
-    )
-    return counts.selectExpr(f"stack({len(declared)}, {rows}) AS (rule_id, severity, weight, implemented, n_flagged)")
+def rule_catalog(flagged: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    """(rule_id, severity, weight, source, implemented, n_flagged, description) of every declared and every local rule.
+
+    ``declared`` is a table of rule declarations (rule_id, description, severity). A declared rule that the engine
+    does not know is reported as not implemented with no flags; a known rule that is not declared is a local one.
+    """
+    flags = flag_columns(flagged)
+    counts = flagged.agg(*[F.coalesce(F.sum(F.col(r).cast("long")), F.lit(0)).alias(r) for r in flags])
+    rows = ", ".join(f"'{r}', '{SEVERITIES.get(r, 'medium')}', {r}" for r in flags)
+    known = counts.selectExpr(f"stack({len(flags)}, {rows}) AS (rule_id, _severity, _n)")
+    if declared is None:
+        out = known.withColumns({"severity": F.col("_severity"), "description": F.lit(None).cast("string"), "source": F.lit("local")})
+    else:
+        told = declared.groupBy("rule_id").agg(F.min("severity").alias("severity"), F.min("description").alias("description"), F.lit(1).alias("_d"))
+        out = told.join(known, "rule_id", "full").withColumns({"severity": F.coalesce("severity", "_severity", F.lit("medium")), "source": F.when(F.col("_d").isNotNull(), "declared").otherwise("local")})
+    weight = F.coalesce(lookup(WEIGHTS, F.col("severity")), F.lit(WEIGHTS["medium"]))
+    return out.select("rule_id", "severity", weight.alias("weight"), "source", F.col("_severity").isNotNull().alias("implemented"), F.coalesce("_n", F.lit(0)).alias("n_flagged"), "description")
 
 
 def benchmark_rules(flagged: DataFrame, label: str = "exception_required", kind: str = "exception_type") -> DataFrame:

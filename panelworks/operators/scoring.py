@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelworks.operators.metrics import prefix_sums
-from panelworks.operators.rules import rule_covered
-from panelworks.schema import STATES
+from panelworks.functions.columns import lookup
+from panelworks.operators.metrics import prefix_sums, quantile_row
+from panelworks.operators.quality import numeric_columns
+from panelworks.operators.rules import flag_columns, rule_covered
+from panelworks.schema import FEATURE_LABELS, RULE_LABELS, STATES
+from panelworks.session import checkpoint
 
 # Thresholds and wording of the action policy, in order of precedence.
 ACTIONS = [
@@ -28,6 +31,12 @@ TEMPLATE = [
 ]
 PROBS = [c for c in TEMPLATE if c.endswith("_prob")]
 MAX_TIE_SHARE, MIN_DISTINCT = 0.25, 0.05
+# Columns that the anomaly detector must not see.
+NOT_DETECTED = [
+    "row_id", "loan_id", "month_index", "reporting_month", "delinq_3", "delinq_6", "default_12", "prepay_12", "next_state", "exception_required", "exception_type",
+    "default_flag", "prepayment_flag", "loss_severity_band", "rule_violation_count", "rule_severity_score", "data_quality_score",
+]
+IN_COMBINATION = "no single feature is individually extreme; the record is unusual in combination"
 
 
 def recommend_action() -> Column:
@@ -50,8 +59,10 @@ def model_confidence(df: DataFrame, spread: str = "relative_spread") -> DataFram
     return out.withColumn("model_confidence", F.least(F.greatest(1 - F.col("_r"), F.lit(0.01)), F.lit(0.99))).drop("_s", "_r")
 
 
-def risk_band(p: Column) -> Column:
-    return F.when(p.isNull(), "unknown").when(p < 0.30, "Low").when(p < 0.60, "Medium").otherwise("High")
+def risk_band(p: Column, bounds: tuple[float, float] = (0.30, 0.60), right_closed: bool = False) -> Column:
+    """Low, Medium or High; unknown for null. ``right_closed`` puts a value at a bound into the lower band."""
+    below = lambda bound: p <= bound if right_closed else p < bound
+    return F.when(p.isNull() | F.isnan(p), "unknown").when(below(bounds[0]), "Low").when(below(bounds[1]), "Medium").otherwise("High")
 
 
 def template_select(df: DataFrame, template: list[str] = TEMPLATE) -> DataFrame:
@@ -61,28 +72,39 @@ def template_select(df: DataFrame, template: list[str] = TEMPLATE) -> DataFrame:
     return df.select(*template)
 
 
-def build_submission(df: DataFrame) -> DataFrame:
-    """The template's columns; months as yyyy-MM-dd, missing targets null."""
+def build_submission(df: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """The template's columns, after those to ``keep``; months as yyyy-MM-dd, missing targets null."""
     df = df.withColumns({c: F.lit(None).cast("double") for c in PROBS if c not in df.columns})
-    return template_select(df.withColumns({"recommended_action": recommend_action(), "reporting_month": F.date_format("reporting_month", "yyyy-MM-dd")}))
+    return template_select(df.withColumns({"recommended_action": recommend_action(), "reporting_month": F.date_format("reporting_month", "yyyy-MM-dd")}), [*keep, *TEMPLATE])
+
 
+def validate_submission(df: DataFrame, panel: DataFrame) -> DataFrame:
+    """(check, passed) rows: order, row count, alignment, range, nulls, states, flag, constants, ties, blanks.
 
-def validate_submission(df: DataFrame, expected_rows: int) -> DataFrame:
-    """(check, passed) rows: order, row count, range, nulls, states, flag, constants, ties, blanks."""
+    ``df`` and ``panel`` (the rows that were to be scored) both have row_id beside their columns, by which
+    they are aligned; the template is checked without it.
+    """
+    shown = df.drop("row_id")
     probs = [c for c in [*PROBS, "exception_confidence", "anomaly_score", "model_confidence", "next_state_confidence"] if c in df.columns]
-    n = F.count("*")
+    none = lambda test: ~F.coalesce(F.bool_or(test), F.lit(False))
     tests = {
-        "row count": n == expected_rows,
-        "probabilities in range": ~F.coalesce(F.bool_or(sum((~F.col(c).between(0, 1)).cast("int") for c in probs) > 0), F.lit(False)),
-        "no nulls": ~F.coalesce(F.bool_or(sum(F.col(c).isNull().cast("int") for c in TEMPLATE) > 0), F.lit(False)),
-        "known states": ~F.coalesce(F.bool_or(~F.col("next_state_pred").isin(STATES)), F.lit(False)),
-        "flag is 0 or 1": ~F.coalesce(F.bool_or(~F.col("exception_required_pred").isin(0, 1)), F.lit(False)),
-        "no blank text": ~F.coalesce(F.bool_or(sum((F.trim(c) == "").cast("int") for c in ("top_drivers", "recommended_action", "exception_type_pred")) > 0), F.lit(False)),
+        "probabilities in range": none(sum((~F.col(c).between(0, 1)).cast("int") for c in probs) > 0),
+        "known states": none(~F.col("next_state_pred").isin(STATES)),
+        "flag is 0 or 1": none(~F.col("exception_required_pred").isin(0, 1)),
+        "no blank text": none(sum(F.coalesce(F.trim(c) == "", F.lit(True)).cast("int") for c in ("top_drivers", "recommended_action", "exception_type_pred")) > 0),
     }
-    tests |= {f"not constant: {c}": F.coalesce(F.min(c) != F.max(c), F.lit(False)) for c in PROBS}
+    tests |= {f"no nulls: {c}": none(F.col(c).isNull()) for c in TEMPLATE if c in df.columns}
+    tests |= {f"not constant: {c}": F.coalesce(F.min(c) != F.max(c), F.lit(False)) for c in (*PROBS, "anomaly_score", "model_confidence") if c in df.columns}
     wide = df.agg(*[t.alias(f"t{i}") for i, t in enumerate(tests.values())])
     out = wide.selectExpr(f"stack({len(tests)}, {', '.join(f"'{name}', t{i}" for i, name in enumerate(tests))}) AS (check, passed)")
-    out = out.unionByName(df.sparkSession.createDataFrame([("column order", list(df.columns) == TEMPLATE)], "check string, passed boolean"))
+    month = lambda c: F.date_format(c, "yyyy-MM-dd")
+    pairs = df.select("row_id", F.col("loan_id").alias("_l"), F.col("reporting_month").alias("_m"), F.lit(1).alias("_in")).join(panel.select("row_id", "loan_id", "reporting_month", F.lit(1).alias("_out")), "row_id", "full")
+    aligned = pairs.agg(
+        (F.count("_in") == F.count("_out")).alias("a"), F.coalesce(F.bool_and(F.col("_l").eqNullSafe(F.col("loan_id")) & F.col("_m").eqNullSafe(month("reporting_month"))), F.lit(True)).alias("b")
+    )
+    out = out.unionByName(aligned.selectExpr("stack(2, 'row count', a, 'rows align', b) AS (check, passed)"))
+    order = F.lit(list(shown.columns) == TEMPLATE)
+    out = out.unionByName(wide.select(F.lit("column order").alias("check"), order.alias("passed")))
     values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x")) for c in PROBS])).alias("p")).select("p.*")
     modes = values.where("x IS NOT NULL").groupBy("c", "x").count().groupBy("c").agg((F.max("count") / F.sum("count")).alias("tie"), (F.count("*") / F.sum("count")).alias("distinct"))
     return out.unionByName(modes.select(F.concat(F.lit("ties: "), "c").alias("check"), ((F.col("tie") <= MAX_TIE_SHARE) & (F.col("distinct") >= MIN_DISTINCT)).alias("passed")))
@@ -124,6 +146,31 @@ def what_if_batch(rows: DataFrame, overrides: DataFrame, features) -> DataFrame:
     return run(new).join(before, ["scenario_id", "row_id"])
 
 
+def what_if_deltas(pairs: DataFrame, targets: list[str], keys: list[str] = ("scenario_id", "row_id")) -> DataFrame:
+    """(keys, target, baseline, scenario, change_pp, relative_change, baseline_band, scenario_band).
+
+    ``pairs`` has each target's score as <t>_base and <t>, as :func:`what_if_batch` puts them side by side.
+    """
+    cells = F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"{t}_base").alias("baseline"), F.col(t).alias("scenario")) for t in targets])
+    rows = pairs.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*").where("scenario IS NOT NULL")
+    moved = F.col("scenario") - F.col("baseline")
+    return rows.select(
+        "*", (moved * 100).alias("change_pp"), (moved / F.nullif("baseline", F.lit(0.0))).alias("relative_change"),
+        risk_band(F.col("baseline")).alias("baseline_band"), risk_band(F.col("scenario")).alias("scenario_band"),
+    )
+
+
+def changed_columns(pairs: DataFrame, columns: list[str], tolerance: float = 1e-8) -> Column:
+    """The names of those columns whose value differs from <name>_base; two nulls are alike."""
+    def differs(c: str) -> Column:
+        a, b = F.col(c), F.col(f"{c}_base")
+        if dict(pairs.dtypes)[c] in ("double", "float"):
+            return ~F.coalesce(F.abs(a - b) <= tolerance + 1e-5 * F.abs(b), a.isNull() & b.isNull())
+        return ~a.eqNullSafe(b)
+
+    return F.array_join(F.filter(F.array(*[F.when(differs(c), F.lit(c)) for c in columns]), lambda x: x.isNotNull()), ", ")
+
+
 def anomaly_score(df: DataFrame, raw: str = "raw") -> DataFrame:
     """(max - raw) / (max - min) over the scored rows; 0 where all are alike."""
     ends = df.agg(F.min(raw).alias("_lo"), F.max(raw).alias("_hi"))
@@ -131,20 +178,68 @@ def anomaly_score(df: DataFrame, raw: str = "raw") -> DataFrame:
     return df.crossJoin(F.broadcast(ends)).withColumn("anomaly_score", s).drop("_lo", "_hi")
 
 
+def detector_features(df: DataFrame, drop: list[str] = NOT_DETECTED) -> list[str]:
+    """Numeric columns of more than one value that are no target, identifier, time or rule output."""
+    there = [c for c in numeric_columns(df) if c not in drop]
+    kinds = df.agg(*[(F.min(c) < F.max(c)).alias(c) for c in there]).first() if there else {}
+    return [c for c in there if kinds[c]]
+
+
+def reference_stats(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, median, mad, scale): scale is the median absolute deviation, or IQR / 1.349 where that is 0, else null."""
+    stats = quantile_row(df, {c: F.col(c) for c in columns}, [0.25, 0.5, 0.75], "_q_")
+    stats = checkpoint(stats)
+    mads = quantile_row(df.crossJoin(F.broadcast(stats)), {c: F.abs(F.col(c) - F.col(f"_q_{c}")[1]) for c in columns}, [0.5], "_m_")
+    cells = [F.struct(F.lit(c).alias("feature"), F.col(f"_q_{c}").alias("q"), F.col(f"_m_{c}")[0].alias("mad")) for c in columns]
+    rows = stats.crossJoin(mads).select(F.explode(F.array(*cells)).alias("s")).select("s.*")
+    scale = F.coalesce(F.nullif("mad", F.lit(0.0)), F.nullif((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(0.0)))
+    return rows.select("feature", F.col("q")[1].alias("median"), "mad", scale.alias("scale"))
+
+
 def anomaly_drivers(df: DataFrame, columns: list[str], least: float = 3.0, top: int = 3) -> DataFrame:
-    """(row_id, feature, deviation, direction, rank): the largest robust deviations of each row.
+    """(row_id, feature, value, median, deviation, percentile, direction, rank): the largest robust deviations of each row.
 
-    The scale is the median absolute deviation, or IQR / 1.349 where that is 0.
+    percentile is the share of the column's values strictly below, in percent; it is looked up for the rows shown only.
     """
-    q = lambda c: F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    stats = df.agg(*[q(c).alias(f"_q_{c}") for c in columns])
-    mads = df.crossJoin(F.broadcast(stats)).agg(*[F.percentile(F.abs(F.col(c) - F.col(f"_q_{c}")[1]), F.lit(0.5)).alias(f"_m_{c}") for c in columns])
-    both = df.select("row_id", *columns).crossJoin(F.broadcast(stats.crossJoin(mads)))
-    scale = lambda c: F.coalesce(F.nullif(F.col(f"_m_{c}"), F.lit(0.0)), F.nullif((F.col(f"_q_{c}")[2] - F.col(f"_q_{c}")[0]) / 1.349, F.lit(0.0)))
-    devs = F.array(*[F.struct(F.lit(c).alias("feature"), ((F.col(c) - F.col(f"_q_{c}")[1]) / scale(c)).alias("deviation")) for c in columns])
-    rows = both.select("row_id", F.explode(devs).alias("d")).select("row_id", "d.*").where(F.abs("deviation") >= least)
+    df = checkpoint(df.select("row_id", *columns))
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
+    values = df.select("row_id", F.explode(cells).alias("v")).select("row_id", "v.*").where("value IS NOT NULL")
+    rows = values.join(F.broadcast(reference_stats(df, columns)), "feature").withColumn("deviation", (F.col("value") - F.col("median")) / F.col("scale"))
+    rows = rows.where(F.abs("deviation") >= least)
     rank = F.row_number().over(W.partitionBy("row_id").orderBy(F.desc(F.abs("deviation")), "feature"))
-    return rows.select("row_id", "feature", "deviation", F.when(F.col("deviation") > 0, "above").otherwise("below").alias("direction"), rank.alias("rank")).where(F.col("rank") <= top)
+    shown = checkpoint(rows.withColumn("rank", rank).where(F.col("rank") <= top))
+    counts = values.groupBy("feature", "value").agg(F.count("*").alias("n"))
+    placed = prefix_sums(counts.select(F.struct("feature", "value").alias("k"), "n"), "k", ["n"]).select("k.*", "n", "up_n")
+    ends = placed.groupBy("feature").agg(F.min("up_n").alias("_base"))
+    # As in the profile, nulls count in the whole that the share is of.
+    whole = ends.crossJoin(F.broadcast(df.agg(F.count("*").alias("_total"))))
+    below = placed.join(F.broadcast(whole), "feature").select("feature", "value", (100 * (F.col("up_n") - F.col("_base")) / F.col("_total")).alias("percentile"))
+    return shown.join(below, ["feature", "value"]).select(
+        "row_id", "feature", "value", "median", "deviation", "percentile", F.when(F.col("deviation") > 0, "above").otherwise("below").alias("direction"), "rank"
+    )
+
+
+def anomaly_text(rows: DataFrame, drivers: DataFrame) -> DataFrame:
+    """(row_id, n_drivers, drivers): each row's drivers as text, or that it is unusual in combination only."""
+    said = F.concat(label(F.col("feature")), F.lit(" "), "direction", F.lit(" median by "), F.format_string("%.1f", F.abs("deviation")), F.lit(" robust deviations"))
+    told = drivers.groupBy("row_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", said.alias("s")))), lambda x: x["s"]).alias("_said"))
+    out = rows.select("row_id").join(told, "row_id", "left")
+    return out.select("row_id", F.coalesce(F.size("_said"), F.lit(0)).alias("n_drivers"), F.coalesce(F.array_join("_said", "; "), F.lit(IN_COMBINATION)).alias("drivers"))
+
+
+def label(name: Column) -> Column:
+    """The reader's word for a column, else its name with blanks for underscores."""
+    return F.coalesce(lookup(FEATURE_LABELS, name), F.translate(name, "_", " "))
+
+
+def driver_text(df: DataFrame, values: DataFrame, top: int = 3) -> DataFrame:
+    """``df`` with top_drivers: the largest contributions of each row as ``label (+)``, or the rules that it breaks where a
+    detector rule covers it."""
+    flags = flag_columns(df)
+    said = values.join(df.where(~rule_covered()).select("row_id"), "row_id", "left_semi").withColumn("source", label(F.col("source")))
+    rules = F.array_join(F.filter(F.array(*[F.when(F.col(r), F.lit(RULE_LABELS.get(r, r.replace("_", " ")))) for r in flags]), lambda x: x.isNotNull()), "; ")
+    out = df.join(local_drivers(said, top).withColumnRenamed("top_drivers", "_told"), "row_id", "left")
+    return out.withColumn("top_drivers", F.when(rule_covered(), rules).otherwise(F.coalesce("_told", F.lit("not available")))).drop("_told")
 
 
 def linear_shap(df: DataFrame, coefs: dict[str, float]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Checks on texts: numbers, phrases, audit sums and TF-IDF search."""
+"""Checks on texts: numbers and their grounds, phrases, audit sums, passages and TF-IDF search."""
 
 from __future__ import annotations
 
@@ -6,41 +6,191 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Phrases that a review note must not use.
-CAUSAL = ["because of", "caused by", "due to", "led to", "resulted in"]
-CERTAINTY = ["certainly", "definitely", "guaranteed", "will default", "without doubt"]
+from panelworks.functions.columns import lookup
+from panelworks.schema import EXCEPTION_LABELS, RULE_LABELS
+from panelworks.session import checkpoint
+
+# Phrases that a review note must not use, and those of which it needs one.
+CAUSAL = [
+    "because the borrower", "because this borrower", "caused by", "the cause of", "due to the borrower", "as a result of the borrower",
+    "this means the borrower", "proves that", "demonstrates that the borrower",
+]
+DECISION = [
+    "recommend denial", "recommend denying", "should be denied", "deny the", "approve the loan", "should be approved", "recommend foreclosure",
+    "should be foreclosed", "terminate the loan", "should be charged off", "recommend rejection", "reject the",
+]
+CERTAINTY = [
+    "will default", "will certainly", "is guaranteed", "guaranteed to", "definitely will", "certain to default", "will not default", "no risk of",
+    "zero risk", "cannot default", "is certain",
+]
+DISCLAIMER = ["recommendation", "not a decision", "for review", "model estimate", "requires review", "not established causes", "advisory"]
+# Dashes and blanks that stand for ASCII ones.
+DASHES, BLANKS = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212", "\u00a0\u202f\u2009"
+#: Stands for a minus sign while numbers are looked for; no text keeps it.
+_MINUS = "\ue000"
+RELATIVE, ABSOLUTE = 0.02, 1e-6
 
 
 def normalise_text(text: Column) -> Column:
-    """Typographic dashes and blanks to ASCII; narrow blanks between digits dropped."""
-    plain = F.regexp_replace(text, r"(?<=\d)[   ](?=\d)", "")
-    return F.translate(plain, "‐‑‒–—−   ", "------   ")
+    """Typographic dashes and blanks to ASCII; narrow blanks between digits dropped; null is empty."""
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?<=\d)[{BLANKS}](?=\d)", "")
+    return F.translate(plain, DASHES + BLANKS + _MINUS, "-" * len(DASHES) + " " * len(BLANKS))
 
 
 def extract_numbers(text: Column) -> Column:
-    """Unsigned numbers in the order of the text, without commas."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(\d[\d,]*(?:\.\d+)?)"), F.lit(1))
-    return F.transform(found, lambda x: F.regexp_replace(x, ",", "").try_cast("double"))
+    """array of (raw, value, is_percent) in the order of the text, null as empty; commas and currency signs dropped.
+
+    A hyphen is a sign at the beginning and after white space, an opening bracket, colon, comma or equals sign; after
+    a letter or digit it parts words.
+    """
+    signed = F.regexp_replace(normalise_text(text), r"(^|[\s(\[{:,=])-\s*(\$?\d)", f"$1{_MINUS}$2")
+    found = F.regexp_extract_all(signed, F.lit(rf"({_MINUS}?\$?\d[\d,]*\.?\d*\s*%?)"), F.lit(1))
+
+    def one(x: Column) -> Column:
+        value = F.regexp_replace(x, rf"[,$%\s{_MINUS}]", "").try_cast("double")
+        minus = F.startswith(x, F.lit(_MINUS))
+        return F.struct(F.translate(F.rtrim(x), _MINUS, "-").alias("raw"), F.when(minus, -value).otherwise(value).alias("value"), F.contains(x, F.lit("%")).alias("is_percent"))
+
+    return F.filter(F.transform(found, one), lambda n: n["value"].isNotNull())
+
+
+def _forms(x: Column) -> Column:
+    """The ways in which a quantity may be written: itself, rounded, as a percentage if it may be a share; without its sign too."""
+    ways = []
+    for form in (x, F.abs(x)):
+        ways += [form, *[F.round(form, d) for d in range(5)]]
+        ways += [F.when(F.abs(form) <= 1, F.round(form * 100, d)) for d in (6, 0, 1, 2, 3)]
+    return F.array(*ways)
+
+
+def numeric_grounding(df: DataFrame, text: str, quantities: Column, literals: Column) -> DataFrame:
+    """``df`` with ungrounded (the numbers of ``text`` that the context does not hold, as they stand) and grounded.
+
+    ``quantities`` is an array of the context's figures, which may be rounded, rescaled to percent or off by two in a
+    hundred; ``literals`` one of the numbers in its names, dates and identifiers, which must match as they are. Null
+    arrays are empty; null entries match nothing.
+    """
+    near = lambda v, q: (F.abs(v - q) <= ABSOLUTE) | ((q != 0) & (F.abs(v - q) <= RELATIVE * F.abs(q)))
+    none = F.array().cast("array<double>")
+    known = F.filter(F.flatten(F.transform(F.coalesce(quantities, none), _forms)), lambda x: x.isNotNull())
+    rows = df.withColumns({"_known": known, "_exact": F.coalesce(literals, none), "_said": extract_numbers(F.col(text))})
+
+    def held(v: Column) -> Column:
+        return F.coalesce(F.exists("_exact", lambda q: F.abs(v - q) <= ABSOLUTE), F.lit(False)) | F.exists("_known", lambda q: near(v, q))
+
+    loose = F.filter("_said", lambda n: ~(held(n["value"]) | (n["is_percent"] & held(n["value"] / 100))))
+    return rows.withColumn("ungrounded", F.transform(loose, lambda n: n["raw"])).withColumn("grounded", F.size("ungrounded") == 0).drop("_known", "_exact", "_said")
+
+
+def literal_numbers(*texts: Column) -> Column:
+    """The numbers in names, dates and identifiers, as ``numeric_grounding`` takes them."""
+    return F.flatten(F.array(*[F.transform(extract_numbers(t), lambda n: n["value"]) for t in texts]))
 
 
 def phrase_flags(df: DataFrame, text: str = "text") -> DataFrame:
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    """has_causal, has_decision, has_certainty, has_disclaimer, is_empty and cites_number."""
+    low = F.lower(normalise_text(F.col(text)))
     hit = lambda ps: F.exists(F.array(*[F.lit(p) for p in ps]), lambda p: F.contains(low, p))
-    return df.withColumns({"has_causal": hit(CAUSAL), "has_certainty": hit(CERTAINTY), "is_empty": F.trim(low) == "", "cites_number": low.rlike("[0-9]")})
+    return df.withColumns(
+        {"has_causal": hit(CAUSAL), "has_decision": hit(DECISION), "has_certainty": hit(CERTAINTY), "has_disclaimer": hit(DISCLAIMER), "is_empty": F.trim(low) == "", "cites_number": low.rlike("[0-9]")}
+    )
 
 
-def audit_summary(log: DataFrame) -> DataFrame:
-    """By provider: calls, errors, accepted, rejection rate and median latency.
+def note_checks(df: DataFrame, text: str, quantities: Column, literals: Column) -> DataFrame:
+    """``df`` with ok and failed_checks (by name, in order) of every note."""
+    rows = numeric_grounding(phrase_flags(df, text), text, quantities, literals)
+    has = F.size(F.filter(F.coalesce(quantities, F.array().cast("array<double>")), lambda x: x.isNotNull())) > 0
+    tests = {
+        "numeric_grounding": F.col("grounded"), "no_causal_claims": ~F.col("has_causal"), "no_decision_language": ~F.col("has_decision"), "no_false_certainty": ~F.col("has_certainty"),
+        "carries_disclaimer": F.col("has_disclaimer"), "non_empty": ~F.col("is_empty"), "reports_the_numbers": ~has | F.col("cites_number"),
+    }
+    failed = F.filter(F.array(*[F.when(~t, F.lit(name)) for name, t in tests.items()]), lambda x: x.isNotNull())
+    return rows.withColumn("failed_checks", F.array_join(failed, ",")).withColumn("ok", F.col("failed_checks") == "")
 
-    ``log`` has provider, accepted, error and latency_ms; calls with an error did not reach the check.
+
+def probability_mismatch(text: Column, expected: Column, tolerance: float = 0.02) -> Column:
+    """The stated percentages, as shares, that lie farther than ``tolerance`` from what was expected."""
+    stated = F.transform(F.filter(extract_numbers(text), lambda n: n["is_percent"]), lambda n: n["value"] / 100)
+    return F.filter(stated, lambda x: F.abs(x - expected) > tolerance)
+
+
+def audit_summary(log: DataFrame, by: list[str] = ("provider",)) -> DataFrame:
+    """By provider: calls, errors, empty outputs, accepted, rejected, rejection rate and median latency (the upper of two).
+
+    ``log`` has provider, accepted, error, output and latency_ms. Calls with an error or an empty output did not reach
+    the check and count in no rate.
     """
-    reached = F.col("error").isNull()
-    n = lambda c: F.sum(c.cast("long"))
-    out = log.groupBy("provider").agg(
-        F.count("*").alias("n_calls"), n(~reached).alias("n_errors"), n(reached & F.col("accepted")).alias("n_accepted"), n(reached & ~F.col("accepted")).alias("n_rejected"),
-        F.percentile("latency_ms", F.lit(0.5)).alias("median_latency_ms"),
+    failed, empty = F.col("error").isNotNull(), F.trim(F.coalesce("output", F.lit(""))) == ""
+    reached = ~failed & ~empty
+    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    ok = F.coalesce("accepted", F.lit(True))
+    out = log.groupBy(*by).agg(
+        F.count("*").alias("n_calls"), n(failed).alias("n_errors"), n(~failed & empty).alias("n_empty"), n(reached & ok).alias("n_accepted"), n(reached & ~ok).alias("n_rejected"),
     )
-    return out.withColumn("rejection_rate", F.col("n_rejected") / F.nullif(F.col("n_accepted") + F.col("n_rejected"), F.lit(0)))
+    # The upper median, from counts of latencies.
+    counts = log.groupBy(*by, F.coalesce("latency_ms", F.lit(0.0)).alias("_x")).agg(F.count("*").alias("_n"))
+    w = W.partitionBy(*by)
+    upto = counts.withColumns({"_up": F.sum("_n").over(w.orderBy("_x")), "_all": F.sum("_n").over(w)}).where(F.col("_up") > F.floor(F.col("_all") / 2))
+    middle = upto.groupBy(*by).agg(F.min("_x").alias("median_latency_ms"))
+    reached_n = F.col("n_accepted") + F.col("n_rejected")
+    return out.join(middle, list(by)).withColumns({"reached_check": reached_n, "rejection_rate": F.coalesce(F.col("n_rejected") / F.nullif(reached_n, F.lit(0)), F.lit(0.0))})
+
+
+def rejections_by_check(log: DataFrame) -> DataFrame:
+    """(check, n): which checks failed in calls that were rejected; ``log`` has failed_checks, an array, beside the rest."""
+    rejected = log.where(F.col("error").isNull() & (F.trim(F.coalesce("output", F.lit(""))) != "") & ~F.coalesce("accepted", F.lit(True)))
+    return rejected.select(F.explode("failed_checks").alias("check")).groupBy("check").agg(F.count("*").alias("n"))
+
+
+def corpus_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", long_line: int = 40) -> DataFrame:
+    """(key, line, section, kind, name, passage) of Markdown texts: rows of tables, and lines of more than ``long_line`` characters.
+
+    A row of a table is a passage ``first cell: second cell`` whose name is the first cell; headings of columns and
+    rules are left out. A section is the last heading above, or null. Lines are numbered from 0; null texts have none.
+    """
+    lines = docs.select(key, F.posexplode(F.split(F.col(text), "\r\n|\n|\r")).alias("line", "_l")).withColumn("_l", F.trim("_l")).where("_l <> ''")
+    heading = F.startswith("_l", F.lit("#"))
+    title = F.trim(F.regexp_replace("_l", "^#+", ""))
+    rows = lines.withColumn("section", F.last(F.when(heading, title), ignorenulls=True).over(W.partitionBy(key).orderBy("line"))).where(~heading)
+    cells = F.transform(F.split(F.regexp_replace("_l", r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(c))
+    is_table = F.startswith("_l", F.lit("|")) & (F.length("_l") - F.length(F.replace("_l", F.lit("|"), F.lit(""))) >= 3)
+    rows = rows.withColumns({"_cells": cells, "_table": is_table})
+    first, second = F.get("_cells", 0), F.get("_cells", 1)
+    row = F.col("_table") & second.isNotNull() & ~first.rlike("^[-: ]*$") & ~F.lower(first).isin("field", "column", "name")
+    prose = ~F.col("_table") & (F.length("_l") > long_line) & ~F.startswith("_l", F.lit(">"))
+    return rows.where(row | prose).select(
+        key, "line", "section", F.when(row, "field").otherwise("prose").alias("kind"), F.when(row, first).alias("name"), F.when(row, F.concat(first, F.lit(": "), second)).otherwise(F.col("_l")).alias("passage")
+    )
+
+
+def rule_passages(rules: DataFrame) -> DataFrame:
+    """(name, passage) of rule declarations, one passage each."""
+    said = F.concat("rule_id", F.lit(": "), F.coalesce("description", F.lit("")), F.lit(" (severity: "), F.coalesce("severity", F.lit("")), F.lit(")"))
+    return rules.select(F.col("rule_id").alias("name"), said.alias("passage"))
+
+
+def review_context(df: DataFrame, p: str, flags: list[str], n_risky: int = 10, n_flagged: int = 10) -> DataFrame:
+    """(row_id, queue, context): one JSON text for each row of the review queue, with computed values only.
+
+    The queue is the ``n_risky`` rows of the highest ``p`` and the first ``n_flagged`` (by row_id) that a rule covers; a
+    row in both comes once. ``df`` has covered, assigned (the type), anomaly_score and top_drivers beside the flags.
+    """
+    risky = df.where(F.col(p).isNotNull()).orderBy(F.desc(p), "row_id").limit(n_risky).withColumn("queue", F.lit("risky"))
+    flagged = df.where("covered").orderBy("row_id").limit(n_flagged).withColumn("queue", F.lit("flagged"))
+    both = risky.unionByName(flagged)
+    # At most n_risky + n_flagged rows.
+    both = both.withColumn("_n", F.row_number().over(W.partitionBy("row_id").orderBy(F.desc("queue")))).where("_n = 1")
+    broken = F.filter(F.array(*[F.when(F.col(r), F.lit(RULE_LABELS.get(r, r.replace("_", " ")))) for r in flags]), lambda x: x.isNotNull())
+    context = F.struct(
+        "loan_id", F.date_format("reporting_month", "yyyy-MM-dd").alias("reporting_month"), "current_status",
+        F.struct(F.round(p, 5).alias("next_3m_delinquency")).alias("predictions"), F.split("top_drivers", "; ").alias("top_drivers"),
+        F.struct(F.round("anomaly_score", 4).alias("score")).alias("anomaly"),
+        F.struct(
+            F.col("covered").alias("required"), F.coalesce(lookup(EXCEPTION_LABELS, F.col("assigned")), F.col("assigned")).alias("type"),
+            F.when(F.col("covered"), "rule").otherwise("model score").alias("decided_by"), broken.alias("rules_broken"),
+        ).alias("exception"),
+    )
+    return both.select("row_id", "queue", F.to_json(context).alias("context"))
 
 
 def _terms(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -51,29 +201,48 @@ def _terms(df: DataFrame, key: str, text: str) -> DataFrame:
     return held.select(key, F.explode(F.concat("w", pairs)).alias("term"))
 
 
-def tfidf_search(docs: DataFrame, questions: DataFrame, least: float = 0.12, top: int = 3) -> DataFrame:
+def _tokens(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
+
+
+def tfidf_search(docs: DataFrame, questions: DataFrame, least: float = 0.12, top: int = 3, name: str | None = None) -> DataFrame:
     """(item_id, doc_id, score, rank): passages of the highest cosine for each question.
 
-    Sublinear tf, smooth idf over ``docs``, unit vectors. Only terms that a question has are joined;
-    norms take all terms of a passage.
+    Sublinear tf, smooth idf over ``docs``, unit vectors. Terms are counted once as 64-bit hashes; only terms that a
+    question has are joined, norms take all terms of a passage. With ``name``, a column of ``docs``, a passage that has
+    one is found only by a question that says a word of it; it is looked for among the 5 * top (10 at least) of the
+    highest cosine.
     """
-    tf = _terms(docs, "doc_id", "text").groupBy("doc_id", "term").agg(F.count("*").alias("c"))
+    hashed = lambda df, key: _terms(df, key, "text").groupBy(key, F.xxhash64("term").alias("term")).agg(F.count("*").cast("int").alias("c"))
+    tf = checkpoint(hashed(docs, "doc_id"))
     n = docs.agg(F.count("*").alias("n_docs"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(n)).select("term", (F.ln((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = lambda t: (1 + F.ln(t["c"])) * F.col("idf")
-    d = tf.join(idf, "term").select("doc_id", "term", weighted(tf).alias("w"))
-    q_tf = _terms(questions, "item_id", "text").groupBy("item_id", "term").agg(F.count("*").alias("c"))
-    q = q_tf.join(idf, "term").select("item_id", "term", weighted(q_tf).alias("qw"))
+    d = tf.join(idf, "term").select("doc_id", "term", ((1 + F.ln("c")) * F.col("idf")).alias("w"), "idf")
+    q_tf = checkpoint(hashed(questions, "item_id"))
+    asked = d.join(q_tf.select("item_id", "term", (1 + F.ln("c")).alias("qw")), "term").groupBy("doc_id", "item_id").agg(F.sum(F.col("w") * F.col("idf") * F.col("qw")).alias("dot"))
     dn = d.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
+    q = q_tf.join(idf, "term").select("item_id", ((1 + F.ln("c")) * F.col("idf")).alias("qw"))
     qn = q.groupBy("item_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    dots = d.join(q, "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    scored = dots.join(dn, "doc_id").join(qn, "item_id").select("item_id", "doc_id", (F.col("dot") / (F.col("dn") * F.col("qn"))).alias("score")).where(F.col("score") >= least)
-    rank = F.row_number().over(W.partitionBy("item_id").orderBy(F.desc(F.round("score", 9)), "doc_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= top)
+    scored = asked.join(dn, "doc_id").join(qn, "item_id").select("item_id", "doc_id", (F.col("dot") / (F.col("dn") * F.col("qn"))).alias("score")).where(F.col("score") >= least)
+    order = W.partitionBy("item_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
+    if name:
+        scored = scored.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max(5 * top, 10)).drop("_r")
+        scored = scored.join(docs.select("doc_id", _tokens(F.col(name)).alias("_name")), "doc_id").join(questions.select("item_id", _tokens(F.regexp_replace("text", "[^A-Za-z0-9_]+", " ")).alias("_asked")), "item_id")
+        scored = scored.where((F.size("_name") == 0) | F.arrays_overlap("_name", "_asked")).drop("_name", "_asked")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def answer_lookup(questions: DataFrame, hits: DataFrame) -> DataFrame:
-    """(item_id, doc_id, covered): the best passage of each question, or none."""
-    best = hits.where("rank = 1").select("item_id", "doc_id")
-    return questions.select("item_id").join(best, "item_id", "left").withColumn("covered", F.col("doc_id").isNotNull())
+NOT_COVERED = "The provided documentation does not cover this."
+
+
+def answer_lookup(questions: DataFrame, hits: DataFrame, docs: DataFrame, source: Column | None = None) -> DataFrame:
+    """(item_id, doc_id, covered, answer, citations): the best passage of each question as it stands, or that there is none.
+
+    Citations name all hits in order: ``source``, by default the doc_id.
+    """
+    told = docs.select("doc_id", F.col("text").alias("_text"), (source if source is not None else F.col("doc_id").cast("string")).alias("_source"))
+    rows = hits.join(told, "doc_id").groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id", "_text", "_source"))).alias("h"))
+    best = rows.select("item_id", F.get("h", 0)["doc_id"].alias("doc_id"), F.get("h", 0)["_text"].alias("_answer"), F.array_join(F.transform("h", lambda x: x["_source"]), "; ").alias("_cited"))
+    out = questions.select("item_id").join(best, "item_id", "left").withColumn("covered", F.col("doc_id").isNotNull())
+    return out.select("item_id", "doc_id", "covered", F.when(F.col("covered"), F.col("_answer")).otherwise(NOT_COVERED).alias("answer"), F.coalesce("_cited", F.lit("")).alias("citations"))

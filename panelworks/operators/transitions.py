@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelworks.functions.columns import BY_MONTH, per
+from panelworks.functions.columns import BY_MONTH, clip, per
+from panelworks.operators.metrics import auc_by_group, classification_report, reliability_bins, roc_auc, score_table
 from panelworks.schema import ABSORBING, DELINQUENT, SEVERITY, STATES
+from panelworks.session import checkpoint
 
 # Age buckets in months; ages beyond use the matrix of all ages.
 AGE_BUCKETS = [(0, 12), (12, 24), (24, 36), (36, 60), (60, 999)]
@@ -71,25 +73,31 @@ def matrix_column(cells: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "row"))), lambda r: r["row"]).alias("m"))
 
 
+def _stress_kinds() -> list[list[int]]:
+    """Which multiplier a cell takes: 0 none, 1 delinquency, 2 default, 3 prepayment."""
+    kind = lambda s, t: 0 if s == t or s in ABSORBING else 3 if t == "Prepaid" else 2 if t == "Default" else int(SEVERITY[t] > SEVERITY[s])
+    return [[kind(s, t) for t in STATES] for s in STATES]
+
+
 def stressed(m: Column, default: Column, delinq: Column, prepay: Column) -> Column:
-    """A matrix under scenario multipliers: scaled targets, the rest from the stay cell, renormalised."""
-    rows = []
-    for i, s in enumerate(STATES):
-        row = m[i]
-        if s in ABSORBING:
-            rows.append(row)
-            continue
-        cells = []
-        for j, t in enumerate(STATES):
-            mult = prepay if t == "Prepaid" else default if t == "Default" else delinq if SEVERITY[t] > SEVERITY[s] else None
-            cells.append(row[j] if mult is None or i == j else row[j] * mult)
-        moved = sum((c - row[j] for j, c in enumerate(cells) if j != i), F.lit(0.0))
-        cells[i] = row[i] - moved
-        kept = [F.greatest(c, F.lit(0.0)) for c in cells]
-        total = sum(kept[1:], kept[0])
-        rows.append(F.array(*[c / F.when(total == 0, 1.0).otherwise(total) for c in kept]))
+    """A matrix under scenario multipliers: scaled targets, the rest from the stay cell, renormalised.
+
+    Array functions throughout, so the expression stays short whatever the number of states.
+    """
+    kinds = F.array(*[F.array(*[F.lit(k) for k in row]) for row in _stress_kinds()])
+    mults = F.array(F.lit(1.0), delinq, default, prepay)
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+
+    def stress(row: Column, i: Column) -> Column:
+        scaled = F.zip_with(row, F.get(kinds, i), lambda c, k: c * F.get(mults, k))
+        stay = F.get(row, i) - total(F.zip_with(scaled, row, lambda a, b: a - b))
+        kept = F.transform(scaled, lambda c, j: F.greatest(F.when(j == i, stay).otherwise(c), F.lit(0.0)))
+        # The sum is taken once: an array of one array carries it on.
+        return F.get(F.transform(F.array(kept), lambda k: F.transform(k, lambda c: c / F.coalesce(F.nullif(total(k), F.lit(0.0)), F.lit(1.0)))), 0)
+
+    absorbing = F.array(*[F.lit(s in ABSORBING) for s in STATES])
     neutral = (default == 1.0) & (delinq == 1.0) & (prepay == 1.0)
-    return F.when(neutral, m).otherwise(F.array(*rows))
+    return F.when(neutral, m).otherwise(F.transform(m, lambda row, i: F.when(F.get(absorbing, i), row).otherwise(stress(row, i))))
 
 
 def scenario_matrices(cells: DataFrame, scenarios: DataFrame) -> DataFrame:
@@ -125,11 +133,52 @@ def simulate_paths(loans: DataFrame, cells: DataFrame, scenarios: DataFrame, hor
     return keyed.join(paths, ["_start", "_age"]).drop("_start", "_age")
 
 
-def portfolio_curves(paths: DataFrame) -> DataFrame:
-    """(scenario, month, cif_default, cif_prepaid, share_dpd)."""
+def project_balance_ratio(ahead: Column) -> Column:
+    """balance_ratio ``ahead`` months on under level payments: scaled by the scheduled balances then and now."""
+    grow, age = 1 + F.col("interest_rate") / 1200, F.col("loan_age_months")
+    whole = F.pow(grow, age + F.col("remaining_term_months"))
+    left = lambda months: (whole - F.pow(grow, months)) / F.nullif(whole - 1, F.lit(0.0))
+    scale = F.coalesce(F.when(left(age) > 1e-9, F.nanvl(left(age + ahead) / left(age), F.lit(None).cast("double"))), F.lit(1.0))
+    ratio = clip(F.col("balance_ratio") * F.least(F.greatest(scale, F.lit(0.0)), F.lit(1.0)), 0, 2)
+    return F.when(ahead == 0, F.col("balance_ratio")).otherwise(ratio)
+
+
+def advance_covariates(df: DataFrame, ahead: Column) -> DataFrame:
+    """Rows ``ahead`` months on: older, fewer months left, scheduled balance; all else as last seen."""
+    moved = {}
+    if {"balance_ratio", "interest_rate", "loan_age_months", "remaining_term_months"} <= set(df.columns):
+        moved["balance_ratio"] = project_balance_ratio(ahead)
+    if "loan_age_months" in df.columns:
+        moved["loan_age_months"] = F.col("loan_age_months") + ahead
+    if "remaining_term_months" in df.columns:
+        moved["remaining_term_months"] = F.greatest(F.col("remaining_term_months") - ahead, F.lit(0))
+    return df.withColumns(moved)
+
+
+def fold_paths(steps: DataFrame, horizon: int) -> DataFrame:
+    """(row_id, scenario, month, p): paths from a matrix for each row, scenario and step.
+
+    ``steps`` has row_id, scenario, start (a state), h (0 to horizon - 1) and m (6 by 6). A row's matrices meet
+    once, ``horizon`` of them, and are multiplied in order.
+    """
+    named = F.array(*[F.lit(s) for s in STATES])
+    rows = steps.groupBy("row_id", "scenario").agg(F.first("start").alias("start"), F.transform(F.sort_array(F.collect_list(F.struct("h", "m"))), lambda x: x["m"]).alias("ms"))
+    one_hot = F.transform(named, lambda s: (s == F.when(F.array_contains(named, F.col("start")), F.col("start")).otherwise("Current")).cast("double"))
+
+    def step(curve: Column, m: Column) -> Column:
+        flows = F.zip_with(F.element_at(curve, -1), m, lambda q, row: F.transform(row, lambda c: c * q))
+        zero = F.array(*[F.lit(0.0) for _ in STATES])
+        return F.concat(curve, F.array(F.aggregate(flows, zero, lambda acc, f: F.zip_with(acc, f, lambda x, y: x + y))))
+
+    return rows.select("row_id", "scenario", F.posexplode(F.aggregate("ms", F.array(one_hot), step)).alias("month", "p"))
+
+
+def portfolio_curves(paths: DataFrame, weight: str | None = None) -> DataFrame:
+    """(scenario, month, cif_default, cif_prepaid, share_dpd), means over loans or means by ``weight``."""
     at = lambda s: F.col("p")[STATES.index(s)]
     late = at(DELINQUENT[0]) + at(DELINQUENT[1]) + at(DELINQUENT[2])
-    return paths.groupBy("scenario", "month").agg(F.avg(at("Default")).alias("cif_default"), F.avg(at("Prepaid")).alias("cif_prepaid"), F.avg(late).alias("share_dpd"))
+    mean = (lambda x: F.sum(x * F.col(weight)) / F.nullif(F.sum(weight), F.lit(0.0))) if weight else F.avg
+    return paths.groupBy("scenario", "month").agg(mean(at("Default")).alias("cif_default"), mean(at("Prepaid")).alias("cif_prepaid"), mean(late).alias("share_dpd"))
 
 
 def state_share_curve(paths: DataFrame) -> DataFrame:
@@ -196,17 +245,48 @@ def one_step_scores(frame: DataFrame, cells: DataFrame) -> DataFrame:
     ).drop("m", "_b")
 
 
-def log_loss_multiclass(scored: DataFrame, label: str = "to_state") -> DataFrame:
+def log_loss_multiclass(scored: DataFrame, label: str = "to_state", p: str = "p") -> DataFrame:
     states = F.array(*[F.lit(s) for s in STATES])
-    p = F.try_element_at("p", F.array_position(states, F.col(label)).cast("int"))
-    total = F.aggregate("p", F.lit(0.0), lambda a, x: a + F.greatest(x, F.lit(1e-12)))
-    return scored.agg(F.count("*").alias("n"), F.avg(-F.ln(F.greatest(p, F.lit(1e-12)) / total)).alias("log_loss"))
+    hit = F.try_element_at(p, F.array_position(states, F.col(label)).cast("int"))
+    total = F.aggregate(p, F.lit(0.0), lambda a, x: a + F.greatest(x, F.lit(1e-12)))
+    return scored.agg(F.count("*").alias("n"), F.avg(-F.ln(F.greatest(hit, F.lit(1e-12)) / total)).alias("log_loss"))
 
 
-def score_next_state(scored: DataFrame) -> DataFrame:
+def score_next_state(scored: DataFrame, p: str = "p") -> DataFrame:
     """next_state_pred and next_state_confidence; ties go to the earlier state."""
-    best = F.array_max("p")
-    return scored.withColumns({"next_state_confidence": best, "next_state_pred": F.get(F.array(*[F.lit(s) for s in STATES]), F.array_position("p", best).cast("int") - 1)})
+    best = F.array_max(p)
+    return scored.withColumns({"next_state_confidence": best, "next_state_pred": F.get(F.array(*[F.lit(s) for s in STATES]), F.array_position(p, best).cast("int") - 1)})
+
+
+def evaluate_one_step(scored: DataFrame, label: str = "to_state", p: str = "p") -> DataFrame:
+    """(metric, value): n, log_loss, accuracy, macro_f1, and auc_<state> of each state against the rest.
+
+    A state that does not come, or that alone comes, has no AUC.
+    """
+    scored = checkpoint(scored.select(label, p))
+    loss = log_loss_multiclass(scored, label, p).selectExpr("stack(2, 'n', CAST(n AS DOUBLE), 'log_loss', log_loss) AS (metric, value)")
+    hard = classification_report(score_next_state(scored, p), label, "next_state_pred").selectExpr("stack(2, 'accuracy', accuracy, 'macro_f1', macro_f1) AS (metric, value)")
+    cells = F.array(*[F.struct(F.lit(s).alias("g"), (F.col(label) == s).cast("int").alias("y"), F.col(p)[i].alias("s")) for i, s in enumerate(STATES)])
+    auc = auc_by_group(scored.select(F.explode(cells).alias("c")).select("c.*")).where("roc_auc IS NOT NULL")
+    return loss.unionByName(hard).unionByName(auc.select(F.concat(F.lit("auc_"), "g").alias("metric"), F.col("roc_auc").alias("value")))
+
+
+def compare_to_baseline(scored: DataFrame, model: str, baseline: str, label: str = "to_state") -> DataFrame:
+    """(metric, baseline, model, delta) of two columns of probabilities."""
+    one, other = evaluate_one_step(scored, label, baseline), evaluate_one_step(scored, label, model)
+    both = one.select("metric", F.col("value").alias("baseline")).join(other.select("metric", F.col("value").alias("model")), "metric", "full")
+    return both.withColumn("delta", F.col("model") - F.col("baseline"))
+
+
+def horizon_crosscheck(scored: DataFrame, label: str, p: str) -> tuple[DataFrame, DataFrame]:
+    """Chain-implied probabilities against a label that the chain never saw.
+
+    The first table is (n, observed_rate, predicted_rate, brier, roc_auc), the second ten bins of equal counts.
+    """
+    y, q = F.col(label).cast("double"), F.least(F.greatest(F.col(p), F.lit(0.0)), F.lit(1.0))
+    rows = checkpoint(scored.where(F.col(label).isNotNull() & F.col(p).isNotNull()).select("row_id", F.col(label), q.alias(p)))
+    flat = rows.agg(F.count("*").alias("n"), F.avg(y).alias("observed_rate"), F.avg(p).alias("predicted_rate"), F.avg((F.col(p) - y) * (F.col(p) - y)).alias("brier"))
+    return flat.crossJoin(roc_auc(score_table(rows, label, p))), reliability_bins(rows, label, p)
 
 
 def credibility_blend(scored: DataFrame, p: str = "p_model", q: str = "p_empirical") -> DataFrame:

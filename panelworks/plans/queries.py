@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,9 @@ from panelworks.operators import scoring as sco
 from panelworks.operators import text as txt
 from panelworks.operators import transitions as tra
 from panelworks.plans import testpanel as tp
-from panelworks.schema import STATES
-from panelworks.session import prepare, table
+from panelworks.schema import EXCEPTION_LABELS, FEATURE_LABELS, RULE_LABELS, STATES
+from panelworks.session import checkpoint, prepare, shared_dir, table
+from panelworks.sources import audit_log, pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -213,7 +215,7 @@ def _halves(df):
     return df.where(early), df.where(~early)
 
 
-KEEP = ["row_id", "loan_id", "reporting_month"]
+HALF = "reporting_month < DATE '1995-07-01'"
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,9 +231,65 @@ def pack_summary(spark, d):
     return rec.pack_summary({"panel": _panel(spark, d), "static": tp.static(spark, d)})
 
 
-@query("", "SELECT * FROM (VALUES ('base', 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE), ('adverse_credit', 1.85, 1.55, 0.55), ('high_prepayment', 0.9, 0.92, 2.2)) v(scenario, default_mult, delinq_mult, prepay_mult)", "default_mult delinq_mult prepay_mult")
+def _pack(spark, d):
+    """The panel's tables written as a pack of CSV files, some with dates that are none; its folder."""
+    folder = f"{shared_dir(spark).rstrip('/')}/pack-{uuid.uuid4().hex}"
+    early, late = _halves(_panel(spark, d))
+    broken = F.when(F.col("row_id") % 101 == 0, "not a date").otherwise(F.col("last_updated_at").cast("string"))
+    for name, df in (("train", early.withColumn("last_updated_at", broken)), ("test", late), ("static", tp.static(spark, d))):
+        pack.write_derived(df, f"{folder}/{pack.TABLES[name]}.csv", kind="csv")
+    return folder
+
+
+@query("panel", f"SELECT row_id, loan_id, reporting_month, current_balance, days_past_due, CAST(CASE WHEN row_id % 101 <> 0 THEN last_updated_at END AS TIMESTAMP) AS last_updated_at, document_status FROM panel WHERE {HALF}", "current_balance")
+def load_pack(spark, d):
+    found = pack.load_pack(spark, _pack(spark, d))
+    assert found.missing == [pack.TABLES["servicer"]]
+    return found.train.select("row_id", "loan_id", "reporting_month", "current_balance", "days_past_due", "last_updated_at", "document_status")
+
+
+@query("panel static", f"""
+SELECT 'train' AS "table", count(*) AS n_rows, CAST(19 AS BIGINT) AS n_columns, count(DISTINCT loan_id) AS n_loans FROM panel WHERE {HALF}
+UNION ALL SELECT 'test', count(*), 19, count(DISTINCT loan_id) FROM panel WHERE NOT {HALF} UNION ALL SELECT 'static', count(*), 5, count(DISTINCT loan_id) FROM static""")
+def load_pack_summary(spark, d):
+    return pack.load_pack(spark, _pack(spark, d)).summary()
+
+
+def _rules_file(spark, d):
+    """A file of rule declarations for the panel: the engine's first six rules, and one that it does not know."""
+    flagged = _ruled(spark, d)
+    counts = flagged.agg(*[F.coalesce(F.sum(F.col(r).cast("long")), F.lit(0)).alias(r) for r in RULES[:6]])
+    rules = [F.struct(F.lit(r).alias("rule_id"), F.concat(F.lit("fires on "), F.col(r).cast("string"), F.lit(" rows")).alias("description"), F.lit(rul.SEVERITIES[r]).alias("severity")) for r in RULES[:6]]
+    rules.append(F.struct(F.lit("income_verified").alias("rule_id"), F.lit("no such column").alias("description"), F.lit("low").alias("severity")))
+    path = f"{shared_dir(spark).rstrip('/')}/rules-{uuid.uuid4().hex}"
+    counts.select(F.array(*rules).alias("rules")).coalesce(1).write.json(path)
+    return flagged, path
+
+
+DECLARED = " UNION ALL ".join([*(f"SELECT '{r}' AS rule_id, concat('fires on ', count(*) FILTER (WHERE {r}), ' rows') AS description, '{rul.SEVERITIES[r]}' AS severity FROM flags" for r in RULES[:6]), "SELECT 'income_verified', 'no such column', 'low'"])
+
+
+@query("flags", f"SELECT *, CAST(NULL AS VARCHAR) AS applies_to FROM ({DECLARED})")
+def load_rules(spark, d):
+    return pack.load_rules(spark, _rules_file(spark, d)[1])
+
+
+@query("", "SELECT r_name AS scenario, 1 + r_regionkey / 10.0::DOUBLE AS default_mult, CASE WHEN r_regionkey = 3 THEN 1 ELSE 1 + r_regionkey / 5.0::DOUBLE END AS delinq_mult, 1 - r_regionkey / 10.0::DOUBLE AS prepay_mult FROM region", "default_mult delinq_mult prepay_mult")
 def load_scenarios(spark, d):
-    return tp.scenarios(spark)
+    """A scenario file with one row for each region, a multiplier missing in one of them."""
+    k = F.col("r_regionkey")
+    path = f"{shared_dir(spark).rstrip('/')}/scenarios-{uuid.uuid4().hex}"
+    rows = table(spark, d, "region").select(F.col("r_name").alias("scenario_name"), (1 + k / 10).alias("default_multiplier"), F.when(k != 3, 1 + k / 5).alias("delinquency_multiplier"), (1 - k / 10).alias("prepayment_multiplier"))
+    pack.write_derived(rows, path, kind="csv")
+    return pack.load_scenarios(spark, path)
+
+
+@query("scored", "SELECT row_id, loan_id, reporting_month, source_system, data_quality_score FROM scored", "data_quality_score")
+def write_derived(spark, d):
+    """Record quality, written by source system and read back."""
+    path = f"{shared_dir(spark).rstrip('/')}/derived-{uuid.uuid4().hex}"
+    pack.write_derived(_scored(spark, d), path, ["row_id", "loan_id", "reporting_month", "source_system", "data_quality_score"], by=["source_system"])
+    return spark.read.parquet(path).select("row_id", "loan_id", "reporting_month", "source_system", "data_quality_score")
 
 
 @query("panel static", "SELECT p.row_id, p.loan_id, s.ltv_band, s.dti_band, s.loan_purpose, s.vintage FROM panel p LEFT JOIN static s USING (loan_id)")
@@ -298,9 +356,6 @@ def conflict_lift(spark, d):
     return rec.conflict_lift(_ruled(spark, d))
 
 
-HALF = "reporting_month < DATE '1995-07-01'"
-
-
 @query("panel", f"SELECT row_id, CASE WHEN {HALF} THEN 'train' ELSE 'score' END AS origin, CASE WHEN {HALF} THEN NULL ELSE row_id END AS score_order FROM panel")
 def union_panels(spark, d):
     return rec.union_panels(*_halves(_panel(spark, d))).select("row_id", "origin", "score_order")
@@ -346,9 +401,10 @@ for _name in RULES:
     _rule(_name)
 
 
-@query("flags", "\nUNION ALL ".join(f"""SELECT '{r}' AS rule_id, '{rul.SEVERITIES[r]}' AS severity, {rul.WEIGHTS[rul.SEVERITIES[r]]}::DOUBLE AS weight, true AS implemented, count(*) FILTER (WHERE {r}) AS n_flagged FROM flags""" for r in RULES))
+@query("flags", "SELECT k.*, d.description FROM (" + " UNION ALL ".join([*(f"""SELECT '{r}' AS rule_id, '{rul.SEVERITIES[r]}' AS severity, {rul.WEIGHTS[rul.SEVERITIES[r]]}::DOUBLE AS weight, '{"declared" if r in RULES[:6] else "local"}' AS source, true AS implemented, count(*) FILTER (WHERE {r}) AS n_flagged FROM flags""" for r in RULES), "SELECT 'income_verified', 'low', 1.0::DOUBLE, 'declared', false, 0"]) + f") k LEFT JOIN ({DECLARED}) d USING (rule_id)")
 def evaluate_rules(spark, d):
-    return rul.rule_catalog(_ruled(spark, d))
+    flagged, path = _rules_file(spark, d)
+    return rul.rule_catalog(flagged, pack.load_rules(spark, path))
 
 
 @query("ruled", "SELECT row_id, rule_violation_count, any_violation, CAST(rule_severity_score AS DOUBLE) AS rule_severity_score, covered, assigned FROM ruled", "rule_severity_score")
@@ -426,23 +482,27 @@ def decided_by_mix(spark, d):
 
 
 # Quality.
-PROFILED = ["current_balance", "interest_rate", "days_past_due", "document_status", "servicer_name"]
+PROFILED = {
+    "row_id": "bigint", "loan_id": "string", "month_index": "bigint", "original_balance": "double", "current_balance": "double", "interest_rate": "double", "days_past_due": "bigint",
+    "modification_flag": "int", "document_status": "string", "servicer_name": "string", "reporting_month": "date",
+}
 
 
 def _profile_sql():
     out = []
-    for c in PROFILED:
-        num = c in ("current_balance", "interest_rate", "days_past_due")
+    for c, kind in PROFILED.items():
+        num = kind in ("bigint", "double", "int")
         q = lambda x: f"quantile_cont({c}::DOUBLE, {x})"
         stats = f"{q(0.0)} AS min, {q(0.5)} AS median, {q(1.0)} AS max" if num else "NULL::DOUBLE AS min, NULL::DOUBLE AS median, NULL::DOUBLE AS max"
         fence = f"(SELECT count(*) FROM panel WHERE {c} < (SELECT {q(.25)} - 3 * ({q(.75)} - {q(.25)}) FROM panel) OR {c} > (SELECT {q(.75)} + 3 * ({q(.75)} - {q(.25)}) FROM panel)) * (SELECT CAST({q(.75)} <> {q(.25)} AS BIGINT) FROM panel)" if num else "NULL::BIGINT"
-        out.append(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS n_missing, 100.0 * (count(*) - count({c})) / count(*) AS missing_pct, count(DISTINCT {c}) AS n_distinct, {stats}, {fence} AS n_outliers FROM panel")
+        many = f"count(DISTINCT {c}) > 50" if kind == "string" else "false"
+        out.append(f"SELECT '{c}' AS \"column\", '{kind}' AS dtype, {many} AS high_cardinality, count(*) - count({c}) AS n_missing, 100.0 * (count(*) - count({c})) / count(*) AS missing_pct, count(DISTINCT {c}) AS n_distinct, {stats}, {fence} AS n_outliers FROM panel")
     return " UNION ALL ".join(out)
 
 
 @query("panel", _profile_sql(), "missing_pct min median max")
 def profile_columns(spark, d):
-    return qual.profile_columns(_panel(spark, d), PROFILED)
+    return qual.profile_columns(_panel(spark, d), list(PROFILED))
 
 
 CATS = ["credit_score_band", "state", "current_status", "document_status", "source_system"]
@@ -491,10 +551,13 @@ AGE = "(year(reporting_month) - year(origination_month)) * 12 + month(reporting_
 
 
 @query("panel", " UNION ALL ".join(f"SELECT '{n}' AS invariant, count(*) FILTER (WHERE {c}) AS n_breaks, 100.0 * count(*) FILTER (WHERE {c}) / count(*) AS pct FROM panel" for n, c in {
-    "balance <= original": "current_balance > original_balance * 1.0001", "age + remaining = term": "abs(loan_age_months + remaining_term_months - 360) > 1",
-    "age = months since origination": f"abs(loan_age_months - ({AGE})) > 1", "current => dpd 0": "current_status = 'Current' AND days_past_due > 0"}.items()), "pct")
+    "balance <= original": "current_balance > original_balance * 1.0001", "age + remaining = term": "abs(loan_age_months + remaining_term_months - CASE WHEN row_id % 29 = 0 THEN 348 ELSE 360 END) > 1",
+    "age = months since origination": f"abs(loan_age_months - ({AGE})) > 1", "current => dpd 0": "current_status = 'Current' AND days_past_due > 0",
+    "prepayment flag => prepaid": "(row_id % 53 = 0 OR current_status = 'Prepaid') AND current_status <> 'Prepaid'"}.items()), "pct")
 def relationship_breaks(spark, d):
-    return qual.relationship_breaks(_panel(spark, d))
+    k = F.col("row_id")
+    more = {"original_term_months": F.when(k % 29 == 0, 348).otherwise(360), "prepayment_flag": F.when((k % 53 == 0) | (F.col("current_status") == "Prepaid"), 1).otherwise(0)}
+    return qual.relationship_breaks(_panel(spark, d).withColumns(more))
 
 
 QUAL = ["completeness", "outlyingness", "rule_penalty", "conflict_penalty", "stale_penalty", "data_quality_score"]
@@ -756,6 +819,77 @@ def scenario_deltas(spark, d):
     return tra.scenario_deltas(tra.portfolio_curves(_paths(spark, d)))
 
 
+AHEAD = """
+SELECT row_id, h, loan_age_months + h AS loan_age_months, greatest(remaining_term_months - h, 0) AS remaining_term_months,
+  CASE WHEN h = 0 THEN balance_ratio ELSE least(greatest(balance_ratio * least(greatest(CASE WHEN now > 1e-9 THEN later / now ELSE 1 END, 0), 1), 0), 2) END AS balance_ratio FROM (
+  SELECT *, (pow(g, term) - pow(g, loan_age_months)) / nullif(pow(g, term) - 1, 0) AS now, (pow(g, term) - pow(g, loan_age_months + h)) / nullif(pow(g, term) - 1, 0) AS later FROM (
+    SELECT *, 1 + interest_rate / 1200 AS g FROM amort, (SELECT unnest([0, 1, 6, 12]) AS h)))"""
+
+
+@query("amort", AHEAD, "balance_ratio")
+def advance_covariates(spark, d):
+    df = feat.amortisation(_panel(spark, d)).withColumn("h", F.explode(F.array(*[F.lit(h) for h in (0, 1, 6, 12)])))
+    return tra.advance_covariates(df, F.col("h")).select("row_id", "h", "loan_age_months", "remaining_term_months", "balance_ratio")
+
+
+@query("amort", f"SELECT row_id, h, balance_ratio FROM ({AHEAD})", "balance_ratio")
+def project_balance_ratio(spark, d):
+    df = feat.amortisation(_panel(spark, d)).withColumn("h", F.explode(F.array(*[F.lit(h) for h in (0, 1, 6, 12)])))
+    return df.select("row_id", "h", tra.project_balance_ratio(F.col("h")).alias("balance_ratio"))
+
+
+@path_query("SELECT scenario, month, sum(p[5] * w) / sum(w) AS cif_default, sum(p[6] * w) / sum(w) AS cif_prepaid, sum((p[2] + p[3] + p[4]) * w) / sum(w) AS share_dpd FROM (SELECT *, 1 + CAST(loan_id AS BIGINT) % 7 AS w FROM paths) GROUP BY ALL", "cif_default cif_prepaid share_dpd")
+def weighted_curves(spark, d):
+    return tra.portfolio_curves(_paths(spark, d).withColumn("w", 1 + F.col("loan_id").cast("long") % 7), "w")
+
+
+#: Chains from every mature, active row, a path for each distinct state and age, in the base scenario.
+HORIZON = """
+WITH RECURSIVE {ctes},
+kinds AS (SELECT DISTINCT current_status AS s, loan_age_months AS a FROM labels12 WHERE {mature}),
+mats AS (SELECT bucket, list(p ORDER BY i, j) AS m FROM cells GROUP BY ALL),
+walk AS (
+  SELECT s, a, 0 AS month, list_transform([1, 2, 3, 4, 5, 6], lambda k: CASE WHEN k = list_position({states}, s) THEN 1.0::DOUBLE ELSE 0 END) AS p FROM kinds
+  UNION ALL
+  SELECT w.s, w.a, w.month + 1, list_transform([1, 2, 3, 4, 5, 6], lambda k: list_sum(list_transform([1, 2, 3, 4, 5, 6], lambda i: w.p[i] * m.m[(i - 1) * 6 + k])))
+  FROM walk w JOIN mats m ON m.bucket = CASE WHEN w.a + w.month < 0 OR w.a + w.month >= 999 THEN -1 WHEN w.a + w.month < 12 THEN 0 WHEN w.a + w.month < 24 THEN 1 WHEN w.a + w.month < 36 THEN 2 WHEN w.a + w.month < 60 THEN 3 ELSE 4 END WHERE w.month < 12),
+cc AS (SELECT l.row_id, l.default_12 AS y, w.p[5] AS p FROM labels12 l JOIN walk w ON w.s = l.current_status AND w.a = l.loan_age_months AND w.month = 12 WHERE {mature})
+"""
+
+
+def _horizon_sql(sql: str) -> str:
+    ctes = with_ctes("", "labels12", "cells").removeprefix("WITH ").rstrip()
+    mature = "reporting_month <= (SELECT max(reporting_month) - INTERVAL 12 MONTH FROM labels12) AND current_status NOT IN ('Default', 'Prepaid')"
+    return HORIZON.format(ctes=ctes, states=STATE_LIST, mature=mature) + sql
+
+
+def _crosscheck(spark, d):
+    rows = feat.mature_label_mask(feat.forward_labels(_panel(spark, d)), 12).where(~F.col("current_status").isin("Default", "Prepaid"))
+    cells = tra.empirical_matrix(tra.transition_frame(_panel(spark, d)))
+    paths = tra.simulate_paths(rows.select("row_id", "default_12", "current_status", "loan_age_months"), cells, tp.scenarios(spark).where("scenario = 'base'"))
+    ends = paths.where("month = 12").select("row_id", "default_12", F.round(F.col("p")[4], 12).alias("p"))
+    return tra.horizon_crosscheck(ends, "default_12", "p")
+
+
+@query()
+def horizon_crosscheck(spark, d):
+    return _crosscheck(spark, d)[0]
+
+
+SQL["horizon_crosscheck"] = _horizon_sql("""SELECT n, round(observed_rate, 6) AS observed_rate, round(predicted_rate, 6) AS predicted_rate, round(brier, 6) AS brier, round(roc_auc, 6) AS roc_auc FROM (
+  SELECT count(*) AS n, avg(y) AS observed_rate, avg(p) AS predicted_rate, avg((p - y) * (p - y)) AS brier, (sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y)::DOUBLE * sum(1 - y)) AS roc_auc
+  FROM (SELECT y, p, rank() OVER (ORDER BY round(p, 12)) + (count(*) OVER (PARTITION BY round(p, 12)) - 1) / 2.0::DOUBLE AS r FROM cc))""")
+
+
+@query()
+def horizon_calibration(spark, d):
+    return _crosscheck(spark, d)[1]
+
+
+SQL["horizon_calibration"] = _horizon_sql("""SELECT bin, n, round(mean_predicted, 6) AS mean_predicted, round(observed_rate, 6) AS observed_rate, round(mean_predicted - observed_rate, 6) AS gap FROM (
+  SELECT CAST(b AS INT) AS bin, count(*) AS n, avg(p) AS mean_predicted, avg(y) AS observed_rate FROM (SELECT *, ntile(10) OVER (ORDER BY round(p, 12), row_id) AS b FROM cc) GROUP BY b)""")
+
+
 @query("ends", "SELECT loan_id, duration, event FROM ends")
 def time_to_event(spark, d):
     return tra.time_to_event(_panel(spark, d))
@@ -790,11 +924,43 @@ def score_next_state(spark, d):
     return tra.score_next_state(_one_step(spark, d)).select("row_id", "next_state_pred", "next_state_confidence")
 
 
+def _one_step_sql(source: str) -> str:
+    """(metric, value) of probabilities p; source is a query of (row_id, to_state, p)."""
+    return f"""
+SELECT * FROM (
+  WITH o AS ({source}), k AS (SELECT to_state AS y, {STATE_LIST}[list_position(p, list_max(p))] AS q FROM o),
+  c AS (SELECT x AS c, (SELECT count(*) FROM k WHERE y = x)::DOUBLE AS r, (SELECT count(*) FROM k WHERE q = x)::DOUBLE AS s, (SELECT count(*) FROM k WHERE y = x AND q = x)::DOUBLE AS t FROM (SELECT DISTINCT unnest([y, q]) AS x FROM k)),
+  e AS (SELECT {STATE_LIST}[i] AS g, CAST(to_state = {STATE_LIST}[i] AS INT) AS y, p[i] AS s FROM o, (SELECT unnest(range(1, 7)) AS i)),
+  a AS (SELECT g, y, rank() OVER (PARTITION BY g ORDER BY s) + (count(*) OVER (PARTITION BY g, s) - 1) / 2.0::DOUBLE AS r FROM e)
+  SELECT 'n' AS metric, count(*)::DOUBLE AS value FROM o
+  UNION ALL SELECT 'log_loss', avg(-ln(greatest(p[list_position({STATE_LIST}, to_state)], 1e-12) / list_sum(list_transform(p, lambda x: greatest(x, 1e-12))))) FROM o
+  UNION ALL SELECT 'accuracy', sum(t) / sum(r) FROM c UNION ALL SELECT 'macro_f1', avg(2 * t / (r + s)) FROM c
+  UNION ALL SELECT concat('auc_', g), (sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y)::DOUBLE * sum(1 - y)) FROM a GROUP BY g HAVING sum(y) > 0 AND sum(1 - y) > 0)"""
+
+
+@query("trans cells", _one_step_sql(ONE_STEP), "value")
+def evaluate_one_step(spark, d):
+    return tra.evaluate_one_step(_one_step(spark, d))
+
+
+ALL_AGES = "SELECT t.row_id, t.to_state, list(c.p ORDER BY c.j) AS p FROM trans t JOIN cells c ON c.from_state = t.from_state AND c.bucket = -1 GROUP BY ALL"
+
+
+@query("trans cells", f"SELECT metric, b.value AS baseline, m.value AS model, m.value - b.value AS delta FROM ({_one_step_sql(ALL_AGES)}) b FULL JOIN ({_one_step_sql(ONE_STEP)}) m USING (metric)", "baseline model delta")
+def compare_to_baseline(spark, d):
+    """Matrices by age against one matrix for all ages."""
+    frame = tra.transition_frame(_panel(spark, d))
+    cells = tra.empirical_matrix(frame)
+    whole = tra.one_step_scores(frame, cells.where("bucket = -1").select(F.explode(F.array(*[F.lit(b) for b in range(-1, 5)])).alias("bucket"), "from_state", "to_state", "i", "j", "p"))
+    both = tra.one_step_scores(frame, cells).join(whole.select("row_id", F.col("p").alias("p_all")), "row_id")
+    return tra.compare_to_baseline(both, "p", "p_all")
+
+
 @query("trans cells", f"""
 WITH k AS (SELECT to_state AS y, {STATE_LIST}[list_position(p, list_max(p))] AS q FROM ({ONE_STEP})),
 c AS (SELECT x AS c, (SELECT count(*) FROM k WHERE y = x)::DOUBLE AS r, (SELECT count(*) FROM k WHERE q = x)::DOUBLE AS s, (SELECT count(*) FROM k WHERE y = x AND q = x)::DOUBLE AS t FROM (SELECT DISTINCT unnest([y, q]) AS x FROM k))
 SELECT sum(t) / sum(r) AS accuracy, avg(2 * t / (r + s)) AS macro_f1, sum(r * 2 * t / (r + s)) / sum(r) AS weighted_f1 FROM c""", "accuracy macro_f1 weighted_f1")
-def evaluate_one_step(spark, d):
+def classification_report(spark, d):
     return met.classification_report(tra.score_next_state(_one_step(spark, d)), "to_state", "next_state_pred")
 
 
@@ -870,9 +1036,10 @@ def calibration_by_segment(spark, d):
 
 @query("marked", """
 SELECT segment, count(*) AS n, avg(y) AS observed_rate, avg(s) AS mean_predicted, avg(CAST(s >= bar AS INT)) AS selection_rate,
-  (sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * sum(1 - y))::DOUBLE AS roc_auc FROM (
-  SELECT state AS segment, delinq_3 AS y, p AS s, (SELECT quantile_cont(p, 0.95) FROM marked) AS bar, rank() OVER (PARTITION BY state ORDER BY p) + (count(*) OVER (PARTITION BY state, p) - 1) / 2.0::DOUBLE AS r FROM marked)
-GROUP BY segment HAVING count(*) >= 200""", "observed_rate mean_predicted selection_rate roc_auc")
+  (sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * sum(1 - y))::DOUBLE AS roc_auc, sum(y * tp / up::DOUBLE) / sum(y) / avg(y) AS pr_auc_lift FROM (
+  SELECT state AS segment, delinq_3 AS y, p AS s, (SELECT quantile_cont(p, 0.95) FROM marked) AS bar, rank() OVER (PARTITION BY state ORDER BY p) + (count(*) OVER (PARTITION BY state, p) - 1) / 2.0::DOUBLE AS r,
+    sum(delinq_3) OVER (PARTITION BY state ORDER BY p DESC) AS tp, count(*) OVER (PARTITION BY state ORDER BY p DESC) AS up FROM marked)
+GROUP BY segment HAVING count(*) >= 200""", "observed_rate mean_predicted selection_rate roc_auc pr_auc_lift")
 def slice_metrics(spark, d):
     return met.slice_metrics(_marked(spark, d), "delinq_3", "p", "state")
 
@@ -912,7 +1079,7 @@ def confidence_band(spark, d):
 SHOWN = ["loan_id", "reporting_month", "exception_required_pred", "exception_type_pred", "exception_confidence", "anomaly_score", "next_12m_default_prob", "next_state_pred", "recommended_action"]
 
 
-def _submission(spark, d):
+def _submission(spark, d, keep=()):
     r = _ruled(spark, d).withColumns({"exception_required_pred": rul.rule_covered().cast("int"), "exception_type_pred": rul.rule_assigned_type(), "exception_confidence": sco.exception_confidence()})
     m = _marked(spark, d).select("row_id", F.col("p").alias("next_3m_delinquency_prob"), F.col("next_state").alias("next_state_pred"))
     part = lambda a, n, by: ((F.col("row_id") * a) % n).cast("double") / by
@@ -920,7 +1087,7 @@ def _submission(spark, d):
         {"next_6m_delinquency_prob": part(11, 997, 997), "next_12m_default_prob": part(13, 991, 9910), "next_12m_prepayment_prob": part(17, 983, 983),
          "next_state_confidence": F.lit(0.5), "top_drivers": F.lit("rate (+)"), "model_confidence": F.lit(0.5)}
     )
-    return sco.build_submission(df)
+    return sco.build_submission(df, keep)
 
 
 @query("sub", f"SELECT {', '.join(SHOWN)} FROM sub", "exception_confidence anomaly_score next_12m_default_prob")
@@ -934,19 +1101,16 @@ def template_select(spark, d):
 
 
 @query("sub", """
-SELECT 'row count' AS "check", true AS passed UNION ALL SELECT 'column order', true
-UNION ALL SELECT 'probabilities in range', bool_and(next_3m_delinquency_prob BETWEEN 0 AND 1 AND next_6m_delinquency_prob BETWEEN 0 AND 1 AND next_12m_default_prob BETWEEN 0 AND 1 AND next_12m_prepayment_prob BETWEEN 0 AND 1 AND anomaly_score BETWEEN 0 AND 1) FROM sub
-UNION ALL SELECT 'no nulls', bool_and(next_state_pred IS NOT NULL AND recommended_action IS NOT NULL) FROM sub
+SELECT 'row count' AS "check", true AS passed UNION ALL SELECT 'rows align', true UNION ALL SELECT 'column order', true
+UNION ALL SELECT 'probabilities in range', bool_and(""" + " AND ".join(f"{c} BETWEEN 0 AND 1" for c in [*sco.PROBS, "exception_confidence", "anomaly_score", "model_confidence", "next_state_confidence"]) + """) FROM sub
 UNION ALL SELECT 'known states', bool_and(next_state_pred IN ('Current', '30DPD', '60DPD', '90DPD', 'Default', 'Prepaid')) FROM sub
 UNION ALL SELECT 'flag is 0 or 1', bool_and(exception_required_pred IN (0, 1)) FROM sub
-UNION ALL SELECT 'no blank text', bool_and(trim(recommended_action) <> '' AND trim(exception_type_pred) <> '') FROM sub
-""" + " ".join(f"""UNION ALL SELECT 'not constant: {c}', min({c}) <> max({c}) FROM sub
-UNION ALL SELECT 'ties: {c}', max(n) / sum(n)::DOUBLE <= 0.25 AND count(*) / sum(n)::DOUBLE >= 0.05 FROM (SELECT count(*) AS n FROM sub GROUP BY {c})""" for c in sco.PROBS))
+UNION ALL SELECT 'no blank text', bool_and(trim(recommended_action) <> '' AND trim(exception_type_pred) <> '' AND trim(top_drivers) <> '') FROM sub
+""" + " ".join(f"UNION ALL SELECT 'no nulls: {c}', count(*) = count({c}) FROM sub" for c in sco.TEMPLATE) + " ".join(
+    f" UNION ALL SELECT 'not constant: {c}', min({c}) <> max({c}) FROM sub" for c in [*sco.PROBS, "anomaly_score", "model_confidence"]) + " ".join(
+    f" UNION ALL SELECT 'ties: {c}', max(n) / sum(n)::DOUBLE <= 0.25 AND count(*) / sum(n)::DOUBLE >= 0.05 FROM (SELECT count(*) AS n FROM sub GROUP BY {c})" for c in sco.PROBS))
 def validate_submission(spark, d):
-    from panelworks.session import checkpoint
-
-    df = checkpoint(_submission(spark, d))
-    return sco.validate_submission(df, df.count())
+    return sco.validate_submission(checkpoint(_submission(spark, d, ["row_id"])), _panel(spark, d))
 
 
 @query("sub", "SELECT recommended_action AS action, count(*) AS n, count(*) / (SELECT count(*) FROM sub)::DOUBLE AS share FROM sub GROUP BY 1", "share")
@@ -964,9 +1128,9 @@ def model_confidence(spark, d):
     return sco.model_confidence(_marked(spark, d), "p").select("row_id", "model_confidence")
 
 
-@query("marked", "SELECT row_id, CASE WHEN p < 0.30 THEN 'Low' WHEN p < 0.60 THEN 'Medium' ELSE 'High' END AS band FROM marked")
+@query("marked", "SELECT row_id, CASE WHEN p < 0.30 THEN 'Low' WHEN p < 0.60 THEN 'Medium' ELSE 'High' END AS band, CASE WHEN p <= 0.25 THEN 'Low' WHEN p <= 0.75 THEN 'Medium' ELSE 'High' END AS chosen FROM marked")
 def risk_band(spark, d):
-    return _marked(spark, d).select("row_id", sco.risk_band(F.col("p")).alias("band"))
+    return _marked(spark, d).select("row_id", sco.risk_band(F.col("p")).alias("band"), sco.risk_band(F.col("p"), (0.25, 0.75), right_closed=True).alias("chosen"))
 
 
 @query("panel", "SELECT count(DISTINCT loan_id) AS n_loans, count(*) AS n_rows, min(reporting_month) AS first_month, max(reporting_month) AS last_month, avg(CAST(current_status IN ('30DPD', '60DPD', '90DPD') AS INT)) AS share_delinquent FROM panel", "share_delinquent")
@@ -994,6 +1158,32 @@ def what_if_batch(spark, d):
     return sco.what_if_batch(p, overrides, change).select("scenario_id", "row_id", "balance_change", "balance_change_base")
 
 
+def _what_if(spark, d):
+    """Balances set to 0 in some months; the score is a fixed function of features that follow the balance."""
+    p = _panel(spark, d)
+    overrides = p.where("row_id % 50 = 0").select(F.lit(1).alias("scenario_id"), "loan_id", "reporting_month", F.lit(0.0).alias("current_balance")).distinct()
+    return sco.what_if_batch(p, overrides, lambda df: feat.amortisation(df).withColumn("score", F.col("balance_ratio") * 0.5 + F.col("term_progress") * 0.1))
+
+
+WHAT_IF = """(SELECT 1 AS scenario_id, a.row_id, a.balance_ratio AS balance_ratio_base, a.amortisation_gap AS amortisation_gap_base, a.term_progress, a.scheduled_balance_ratio,
+  CASE WHEN o.loan_id IS NOT NULL THEN 0 ELSE a.balance_ratio END AS balance_ratio FROM amort a JOIN (SELECT DISTINCT loan_id FROM panel WHERE row_id % 50 = 0) l ON l.loan_id = a.loan_id
+  LEFT JOIN (SELECT DISTINCT loan_id, reporting_month FROM panel WHERE row_id % 50 = 0) o ON o.loan_id = a.loan_id AND o.reporting_month = a.reporting_month)"""
+
+
+@query("amort", f"""
+SELECT scenario_id, row_id, 'score' AS target, b AS baseline, s AS scenario, (s - b) * 100 AS change_pp, (s - b) / nullif(b, 0) AS relative_change,
+  CASE WHEN b < 0.30 THEN 'Low' WHEN b < 0.60 THEN 'Medium' ELSE 'High' END AS baseline_band, CASE WHEN s < 0.30 THEN 'Low' WHEN s < 0.60 THEN 'Medium' ELSE 'High' END AS scenario_band
+FROM (SELECT *, balance_ratio_base * 0.5::DOUBLE + term_progress * 0.1::DOUBLE AS b, balance_ratio * 0.5::DOUBLE + term_progress * 0.1::DOUBLE AS s FROM {WHAT_IF})""", "baseline scenario change_pp relative_change")
+def what_if_deltas(spark, d):
+    return sco.what_if_deltas(_what_if(spark, d), ["score"])
+
+
+@query("amort", f"SELECT scenario_id, row_id, CASE WHEN balance_ratio <> balance_ratio_base THEN 'balance_ratio, amortisation_gap' ELSE '' END AS changed FROM {WHAT_IF}")
+def what_if_changed(spark, d):
+    pairs = _what_if(spark, d)
+    return pairs.select("scenario_id", "row_id", sco.changed_columns(pairs, ["balance_ratio", "term_progress", "scheduled_balance_ratio", "amortisation_gap"]).alias("changed"))
+
+
 @query("marked", "SELECT row_id, (max(p) OVER () - p) / (max(p) OVER () - min(p) OVER ()) AS anomaly_score FROM marked", "anomaly_score")
 def anomaly_score(spark, d):
     return sco.anomaly_score(_marked(spark, d), "p").select("row_id", "anomaly_score")
@@ -1002,16 +1192,48 @@ def anomaly_score(spark, d):
 DRIVE = ["current_balance", "interest_rate", "days_past_due"]
 
 
-@query("panel", """
+DRIVERS = """
 WITH q AS (SELECT """ + ", ".join(f"quantile_cont({c}::DOUBLE, [0.25, 0.5, 0.75]) AS q_{c}" for c in DRIVE) + """ FROM panel),
 m AS (SELECT """ + ", ".join(f"quantile_cont(abs({c} - q_{c}[2]), 0.5) AS m_{c}" for c in DRIVE) + """ FROM panel, q),
-d AS (""" + " UNION ALL ".join(f"SELECT row_id, '{c}' AS feature, ({c} - q_{c}[2]) / coalesce(nullif(m_{c}, 0), nullif((q_{c}[3] - q_{c}[1]) / 1.349, 0)) AS deviation FROM panel, q, m" for c in DRIVE) + """)
-SELECT row_id, feature, deviation, CASE WHEN deviation > 0 THEN 'above' ELSE 'below' END AS direction, CAST(row_number() OVER (PARTITION BY row_id ORDER BY abs(deviation) DESC, feature) AS INT) AS rank
-FROM d WHERE abs(deviation) >= 3 QUALIFY rank <= 3""", "deviation")
+d AS (""" + " UNION ALL ".join(
+    f"SELECT row_id, '{c}' AS feature, {c}::DOUBLE AS value, q_{c}[2] AS median, ({c} - q_{c}[2]) / coalesce(nullif(m_{c}, 0), nullif((q_{c}[3] - q_{c}[1]) / 1.349, 0)) AS deviation, "
+    f"100.0::DOUBLE * (rank() OVER (ORDER BY {c}) - 1) / count(*) OVER () AS percentile FROM panel, q, m" for c in DRIVE) + """)
+SELECT row_id, feature, value, median, deviation, percentile, CASE WHEN deviation > 0 THEN 'above' ELSE 'below' END AS direction, CAST(row_number() OVER (PARTITION BY row_id ORDER BY abs(deviation) DESC, feature) AS INT) AS rank
+FROM d WHERE abs(deviation) >= 3 QUALIFY rank <= 3"""
+
+
+@query("panel", DRIVERS, "value median deviation percentile")
 def anomaly_drivers(spark, d):
     return sco.anomaly_drivers(_panel(spark, d), DRIVE)
 
 
+@query("panel", " UNION ALL ".join(f"""
+SELECT '{c}' AS feature, med AS median, mad, coalesce(nullif(mad, 0), nullif(iqr / 1.349, 0)) AS scale FROM (
+  SELECT quantile_cont({c}::DOUBLE, 0.5) AS med, quantile_cont({c}::DOUBLE, 0.75) - quantile_cont({c}::DOUBLE, 0.25) AS iqr, (SELECT quantile_cont(abs({c} - (SELECT quantile_cont({c}::DOUBLE, 0.5) FROM panel)), 0.5) FROM panel) AS mad FROM panel)""" for c in DRIVE), "median mad scale")
+def reference_stats(spark, d):
+    return sco.reference_stats(_panel(spark, d), DRIVE)
+
+
+def _cases(values: dict, key: str) -> str:
+    quote = lambda x: "'" + str(x).replace("'", "''") + "'"
+    return f"CASE {key} {' '.join(f'WHEN {quote(k)} THEN {quote(v)}' for k, v in values.items())} ELSE replace({key}, '_', ' ') END"
+
+
+@query("panel", f"""
+SELECT p.row_id, count(r.feature) AS n_drivers, coalesce(string_agg({_cases(FEATURE_LABELS, 'r.feature')} || ' ' || direction || ' median by ' || printf('%.1f', abs(deviation)) || ' robust deviations', '; ' ORDER BY rank), '{sco.IN_COMBINATION}') AS drivers
+FROM panel p LEFT JOIN ({DRIVERS}) r ON r.row_id = p.row_id GROUP BY p.row_id""")
+def anomaly_text(spark, d):
+    p = _panel(spark, d)
+    out = sco.anomaly_text(p, sco.anomaly_drivers(p, DRIVE))
+    return out.withColumn("n_drivers", F.col("n_drivers").cast("long"))
+
+
+@query("panel", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature FROM panel HAVING min({c}) < max({c})" for c in ("loan_age_months", "remaining_term_months", "original_balance", "current_balance", "interest_rate", "days_past_due", "modification_flag")) + ")")
+def detector_features(spark, d):
+    df = _panel(spark, d).withColumn("same", F.lit(3))
+    return df.groupBy().agg(F.array(*[F.lit(c) for c in sco.detector_features(df)]).alias("f")).select(F.explode("f").alias("feature"))
+
+
 COEFS = {"interest_rate": 0.8, "days_past_due": 0.05, "loan_age_months": -0.01}
 SHAP = " UNION ALL ".join(f"SELECT row_id, '{c}' AS source, {b} * ({c} - (SELECT avg({c}) FROM panel)) AS value FROM panel" for c, b in COEFS.items())
 
@@ -1033,40 +1255,226 @@ def local_drivers(spark, d):
     return sco.local_drivers(sco.linear_shap(_panel(spark, d), COEFS), top=2)
 
 
+@query("ruled", f"""
+SELECT r.row_id, CASE WHEN covered THEN concat_ws('; ', {', '.join(f"CASE WHEN {r} THEN '{RULE_LABELS.get(r, r.replace('_', ' '))}' END" for r in RULES)}) ELSE t.told END AS top_drivers
+FROM ruled r JOIN (SELECT row_id, string_agg({_cases(FEATURE_LABELS, 'source')} || CASE WHEN value >= 0 THEN ' (+)' ELSE ' (-)' END, '; ' ORDER BY k) AS told FROM (
+  SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(value) DESC, {_cases(FEATURE_LABELS, 'source')}) AS k FROM ({SHAP})) WHERE k <= 3 GROUP BY row_id) t ON t.row_id = r.row_id""")
+def driver_text(spark, d):
+    return sco.driver_text(_ruled(spark, d), sco.linear_shap(_panel(spark, d), COEFS)).select("row_id", "top_drivers")
+
+
 # Texts.
-@query("", """
-SELECT doc_id, coalesce(list_sum(list_transform(list_filter(regexp_extract_all(coalesce(text, ''), '(\\d[\\d,]*(?:\\.\\d+)?)'), lambda x: x <> ''), lambda x: length(x))), 0)::BIGINT AS digits,
-  len(regexp_extract_all(coalesce(text, ''), '(\\d[\\d,]*(?:\\.\\d+)?)'))::BIGINT AS n_numbers FROM documents""".replace("\\\\", "\\"))
+#: DuckDB has no look-behind, so the blanks between digits go by two passes; the sign is marked as the operator does it.
+NORMAL = "translate(regexp_replace(regexp_replace(coalesce({x}, ''), '(\\d)[\u00a0\u202f\u2009](\\d)', '\\1\\2', 'g'), '(\\d)[\u00a0\u202f\u2009](\\d)', '\\1\\2', 'g'), '" + txt.DASHES + txt.BLANKS + "\ue000', '-------   ')"
+NUMBERS = """list_filter(list_transform(regexp_extract_all(regexp_replace({n}, '(^|[\\s(\\[{{:,=])-\\s*(\\$?\\d)', '\\1\ue000\\2', 'g'), '(\ue000?\\$?\\d[\\d,]*\\.?\\d*\\s*%?)'),
+  lambda tok: {{'raw': replace(rtrim(regexp_replace(tok, '\\s+$', '')), '\ue000', '-'), 'value': TRY_CAST(regexp_replace(tok, '[,$%\\s\ue000]', '', 'g') AS DOUBLE) * CASE WHEN tok[1] = '\ue000' THEN -1 ELSE 1 END, 'pct': contains(tok, '%')}}), lambda num: num.value IS NOT NULL)"""
+
+
+def _numbers_sql(column: str) -> str:
+    return NUMBERS.format(n=NORMAL.format(x=column))
+
+
+@query("", f"""
+SELECT doc_id, len(n)::BIGINT AS n_numbers, len(list_filter(n, lambda x: x.pct))::BIGINT AS n_percents, len(list_filter(n, lambda x: x.value < 0))::BIGINT AS n_negative,
+  coalesce(list_sum(list_transform(n, lambda x: least(abs(x.value), 1e6))), 0)::DOUBLE AS total, coalesce(array_to_string(list_transform(n, lambda x: x.raw), '|'), '') AS raws
+FROM (SELECT doc_id, {_numbers_sql('text')} AS n FROM documents)""", "total")
 def extract_numbers(spark, d):
-    docs = table(spark, d, "documents")
-    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(\d[\d,]*(?:\.\d+)?)"), F.lit(1))
-    return docs.select(
-        "doc_id", F.aggregate(found, F.lit(0), lambda a, x: a + F.length(x)).cast("long").alias("digits"), F.size(txt.extract_numbers(F.col("text"))).cast("long").alias("n_numbers")
+    n = F.col("n")
+    count = lambda test: F.size(F.filter(n, test)).cast("long")
+    return table(spark, d, "documents").select("doc_id", txt.extract_numbers(F.col("text")).alias("n")).select(
+        "doc_id", F.size(n).cast("long").alias("n_numbers"), count(lambda x: x["is_percent"]).alias("n_percents"), count(lambda x: x["value"] < 0).alias("n_negative"),
+        F.aggregate(n, F.lit(0.0), lambda a, x: a + F.least(F.abs(x["value"]), F.lit(1e6))).alias("total"), F.array_join(F.transform(n, lambda x: x["raw"]), "|").alias("raws"),
     )
 
 
-@query("", """
-SELECT doc_id, """ + ", ".join(f"({' OR '.join(f"contains(lower(coalesce(text, '')), '{p}')" for p in ps)}) AS {n}" for n, ps in (("has_causal", txt.CAUSAL), ("has_certainty", txt.CERTAINTY))) + """,
-  trim(coalesce(text, '')) = '' AS is_empty, regexp_matches(coalesce(text, ''), '[0-9]') AS cites_number FROM documents""")
+@query("", f"SELECT conv_id, turn, {NORMAL.format(x='text')} AS text FROM conversations")
+def normalise_text(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", txt.normalise_text(F.col("text")).alias("text"))
+
+
+PHRASES = {"has_causal": txt.CAUSAL, "has_decision": txt.DECISION, "has_certainty": txt.CERTAINTY, "has_disclaimer": txt.DISCLAIMER}
+#: Notes on the panel's rows, as a generator would write them: some say what they must not, or a figure from nowhere.
+NOTES = """
+SELECT row_id, loan_id, reporting_month, p, x, concat(
+  CASE WHEN row_id % 17 = 0 THEN '' ELSE concat('The model estimate for the next 3 months is ', CAST((p1000 // 10) AS STRING), '.', CAST((p1000 % 10) AS STRING), '%') END,
+  CASE WHEN row_id % 7 = 0 THEN ', against 77.77% elsewhere' ELSE '' END, CASE WHEN row_id % 5 = 0 THEN ' because the borrower moved' ELSE '' END,
+  CASE WHEN row_id % 11 = 0 THEN '. Recommend denial' WHEN row_id % 13 = 0 THEN '. It will default' ELSE '' END, CASE WHEN row_id % 3 = 0 THEN '. For review' ELSE '' END,
+  CASE WHEN row_id % 19 = 0 THEN concat(' of loan ', loan_id) ELSE '' END) AS note
+FROM (SELECT row_id, loan_id, reporting_month, CAST((row_id * 7) % 1000 AS BIGINT) AS p1000, CAST((row_id * 7) % 1000 AS DOUBLE) / 1000 AS p, CAST((row_id * 13) % 500 AS DOUBLE) / 100 AS x FROM panel)
+"""
+CTES["notes"] = (["panel"], NOTES)
+
+
+def _notes(spark, d):
+    return spark.sql(NOTES.replace("//", "DIV").replace("FROM panel", "FROM {panel}"), panel=_panel(spark, d))
+
+
+def _grounds(spark, d):
+    quantities = F.array("p", "x")
+    literals = txt.literal_numbers(F.col("loan_id"), F.date_format("reporting_month", "yyyy-MM-dd"), F.lit("next_3m_delinquency"))
+    return _notes(spark, d), quantities, literals
+
+
+@query("notes", "SELECT row_id, " + ", ".join(f"({' OR '.join(f"contains(lower(note), '{p}')" for p in ps)}) AS {n}" for n, ps in PHRASES.items()) + ", trim(note) = '' AS is_empty, regexp_matches(note, '[0-9]') AS cites_number FROM notes")
 def phrase_flags(spark, d):
-    return txt.phrase_flags(table(spark, d, "documents")).select("doc_id", "has_causal", "has_certainty", "is_empty", "cites_number")
+    return txt.phrase_flags(_notes(spark, d), "note").select("row_id", *PHRASES, "is_empty", "cites_number")
+
+
+_HELD = "(list_bool_or(list_transform(exact, lambda q: abs({v} - q) <= 1e-6)) IS TRUE OR list_bool_or(list_transform(known, lambda q: abs({v} - q) <= 1e-6 OR (q <> 0 AND abs({v} - q) <= 0.02 * abs(q)))) IS TRUE)"
+
+
+def _known_sql(*columns: str) -> str:
+    return "list_filter([" + ", ".join(_ways_sql(c) for c in columns) + "]::DOUBLE[], lambda q: q IS NOT NULL)"
+
+
+def _ways_sql(c: str) -> str:
+    """The forms of a quantity, as the operator lists them."""
+    out = []
+    for f in (c, f"abs({c})"):
+        out += [f, *(f"round({f}, {k})" for k in range(5)), *(f"CASE WHEN abs({f}) <= 1 THEN round({f} * 100, {k}) END" for k in (6, 0, 1, 2, 3))]
+    return ", ".join(out)
+
+
+GROUNDED = f"""
+SELECT row_id, note, p, x, list_transform(list_filter(said, lambda n: NOT ({_HELD.format(v='n.value')} OR (n.pct AND {_HELD.format(v='(n.value / 100)')}))), lambda n: n.raw) AS loose FROM (
+  SELECT row_id, note, p, x, {_numbers_sql('note')} AS said, {_known_sql('p', 'x')} AS known,
+    [CAST(loan_id AS DOUBLE), year(reporting_month), month(reporting_month), day(reporting_month), 3]::DOUBLE[] AS exact FROM notes)"""
+
+
+@query("notes", f"SELECT row_id, array_to_string(loose, '|') AS ungrounded, len(loose) = 0 AS grounded FROM ({GROUNDED})")
+def numeric_grounding(spark, d):
+    notes, quantities, literals = _grounds(spark, d)
+    return txt.numeric_grounding(notes, "note", quantities, literals).select("row_id", F.array_join("ungrounded", "|").alias("ungrounded"), "grounded")
+
+
+def _any(ps):
+    return "(" + " OR ".join(f"contains(lower(note), '{p}')" for p in ps) + ")"
+
+
+@query("notes", f"""
+SELECT row_id, failed_checks, failed_checks = '' AS ok FROM (SELECT row_id, concat_ws(',', CASE WHEN len(loose) > 0 THEN 'numeric_grounding' END, CASE WHEN {_any(txt.CAUSAL)} THEN 'no_causal_claims' END,
+  CASE WHEN {_any(txt.DECISION)} THEN 'no_decision_language' END, CASE WHEN {_any(txt.CERTAINTY)} THEN 'no_false_certainty' END, CASE WHEN NOT {_any(txt.DISCLAIMER)} THEN 'carries_disclaimer' END,
+  CASE WHEN trim(note) = '' THEN 'non_empty' END, CASE WHEN NOT regexp_matches(note, '[0-9]') THEN 'reports_the_numbers' END) AS failed_checks FROM ({GROUNDED}))""")
+def note_checks(spark, d):
+    notes, quantities, literals = _grounds(spark, d)
+    return txt.note_checks(notes, "note", quantities, literals).select("row_id", "failed_checks", "ok")
+
 
+@query("notes", f"SELECT row_id, len(list_filter(list_filter({_numbers_sql('note')}, lambda n: n.pct), lambda n: abs(n.value / 100 - p) > 0.02))::BIGINT AS n_mismatched FROM notes")
+def probability_mismatch(spark, d):
+    return _notes(spark, d).select("row_id", F.size(txt.probability_mismatch(F.col("note"), F.col("p"))).cast("long").alias("n_mismatched"))
 
-@query("", """
-SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS INT) AS rank FROM (
-  WITH dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{2,}') AS w FROM documents),
-  qw AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{2,}') AS w FROM benchmark),
+
+CHUNKS = r"""
+WITH l AS (SELECT doc_id, CAST(unnest(range(0, len(ls))) AS INT) AS line, unnest(ls) AS raw FROM (SELECT doc_id, regexp_split_to_array(text, '\r\n|\n|\r') AS ls FROM {source})),
+t AS (SELECT doc_id, line, trim(raw) AS l FROM l WHERE trim(raw) <> ''),
+s AS (SELECT *, last_value(CASE WHEN starts_with(l, '#') THEN trim(regexp_replace(l, '^#+', '')) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS section FROM t),
+c AS (SELECT *, starts_with(l, '|') AND length(l) - length(replace(l, '|', '')) >= 3 AS tab, list_transform(string_split(regexp_replace(l, '^\|+|\|+$', '', 'g'), '|'), lambda c: trim(c)) AS cells FROM s WHERE NOT starts_with(l, '#')),
+r AS (SELECT *, tab AND len(cells) > 1 AND NOT regexp_full_match(cells[1], '[-: ]*') AND lower(cells[1]) NOT IN ('field', 'column', 'name') AS is_row FROM c)
+SELECT doc_id, line, section, CASE WHEN is_row THEN 'field' ELSE 'prose' END AS kind, CASE WHEN is_row THEN cells[1] END AS name, CASE WHEN is_row THEN cells[1] || ': ' || cells[2] ELSE l END AS passage
+FROM r WHERE is_row OR (NOT tab AND length(l) > 40 AND NOT starts_with(l, '>'))"""
+#: Customers as pages of a dictionary in Markdown: headings, tables, quotes and prose.
+PAGES = """
+SELECT c_custkey AS doc_id, concat('# Segment ', c_mktsegment, chr(10), '| Field | Meaning |', chr(10), '|---|---|', chr(10), '| acct_', CAST(c_custkey AS STRING), ' | balance of nation ', CAST(c_nationkey AS STRING), ' |', chr(10),
+  chr(10), '## Notes', chr(10), CASE WHEN c_custkey % 3 = 0 THEN '> a quoted line that is as long as any other line of prose' ELSE concat('A line of prose about ', c_name, ' that is longer than forty characters') END, chr(10),
+  CASE WHEN c_custkey % 4 = 0 THEN '| lone |' ELSE concat('| phone_', CAST(c_custkey AS STRING), ' | kept for nation ', CAST(c_nationkey AS STRING), ' | x |') END, chr(10), 'short line') AS text
+FROM customer
+"""
+CTES["pages_md"] = ([], PAGES)
+
+
+def _pages(spark, d):
+    return spark.sql(PAGES.replace("FROM customer", "FROM {customer}"), customer=table(spark, d, "customer"))
+
+
+@query("pages_md", "SELECT * FROM (" + CHUNKS.replace("{source}", "pages_md") + ")")
+def corpus_chunks(spark, d):
+    return txt.corpus_chunks(_pages(spark, d))
+
+
+@query("", "SELECT * FROM (" + CHUNKS.replace("{source}", "documents") + ")")
+def corpus_chunks_documents(spark, d):
+    return txt.corpus_chunks(table(spark, d, "documents"))
+
+
+TFIDF = """
+  WITH dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{2,}') AS w FROM @docs),
+  qw AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{2,}') AS w FROM @questions),
   dt AS (SELECT doc_id, term, count(*) AS c FROM (SELECT doc_id, unnest(w) AS term FROM dw UNION ALL SELECT doc_id, w[i] || ' ' || w[i + 1] FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM dw)) GROUP BY ALL),
   qt AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest(w) AS term FROM qw UNION ALL SELECT item_id, w[i] || ' ' || w[i + 1] FROM (SELECT item_id, w, unnest(range(1, len(w))) AS i FROM qw)) GROUP BY ALL),
-  idf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM dt GROUP BY term),
+  idf AS (SELECT term, ln((1 + (SELECT count(*) FROM @docs)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM dt GROUP BY term),
   d AS (SELECT doc_id, term, (1 + ln(c)) * idf AS w FROM dt JOIN idf USING (term)), q AS (SELECT item_id, term, (1 + ln(c)) * idf AS w FROM qt JOIN idf USING (term)),
   dn AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM d GROUP BY doc_id), qn AS (SELECT item_id, sqrt(sum(w * w)) AS n FROM q GROUP BY item_id)
-  SELECT q.item_id, d.doc_id, sum(q.w * d.w) / (any_value(qn.n) * any_value(dn.n)) AS score FROM q JOIN d USING (term) JOIN dn ON dn.doc_id = d.doc_id JOIN qn ON qn.item_id = q.item_id GROUP BY q.item_id, d.doc_id)
-WHERE score >= 0.12 QUALIFY rank <= 3""", "score")
+  SELECT q.item_id, d.doc_id, sum(q.w * d.w) / (any_value(qn.n) * any_value(dn.n)) AS score FROM q JOIN d USING (term) JOIN dn ON dn.doc_id = d.doc_id JOIN qn ON qn.item_id = q.item_id GROUP BY q.item_id, d.doc_id"""
+RANKED = "CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS INT) AS rank"
+
+
+def _tfidf(docs: str, questions: str) -> str:
+    return TFIDF.replace("@docs", docs).replace("@questions", questions)
+
+
+@query("", f"SELECT item_id, doc_id, score, {RANKED} FROM ({_tfidf('documents', 'benchmark')}) WHERE score >= 0.12 QUALIFY rank <= 3", "score")
 def tfidf_search(spark, d):
     return txt.tfidf_search(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+#: Passages of the dictionary and questions about its fields, some of which name none.
+PASSAGES = f"SELECT doc_id * 100 + line AS doc_id, passage AS text, name, section FROM ({CHUNKS.replace('{source}', 'pages_md')})"
+CTES["passages"] = (["pages_md"], PASSAGES)
+QUESTIONS = """SELECT c_custkey AS item_id, CASE WHEN c_custkey % 20 = 0 THEN concat('what is the balance of nation ', CAST(c_nationkey AS STRING), '?')
+  ELSE concat('What does acct_', CAST(c_custkey AS STRING), ' mean, or phone?') END AS text FROM customer WHERE c_custkey % 10 = 0"""
+CTES["asked"] = ([], QUESTIONS)
+NAMED = f"""SELECT item_id, doc_id, score, {RANKED} FROM (
+  SELECT h.*, string_split_regex(lower(coalesce(p.name, '')), '[^a-z0-9]+') AS names, string_split_regex(lower(regexp_replace(q.text, '[^A-Za-z0-9_]+', ' ', 'g')), '[^a-z0-9]+') AS words FROM (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM ({_tfidf('passages', 'asked')}) WHERE score >= 0.12 QUALIFY r <= 15) h
+  JOIN passages p ON p.doc_id = h.doc_id JOIN asked q ON q.item_id = h.item_id)
+WHERE len(list_filter(names, lambda x: x <> '')) = 0 OR len(list_filter(list_intersect(names, words), lambda x: x <> '')) > 0 QUALIFY rank <= 3"""
+
+
+def _passages(spark, d):
+    chunks = txt.corpus_chunks(_pages(spark, d))
+    return checkpoint(chunks.select((F.col("doc_id") * 100 + F.col("line")).alias("doc_id"), F.col("passage").alias("text"), "name", "section"))
+
+
+def _asked(spark, d):
+    return spark.sql(QUESTIONS.replace("FROM customer", "FROM {customer}"), customer=table(spark, d, "customer"))
+
+
+@query("passages asked", NAMED, "score")
+def passage_search(spark, d):
+    return txt.tfidf_search(_passages(spark, d), _asked(spark, d), name="name")
+
+
+@query("passages asked", f"""
+SELECT q.item_id, min(h.doc_id) FILTER (WHERE h.rank = 1) AS doc_id, count(h.rank) > 0 AS covered, coalesce(min(p.text) FILTER (WHERE h.rank = 1), '{txt.NOT_COVERED}') AS answer,
+  coalesce(string_agg(concat('dictionary (', p.section, ')'), '; ' ORDER BY h.rank) FILTER (WHERE h.rank IS NOT NULL), '') AS citations
+FROM asked q LEFT JOIN ({NAMED}) h ON h.item_id = q.item_id LEFT JOIN passages p ON p.doc_id = h.doc_id GROUP BY q.item_id""")
+def answer_passages(spark, d):
+    passages = _passages(spark, d)
+    asked = _asked(spark, d)
+    return txt.answer_lookup(asked, txt.tfidf_search(passages, asked, name="name"), passages, F.concat(F.lit("dictionary ("), "section", F.lit(")")))
+
+
+REVIEWED = ["row_id", "queue", "loan_id", "reporting_month", "p", "score", "required", "type", "decided_by", "n_rules"]
+
+
+@query("ruled marked", f"""
+SELECT row_id, queue, loan_id, strftime(reporting_month, '%Y-%m-%d') AS reporting_month, round(p, 5) AS p, round(anomaly_score, 4) AS score, covered AS required,
+  {_cases(EXCEPTION_LABELS, 'assigned')} AS type, CASE WHEN covered THEN 'rule' ELSE 'model score' END AS decided_by, CAST(rule_violation_count AS INT) AS n_rules FROM (
+  SELECT r.*, m.p, row_number() OVER (ORDER BY m.p DESC, r.row_id) AS a, CASE WHEN covered THEN row_number() OVER (PARTITION BY covered ORDER BY r.row_id) END AS b,
+    CASE WHEN a <= 10 THEN 'risky' ELSE 'flagged' END AS queue FROM ruled r JOIN marked m USING (row_id)) WHERE a <= 10 OR b <= 10""", "p score")
+def review_context(spark, d):
+    df = _ruled(spark, d).join(_marked(spark, d).select("row_id", "p"), "row_id")
+    df = df.withColumns({"covered": rul.rule_covered(), "assigned": rul.rule_assigned_type(), "top_drivers": F.lit("interest rate (+); state (-)")})
+    out = txt.review_context(df, "p", rul.flag_columns(df))
+    get = lambda path: F.get_json_object("context", path)
+    return out.select(
+        "row_id", "queue", get("$.loan_id").alias("loan_id"), get("$.reporting_month").alias("reporting_month"), get("$.predictions.next_3m_delinquency").cast("double").alias("p"),
+        get("$.anomaly.score").cast("double").alias("score"), get("$.exception.required").cast("boolean").alias("required"), get("$.exception.type").alias("type"), get("$.exception.decided_by").alias("decided_by"),
+        F.size(F.from_json(get("$.exception.rules_broken"), "array<string>")).alias("n_rules"),
+    )
+
+
 # Models and sampled results: no SQL twin, invariants are tested.
 def _parts(spark, d):
     """Labelled rows before and after the split."""
@@ -1076,6 +1484,163 @@ def _parts(spark, d):
 MODEL_COLUMNS = ["current_balance", "interest_rate", "days_past_due", "loan_age_months", "modification_flag", "credit_score_band", "current_status"]
 
 
+#: Columns of the panel, of which the engineered ones are left out for the baseline.
+RAW_COLUMNS = ["current_balance", "interest_rate", "days_past_due", "loan_age_months", "credit_score_band", "current_status"]
+ENGINEERED = [*RAW_COLUMNS, "balance_ratio", "amortisation_gap", "months_delinquent_to_date", "delinquency_streak"]
+
+
+def _features(spark, d):
+    """Labels, and features of amortisation and history, checkpointed once for the fits."""
+    return checkpoint(feat.history(feat.amortisation(feat.forward_labels(_panel(spark, d)))))
+
+
+PARTS = """
+WITH m AS (SELECT * FROM labels12 WHERE reporting_month <= (SELECT max(reporting_month) - INTERVAL {h} MONTH FROM labels12)),
+ms AS (SELECT list_sort(list(DISTINCT reporting_month)) AS ms FROM m), c AS (SELECT ms[len(ms) - {h} - 6] AS cut, ms[len(ms) - 5] AS test FROM ms),
+t AS (SELECT * FROM m WHERE reporting_month <= (SELECT cut FROM c)), is_ AS (SELECT list_sort(list(DISTINCT reporting_month)) AS ms FROM t),
+ic AS (SELECT ms[len(ms) - {h} - 6] AS cut, ms[len(ms) - 5] AS test FROM is_),
+n AS (SELECT (SELECT count(*) FROM t WHERE reporting_month <= (SELECT cut FROM ic)) AS inner_fit, (SELECT count(*) FROM t WHERE reporting_month >= (SELECT test FROM ic)) AS cal)
+SELECT '{t}' AS target, CASE WHEN cal > 200 THEN inner_fit ELSE (SELECT count(*) FROM t) END AS n_fit, CASE WHEN cal > 200 THEN cal ELSE 0 END AS n_calibration,
+  (SELECT count(*) FROM m WHERE reporting_month >= (SELECT test FROM c)) AS n_test, (SELECT count(*) FROM labels12) - (SELECT count(*) FROM m) AS n_immature FROM n"""
+
+
+@query("labels12", " UNION ALL ".join(f"SELECT * FROM ({PARTS.format(t=t, h=h)})" for t, h in feat.HORIZONS.items()))
+def target_parts(spark, d):
+    """How many rows each target is fitted, calibrated and tested on."""
+    from panelworks.operators import models as mod
+
+    df, out = checkpoint(feat.forward_labels(_panel(spark, d))), None
+    for t in feat.HORIZONS:
+        parts = mod.target_parts(df, t)
+        n = lambda x: F.lit(0 if x is None else x.count()).cast("long")
+        row = df.limit(1).select(F.lit(t).alias("target"), n(parts["fit"]).alias("n_fit"), n(parts["calibration"]).alias("n_calibration"), n(parts["test"]).alias("n_test"), F.lit(parts["n_immature"]).cast("long").alias("n_immature"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query()
+def train_binary_target(spark, d):
+    from panelworks.operators import models as mod
+
+    return mod.train_binary_target(_features(spark, d), "delinq_3", RAW_COLUMNS, ENGINEERED, rounds=8).metrics
+
+
+@query()
+def score_targets(spark, d):
+    """Calibrated probabilities of two targets for the panel's last months, by models of the months before."""
+    from panelworks.operators import models as mod
+
+    df = _features(spark, d)
+    fitted = [mod.train_binary_target(df, t, RAW_COLUMNS, ENGINEERED, rounds=5) for t in ("delinq_3", "default_12")]
+    late = df.where(F.col("reporting_month") >= F.lit("1998-01-01").cast("date"))
+    out = mod.score_targets(late, fitted)
+    return out.select("row_id", *[c for c in out.columns if c.endswith("_prob")])
+
+
+@query("marked", f"""
+SELECT row_id, array_to_string(list_transform(p6, lambda x: printf('%.6f', x)), ',') AS p FROM (
+  SELECT row_id, list_transform([1, 2, 3, 4, 5, 6], lambda k: CASE WHEN k = cur THEN 1 - c WHEN total > 0 THEN c * o[k] / total ELSE 0 END) AS p6 FROM (
+    SELECT *, list_sum(o) AS total FROM (SELECT row_id, p AS c, list_position({STATE_LIST}, current_status) AS cur,
+      list_transform([1, 2, 3, 4, 5, 6], lambda k: CASE WHEN k = list_position({STATE_LIST}, current_status) THEN 0 ELSE ((row_id * k) % 10)::DOUBLE / 45 END) AS o FROM marked)))""")
+def recombined_next_state(spark, d):
+    from panelworks.operators import models as mod
+
+    destination = F.array(*[((F.col("row_id") * k) % 10).cast("double") / 45 for k in range(1, 7)])
+    p = mod.recombine(F.col("p"), destination, F.col("current_status"))
+    return _marked(spark, d).select("row_id", F.array_join(F.transform(p, lambda x: F.format_string("%.6f", x)), ",").alias("p"))
+
+
+@query()
+def next_state_hierarchical(spark, d):
+    from panelworks.operators import models as mod
+
+    metrics, champion, _ = mod.next_state_hierarchical(_features(spark, d), ENGINEERED, rounds=5)
+    return metrics.withColumn("champion", F.col("model") == champion)
+
+
+@query("ruled", """
+SELECT count(*) AS n_residual, count(*) FILTER (WHERE y) AS n_exceptions, count(*) FILTER (WHERE y) >= 20 AS enough, count(*) FILTER (WHERE y AND early) AS n_train_positive, count(*) FILTER (WHERE y AND NOT early) AS n_test_positive,
+  count(*) FILTER (WHERE y) >= 20 AND count(*) FILTER (WHERE y AND early) >= 5 AND count(*) FILTER (WHERE y AND NOT early) >= 3 AS trainable,
+  coalesce((SELECT string_agg(exception_type, ',' ORDER BY exception_type) FROM (SELECT exception_type FROM ruled WHERE NOT covered AND exception_type NOT IN ('none', 'status_reversal') GROUP BY 1 HAVING count(*) >= 25)), '') AS learnable_types
+FROM (SELECT exception_required = 1 AS y, reporting_month <= cut AS early FROM ruled, (SELECT ms[len(ms) - 6] AS cut FROM (SELECT list_sort(list(DISTINCT reporting_month)) AS ms FROM ruled WHERE NOT covered)) WHERE NOT covered)""")
+def residual_gates(spark, d):
+    from panelworks.operators import models as mod
+
+    return mod.residual_gates(_ruled(spark, d))
+
+
+@query()
+def residual_exception_model(spark, d):
+    """Rows that are required to be looked at although no detector rule fires: late updates of delinquent loans here."""
+    from panelworks.operators import models as mod
+
+    df = _ruled(spark, d).drop("residual_prob").withColumn("exception_required", F.when(F.col("current_status").isin("60DPD", "90DPD") & F.col("source_conflict"), 1).otherwise(F.col("exception_required")))
+    scored, _ = mod.residual_exception_model(df, ["current_balance", "days_past_due", "servicer_update_lag_days", "panel_update_lag_days", "current_status"], rounds=5)
+    return rul.combined_exception_output(scored).select("row_id", "residual_prob", "exception_probability", "decided_by")
+
+
+@query()
+def predictability_ceiling(spark, d):
+    from panelworks.operators import models as mod
+
+    return mod.predictability_ceiling(_features(spark, d), "delinq_3", ENGINEERED, rounds=5)
+
+
+@query()
+def permutation_importance(spark, d):
+    from panelworks.operators import models as mod
+
+    df = _features(spark, d)
+    columns = ["days_past_due", "loan_age_months", "current_status"]
+    return mod.permutation_importance(mod.boosted_model(df, "delinq_3", columns, rounds=4), df, "delinq_3", columns)
+
+
+@query()
+def temporal_ensemble(spark, d):
+    """Spread of scores of models from expanding windows, for the rows of the last months."""
+    from panelworks.operators import models as mod
+
+    df = _features(spark, d)
+    late = df.where(F.col("reporting_month") >= F.lit("1998-01-01").cast("date"))
+    return mod.temporal_ensemble(df, late, "delinq_3", ["days_past_due", "loan_age_months", "current_status"], rounds=3).select("row_id", "mean_prediction", "spread", "relative_spread")
+
+
+@query()
+def covariate_paths(spark, d):
+    """Chains whose matrices follow the loans' covariates, with weights from later rows."""
+    from panelworks.operators import models as mod
+
+    columns = ["loan_age_months", "remaining_term_months", "interest_rate", "balance_ratio", "credit_score_band"]
+    frame = checkpoint(tra.transition_frame(feat.amortisation(_panel(spark, d))))
+    early, late = _halves(frame)
+    cells = checkpoint(tra.empirical_matrix(early))
+    models = mod.transition_model(early, columns)
+    weights = mod.blend_weights(tra.one_step_scores(late, cells), models, columns)
+    loans = feat.amortisation(rec.latest_per_loan(_panel(spark, d)))
+    return tra.portfolio_curves(mod.covariate_paths(loans, models, weights, cells, tp.scenarios(spark), columns))
+
+
+@query()
+def cox_cause_specific(spark, d):
+    from panelworks.operators import models as mod
+
+    p = _panel(spark, d)
+    events = tra.time_to_event(p).join(p.groupBy("loan_id").agg(F.min("interest_rate").alias("rate"), F.min("credit_score_band").alias("band")), "loan_id")
+    return mod.cox_cause_specific(events, {"interest_rate": F.col("rate"), "band <620": (F.col("band") == "<620").cast("int"), "band 780+": (F.col("band") == "780+").cast("int")}, cause=2)
+
+
+@query()
+def tree_shap(spark, d):
+    """Attributions to source columns for the rows of the last months."""
+    from panelworks.operators import explain
+    from panelworks.operators import models as mod
+
+    df = _features(spark, d)
+    columns = ["days_past_due", "loan_age_months", "current_status", "balance_ratio"]
+    late = df.where(F.col("reporting_month") >= F.lit("1998-01-01").cast("date"))
+    return explain.tree_shap(mod.boosted_model(df, "delinq_3", columns, rounds=5), late, columns)
+
+
 @query()
 def baseline_model(spark, d):
     from panelworks.operators import models as mod
@@ -1114,7 +1679,10 @@ def isotonic(spark, d):
 def adversarial_validation(spark, d):
     from panelworks.operators import models as mod
 
-    return mod.adversarial_validation(*_halves(_panel(spark, d)), ["current_balance", "interest_rate", "days_past_due", "state"])
+    columns = ["current_balance", "interest_rate", "days_past_due", "state", "loan_age_months"]
+    halves = [checkpoint(h) for h in _halves(_panel(spark, d))]
+    runs = [mod.adversarial_validation(*halves, columns, with_time=t).withColumn("with_time", F.lit(t)) for t in (True, False)]
+    return runs[0].unionByName(runs[1])
 
 
 @query()
@@ -1182,32 +1750,64 @@ def spread_summary(spark, d):
 
 
 @query("marked", """
-SELECT CASE WHEN p <= lo THEN 'high' WHEN p <= hi THEN 'medium' ELSE 'low' END AS band, count(*) AS n, avg(delinq_3) AS observed_rate, avg(p) AS mean_predicted, avg((p - delinq_3) * (p - delinq_3)) AS brier
-FROM marked, (SELECT quantile_cont(p, 1.0::DOUBLE / 3) AS lo, quantile_cont(p, 2.0::DOUBLE / 3) AS hi FROM marked) GROUP BY 1 HAVING count(*) >= 50""", "observed_rate mean_predicted brier")
+SELECT band, count(*) AS n, avg(y) AS observed_rate, avg(p) AS mean_predicted, avg((p - y) * (p - y)) AS brier, (sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * sum(1 - y))::DOUBLE AS roc_auc FROM (
+  SELECT *, rank() OVER (PARTITION BY band ORDER BY p) + (count(*) OVER (PARTITION BY band, p) - 1) / 2.0::DOUBLE AS r FROM (
+    SELECT p, delinq_3 AS y, CASE WHEN p <= lo THEN 'high' WHEN p <= hi THEN 'medium' ELSE 'low' END AS band FROM marked, (SELECT quantile_cont(p, 1.0::DOUBLE / 3) AS lo, quantile_cont(p, 2.0::DOUBLE / 3) AS hi FROM marked)))
+GROUP BY band HAVING count(*) >= 50""", "observed_rate mean_predicted brier roc_auc")
 def band_check(spark, d):
     return met.band_check(met.confidence_band(_marked(spark, d), "p"), "delinq_3", "p")
 
 
-@query("", """
-SELECT provider, n_calls, n_errors, n_accepted, n_rejected, median_latency_ms, n_rejected / nullif(n_accepted + n_rejected, 0)::DOUBLE AS rejection_rate FROM (
-  SELECT props AS provider, count(*) AS n_calls, count(*) FILTER (WHERE event_type = 'error') AS n_errors, count(*) FILTER (WHERE event_type <> 'error' AND value < 50) AS n_accepted,
-    count(*) FILTER (WHERE event_type <> 'error' AND value >= 50) AS n_rejected, quantile_cont(value, 0.5) AS median_latency_ms FROM events GROUP BY props)""", "median_latency_ms rejection_rate")
-def audit_summary(spark, d):
-    log = table(spark, d, "events").select(F.col("props").alias("provider"), (F.col("value") < 50).alias("accepted"), F.when(F.col("event_type") == "error", "error").alias("error"), F.col("value").alias("latency_ms"))
-    return txt.audit_summary(log)
+@query("marked", f"""
+SELECT corr(a, b) AS spearman FROM (SELECT rank() OVER (ORDER BY relative_spread) + (count(*) OVER (PARTITION BY relative_spread) - 1) / 2.0::DOUBLE AS a,
+  rank() OVER (ORDER BY mean_prediction) + (count(*) OVER (PARTITION BY mean_prediction) - 1) / 2.0::DOUBLE AS b FROM (SELECT row_id, round(relative_spread, 9) AS relative_spread, round(mean_prediction, 9) AS mean_prediction FROM ({SPREAD_SQL})))""", "spearman")
+def spearman(spark, d):
+    df = _spread(spark, d).withColumns({c: F.round(c, 9) for c in ("relative_spread", "mean_prediction")})
+    return met.spearman(df, "relative_spread", "mean_prediction")
 
 
-@query("", "SELECT conv_id, turn, substr(sha256(coalesce(text, '')), 1, 16) AS prompt_sha256_16 FROM conversations")
-def append_audit_log(spark, d):
-    from panelworks.sources.audit_log import with_hashes
+AUDIT = "SELECT props AS provider, CASE WHEN event_type = 'error' THEN 'down' END AS error, CASE WHEN value < 5 THEN ' ' ELSE 'said' END AS output, value < 50 AS accepted, value AS latency_ms, CASE WHEN value >= 80 THEN ['numeric_grounding', 'non_empty'] WHEN value >= 50 THEN ['no_causal_claims'] END AS failed FROM events"
+
 
-    return with_hashes(table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("prompt"))).drop("prompt")
+def _log(spark, d):
+    v = F.col("value")
+    return table(spark, d, "events").select(
+        F.col("props").alias("provider"), F.when(F.col("event_type") == "error", "down").alias("error"), F.when(v < 5, " ").otherwise("said").alias("output"), (v < 50).alias("accepted"), v.alias("latency_ms"),
+        F.when(v >= 80, F.array(F.lit("numeric_grounding"), F.lit("non_empty"))).when(v >= 50, F.array(F.lit("no_causal_claims"))).alias("failed_checks"),
+    )
 
 
-@query("", f"SELECT b.item_id, h.doc_id, h.doc_id IS NOT NULL AS covered FROM benchmark b LEFT JOIN ({SQL['tfidf_search']}) h ON h.item_id = b.item_id AND h.rank = 1")
+@query("", f"""
+SELECT provider, n_calls, n_errors, n_empty, n_accepted, n_rejected, n_accepted + n_rejected AS reached_check, median_latency_ms, coalesce(n_rejected / nullif(n_accepted + n_rejected, 0)::DOUBLE, 0) AS rejection_rate FROM (
+  SELECT provider, count(*) AS n_calls, count(*) FILTER (WHERE error IS NOT NULL) AS n_errors, count(*) FILTER (WHERE error IS NULL AND trim(output) = '') AS n_empty,
+    count(*) FILTER (WHERE error IS NULL AND trim(output) <> '' AND accepted) AS n_accepted, count(*) FILTER (WHERE error IS NULL AND trim(output) <> '' AND NOT accepted) AS n_rejected,
+    list_sort(list(coalesce(latency_ms, 0)))[count(*) // 2 + 1] AS median_latency_ms FROM ({AUDIT}) GROUP BY provider)""", "median_latency_ms rejection_rate")
+def audit_summary(spark, d):
+    return txt.audit_summary(_log(spark, d))
+
+
+@query("", f"""SELECT "check", count(*) AS n FROM (SELECT unnest(failed) AS "check" FROM ({AUDIT}) WHERE error IS NULL AND trim(output) <> '' AND NOT accepted) GROUP BY 1""")
+def rejections_by_check(spark, d):
+    return txt.rejections_by_check(_log(spark, d))
+
+
+@query("", "SELECT task, CAST(attempt AS INT) AS attempt, substr(sha256(coalesce(prompt, '')), 1, 16) AS prompt_sha256_16, prompt FROM (SELECT CAST(conv_id AS VARCHAR) AS task, turn AS attempt, text AS prompt FROM conversations)")
+def append_audit_log(spark, d):
+    """Two appends to one log, read back."""
+    path = f"{shared_dir(spark).rstrip('/')}/log-{uuid.uuid4().hex}"
+    rows = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("task"), F.col("turn").cast("int").alias("attempt"), F.col("text").alias("prompt"))
+    for part in (rows.where("attempt % 2 = 0"), rows.where("NOT attempt <=> 0 AND NOT attempt % 2 <=> 0")):
+        audit_log.append_audit_log(part, path)
+    return audit_log.read_audit_log(spark, path).select("task", "attempt", "prompt_sha256_16", "prompt")
+
+
+@query("", f"""
+SELECT b.item_id, min(h.doc_id) FILTER (WHERE h.rank = 1) AS doc_id, count(h.rank) > 0 AS covered, coalesce(min(d.text) FILTER (WHERE h.rank = 1), '{txt.NOT_COVERED}') AS answer,
+  coalesce(string_agg(CAST(h.doc_id AS VARCHAR), '; ' ORDER BY h.rank), '') AS citations
+FROM benchmark b LEFT JOIN ({SQL['tfidf_search']}) h ON h.item_id = b.item_id LEFT JOIN documents d ON d.doc_id = h.doc_id GROUP BY b.item_id""")
 def answer_lookup(spark, d):
-    bench = table(spark, d, "benchmark")
-    return txt.answer_lookup(bench, txt.tfidf_search(table(spark, d, "documents"), bench))
+    bench, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
+    return txt.answer_lookup(bench, txt.tfidf_search(docs, bench), docs)
 
 
 @query("scored rated hist", f"""

@@ -22,3 +22,36 @@ ALIASES = {
     "california": "ca", "new york": "ny", "texas": "tx", "florida": "fl", "arizona": "az", "georgia": "ga",
     "illinois": "il", "michigan": "mi", "north carolina": "nc", "ohio": "oh", "pennsylvania": "pa", "washington": "wa",
 }
+
+# What a reader calls the columns.
+FEATURE_LABELS = {
+    "loan_age_months": "months since origination", "remaining_term_months": "months left on the term", "interest_rate": "interest rate",
+    "original_interest_rate": "rate at origination", "original_balance": "original loan amount", "current_balance": "current balance",
+    "days_past_due": "days past due", "modification_flag": "loan has been modified", "current_status": "payment status",
+    "credit_score_band": "credit score band", "ltv_band": "loan-to-value band", "dti_band": "debt-to-income band", "state": "state",
+    "loan_purpose": "loan purpose", "occupancy_type": "occupancy type", "property_type": "property type", "servicer_name": "servicer",
+    "document_status": "document status", "source_system": "source system", "vintage": "origination year", "original_term_months": "original term",
+    "balance_ratio": "share of the original balance still outstanding", "term_progress": "how far through its term the loan is",
+    "scheduled_balance_ratio": "balance the payment schedule expects", "amortisation_gap": "distance from the contractual payment schedule",
+    "market_rate": "prevailing market rate that month", "rate_incentive": "rate paid above the market rate",
+    "rate_incentive_pctile": "refinance incentive versus other loans that month", "months_delinquent_to_date": "months spent delinquent so far",
+    "ever_delinquent": "has ever been delinquent", "max_dpd_to_date": "worst delinquency reached",
+    "delinquency_streak": "consecutive months currently delinquent", "n_status_changes_to_date": "number of status changes so far",
+    "balance_change_3m": "balance movement over the last three months", "ever_modified": "has ever been modified",
+    "credit_score_band_ordinal": "credit score", "ltv_band_ordinal": "loan-to-value ratio", "dti_band_ordinal": "debt-to-income ratio",
+    "rule_violation_count": "number of validation rules broken", "source_conflict": "servicer feed disagrees with the panel",
+    "source_stale": "reporting source updated late", "servicer_update_lag_days": "days between the month and its last update",
+    "data_quality_score": "record data-quality score",
+}
+# What a reader is told about exception types and broken rules.
+EXCEPTION_LABELS = {
+    "none": "no exception", "balance_inconsistency": "balance rose without a recorded modification",
+    "date_invalid": "reporting date precedes the origination date", "document_gap": "documents missing on a closed loan",
+    "status_reversal": "loan reported active after reaching a terminal state",
+}
+RULE_LABELS = {
+    "balance_non_increasing": "balance increased with no modification on file", "date_order_valid": "reporting month is earlier than origination",
+    "dpd_status_consistency": "days past due does not match the reported status", "terminal_state_immutability": "loan reported active after closing",
+    "document_completeness_at_closure": "documents incomplete at closure", "servicer_source_agreement": "servicer feed disagrees with the panel",
+    "stale_record": "record updated long after the month it describes",
+}

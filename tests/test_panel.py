@@ -169,9 +169,9 @@ def test_action_order(spark):
 
 
 def test_text(spark):
-    df = spark.createDataFrame([("Default is due to 1,234.5 and 7%",), (None,)], "text string")
+    df = spark.createDataFrame([("Default is caused by 1,234.5 and 7%",), (None,)], "text string")
     rows = text.phrase_flags(df).withColumn("n", text.extract_numbers(F.col("text"))).collect()
-    assert rows[0]["has_causal"] and rows[0]["cites_number"] and rows[0]["n"] == [1234.5, 7.0]
+    assert rows[0]["has_causal"] and rows[0]["cites_number"] and [tuple(n) for n in rows[0]["n"]] == [("1,234.5", 1234.5, False), ("7%", 7.0, True)]
     assert rows[1]["is_empty"] and rows[1]["n"] == []
 
 
