@@ -202,9 +202,15 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     an id. All columns are kept as they are.
     """
     rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("head_id"), F.col("text_hash").alias("head_hash"))
-    heads = _grouped(docs, "doc_id", "text", radius).groupBy("root").agg(F.min(rank).alias("head"))
-    id_of, hash_of, own = unused(docs, "_head_id", "_head_hash", "_text_hash")
-    heads = heads.select(F.col("head.head_id").alias(id_of), F.col("head.head_hash").alias(hash_of))
+    rows = _grouped(docs, "doc_id", "text", radius).groupBy("root", "id", "text_hash").agg(F.count("*").alias("n"))
+    heads = rows.groupBy("root").agg(F.min(F.struct(rank.alias("rank"), "n")).alias("head"))
+    id_of, hash_of, own, many = unused(docs, "_head_id", "_head_hash", "_text_hash", "_many")
+    heads = checkpoint(heads.select(F.col("head.rank.head_id").alias(id_of), F.col("head.rank.head_hash").alias(hash_of), (F.col("head.n") > 1).alias(many)))
     hashed = docs.withColumn(own, F.xxhash64(F.col("text").cast("string")))
-    here = F.col("doc_id").cast("long").eqNullSafe(F.col(id_of)) & (F.col(own) == F.col(hash_of))
-    return hashed.join(heads, here, "left_semi").dropDuplicates(["doc_id", own]).drop(own)
+    here = lambda heads: F.col("doc_id").cast("long").eqNullSafe(heads[id_of]) & (F.col(own) == heads[hash_of])
+    # Texts are dealt a second time only for heads that come as several equal rows.
+    once, repeated = heads.where(~F.col(many)), heads.where(many)
+    kept = hashed.join(once, here(once), "left_semi")
+    if repeated.limit(1).count():
+        kept = kept.unionByName(hashed.join(repeated, here(repeated), "left_semi").dropDuplicates(["doc_id", own]))
+    return kept.drop(own)
