@@ -164,21 +164,24 @@ def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.select("a", "fps").mapInArrow(_compare(radius), "x long, y long").where("x != y").distinct()
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
-    """(id, text_hash, fp, root) for every row; root is a fingerprint of the row's group.
-
-    Fingerprints are the nodes, so ids may be any number, null or repeated.
-    """
+def _fingerprinted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_hash, fp) for every row."""
     text = F.col(text_col).cast("string")
-    rows = checkpoint(
+    return checkpoint(
         docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(
             _fingerprints, "id long, text_hash long, fp long"
         )
     )
-    nodes = checkpoint(rows.select("fp").distinct())
+
+
+def _rooted(nodes: DataFrame, radius: int) -> DataFrame:
+    """``nodes``, one row for each distinct fp, with root: a fingerprint of its group.
+
+    Fingerprints are the nodes, so ids may be any number, null or repeated, and rows never meet by group.
+    """
+    nodes = checkpoint(nodes)
     roots = connected_components(near_links(nodes, radius))
-    groups = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    return rows.join(groups, "fp")
+    return nodes.join(roots, F.col("fp") == F.col("node"), "left").select(*nodes.columns, F.coalesce("root", "fp").alias("root"))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -189,9 +192,11 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     part; a group in which no row has an id gets a null component_id. Repeated rows stay.
     An empty table gives an empty result; other columns are ignored.
     """
-    rows = checkpoint(_grouped(docs, id_col, text_col, radius))
-    least = rows.groupBy("root").agg(F.min("id").alias("component_id"))
-    return rows.join(least, "root").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = _fingerprinted(docs, id_col, text_col)
+    nodes = checkpoint(_rooted(rows.groupBy("fp").agg(F.min("id").alias("least")), radius))
+    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = nodes.join(least, "root").select("fp", "component_id")
+    return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -202,8 +207,10 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     an id. All columns are kept as they are.
     """
     rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("head_id"), F.col("text_hash").alias("head_hash"))
-    rows = _grouped(docs, "doc_id", "text", radius).groupBy("root", "id", "text_hash").agg(F.count("*").alias("n"))
-    heads = rows.groupBy("root").agg(F.min(F.struct(rank.alias("rank"), "n")).alias("head"))
+    rows = _fingerprinted(docs, "doc_id", "text").groupBy("fp", "id", "text_hash").agg(F.count("*").alias("n"))
+    # The first row of each fingerprint, combined before the shuffle, then that of each group.
+    nodes = rows.groupBy("fp").agg(F.min(F.struct(rank.alias("rank"), "n")).alias("head"))
+    heads = _rooted(nodes, radius).groupBy("root").agg(F.min("head").alias("head"))
     id_of, hash_of, own, many = unused(docs, "_head_id", "_head_hash", "_text_hash", "_many")
     heads = checkpoint(heads.select(F.col("head.rank.head_id").alias(id_of), F.col("head.rank.head_hash").alias(hash_of), (F.col("head.n") > 1).alias(many)))
     hashed = docs.withColumn(own, F.xxhash64(F.col("text").cast("string")))
