@@ -12,9 +12,12 @@ from panelworks.llm.decontaminate import contaminated
 from panelworks.llm.pii import replace_pii
 from panelworks.llm.simhash import simhash_groups
 from panelworks.llm.langid import language
+from panelworks.llm.hard_negatives import hard_negatives
 from panelworks.llm.licenses import scan_licenses
+from panelworks.llm.linededup import drop_repeated_lines
 from panelworks.llm.media import media_columns
 from panelworks.llm.packing import pack
+from panelworks.llm.quantize import vector_codes
 from panelworks.llm.token_counts import Rollup, counted, deletes, inserts, revisions, words_counted
 from panelworks.llm.toxicity import toxicity
 from panelworks.session import checkpoint, prepare, shared_dir, table
@@ -102,7 +105,25 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language(table(prepare(spark), sf_dir, "documents"))
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_pii": op2_pii, "op5_licenses": op5_licenses, "op6_token_counts": op6_token_counts, "op7_media": op7_media, "op4_toxicity": op4_toxicity, "op8_packing": op8_packing, "op9_language": op9_language, "op3_simhash": op3_simhash, "op10_decontaminate": op10_decontaminate}
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = drop_repeated_lines(table(prepare(spark), sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """8 part codebooks of 16 entries after 6 rounds over the components in 4096ths."""
+    vectors = table(prepare(spark), sf_dir, "embeddings")
+    return vector_codes(vectors, parts=8, entries=16, rounds=6, scale=4096)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, after every seventh got the next label (a fixed rule of this query)."""
+    vectors = table(prepare(spark), sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.select("vec_id", "embedding", label.alias("label")), anchors=100, scale=256, positives=5, negatives=5, least=(80, 100))
+
+
+QUERIES = {"op1_chat": op1_chat, "op2_pii": op2_pii, "op5_licenses": op5_licenses, "op6_token_counts": op6_token_counts, "op7_media": op7_media, "op4_toxicity": op4_toxicity, "op8_packing": op8_packing, "op9_language": op9_language, "op3_simhash": op3_simhash, "op10_decontaminate": op10_decontaminate, "op11_lines": op11_lines, "op12_codes": op12_codes, "op13_hard_negatives": op13_hard_negatives}
 
 #: Every window of a document as long as the item, compared in full; items under five words are one shingle.
 OP10_SQL = r"""
@@ -151,4 +172,56 @@ SELECT conv_id, count(*) AS n_turns,
 FROM u JOIN e USING (k) GROUP BY conv_id
 """
 
-SQL = {"op1_chat": OP1_SQL, "op10_decontaminate": OP10_SQL}
+#: Lines by the text of their key; a row is a group, so any_value is its id.
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, ls[p] AS line, p, translate(trim(ls[p], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+      FROM (SELECT r, doc_id, ls, unnest(range(1, len(ls) + 1)) AS p FROM d)),
+s AS (SELECT k, min(doc_id) AS keeper FROM l WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) >= 2),
+j AS (SELECT l.*, s.k IS NOT NULL AND l.doc_id <> s.keeper AS gone FROM l LEFT JOIN s ON l.k = s.k)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM j GROUP BY r
+"""
+
+
+def _op12_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Every round in full: all parts against all entries of their codebook, then the floored means."""
+    steps = [f"""v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT r, p, e[p * len(e) // {parts} + 1 : (p + 1) * len(e) // {parts}] AS part FROM v, (SELECT unnest(range({parts})) AS p)),
+b0 AS MATERIALIZED (SELECT p, r - 1 AS k, part AS entry FROM x WHERE r <= {entries})"""]
+    near = """a{0} AS MATERIALIZED (SELECT r, p, part, k, d FROM (
+    SELECT r, x.p, part, k, list_sum(list_transform(list_zip(part, entry), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM x JOIN b{0} b ON b.p = x.p)
+  QUALIFY row_number() OVER (PARTITION BY r, p ORDER BY d, k) = 1)"""
+    for i in range(rounds):
+        steps += [
+            near.format(i),
+            f"m{i} AS (SELECT p, k, j, sum(part[j]) AS s, count(*) AS c FROM (SELECT p, k, part, unnest(range(1, len(part) + 1)) AS j FROM a{i}) GROUP BY ALL)",
+            f"""b{i + 1} AS MATERIALIZED (SELECT p, k, coalesce(n.entry, o.entry) AS entry FROM b{i} o LEFT JOIN
+  (SELECT p, k, list(CAST((s - ((s % c) + c) % c) // c AS BIGINT) ORDER BY j) AS entry FROM m{i} GROUP BY p, k) n USING (p, k))""",
+        ]
+    steps += [near.format(rounds), f"w AS (SELECT r, string_agg(printf('%02x', k), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)"]
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(entry, ','), ',' ORDER BY p, k)) FROM b{rounds}) AS codebooks_sha256
+FROM w JOIN v USING (r)"""
+
+
+#: All rows against all anchors.
+OP13_SQL = r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id,
+  positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
+
+SQL = {"op1_chat": OP1_SQL, "op10_decontaminate": OP10_SQL, "op11_lines": OP11_SQL, "op12_codes": _op12_sql(), "op13_hard_negatives": OP13_SQL}
