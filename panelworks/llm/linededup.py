@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelworks.llm.names import unused
+from panelworks.session import checkpoint
 
 #: Stripped from both ends of a line before it is compared.
 SPACES = " \t\n\x0b\x0c\r"
@@ -75,9 +76,11 @@ def drop_repeated_lines(
     )
     h1, h2 = _hashes(line_key(F.col("line")))
     hashed = exploded.select("doc", "t1", "t2", "pos", h1.alias("h1"), h2.alias("h2"))
+    # Written, so that both sides of the join are plain shuffles, of which adaptive execution can split a hot hash.
+    repeated = checkpoint(repeated_lines(hashed.select("doc", "h1", "h2"), min_docs).drop("n_docs"))
     # Rows that share id and text lose the same lines, so that pair names a text, whatever repeats.
     gone = (
-        hashed.join(repeated_lines(hashed.select("doc", "h1", "h2"), min_docs), ["h1", "h2"])
+        hashed.join(repeated, ["h1", "h2"])
         .where(~F.col("doc").eqNullSafe(F.col("keeper")))
         .groupBy("doc", "t1", "t2").agg(F.collect_set("pos").alias("gone"))
     )
