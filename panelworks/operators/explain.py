@@ -12,8 +12,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelworks.operators.models import _doubles
-
 
 def _leaves(node, path: tuple, whole: float) -> list[tuple[float, tuple]]:
     """(value, path) of each leaf; a path has (feature, threshold or categories, goes left, share of the rows)."""
@@ -66,18 +64,15 @@ def attributions(x: np.ndarray, trees: list, weights: list[float]) -> tuple[np.n
     return values, base
 
 
-def feature_sources(model: PipelineModel, df: DataFrame, columns: list[str]) -> list[str]:
-    """The source column of each place of the feature vector, by the longest of ``columns`` that its name begins with."""
-    meta = model.transform(_doubles(df, columns)).schema["features"].metadata["ml_attr"]["attrs"]
-    names = {a["idx"]: a["name"] for kind in meta.values() for a in kind}
-    plain = [names[i].removeprefix("_numbers_").removeprefix("_i_").removeprefix("_o_") for i in range(len(names))]
-    return [max((c for c in columns if n == c or n.startswith(c + "_")), key=len, default=n) for n in plain]
+def feature_sources(model: PipelineModel) -> list[str]:
+    """The source column of each place of the feature vector."""
+    return [source for _, source in model.stages[0].places()]
 
 
 def tree_shap(model: PipelineModel, df: DataFrame, columns: list[str]) -> DataFrame:
     """(row_id, source, value, base): each source column's part of a row's margin; parts and base add up to the margin."""
     trees, weights = tree_paths(model)
-    sources = feature_sources(model, df, columns)
+    sources = feature_sources(model)
     held = df.sparkSession.sparkContext.broadcast((trees, weights, sources))
     names = sorted(set(sources))
 
@@ -92,5 +87,32 @@ def tree_shap(model: PipelineModel, df: DataFrame, columns: list[str]) -> DataFr
             ids = np.repeat(batch.column(0).to_numpy(), len(names))
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(names * len(x), pa.string()), pa.array(summed.ravel()), pa.array(np.full(summed.size, base))], names=["row_id", "source", "value", "base"])
 
-    rows = model.transform(_doubles(df, columns)).select(F.col("row_id").cast("long").alias("row_id"), vector_to_array("features").alias("x"))
+    rows = model.transform(df).select(F.col("row_id").cast("long").alias("row_id"), vector_to_array("features").alias("x"))
     return rows.mapInArrow(run, "row_id long, source string, value double, base double")
+
+
+def linear_shap(model: PipelineModel, df: DataFrame, background: DataFrame) -> DataFrame:
+    """(row_id, source, value, base): each source column's part of a row's log-odds under a fitted logistic regression.
+
+    A place of the encoded vector adds its coefficient times its distance from the background's mean, and the places of a
+    column are added up. base is the log-odds at the means; parts and base add up to the row's log-odds.
+    """
+    encode, fitted, sources = model.stages[0], model.stages[-1], feature_sources(model)
+    coefs = [float(c) for c in fitted.coefficients]
+    x = vector_to_array("features")
+    means = encode.transform(background).select(x.alias("x")).agg(*[F.avg(F.col("x")[j]).alias(f"m{j}") for j in range(len(coefs))]).first()
+    means = [float(m or 0.0) for m in means]
+    base = float(fitted.intercept) + float(np.dot(coefs, means))
+    parts = F.zip_with(F.zip_with(x, F.array(*map(F.lit, means)), lambda v, m: v - m), F.array(*map(F.lit, coefs)), lambda d, c: d * c)
+    cells, at = [], 0
+    for source, run in itertools.groupby(sources):  # the places of a column lie side by side
+        n = len(list(run))
+        cells.append(F.struct(F.lit(source).alias("source"), F.aggregate(F.slice("_parts", at + 1, n), F.lit(0.0), lambda a, v: a + v).alias("value")))
+        at += n
+    rows = encode.transform(df).select("row_id", parts.alias("_parts"))
+    return rows.select("row_id", F.explode(F.array(*cells)).alias("c")).select("row_id", "c.*", F.lit(base).alias("base"))
+
+
+def attributions_of(fitted, df: DataFrame, background: DataFrame) -> DataFrame:
+    """Attributions of a fitted target's champion, whichever kind it is."""
+    return linear_shap(fitted.model, df, background) if fitted.champion == "baseline" else tree_shap(fitted.model, df, fitted.columns)

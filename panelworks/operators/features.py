@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import calendar
+import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,14 +37,19 @@ def amortisation(df: DataFrame) -> DataFrame:
 def market_rates(df: DataFrame) -> DataFrame:
     """(month, market_rate): mean first rate of loans by origination month, over three such months."""
     first = df.withColumn("_n", F.row_number().over(per("loan_id", by=BY_MONTH))).where("_n = 1")
-    months = first.groupBy(F.col("origination_month").alias("month")).agg(F.avg("interest_rate").alias("rate"))
+    # The rate at origination, where the panel has it: a modification changes the current one.
+    rate = "original_interest_rate" if "original_interest_rate" in df.columns else "interest_rate"
+    months = first.groupBy(F.col("origination_month").alias("month")).agg(F.avg(rate).alias("rate"))
     # A table of months: small whatever the panel, so its one window is no bottleneck.
     return months.select("month", F.avg("rate").over(W.orderBy("month").rowsBetween(-2, 0)).alias("market_rate"))
 
 
-def rate_incentive(df: DataFrame) -> DataFrame:
-    """market_rate as of the reporting month (the last known one, else the first) and the gap to it."""
-    rates = market_rates(df)
+def rate_incentive(df: DataFrame, rates: DataFrame | None = None) -> DataFrame:
+    """market_rate as of the reporting month (the last known one, else the first) and the gap to it.
+
+    ``rates`` are the market rates of a whole panel, where ``df`` is a part of it.
+    """
+    rates = market_rates(df) if rates is None else rates
     months = df.select(F.col("reporting_month").alias("month")).distinct().join(rates, "month", "full")
     known = F.last("market_rate", ignorenulls=True).over(W.orderBy("month"))
     first = F.first("market_rate", ignorenulls=True).over(W.orderBy("month").rowsBetween(0, W.unboundedFollowing))
@@ -100,8 +108,8 @@ def quality_features(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("double" if c == "data_quality_score" else "int"), F.lit(v)) if c in df.columns else F.lit(v) for c, v in columns.items()})
 
 
-def engineer_features(df: DataFrame) -> tuple[DataFrame, list[str]]:
-    """All features that the columns allow, and the names of those skipped.
+def engineer_features(df: DataFrame) -> tuple[DataFrame, list[dict]]:
+    """All features that the columns allow, and a manifest: for each step whether it was built, the columns it added and those it lacked.
 
     The panel is checkpointed once, as several steps first gather figures over all of it.
     """
@@ -111,13 +119,12 @@ def engineer_features(df: DataFrame) -> tuple[DataFrame, list[str]]:
         (rate_incentive, ["origination_month", "interest_rate"]), (rate_incentive_pctile, ["origination_month", "interest_rate"]),
         (history, ["current_status", "days_past_due", "modification_flag", "balance_ratio"]), (band_ordinals, []), (quality_features, []),
     ]
-    skipped = []
+    manifest = []
     for step, needs in steps:
-        if set(needs) <= set(df.columns):
-            df = step(df)
-        else:
-            skipped.append(step.__name__)
-    return df, skipped
+        before, missing = df.columns, [c for c in needs if c not in df.columns]
+        df = df if missing else step(df)
+        manifest.append({"step": step.__name__, "built": not missing, "added": [c for c in df.columns if c not in before], "missing": missing})
+    return df, manifest
 
 
 def forward_labels(df: DataFrame) -> DataFrame:
@@ -140,50 +147,73 @@ def mature_label_mask(df: DataFrame, horizon: int) -> DataFrame:
 
 
 def months_of(df: DataFrame) -> list:
-    """The distinct months, in order; one row for each month of the panel comes to the driver."""
-    return [r[0] for r in df.where("reporting_month IS NOT NULL").select("reporting_month").distinct().orderBy("reporting_month").collect()]
+    """The distinct months, in order, as dates; one row for each month of the panel comes to the driver."""
+    months = df.where("reporting_month IS NOT NULL").select(F.col("reporting_month").cast("date").alias("m")).distinct().orderBy("m")
+    return [r[0] for r in months.collect()]
 
 
-def time_aware_split(df: DataFrame, horizon: int, test_months: int = 6) -> DataFrame:
-    """Column ``part``: train up to a cut, purged for ``horizon`` months, then test.
+def split_months(months: list, horizon: int, test_fraction: float = 0.2) -> tuple:
+    """(end of training, start of the test) for the distinct months of a panel.
 
-    The cut leaves room for the purge and the test months; a short panel is cut in its middle.
+    The cut leaves room for a share of the months to test on and for the purge; a panel too short for both
+    is tested on what is left behind the purge. The test begins by the calendar, whatever months are missing.
     """
-    months = months_of(df)
     if len(months) < 3:
         raise ValueError("at least three months are needed")
-    at = len(months) - horizon - test_months - 1
-    at = at if at >= 0 else len(months) // 2 - 1
-    cut, test = F.lit(months[at]), F.lit(months[min(at + horizon + 1, len(months) - 1)])
-    part = F.when(F.col("reporting_month") <= cut, "train").when(F.col("reporting_month") >= test, "test").otherwise("purged")
+    at = len(months) - max(1, round(len(months) * test_fraction)) - horizon - 1
+    if at < 1:
+        at = max(0, len(months) - horizon - 2)
+    return months[at], add_months(months[at], horizon + 1)
+
+
+def add_months(day: datetime.date, n: int) -> datetime.date:
+    """The same day ``n`` months on, or that month's last."""
+    at = day.year * 12 + day.month - 1 + n
+    year, month = at // 12, at % 12 + 1
+    return datetime.date(year, month, min(day.day, calendar.monthrange(year, month)[1]))
+
+
+def time_aware_split(df: DataFrame, horizon: int, test_fraction: float = 0.2) -> DataFrame:
+    """Column ``part``: train up to a cut, purged for ``horizon`` months, then test; rows without a month are purged."""
+    cut, test = split_months(months_of(df), horizon, test_fraction)
+    part = F.when(F.col("reporting_month") <= F.lit(cut), "train").when(F.col("reporting_month") >= F.lit(test), "test").otherwise("purged")
     return df.withColumn("part", part)
 
 
-def walk_forward_folds(df: DataFrame, n_folds: int = 4, horizon: int = 3) -> DataFrame:
-    """(fold, train_end, test_start, test_end) of expanding, purged windows."""
+def walk_forward_folds(df: DataFrame, n_folds: int = 4, horizon: int = 3, least_train: int = 12) -> DataFrame:
+    """(fold, train_end, test_start, test_end) of expanding, purged windows; the first one trains on ``least_train`` months
+    and its own. A panel too short for that raises; folds without a month to test on are left out."""
     months = months_of(df)
-    usable = len(months) - horizon
-    step = max(1, usable // (n_folds + 1))
+    if len(months) < least_train + n_folds + horizon:
+        raise ValueError(f"{len(months)} months are too few for {n_folds} folds after {least_train} months and a purge of {horizon}")
+    step = max(1, (len(months) - least_train - horizon) // n_folds)
     rows = []
-    for k in range(1, n_folds + 1):
-        end, start = k * step - 1, k * step + horizon
-        if start < len(months):
-            rows.append((k, months[end], months[start], months[min(start + step - 1, len(months) - 1)]))
+    for k in range(n_folds):
+        at = least_train + k * step
+        if at >= len(months) - horizon - 1:
+            break
+        start, end = add_months(months[at], horizon + 1), add_months(months[at], horizon + step)
+        if any(start <= m <= end for m in months):
+            rows.append((k + 1, months[at], start, end))
     return df.sparkSession.createDataFrame(rows, "fold int, train_end date, test_start date, test_end date")
 
 
-def group_disjoint_split(df: DataFrame, horizon: int = 3, held_pct: int = 30) -> DataFrame:
+def held_out(pct: int):
+    """Loans set aside by a hash of their id: about ``pct`` in a hundred, the same ones in every run."""
+    return F.conv(F.substring(F.md5(F.col("loan_id").cast("string")), 1, 8), 16, 10).cast("long") % 100 < pct
+
+
+def group_disjoint_split(df: DataFrame, horizon: int = 3, held_pct: int = 30, test_fraction: float = 0.2) -> DataFrame:
     """As time_aware_split, with held-out loans: only they are tested, and they are never trained on."""
-    held = F.pmod(F.crc32(F.col("loan_id").cast("binary")), F.lit(100)) < held_pct
-    out = time_aware_split(df, horizon)
+    held = F.coalesce(held_out(held_pct), F.lit(False))
+    out = time_aware_split(df, horizon, test_fraction)
     keep = ((F.col("part") == "train") & ~held) | ((F.col("part") == "test") & held)
     return out.withColumn("part", F.when(keep, F.col("part")).otherwise("purged"))
 
 
 def random_group_split(df: DataFrame, test_pct: int = 25) -> DataFrame:
     """Loan-disjoint and blind to time; a diagnostic."""
-    held = F.pmod(F.crc32(F.col("loan_id").cast("binary")), F.lit(100)) < test_pct
-    return df.withColumn("part", F.when(held, "test").otherwise("train"))
+    return df.withColumn("part", F.when(F.coalesce(held_out(test_pct), F.lit(False)), "test").otherwise("train"))
 
 
 def scoring_frame(train: DataFrame, score: DataFrame, prepare) -> DataFrame:

@@ -103,11 +103,11 @@ def recall_at_precision(table: DataFrame, bars: tuple[float, ...] = (0.5, 0.8))
 
 
 def choose_threshold(table: DataFrame, bar: float = 0.5) -> DataFrame:
-    """(threshold, recall, reason): the threshold of the highest recall with that precision, else 0.5."""
+    """(threshold, recall, reason): the lowest threshold of the highest recall with that precision, else 0.5."""
     cut = _at_threshold(table).where(F.col("precision") >= bar)
-    best = cut.agg(F.max(F.struct((F.col("tp") / F.col("all_pos")).alias("recall"), F.col("s").alias("threshold"))).alias("b"))
+    best = cut.agg(F.max(F.struct((F.col("tp") / F.col("all_pos")).alias("recall"), (-F.col("s")).alias("below"))).alias("b"))
     return best.select(
-        F.coalesce("b.threshold", F.lit(0.5)).alias("threshold"), F.coalesce("b.recall", F.lit(0.0)).alias("recall"),
+        F.coalesce(-F.col("b.below"), F.lit(0.5)).alias("threshold"), F.coalesce("b.recall", F.lit(0.0)).alias("recall"),
         F.when(F.col("b").isNull(), "precision not reachable").otherwise("highest recall at the precision").alias("reason"),
     )
 
@@ -216,11 +216,20 @@ def score_histogram(df: DataFrame, score: str, bins: int = 60) -> DataFrame:
     return df.where(F.col(score).isNotNull()).groupBy(F.least(F.floor(F.col(score) * bins) + 1, F.lit(bins)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def confidence_band(df: DataFrame, spread: str = "relative_spread", cuts: tuple[float, float] = (1 / 3, 2 / 3)) -> DataFrame:
-    """confidence: terciles of the spread (or quantiles at ``cuts``); one band if the edges meet."""
-    edges = quantile_row(df, {"e": F.col(spread)}, list(cuts), "_")
+def confidence_band(
+    df: DataFrame, spread: str = "relative_spread", cuts: tuple[float, float] = (1 / 3, 2 / 3), fixed: tuple[float, float] | None = None
+) -> DataFrame:
+    """confidence: terciles of the spread (or quantiles at ``cuts``); one band if the edges meet.
+
+    ``fixed`` puts the edges at these values of the spread itself, (0.25, 0.75) for example. A row without a spread
+    has an unknown confidence.
+    """
     s, e = F.col(spread), F.col("_e")
-    band = F.when(e[0] >= e[1], "medium").when(s <= e[0], "high").when(s <= e[1], "medium").otherwise("low")
+    missing = s.isNull() | F.isnan(s.cast("double"))
+    band = F.when(missing, "unknown").when(e[0] >= e[1], "medium").when(s <= e[0], "high").when(s <= e[1], "medium").otherwise("low")
+    if fixed:
+        return df.withColumn("_e", F.array(*[F.lit(float(x)) for x in fixed])).withColumn("confidence", band).drop("_e")
+    edges = quantile_row(df, {"e": F.col(spread)}, list(cuts), "_")
     return df.crossJoin(F.broadcast(edges)).withColumn("confidence", band).drop("_e")
 
 
@@ -236,7 +245,7 @@ def temporal_spread(df: DataFrame, columns: list[str]) -> DataFrame:
     df = df.withColumn("_ps", ps).withColumn("mean_prediction", mean(F.col("_ps")))
     square = F.transform("_ps", lambda x: (x - F.col("mean_prediction")) * (x - F.col("mean_prediction")))
     return df.withColumn("spread", F.sqrt(mean(square))).withColumns(
-        {"low": F.array_min("_ps"), "high": F.array_max("_ps"), "relative_spread": F.col("spread") / F.nullif(F.col("mean_prediction"), F.lit(0.0))}
+        {"low": F.array_min("_ps"), "high": F.array_max("_ps"), "relative_spread": F.col("spread") / F.when(F.col("mean_prediction").isNotNull(), F.greatest("mean_prediction", F.lit(1e-6)))}
     ).drop("_ps")
 
 

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelworks.operators.boosting import BoostedClasses
 from panelworks.operators.features import HORIZONS, mature_label_mask, months_of, time_aware_split, walk_forward_folds
-from panelworks.operators.metrics import binary_metrics, calibration_by_segment, classification_report, pr_auc, prefix_sums, reliability_bins, roc_auc, score_table, temporal_spread
+from panelworks.operators.metrics import auc_by_group, binary_metrics, calibration_by_segment, classification_report, pr_auc, prefix_sums, reliability_bins, roc_auc, score_table, temporal_spread
+from panelworks.operators.preprocess import LEAST_LEVEL, encoder, pooled  # noqa: F401
 from panelworks.operators.quality import numeric_columns
 from panelworks.operators.rules import rule_covered
 from panelworks.operators.transitions import advance_covariates, fold_paths, log_loss_multiclass, one_step_scores, score_next_state, stressed
@@ -24,7 +27,6 @@ from panelworks.session import checkpoint
 # Columns that tell the outcome, or who a row is.
 LEAKS = ["delinq_3", "delinq_6", "default_12", "prepay_12", "next_state", "exception_required", "exception_type"]
 IDENTIFIERS = ["row_id", "loan_id", "reporting_month", "origination_month", "last_updated_at"]
-LEAST_LEVEL = 25
 #: Levels of fewer rows are pooled in transition models.
 RARE_LEVEL = 20
 
@@ -36,34 +38,9 @@ def feature_columns(df: DataFrame, drop: list[str] = LEAKS + IDENTIFIERS) -> lis
     return [c for c in there if (kinds[c] or 0) > 1]
 
 
-def pooled(df: DataFrame, columns: list[str], least: int = LEAST_LEVEL) -> DataFrame:
-    """Levels of fewer than ``least`` rows become ``(rare)``; nulls the most frequent level."""
-    for c in columns:
-        levels = df.where(F.col(c).isNotNull()).groupBy(c).count().where(F.col("count") >= least)
-        top = levels.orderBy(F.desc("count"), c).first()
-        df = df.join(levels.select(F.col(c).alias("_level")), F.col(c) == F.col("_level"), "left")
-        df = df.withColumn(c, F.when(F.col(c).isNull(), top[0] if top else "(rare)").when(F.col("_level").isNotNull(), F.col(c)).otherwise("(rare)")).drop("_level")
-    return df
-
-
-def preprocess(df: DataFrame, columns: list[str], scale: bool = True) -> list:
-    """Pipeline stages: median impute (and scale) numbers, one-hot categories; unknown levels ignored."""
-    numbers = [c for c in columns if c in numeric_columns(df)]
-    names = [c for c in columns if c not in numbers]
-    # Medians are exact to a part in a thousand, from a sketch that tasks merge.
-    stages = [Imputer(strategy="median", inputCols=numbers, outputCols=[f"_i_{c}" for c in numbers])] if numbers else []
-    stages += [VectorAssembler(inputCols=[f"_i_{c}" for c in numbers], outputCol="_numbers")]
-    if scale:
-        stages += [StandardScaler(withMean=True, inputCol="_numbers", outputCol="_scaled")]
-    for c in names:
-        stages += [StringIndexer(inputCol=c, outputCol=f"_x_{c}", handleInvalid="keep")]
-    if names:
-        stages += [OneHotEncoder(inputCols=[f"_x_{c}" for c in names], outputCols=[f"_o_{c}" for c in names])]
-    return stages + [VectorAssembler(inputCols=["_scaled" if scale else "_numbers", *[f"_o_{c}" for c in names]], outputCol="features")]
-
-
-def _doubles(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("double") for c in columns if c in numeric_columns(df)})
+def preprocess(df: DataFrame, columns: list[str], scale: bool = True, least: int = LEAST_LEVEL) -> list[Estimator]:
+    """The stages before a model: median and mode imputation, rare levels pooled, one-hot places, standardised numbers."""
+    return [encoder(df, columns, scale, least)]
 
 
 def _weighted(df: DataFrame, label: str, balanced: bool) -> DataFrame:
@@ -75,20 +52,20 @@ def _weighted(df: DataFrame, label: str, balanced: bool) -> DataFrame:
 
 
 def baseline_model(train: DataFrame, label: str, columns: list[str]) -> PipelineModel:
-    train = _weighted(_doubles(train, columns), label, balanced=True)
+    train = _weighted(train, label, balanced=True)
     lr = LogisticRegression(labelCol=label, weightCol="_weight", regParam=1e-4, maxIter=50)
     return Pipeline(stages=[*preprocess(train, columns), lr]).fit(train)
 
 
 def boosted_model(train: DataFrame, label: str, columns: list[str], rounds: int = 20) -> PipelineModel:
-    train = _weighted(_doubles(train, columns), label, balanced=False)
+    train = _weighted(train, label, balanced=False)
     gbt = GBTClassifier(labelCol=label, weightCol="_weight", maxIter=rounds, maxDepth=4, stepSize=0.1, seed=7)
     return Pipeline(stages=[*preprocess(train, columns, scale=False), gbt]).fit(train)
 
 
 def score(model: PipelineModel, df: DataFrame, columns: list[str], name: str = "p") -> DataFrame:
     """``df`` with the probability of label 1, within [0, 1]."""
-    out = model.transform(_doubles(df, columns))
+    out = model.transform(df)
     return out.select(*df.columns, F.least(F.greatest(vector_to_array("probability")[1], F.lit(0.0)), F.lit(1.0)).alias(name))
 
 
@@ -112,29 +89,93 @@ def isotonic(df: DataFrame, label: str, p: str):
     return IsotonicRegression(labelCol=label, featuresCol=p).fit(df.select(F.col(label).cast("double").alias(label), p))
 
 
-def select_calibrator(df: DataFrame, label: str, p: str) -> str:
-    """isotonic, platt or identity. Isotonic needs rows, positives and few ties, and must beat Platt by 2 %."""
-    n, pos, distinct = df.agg(F.count("*"), F.sum(F.col(label).cast("long")), F.countDistinct(p)).first()
-    if not n or pos in (0, n, None):
-        return "identity"
-    tie = df.groupBy(p).count().agg(F.max("count")).first()[0] / n
+# What a calibration slice must have, and what isotonic regression must leave of its ranks.
+LEAST_ROWS, LEAST_POSITIVES, LEAST_DISTINCT, MOST_TIED, MARGIN = 1000, 50, 0.05, 0.25, 0.02
+
+
+@dataclass
+class Calibrator:
+    """A calibration method with what decided for it; figures that were not needed are None."""
+
+    method: str
+    fitted: object = None
+    n: int = 0
+    n_positive: int = 0
+    brier_raw: float | None = None
+    brier_platt: float | None = None
+    brier_isotonic: float | None = None
+    n_distinct: int | None = None
+    tie_share: float | None = None
+    reason: str = ""
+
+    def apply(self, df: DataFrame, p: str, name: str) -> DataFrame:
+        """``df`` with the calibrated probability, within [0, 1]."""
+        if self.method == "platt":
+            out = apply_platt(df, p, self.fitted, "_cal")
+        elif self.method == "isotonic":
+            out = self.fitted.transform(df.withColumn(self.fitted.getFeaturesCol(), F.col(p))).withColumn("_cal", F.col("prediction"))
+        else:
+            out = df.withColumn("_cal", F.col(p))
+        return out.select(*df.columns, F.least(F.greatest("_cal", F.lit(0.0)), F.lit(1.0)).alias(name))
+
+    @property
+    def isotonic_kept_ranks(self) -> bool:
+        return self.n_distinct is not None and self.n_distinct / self.n >= LEAST_DISTINCT and self.tie_share <= MOST_TIED
+
+
+def isotonic_gates(df: DataFrame, label: str, p: str) -> Calibrator:
+    """Isotonic regression with the figures that it is judged by: how its own output keeps the ranks apart."""
+    fitted = isotonic(df, label, p)
+    out = fitted.transform(df.select(p, F.col(label).cast("double").alias("_y")))
+    levels = out.groupBy(F.round("prediction", 12).alias("v")).agg(F.count("*").alias("n"), F.sum((F.col("prediction") - F.col("_y")) ** 2).alias("e"))
+    row = levels.agg(F.count("*").alias("distinct"), F.max("n").alias("tie"), F.sum("n").alias("n"), F.sum("e").alias("e")).first()
+    return Calibrator("isotonic", fitted, n=row["n"], brier_isotonic=row["e"] / row["n"], n_distinct=row["distinct"], tie_share=row["tie"] / row["n"])
+
+
+def select_calibrator(df: DataFrame, label: str, p: str, method: str = "auto") -> Calibrator:
+    """Isotonic, Platt or none, with the reason; a ``method`` of these names forces it.
+
+    Isotonic regression needs rows and positives, its output must keep enough distinct values and no large tie, and
+    it must beat Platt by a margin. Platt must beat the raw scores. Rows without label or score are left out.
+    """
+    if method not in ("auto", "platt", "isotonic", "identity"):
+        raise ValueError(f"unknown calibration method: {method}")
+    df = checkpoint(df.select(F.col(label).cast("int").alias(label), F.col(p).cast("double").alias(p)).dropna())
     brier = lambda d, c: d.agg(F.avg((F.col(c) - F.col(label)) ** 2)).first()[0]
-    raw, by_platt = brier(df, p), brier(apply_platt(df, p, platt(df, label, p), "_q"), "_q")
-    if n >= 1000 and pos >= 50 and distinct / n >= 0.05 and tie <= 0.25:
-        if brier(isotonic(df, label, p).transform(df), "prediction") < 0.98 * by_platt:
-            return "isotonic"
-    return "platt" if by_platt < raw else "identity"
+    n, pos, raw = df.agg(F.count("*"), F.sum(F.col(label).cast("long")), F.avg((F.col(p) - F.col(label)) ** 2)).first()
+    out = Calibrator("identity", n=n, n_positive=pos or 0, brier_raw=raw, reason="method forced by caller")
+    if method == "identity":
+        return out
+    if not n or pos in (0, n):
+        out.reason = "the calibration slice has a single class"
+        return out
+    by_platt = by_isotonic = None
+    if method != "isotonic":
+        by_platt = platt(df, label, p)
+        out.brier_platt = brier(apply_platt(df, p, by_platt, "_q"), "_q")
+    if method == "isotonic" or method == "auto" and n >= LEAST_ROWS and pos >= LEAST_POSITIVES:
+        by_isotonic = isotonic_gates(df, label, p)
+        out.brier_isotonic, out.n_distinct, out.tie_share = by_isotonic.brier_isotonic, by_isotonic.n_distinct, by_isotonic.tie_share
+    if method != "auto":
+        out.method, out.fitted = method, by_platt if method == "platt" else by_isotonic.fitted
+    elif out.isotonic_kept_ranks and out.brier_isotonic < out.brier_platt * (1 - MARGIN):
+        out.method, out.fitted, out.reason = "isotonic", by_isotonic.fitted, "isotonic beats Platt by more than the margin"
+    else:
+        why = "too few rows or positives for isotonic" if by_isotonic is None else "isotonic is within the margin" if out.isotonic_kept_ranks else "isotonic merges the ranks"
+        out.method, out.fitted, out.reason = ("platt", by_platt, why) if out.brier_platt < raw else ("identity", None, "raw scores are calibrated better")
+    return out
 
 
 # Columns that tell the time.
 TIME_LIKE = ["reporting_month", "month_index", "origination_month", "loan_age_months", "remaining_term_months", "vintage", "last_updated_at", "market_rate"]
 
 
-def adversarial_validation(a: DataFrame, b: DataFrame, columns: list[str], folds: int = 3, most_rows: int = 40_000, with_time: bool = True) -> DataFrame:
-    """(auc, verdict): how well two samples can be told apart, by out-of-fold scores.
+def adversarial_validation(a: DataFrame, b: DataFrame, columns: list[str], folds: int = 3, most_rows: int = 40_000, with_time: bool = True, top: int = 10) -> DataFrame:
+    """(auc, verdict, top_features): how well two samples can be told apart by out-of-fold scores, and by which columns.
 
     The classifier is fitted on at most about ``most_rows`` rows of each side, chosen by hash. Without time, the
-    columns of TIME_LIKE are left out.
+    columns of TIME_LIKE are left out. top_features are those whose permutation costs a classifier of all rows AUC, the
+    dearest first.
     """
     columns = [c for c in columns if with_time or c not in TIME_LIKE]
     both = a.select("row_id", *columns, F.lit(1).alias("side")).unionByName(b.select("row_id", *columns, F.lit(0).alias("side")))
@@ -142,19 +183,30 @@ def adversarial_validation(a: DataFrame, b: DataFrame, columns: list[str], folds
     space = 1_000_000
     share = F.when(F.col("side") == 1, min(1.0, most_rows / max(1, sizes.get(1, 0)))).otherwise(min(1.0, most_rows / max(1, sizes.get(0, 0)))) * space
     both = both.where(F.pmod(F.xxhash64("row_id", "side"), F.lit(space)) < share)
-    names = [c for c in columns if c not in numeric_columns(both)]
-    both = checkpoint(pooled(both, names).withColumn("_fold", F.pmod(F.xxhash64("row_id"), F.lit(folds))))
+    both = checkpoint(both.withColumn("_fold", F.pmod(F.xxhash64("row_id"), F.lit(folds))))
     parts = None
     for k in range(folds):
         scored = score(boosted_model(both.where(F.col("_fold") != k), "side", columns, rounds=8), both.where(F.col("_fold") == k), columns).select("side", "p")
         parts = scored if parts is None else parts.unionByName(scored)
     auc = roc_auc(score_table(checkpoint(parts), "side", "p"))
+    drops = permutation_importance(boosted_model(both, "side", columns, rounds=8), both, "side", columns, top).where("auc_drop > 0")
+    said = drops.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("auc_drop")).alias("d"), "column"))), lambda x: x["column"]), ", ").alias("top_features"))
     verdict = F.when(F.col("roc_auc") < 0.55, "indistinguishable").when(F.col("roc_auc") < 0.70, "mild shift").when(F.col("roc_auc") < 0.90, "clear shift").otherwise("separate")
-    return auc.select(F.col("roc_auc").alias("auc"), verdict.alias("verdict"))
+    return auc.select(F.col("roc_auc").alias("auc"), verdict.alias("verdict")).crossJoin(F.broadcast(said))
 
 
-def transition_model(frame: DataFrame, columns: list[str], least_rows: int = 200, least_class: int = 5) -> dict[str, tuple[PipelineModel, list[str]]]:
-    """A multinomial regression for each origin state with enough rows and classes; others stay empirical."""
+def transition_estimator() -> Estimator:
+    return LogisticRegression(family="multinomial", regParam=1e-3, maxIter=30)
+
+
+def transition_model(
+    frame: DataFrame, columns: list[str], least_rows: int = 200, least_class: int = 5, estimator: Callable[[], Estimator] = transition_estimator
+) -> dict[str, tuple[PipelineModel, list[str]]]:
+    """A model for each origin state with enough rows and classes; others stay empirical.
+
+    ``estimator`` makes any classifier that reads features and a label and writes a probability vector. Its places are
+    the classes of that origin in the order of the states, whatever the classifier.
+    """
     models = {}
     for state in [s for s in STATES if s not in ABSORBING]:
         rows = frame.where(F.col("from_state") == state)
@@ -162,24 +214,20 @@ def transition_model(frame: DataFrame, columns: list[str], least_rows: int = 200
         classes = [s for s in STATES if counts.get(s, 0) >= least_class]
         if sum(counts.values()) < least_rows or len(classes) < 2:
             continue
-        rows = _doubles(rows.where(F.col("to_state").isin(classes)), columns)
         label = F.array_position(F.array(*[F.lit(s) for s in classes]), F.col("to_state")).cast("double") - 1
-        names = [c for c in columns if c not in numeric_columns(rows)]
-        rows = checkpoint(pooled(rows.withColumn("_y", label).select("_y", *columns), names, RARE_LEVEL))
-        lr = LogisticRegression(labelCol="_y", family="multinomial", regParam=1e-3, maxIter=30)
-        models[state] = Pipeline(stages=[*preprocess(rows, columns), lr]).fit(rows), classes
+        rows = checkpoint(rows.where(F.col("to_state").isin(classes)).withColumn("_y", label).select("_y", *columns))
+        made = estimator()
+        made = made.copy({made.getParam("labelCol"): "_y", made.getParam("featuresCol"): "features"})
+        models[state] = Pipeline(stages=[*preprocess(rows, columns, least=RARE_LEVEL), made]).fit(rows), classes
     return models
 
 
 def score_transitions(frame: DataFrame, models: dict, columns: list[str], fallback: str = "p") -> DataFrame:
     """``frame`` with p_model: probabilities by the origin state's model, or the empirical ones."""
     keep = frame.columns
-    parts = frame.where(~F.col("from_state").isin(list(models) or [""])).withColumn("p_model", F.col(fallback))
-    for state, (model, classes) in models.items():
-        rows = model.transform(_doubles(frame.where(F.col("from_state") == state), columns))
-        got = vector_to_array("probability")
-        p = F.array(*[got[classes.index(s)] if s in classes else F.lit(0.0) for s in STATES])
-        parts = parts.unionByName(rows.select(*[F.col(c).cast(frame.schema[c].dataType).alias(c) for c in keep], p.alias("p_model")))
+    parts = frame.where(~F.coalesce(F.col("from_state").isin(list(models)), F.lit(False))).withColumn("p_model", F.col(fallback))
+    for state, fitted in models.items():
+        parts = parts.unionByName(_six(fitted, frame.where(F.col("from_state") == state), columns, "p_model").select(*keep, "p_model"))
     return parts
 
 
@@ -192,8 +240,7 @@ class Fitted:
     columns: list[str]
     champion: str
     model: PipelineModel | None
-    calibrator: str
-    fitted: object
+    calibrator: Calibrator
     metrics: DataFrame | None
     reliability: DataFrame | None
     segments: dict[str, DataFrame]
@@ -204,16 +251,10 @@ class Fitted:
         if self.model is None:
             raise ValueError(f"{self.target}: {'; '.join(self.notes)}")
         raw = score(self.model, df, self.columns, "_raw")
-        if self.calibrator == "platt":
-            out = apply_platt(raw, "_raw", self.fitted, "_cal")
-        elif self.calibrator == "isotonic":
-            out = self.fitted.transform(raw).withColumn("_cal", F.col("prediction"))
-        else:
-            out = raw.withColumn("_cal", F.col("_raw"))
-        return out.select(*df.columns, F.least(F.greatest("_cal", F.lit(0.0)), F.lit(1.0)).alias(name))
+        return self.calibrator.apply(raw, "_raw", name).select(*df.columns, name)
 
 
-def target_parts(df: DataFrame, target: str, horizon: int | None = None, test_months: int = 6, least_calibration: int = 200) -> dict[str, DataFrame | int]:
+def target_parts(df: DataFrame, target: str, horizon: int | None = None, test_fraction: float = 0.2, least_calibration: int = 200) -> dict[str, DataFrame | int]:
     """fit, calibration (None if too small) and test rows of a target, and how many labels were not mature.
 
     Both splits are purged by the target's horizon; the inner one cuts the training rows again.
@@ -221,11 +262,11 @@ def target_parts(df: DataFrame, target: str, horizon: int | None = None, test_mo
     horizon = HORIZONS.get(target, 0) if horizon is None else horizon
     usable = df.where(F.col(target).isNotNull())
     mature = mature_label_mask(usable, horizon)
-    parts = checkpoint(time_aware_split(mature, horizon, test_months))
+    parts = checkpoint(time_aware_split(mature, horizon, test_fraction))
     train, test = (parts.where(F.col("part") == p).drop("part") for p in ("train", "test"))
     fit, calibration = train, None
     if len(months_of(train)) >= 3:
-        inner = time_aware_split(train, horizon, test_months)
+        inner = time_aware_split(train, horizon, test_fraction)
         calibration = inner.where("part = 'test'").drop("part")
         if calibration.count() > least_calibration:
             fit = inner.where("part = 'train'").drop("part")
@@ -234,12 +275,7 @@ def target_parts(df: DataFrame, target: str, horizon: int | None = None, test_mo
     return {"fit": fit, "calibration": calibration, "test": test, "n_immature": usable.count() - parts.count()}
 
 
-def fit_calibrator(df: DataFrame, label: str, p: str) -> tuple[str, object]:
-    kind = select_calibrator(df, label, p)
-    return kind, platt(df, label, p) if kind == "platt" else isotonic(df, label, p) if kind == "isotonic" else None
-
-
-def train_binary_target(df: DataFrame, target: str, base_columns: list[str], columns: list[str], rounds: int = 20, segments: tuple[str, ...] = ("credit_score_band",)) -> Fitted:
+def train_binary_target(df: DataFrame, target: str, base_columns: list[str], columns: list[str], rounds: int = 20, segments: tuple[str, ...] = ("credit_score_band",), method: str = "auto") -> Fitted:
     """Mature rows, purged split, two models, the champion by average precision, then its calibrator.
 
     The champion is measured raw and calibrated on test rows that neither saw.
@@ -250,7 +286,7 @@ def train_binary_target(df: DataFrame, target: str, base_columns: list[str], col
         notes.append(f"{parts['n_immature']} rows whose window ends after the panel are left out")
     classes = lambda rows: rows.select(target).distinct().count()
     if classes(test) < 2 or classes(fit) < 2:
-        return Fitted(target, columns, "none", None, "identity", None, None, None, {}, [*notes, "no label variation; skipped"])
+        return Fitted(target, columns, "none", None, Calibrator("identity"), None, None, {}, [*notes, "no label variation; skipped"])
     candidates, rows = {}, []
     for name, maker, cols in (("baseline", baseline_model, base_columns), ("boosted", boosted_model, columns)):
         model = maker(fit, target, cols) if maker is baseline_model else maker(fit, target, cols, rounds)
@@ -259,15 +295,15 @@ def train_binary_target(df: DataFrame, target: str, base_columns: list[str], col
         rows.append(binary_metrics(scored, target, "_p").select(F.lit(name).alias("model"), F.lit(len(cols)).alias("n_features"), F.lit(False).alias("calibrated"), "*"))
     champion = max(candidates, key=lambda k: candidates[k][3])
     model, cols, *_ = candidates[champion]
-    kind, fitted, reliability, by_segment = "identity", None, None, {}
+    calibrator, reliability, by_segment = Calibrator("identity", reason="too few rows to calibrate on"), None, {}
     if parts["calibration"] is None:
-        notes.append("too few rows to calibrate on")
+        notes.append(calibrator.reason)
     else:
-        kind, fitted = fit_calibrator(checkpoint(score(model, parts["calibration"], cols, "_p")), target, "_p")
-    out = Fitted(target, cols, champion, model, kind, fitted, None, None, {}, notes)
+        calibrator = select_calibrator(score(model, parts["calibration"], cols, "_p"), target, "_p", method)
+    out = Fitted(target, cols, champion, model, calibrator, None, None, {}, notes)
     if parts["calibration"] is not None:
         final = checkpoint(out.score(test, "_p"))
-        rows.append(binary_metrics(final, target, "_p").select(F.lit(f"{champion} + {kind}").alias("model"), F.lit(len(cols)).alias("n_features"), F.lit(True).alias("calibrated"), "*"))
+        rows.append(binary_metrics(final, target, "_p").select(F.lit(f"{champion} + {calibrator.method}").alias("model"), F.lit(len(cols)).alias("n_features"), F.lit(True).alias("calibrated"), "*"))
         reliability = reliability_bins(final, target, "_p")
         by_segment = {c: calibration_by_segment(final, target, "_p", c) for c in segments if c in final.columns}
     metrics = rows[0]
@@ -309,23 +345,31 @@ def predictability_ceiling(df: DataFrame, target: str, columns: list[str], round
 def permutation_importance(model: PipelineModel, df: DataFrame, label: str, columns: list[str], top: int = 10) -> DataFrame:
     """(column, auc_drop): how much AUC falls when a column's values are dealt to other rows.
 
-    Rows and values get places by prefix sums over two hashes of row_id, and are joined by place. ``df`` is the
-    bounded sample that the model is judged on.
+    Rows, and the values of each column, get places in the order of a hash of row_id with a seed of their own, all by
+    two prefix sums. Every row is scored once for each column, with the value of the same place, in one pass.
     """
     df = checkpoint(df.select("row_id", label, *columns))
-    auc = lambda rows: roc_auc(score_table(score(model, rows, columns, "_p"), label, "_p")).first()["roc_auc"]
-    whole, out = auc(df), []
-
-    def placed(rows: DataFrame, seed: str) -> DataFrame:
-        keyed = rows.withColumns({"_k": F.struct(F.xxhash64("row_id", F.lit(seed)).alias("h"), F.col("row_id").alias("i")), "_one": F.lit(1).cast("long")})
-        return prefix_sums(keyed, "_k", ["_one"]).drop("_k", "_one").withColumnRenamed("up__one", "_at")
-
-    rows = checkpoint(placed(df, "rows"))
-    for c in columns:
-        values = placed(df.select("row_id", F.col(c).alias("_v")), c).select("_at", "_v")
-        out.append((c, whole - auc(rows.join(values, "_at").withColumn(c, F.col("_v")).drop("_v", "_at"))))
-    rows = sorted(out, key=lambda x: (-x[1], x[0]))[:top]
-    return df.sparkSession.createDataFrame(rows, "column string, auc_drop double")
+    numbers = numeric_columns(df)
+    one = {"_one": F.lit(1).cast("long")}
+    key = lambda seed: F.struct(seed.alias("seed"), F.xxhash64("row_id", seed).alias("h"), F.col("row_id").alias("i"))
+    rows = prefix_sums(df.withColumns({"_k": key(F.lit("rows")), **one}), "_k", ["_one"]).select(*df.columns, F.col("up__one").alias("_at"))
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("column"), (F.col(c).cast("double") if c in numbers else F.lit(None).cast("double")).alias("number"), (F.lit(None) if c in numbers else F.col(c)).cast("string").alias("level"))
+        for c in columns
+    ])
+    values = df.select("row_id", F.explode(cells).alias("v")).select("row_id", "v.*")
+    values = prefix_sums(values.withColumns({"_k": key(F.col("column")), **one}), "_k", ["_one"])
+    start = values.groupBy("column").agg(F.min("up__one").alias("_start"))  # one row for each column
+    values = values.join(F.broadcast(start), "column").select("column", "number", "level", (F.col("up__one") - F.col("_start")).alias("_at"))
+    dealt = rows.join(values, "_at")
+    own = lambda c: F.col("number" if c in numbers else "level").cast(df.schema[c].dataType)
+    dealt = dealt.withColumns({c: F.when(F.col("column") == c, own(c)).otherwise(F.col(c)) for c in columns})
+    both = df.withColumn("column", F.lit("")).unionByName(dealt.select("column", *df.columns))
+    scored = score(model, both, columns, "_p").select(F.col("column").alias("g"), F.col(label).alias("y"), F.col("_p").alias("s"))
+    aucs = checkpoint(auc_by_group(checkpoint(scored)).select("g", "roc_auc"))
+    whole = aucs.where("g = ''").select(F.col("roc_auc").alias("_whole"))
+    drops = aucs.where("g <> ''").crossJoin(F.broadcast(whole)).select(F.col("g").alias("column"), (F.col("_whole") - F.col("roc_auc")).alias("auc_drop"))
+    return drops.orderBy(F.desc("auc_drop"), "column").limit(top)
 
 
 def temporal_ensemble(df: DataFrame, rows: DataFrame, target: str, columns: list[str], folds: int = 3, rounds: int = 5) -> DataFrame:
@@ -355,19 +399,21 @@ def recombine(change: Column, destination: Column, current: Column) -> Column:
     return F.zip_with(others, states, lambda q, s: F.when(s == current, 1 - change).otherwise(F.when(total > 0, change * q / total).otherwise(0.0)))
 
 
-def _multiclass(train: DataFrame, label: str, columns: list[str]) -> tuple[PipelineModel, list[str]]:
-    classes = [s for s in STATES if train.where(F.col(label) == s).limit(1).count()]
-    y = F.array_position(F.array(*[F.lit(s) for s in classes]), F.col(label)).cast("double") - 1
-    rows = checkpoint(_doubles(train.where(F.col(label).isin(classes)), columns).withColumn("_y", y))
-    forest = RandomForestClassifier(labelCol="_y", numTrees=20, maxDepth=6, seed=7)
-    return Pipeline(stages=[*preprocess(rows, columns, scale=False), forest]).fit(rows), classes
+def multiclass_model(train: DataFrame, label: str, columns: list[str], classes: list[str] = STATES, rounds: int = 20) -> tuple[PipelineModel, list[str]]:
+    """A boosted model of several classes, and which of ``classes`` it knows, in their order; rows without a label are left out."""
+    there = {r[0] for r in train.where(F.col(label).isin(classes)).select(label).distinct().collect()}  # no more than ``classes``
+    known = [s for s in classes if s in there]
+    y = F.array_position(F.array(*[F.lit(s) for s in known]), F.col(label)).cast("double") - 1
+    rows = checkpoint(train.where(F.col(label).isin(known)).withColumn("_y", y))
+    return Pipeline(stages=[*preprocess(rows, columns, scale=False), BoostedClasses(labelCol="_y", rounds=rounds)]).fit(rows), known
 
 
 def _six(model: tuple[PipelineModel, list[str]], rows: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """``rows`` with a probability for each state; those that the model does not know get 0."""
     fitted, classes = model
     got = vector_to_array("probability")
     p = F.array(*[got[classes.index(s)] if s in classes else F.lit(0.0) for s in STATES])
-    return fitted.transform(_doubles(rows, columns)).select(*[F.col(c) for c in rows.columns], p.alias(name))
+    return fitted.transform(rows).select(*[F.col(c) for c in rows.columns], p.alias(name))
 
 
 def next_state_hierarchical(df: DataFrame, columns: list[str], target: str = "next_state", least_changes: int = 100, rounds: int = 10) -> tuple[DataFrame, str, list[str]]:
@@ -382,14 +428,13 @@ def next_state_hierarchical(df: DataFrame, columns: list[str], target: str = "ne
     train, test = (parts.where(F.col("part") == p).drop("part") for p in ("train", "test"))
     states = F.array(*[F.lit(s) for s in STATES])
     scored = test.withColumn("_persistence", F.transform(states, lambda s: (s == F.col("current_status")).cast("double")))
-    scored = checkpoint(_six(_multiclass(train, target, columns), scored, columns, "_flat"))
+    scored = checkpoint(_six(multiclass_model(train, target, columns, rounds=rounds), scored, columns, "_flat"))
     names = {"persistence": "_persistence", "flat": "_flat"}
     changed = train.withColumn("_changed", (F.col(target) != F.col("current_status")).cast("int"))
     moves = checkpoint(changed.where("_changed = 1"))
     if moves.count() >= least_changes and moves.select(target).distinct().count() >= 2:
-        rows = _doubles(changed, columns)
-        first = Pipeline(stages=[*preprocess(rows, columns, scale=False), GBTClassifier(labelCol="_changed", maxIter=rounds, maxDepth=4, stepSize=0.1, seed=7)]).fit(rows)
-        scored = _six(_multiclass(moves, target, columns), score(first, scored, columns, "_change"), columns, "_to")
+        first = Pipeline(stages=[*preprocess(changed, columns, scale=False), GBTClassifier(labelCol="_changed", maxIter=rounds, maxDepth=4, stepSize=0.1, seed=7)]).fit(changed)
+        scored = _six(multiclass_model(moves, target, columns, rounds=rounds), score(first, scored, columns, "_change"), columns, "_to")
         scored = checkpoint(scored.withColumn("_two", recombine(F.col("_change"), F.col("_to"), F.col("current_status"))))
         names["hierarchical"] = "_two"
     else:
@@ -408,38 +453,86 @@ def next_state_hierarchical(df: DataFrame, columns: list[str], target: str = "ne
 RULES_ONLY = ["status_reversal"]
 
 
-def residual_gates(flagged: DataFrame, label: str = "exception_required", kind: str = "exception_type", least: int = 20, least_type: int = 25) -> DataFrame:
-    """(n_residual, n_exceptions, enough, n_train_positive, n_test_positive, trainable, learnable_types) of rows that no detector rule covers."""
+def _residual_parts(flagged: DataFrame) -> DataFrame:
+    """Rows that no detector rule covers, with their part; a quarter of the months is tested on, without a purge."""
     residual = flagged.where(~rule_covered())
-    months = months_of(residual)
-    if len(months) < 3:
-        part = F.lit("train")
-    else:
-        at = max(0, len(months) - 7)
-        part = F.when(F.col("reporting_month") <= F.lit(months[at]), "train").otherwise("test")
+    return time_aware_split(residual, 0, 0.25) if len(months_of(residual)) >= 3 else residual.withColumn("part", F.lit("train"))
+
+
+def residual_gates(flagged: DataFrame, label: str = "exception_required", kind: str = "exception_type", least: int = 20, least_type: int = 25) -> DataFrame:
+    """(n_residual, n_exceptions, enough, n_train_positive, n_test_positive, trainable, learnable_types, skipped_types) of rows
+    that no detector rule covers. skipped_types are those with too few rows and those that only rules assign, with their numbers."""
+    residual = _residual_parts(flagged)
     y = F.coalesce(F.col(label) == 1, F.lit(False))
     n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
-    counts = residual.agg(F.count("*").alias("n_residual"), n(y).alias("n_exceptions"), n(y & (part == "train")).alias("n_train_positive"), n(y & (part == "test")).alias("n_test_positive"))
-    types = residual.where(F.col(kind).isNotNull() & ~F.col(kind).isin("none", *RULES_ONLY)).groupBy(kind).count().where(F.col("count") >= least_type)
-    types = types.agg(F.array_join(F.sort_array(F.collect_set(kind)), ",").alias("learnable_types"))
+    part = lambda p: y & (F.col("part") == p)
+    counts = residual.agg(F.count("*").alias("n_residual"), n(y).alias("n_exceptions"), n(part("train")).alias("n_train_positive"), n(part("test")).alias("n_test_positive"))
+    types = residual.where(F.col(kind).isNotNull() & (F.col(kind) != "none")).groupBy(F.col(kind).alias("k")).count()
+    good = (F.col("count") >= least_type) & ~F.col("k").isin(RULES_ONLY)
+    said = lambda test, text: F.array_join(F.sort_array(F.collect_set(F.when(test, text))), ",")
+    types = types.agg(said(good, F.col("k")).alias("learnable_types"), said(~good, F.concat("k", F.lit(" "), F.col("count"))).alias("skipped_types"))
     enough = F.col("n_exceptions") >= least
     return counts.crossJoin(types).select(
-        "n_residual", "n_exceptions", enough.alias("enough"), "n_train_positive", "n_test_positive", (enough & (F.col("n_train_positive") >= 5) & (F.col("n_test_positive") >= 3)).alias("trainable"), "learnable_types"
+        "n_residual", "n_exceptions", enough.alias("enough"), "n_train_positive", "n_test_positive", (enough & (F.col("n_train_positive") >= 5) & (F.col("n_test_positive") >= 3)).alias("trainable"),
+        "learnable_types", "skipped_types",
     )
 
 
-def residual_exception_model(flagged: DataFrame, columns: list[str], label: str = "exception_required", rounds: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(scored, gates): ``flagged`` with residual_prob, null where a rule covers the row or the gates are not met."""
+@dataclass
+class ResidualModels:
+    """What is learnt of rows that no rule covers; a model whose gates are not met is None."""
+
+    gates: DataFrame
+    columns: list[str]
+    required: PipelineModel | None
+    required_metrics: DataFrame | None
+    kinds: tuple[PipelineModel, list[str]] | None
+    kind_metrics: DataFrame | None
+
+    def score(self, flagged: DataFrame) -> DataFrame:
+        """``flagged`` with residual_prob and residual_type, null where a rule covers the row or there is no model."""
+        if self.required is None:
+            return flagged.withColumns({"residual_prob": F.lit(None).cast("double"), "residual_type": F.lit(None).cast("string")})
+        rows = score(self.required, flagged.where(~rule_covered()).select("row_id", *self.columns), self.columns, "residual_prob")
+        if self.kinds:
+            rows = self.kinds[0].transform(rows).withColumn("residual_type", best_of("probability", self.kinds[1]))
+        else:
+            rows = rows.withColumn("residual_type", F.lit(None).cast("string"))
+        return flagged.join(rows.select("row_id", "residual_prob", "residual_type"), "row_id", "left")
+
+
+def best_of(vector: str, classes: list[str]) -> Column:
+    """The class of the largest probability, the first one of a tie."""
+    p = vector_to_array(vector)
+    return F.element_at(F.array(*[F.lit(c) for c in classes]), F.array_position(p, F.array_max(p)).cast("int"))
+
+
+def train_residual_models(flagged: DataFrame, columns: list[str], label: str = "exception_required", kind: str = "exception_type", rounds: int = 20) -> ResidualModels:
+    """Whether an uncovered row is an exception, and of which type, each on the training part and measured on the test part.
+
+    The model of types knows those of enough rows, two at least, and is fitted on exceptions only.
+    """
     flagged = checkpoint(flagged)
-    gates = checkpoint(residual_gates(flagged, label))
-    if not gates.first()["trainable"]:
-        return flagged.withColumn("residual_prob", F.lit(None).cast("double")), gates
-    residual = flagged.where(~rule_covered())
-    cut = months_of(residual)
-    cut = cut[max(0, len(cut) - 7)]
-    train = checkpoint(residual.where(F.col("reporting_month") <= F.lit(cut)).withColumn(label, F.coalesce(label, F.lit(0))))
-    scored = score(boosted_model(train, label, columns, rounds), residual.select("row_id", *columns), columns, "residual_prob").select("row_id", "residual_prob")
-    return flagged.join(scored, "row_id", "left"), gates
+    gates = checkpoint(residual_gates(flagged, label, kind))
+    row = gates.first()
+    parts = checkpoint(_residual_parts(flagged).withColumn(label, F.coalesce(F.col(label), F.lit(0))))
+    train, test = (parts.where(F.col("part") == p) for p in ("train", "test"))
+    required = measured = kinds = kind_metrics = None
+    if row["trainable"]:
+        required = boosted_model(train, label, columns, rounds)
+        measured = binary_metrics(checkpoint(score(required, test, columns, "_p")), label, "_p")
+    known = [t for t in row["learnable_types"].split(",") if t]
+    if len(known) >= 2 and test.where(F.col(kind).isin(known)).select(kind).distinct().count() >= 2:
+        kinds = multiclass_model(train.where(F.col(kind).isin(known)), kind, columns, known, rounds)
+        scored = kinds[0].transform(test.where(F.col(kind).isin(known))).withColumn("_kind", best_of("probability", kinds[1]))
+        kind_metrics = classification_report(checkpoint(scored.select(kind, "_kind")), kind, "_kind")
+    return ResidualModels(gates, columns, required, measured, kinds, kind_metrics)
+
+
+def residual_exception_model(flagged: DataFrame, columns: list[str], label: str = "exception_required", rounds: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(scored, gates): ``flagged`` with residual_prob and residual_type, null where a rule covers the row or the gates are not met."""
+    models = train_residual_models(flagged, columns, label, rounds=rounds)
+    return models.score(flagged), models.gates
 
 
 # Transition chains with covariates.
@@ -454,15 +547,14 @@ def blend_weights(holdout: DataFrame, models: dict, columns: list[str]) -> dict[
     return {s: 0.5 for s in models} | {r["from_state"]: float(r["alpha"]) for r in found if r["from_state"] in models}
 
 
-def covariate_paths(loans: DataFrame, models: dict, weights: dict[str, float], cells: DataFrame, scenarios: DataFrame, columns: list[str], horizon: int = 12) -> DataFrame:
-    """(row_id, scenario, month, p) of chains whose matrix is worked out anew each month from advanced covariates.
+def covariate_matrices(loans: DataFrame, models: dict, weights: dict[str, float], cells: DataFrame, columns: list[str], horizon: int = 12) -> DataFrame:
+    """(row_id, current_status, h, m): the matrix of each loan for steps 0 to horizon - 1, from advanced covariates.
 
     A loan becomes one row for each step; each origin state's model scores all of them, blended with the empirical
-    row by the state's weight; absorbing rows stay. The steps of a loan are folded in the end.
+    row by the state's weight; absorbing rows stay. The matrices are written once, for paths and draws alike.
     """
     steps = loans.select(*dict.fromkeys(["row_id", "current_status", "loan_age_months", "remaining_term_months", "interest_rate", "balance_ratio", *columns]))
     steps = advance_covariates(steps.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1)))), F.col("h"))
-    base = [c for c in steps.columns]
     rows = []
     for i, s in enumerate(STATES):
         name = f"_row{i}"
@@ -473,7 +565,12 @@ def covariate_paths(loans: DataFrame, models: dict, weights: dict[str, float], c
             if s in models:
                 steps = _six(models[s], steps, columns, "_m").withColumn(name, F.zip_with("_m", name, lambda a, b: weights[s] * a + (1 - weights[s]) * b)).drop("_m")
         rows.append(name)
-    steps = checkpoint(steps.select(*base, F.array(*rows).alias("m")))
+    return checkpoint(steps.select("row_id", "current_status", "h", F.array(*rows).alias("m")))
+
+
+def covariate_paths(loans: DataFrame, models: dict, weights: dict[str, float], cells: DataFrame, scenarios: DataFrame, columns: list[str], horizon: int = 12) -> DataFrame:
+    """(row_id, scenario, month, p) of chains whose matrix is worked out anew each month; a loan's steps are folded."""
+    steps = covariate_matrices(loans, models, weights, cells, columns, horizon)
     told = steps.crossJoin(F.broadcast(scenarios)).select(
         "row_id", "scenario", F.col("current_status").alias("start"), "h", stressed(F.col("m"), F.col("default_mult"), F.col("delinq_mult"), F.col("prepay_mult")).alias("m")
     )

@@ -163,24 +163,32 @@ def blend_rule_and_anomaly(df: DataFrame, rule: str = "rule_severity_score", ano
 
 
 def combined_exception_output(df: DataFrame, p: str = "residual_prob", anomaly: str = "anomaly_score") -> DataFrame:
-    """exception_probability, exception_kind and decided_by; a rule outranks a model, that a score."""
+    """exception_probability, exception_kind and decided_by; a rule outranks a model, that a score.
+
+    Where the model decides, the kind is its residual_type, if there is one.
+    """
     covered, has = rule_covered(), F.col(p).isNotNull()
+    typed = F.coalesce("residual_type", F.lit("none")) if "residual_type" in df.columns else F.lit("none")
     return df.withColumns(
         {
             "exception_probability": F.when(covered, 0.98).when(has, F.col(p)).otherwise(F.col(anomaly) * 0.5),
-            "exception_kind": F.when(covered, rule_assigned_type()).otherwise("none"),
+            "exception_kind": F.when(covered, rule_assigned_type()).when(has & (F.col(p) >= 0.5), typed).otherwise("none"),
             "decided_by": F.when(covered, "rule").when(has & (F.col(p) >= 0.5), "residual model").when(has, "no exception indicated").otherwise("anomaly score only"),
         }
     )
 
 
-def reviewer_queue(df: DataFrame, top_rules: int = 15, top_others: int = 10) -> DataFrame:
-    """The rows to look at first, with the rules that fired as text."""
+def reviewer_queue(df: DataFrame, top_rules: int = 15, top_others: int = 10, drivers: DataFrame | None = None) -> DataFrame:
+    """The rows to look at first, with the rules that fired as text.
+
+    ``drivers`` (row_id, drivers) adds what makes the row unusual, for the rows shown only.
+    """
     flags = flag_columns(df)
     fired = F.array_join(F.filter(F.array(*[F.when(F.col(r), r) for r in flags]), lambda x: x.isNotNull()), ", ")
     rows = df.select("row_id", "exception_probability", "anomaly_score", "decided_by", fired.alias("fired_rules"))
     order = [F.desc("exception_probability"), F.desc("anomaly_score"), "row_id"]
-    return rows.where("decided_by = 'rule'").orderBy(*order).limit(top_rules).unionByName(rows.where("decided_by <> 'rule'").orderBy(*order).limit(top_others))
+    shown = rows.where("decided_by = 'rule'").orderBy(*order).limit(top_rules).unionByName(rows.where("decided_by <> 'rule'").orderBy(*order).limit(top_others))
+    return shown if drivers is None else shown.join(drivers.select("row_id", "drivers"), "row_id", "left")
 
 
 def decided_by_mix(df: DataFrame) -> DataFrame:

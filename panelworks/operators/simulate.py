@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelworks.operators.metrics import quantile_row
-from panelworks.operators.transitions import AGE_BUCKETS, scenario_matrices
-from panelworks.schema import STATES
+from panelworks.operators.transitions import AGE_BUCKETS, _stress_kinds, scenario_matrices
+from panelworks.schema import ABSORBING, STATES
 from panelworks.session import checkpoint
 
 N_SIMS = 300
@@ -27,7 +29,7 @@ def uniform(seeds: np.ndarray, counters: np.ndarray) -> np.ndarray:
 
 
 def monte_carlo(loans: DataFrame, cells: DataFrame, scenarios: DataFrame, horizon: int = 12, n_sims: int = N_SIMS) -> DataFrame:
-    """(scenario, sim, month, share_default, share_prepaid) of sampled portfolio paths.
+    """(scenario, sim, month, share_default, share_prepaid, share_delinquent) of sampled portfolio paths.
 
     Every loan draws its own steps from a 64-bit hash of its id, so results do not depend on how rows are
     dealt; a block of loans is drawn at once. A partition emits counts by scenario, sim and month only: their
@@ -55,31 +57,93 @@ def monte_carlo(loans: DataFrame, cells: DataFrame, scenarios: DataFrame, horizo
                         draw = uniform(seed, (k * horizon + h) * n_sims + sims)
                         at = np.minimum((cum[bucket[:, None], at] < draw[:, :, None]).sum(axis=2), 5)
                         counts[name][h + 1] += np.bincount((sims * 6 + at).ravel(), minlength=n_sims * 6)
-        for name, c in counts.items():
-            c = c.reshape(horizon + 1, n_sims, 6)
-            month, sim = np.meshgrid(np.arange(horizon + 1), sims, indexing="ij")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * sim.size), pa.array(sim.ravel()), pa.array(month.ravel()), pa.array(c.sum(axis=2).ravel()), pa.array(c[:, :, 4].ravel()), pa.array(c[:, :, 5].ravel())],
-                names=["scenario", "sim", "month", "n", "d", "q"],
-            )
+        yield from _counted(counts, horizon, n_sims)
 
     place = F.array_position(F.array(*[F.lit(s) for s in STATES]), F.col("current_status")) - 1
     rows = loans.select(
         F.xxhash64(F.col("loan_id").cast("string")).alias("seed"), F.greatest(F.coalesce(place, F.lit(0)), F.lit(0)).cast("long").alias("start"),
         F.coalesce(F.col("loan_age_months").cast("long"), F.lit(0)).alias("age"),
     )
-    partial = rows.mapInArrow(run, "scenario string, sim long, month long, n long, d long, q long")
-    total = partial.groupBy("scenario", "sim", "month").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.sum("q").alias("q"))
-    return total.select("scenario", "sim", "month", (F.col("d") / F.nullif(F.col("n"), F.lit(0))).alias("share_default"), (F.col("q") / F.nullif(F.col("n"), F.lit(0))).alias("share_prepaid"))
+    return _shares(rows.mapInArrow(run, _COUNTS))
 
 
-def mc_percentiles(paths: DataFrame) -> DataFrame:
-    """(scenario, month, p5, p25, p50, p75, p95, mean) of the default share over sims."""
-    q = F.percentile("share_default", F.array(*[F.lit(x) for x in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-    out = paths.groupBy("scenario", "month").agg(q.alias("q"), F.avg("share_default").alias("mean"))
+_COUNTS = "scenario string, sim long, month long, n long, d long, q long, l long"
+
+
+def _counted(counts: dict[str, np.ndarray], horizon: int, n_sims: int):
+    """A batch for each scenario: how many loans, and how many of them in default, prepaid and delinquent."""
+    for name, c in counts.items():
+        c = c.reshape(horizon + 1, n_sims, 6)
+        month, sim = np.meshgrid(np.arange(horizon + 1), np.arange(n_sims), indexing="ij")
+        columns = [sim, month, c.sum(axis=2), c[:, :, 4], c[:, :, 5], c[:, :, 1:4].sum(axis=2)]
+        yield pa.RecordBatch.from_arrays([pa.array([name] * sim.size), *(pa.array(x.ravel()) for x in columns)], names=["scenario", "sim", "month", "n", "d", "q", "l"])
+
+
+def _shares(partial: DataFrame) -> DataFrame:
+    total = partial.groupBy("scenario", "sim", "month").agg(*[F.sum(c).alias(c) for c in "ndql"])
+    share = lambda c: F.col(c) / F.nullif(F.col("n"), F.lit(0))
+    return total.select("scenario", "sim", "month", share("d").alias("share_default"), share("q").alias("share_prepaid"), share("l").alias("share_delinquent"))
+
+
+def monte_carlo_covariates(steps: DataFrame, scenarios: DataFrame, horizon: int = 12, n_sims: int = N_SIMS) -> DataFrame:
+    """As :func:`monte_carlo`, from matrices of each loan and step (``models.covariate_matrices``).
+
+    A loan's matrices meet once and are stressed and cumulated once; all its draws use them. Partitions emit counts
+    only. Loans are numbered by row_id; a repeated row_id is one loan.
+    """
+    tables = [(r["scenario"], r["default_mult"], r["delinq_mult"], r["prepay_mult"]) for r in scenarios.orderBy("scenario").collect()]  # a handful
+    kinds, stay = np.array(_stress_kinds()), np.eye(6, dtype=bool)
+    free = np.array([s not in ABSORBING for s in STATES])[:, None]
+
+    def stress(m: np.ndarray, default: float, delinq: float, prepay: float) -> np.ndarray:
+        if default == delinq == prepay == 1.0:
+            return m
+        scaled = m * np.array([1.0, delinq, default, prepay])[kinds]
+        kept = m.diagonal(axis1=-2, axis2=-1) - (scaled - m).sum(axis=-1)
+        scaled = np.maximum(np.where(stay, kept[..., None], scaled), 0.0)
+        total = scaled.sum(axis=-1, keepdims=True)
+        return np.where(free, scaled / np.where(total > 0, total, 1.0), m)
+
+    def run(batches):
+        counts = {name: np.zeros((horizon + 1, n_sims * 6), np.int64) for name, *_ in tables}
+        sims = np.arange(n_sims)
+        for batch in batches:
+            seeds, start = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            m = batch.column(2).flatten().flatten().to_numpy(zero_copy_only=False).reshape(len(seeds), horizon, 6, 6)
+            for k, (name, *mults) in enumerate(tables):
+                cum = stress(m, *mults).cumsum(axis=3)
+                for lo in range(0, len(seeds), 256):
+                    seed, own = seeds[lo : lo + 256, None], cum[lo : lo + 256]
+                    at, loan = np.repeat(start[lo : lo + 256, None], n_sims, axis=1), np.arange(len(own))[:, None]
+                    counts[name][0] += np.bincount((sims * 6 + at).ravel(), minlength=n_sims * 6)
+                    for h in range(horizon):
+                        draw = uniform(seed, (k * horizon + h) * n_sims + sims)
+                        at = np.minimum((own[loan, h, at] < draw[:, :, None]).sum(axis=2), 5)
+                        counts[name][h + 1] += np.bincount((sims * 6 + at).ravel(), minlength=n_sims * 6)
+        yield from _counted(counts, horizon, n_sims)
+
+    place = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in STATES]), F.first("current_status")) - 1, F.lit(0))
+    ordered = F.transform(F.sort_array(F.collect_set(F.struct("h", F.flatten("m").alias("m")))), lambda x: x["m"])  # ``horizon`` matrices
+    loans = steps.groupBy("row_id").agg(F.greatest(place, F.lit(0)).cast("long").alias("start"), ordered.alias("ms"))
+    return _shares(loans.select(F.xxhash64("row_id").alias("seed"), "start", "ms").mapInArrow(run, _COUNTS))
+
+
+def mc_percentiles(paths: DataFrame, share: str = "share_default") -> DataFrame:
+    """(scenario, month, p5, p25, p50, p75, p95, mean) of a share over sims."""
+    q = F.percentile(share, F.array(*[F.lit(x) for x in (0.05, 0.25, 0.5, 0.75, 0.95)]))
+    out = paths.groupBy("scenario", "month").agg(q.alias("q"), F.avg(share).alias("mean"))
     return out.select("scenario", "month", *[F.col("q")[i].alias(n) for i, n in enumerate(("p5", "p25", "p50", "p75", "p95"))], "mean")
 
 
+def mc_bands(paths: DataFrame) -> DataFrame:
+    """The percentiles of all three shares: (share, scenario, month, p5 ... mean)."""
+    out = None
+    for share in ("share_default", "share_prepaid", "share_delinquent"):
+        part = mc_percentiles(paths, share).select(F.lit(share).alias("share"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 #: Shares of the Poisson distribution of mean 1 up to 0, 1, 2 ...
 _POISSON = np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(16)])
 
@@ -152,29 +216,61 @@ def cluster_bootstrap(df: DataFrame, label: str, score: str, cluster: str = "loa
     return df.sparkSession.createDataFrame(out, "metric string, low double, high double, n_usable long")
 
 
-def isolation_forest(train: DataFrame, rows: DataFrame, columns: list[str], trees: int = 100, sample: int = 256) -> DataFrame:
-    """``rows`` with raw: minus the isolation score, so that lower is stranger.
+# Fixed value: the raw score below which a row is flagged where no share is given.
+AUTO_OFFSET = -0.5
+
+
+@dataclass
+class IsolationForest:
+    """Trees, the medians that fill gaps, and the raw score below which a row is flagged."""
+
+    columns: list[str]
+    medians: dict[str, float]
+    trees: list
+    offset: float | None
+
+    def _filled(self) -> list[Column]:
+        return [F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c])).alias(f"_f{i}") for i, c in enumerate(self.columns)]
 
-    Trees grow on hash-chosen samples of the training rows, one group of at most about ``sample`` rows
-    for each tree; scoring is a map with the trees broadcast (some 10 kB each). Nulls take the median.
+    def score(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with raw (minus the isolation score, so that lower is stranger) and anomaly_flagged."""
+        held, n = rows.sparkSession.sparkContext.broadcast(self.trees), len(self.columns)
+
+        def run(batches):
+            for batch in batches:
+                x = np.column_stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(n)])
+                total, scale = np.zeros(len(x)), 0.0
+                for size, tree in held.value:
+                    out = np.zeros(len(x))
+                    _depth(tree, x, np.arange(len(x)), out)
+                    total += out
+                    scale += _mean_path(size)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(-np.power(2.0, -total / max(scale, 1e-9)))], names=["row_id", "raw"])
+
+        scored = rows.select("row_id", *self._filled()).mapInArrow(run, "row_id long, raw double")
+        return rows.join(scored, "row_id").withColumn("anomaly_flagged", F.col("raw") < F.lit(self.offset))
+
+
+def fit_isolation_forest(train: DataFrame, columns: list[str], trees: int = 300, sample: int = 256, contamination: float | None = None) -> IsolationForest:
+    """Trees grow on hash-chosen samples of the training rows, one group of at most about ``sample`` rows for each
+    tree; scoring is a map with the trees broadcast (some 10 kB each). Nulls take the training median. Rows below the
+    offset are flagged: the ``contamination`` quantile of the training rows' own scores, or half way if that is None.
     """
     row = quantile_row(train, {c: F.col(c) for c in columns}, [0.5], "").first()
-    med = {c: row[c][0] if row[c] else None for c in columns}
-    filled = lambda df: [F.coalesce(F.col(c).cast("double"), F.lit(float(med[c] or 0.0))).alias(c) for c in columns]
+    forest = IsolationForest(columns, {c: float(row[c][0] or 0.0) if row[c] else 0.0 for c in columns}, [], None)
+    names = [f"_f{i}" for i in range(len(columns))]
     n = max(1, train.count())
     below = min(1.0, sample / n) * 2.0**64 - 2.0**63  # of all 64 bits, so that no panel is too large for a share above 0
     # A row is repeated for the trees that pick it only.
     chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: F.xxhash64("row_id", tree).cast("double") <= below)
-    picks = train.select("row_id", *filled(train), chosen.alias("_trees")).where(F.size("_trees") > 0).select("row_id", *columns, F.explode("_trees").alias("tree"))
+    picks = train.select("row_id", *forest._filled(), chosen.alias("_trees")).where(F.size("_trees") > 0).select("row_id", *names, F.explode("_trees").alias("tree"))
 
     def grow(pdf):
-        import json
-
         import pandas as pd
 
         tree = int(pdf["tree"].iloc[0])
         r = np.random.default_rng(tree)
-        x = pdf.sort_values("row_id")[columns].to_numpy(float)
+        x = pdf.sort_values("row_id")[names].to_numpy(float)
         limit = max(1, int(np.ceil(np.log2(max(2, len(x))))))
 
         def split(part, depth):
@@ -188,32 +284,27 @@ def isolation_forest(train: DataFrame, rows: DataFrame, columns: list[str], tree
 
         return pd.DataFrame({"tree": [tree], "body": [json.dumps([len(x), split(x, 0)])]})
 
-    import json
+    forest.trees = [json.loads(r["body"]) for r in picks.groupBy("tree").applyInPandas(grow, "tree int, body string").orderBy("tree").collect()]
+    if contamination is None:
+        forest.offset = AUTO_OFFSET
+        return forest
+    edge = quantile_row(forest.score(train.select("row_id", *dict.fromkeys(columns))), {"raw": F.col("raw")}, [contamination], "").first()
+    forest.offset = float(edge["raw"][0]) if edge["raw"] else None
+    return forest
 
-    grown = [json.loads(r["body"]) for r in picks.groupBy("tree").applyInPandas(grow, "tree int, body string").orderBy("tree").collect()]
-    held = rows.sparkSession.sparkContext.broadcast(grown)
 
-    def depth(node, x, at, out):
-        if len(node) == 1:
-            out[at] = node[0]
-        elif len(at):
-            low = x[at, node[0]] < node[1]
-            depth(node[2], x, at[low], out)
-            depth(node[3], x, at[~low], out)
+def isolation_forest(train: DataFrame, rows: DataFrame, columns: list[str], trees: int = 300, sample: int = 256, contamination: float | None = None) -> DataFrame:
+    """``rows`` with raw and anomaly_flagged by a forest of the training rows."""
+    return fit_isolation_forest(train, columns, trees, sample, contamination).score(rows)
 
-    def run(batches):
-        for batch in batches:
-            x = np.column_stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(len(columns))])
-            total, scale = np.zeros(len(x)), 0.0
-            for size, tree in held.value:
-                out = np.zeros(len(x))
-                depth(tree, x, np.arange(len(x)), out)
-                total += out
-                scale += _mean_path(size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(-np.power(2.0, -total / max(scale, 1e-9)))], names=["row_id", "raw"])
-
-    scored = rows.select("row_id", *filled(rows)).mapInArrow(run, "row_id long, raw double")
-    return rows.join(scored, "row_id")
+
+def _depth(node: list, x: np.ndarray, at: np.ndarray, out: np.ndarray) -> None:
+    if len(node) == 1:
+        out[at] = node[0]
+    elif len(at):
+        low = x[at, node[0]] < node[1]
+        _depth(node[2], x, at[low], out)
+        _depth(node[3], x, at[~low], out)
 
 
 def _mean_path(n: int) -> float:

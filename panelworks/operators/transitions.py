@@ -34,12 +34,15 @@ def transition_frame(panel: DataFrame) -> DataFrame:
 
 
 def transition_losses(panel: DataFrame) -> DataFrame:
-    """(n_rows, n_without_successor, n_gaps, n_kept)."""
+    """(n_rows, n_without_successor, n_gaps, n_kept), and n_disagree where the panel has a next_state of its own: kept rows whose
+    next row is in another state than that says."""
     w = per("loan_id", by=BY_MONTH)
-    rows = panel.select("reporting_month", F.lead("reporting_month").over(w).alias("_next"))
+    shipped = "next_state" in panel.columns
+    rows = panel.select("reporting_month", F.lead("reporting_month").over(w).alias("_next"), F.lead("current_status").over(w).alias("_to"), *["next_state"] * shipped)
     gap = (F.year("_next") - F.year("reporting_month")) * 12 + F.month("_next") - F.month("reporting_month")
     n = lambda c: F.sum(c.cast("long"))
-    return rows.agg(F.count("*").alias("n_rows"), n(F.col("_next").isNull()).alias("n_without_successor"), n((gap != 1) & F.col("_next").isNotNull()).alias("n_gaps"), n(F.coalesce(gap == 1, F.lit(False))).alias("n_kept"))
+    return rows.agg(F.count("*").alias("n_rows"), n(F.col("_next").isNull()).alias("n_without_successor"), n((gap != 1) & F.col("_next").isNotNull()).alias("n_gaps"), n(F.coalesce(gap == 1, F.lit(False))).alias("n_kept"),
+                    *[n(F.coalesce((gap == 1) & (F.col("next_state") != F.col("_to")), F.lit(False))).alias("n_disagree")] * shipped)
 
 
 def _spine(spark) -> DataFrame:

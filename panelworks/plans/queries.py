@@ -177,7 +177,7 @@ def query(needs: str = "", sql: str | None = None, doubles: str = ""):
     def register(f):
         QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(prepare(spark), sf_dir))
         if sql:
-            text = f"SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in doubles.split())}) FROM ({sql})" if doubles else sql
+            text = f"SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in doubles.split())}) FROM ({sql})" if doubles else f"SELECT * FROM ({sql})" if sql.lstrip().startswith("WITH") else sql
             SQL[f.__name__] = with_ctes(text, *needs.split())
         return f
 
@@ -682,29 +682,39 @@ def mature_label_mask(spark, d):
     return feat.mature_label_mask(_panel(spark, d), 12).select("row_id")
 
 
-SPLIT = """
-SELECT row_id, loan_id, CASE WHEN reporting_month <= cut THEN 'train' WHEN reporting_month >= test THEN 'test' ELSE 'purged' END AS part FROM panel, (
-  SELECT ms[len(ms) - {h} - 6] AS cut, ms[len(ms) - 5] AS test FROM (SELECT list_sort(list(DISTINCT reporting_month)) AS ms FROM panel))"""
+#: Cut and start of the test for the sorted months ``ms`` of a table; {h} is the purge, {f} the share to test on.
+CUT = """(SELECT cut, CAST(cut + INTERVAL ({h} + 1) MONTH AS DATE) AS test FROM (
+  SELECT ms[CASE WHEN pos < 1 THEN greatest(0, len(ms) - {h} - 2) ELSE pos END + 1] AS cut FROM (
+    SELECT ms, len(ms) - greatest(1, CAST(round_even(len(ms) * {f}, 0) AS INT)) - {h} - 1 AS pos FROM (SELECT list_sort(list(DISTINCT reporting_month)) AS ms FROM {t}))))"""
 
 
-@query("panel", f"SELECT row_id, part FROM ({SPLIT.format(h=12)})")
+def split_sql(t: str, h: int, f: float = 0.2) -> str:
+    """Every column of ``t`` and its part."""
+    return f"SELECT t.*, CASE WHEN reporting_month <= cut THEN 'train' WHEN reporting_month >= test THEN 'test' ELSE 'purged' END AS part FROM {t} t, {CUT.format(t=t, h=h, f=f)}"
+
+
+HELD = "CAST(('0x' || md5(loan_id)[1:8]) AS BIGINT) % 100 < {0}"
+
+
+@query("panel", f"SELECT row_id, part FROM ({split_sql('panel', 12)})")
 def time_aware_split(spark, d):
     return feat.time_aware_split(_panel(spark, d), 12).select("row_id", "part")
 
 
 @query("panel", """
-SELECT fold, ms[fold * step] AS train_end, ms[fold * step + 4] AS test_start, ms[least(fold * step + 3 + step, len(ms))] AS test_end FROM (
-  SELECT ms, (len(ms) - 3) // 5 AS step, CAST(unnest([1, 2, 3, 4]) AS INT) AS fold FROM (SELECT list_sort(list(DISTINCT reporting_month)) AS ms FROM panel))""")
+SELECT fold, ms[12 + (fold - 1) * step + 1] AS train_end, CAST(train_end + INTERVAL 4 MONTH AS DATE) AS test_start, CAST(train_end + (3 + step) * INTERVAL 1 MONTH AS DATE) AS test_end FROM (
+  SELECT ms, greatest(1, (len(ms) - 15) // 4) AS step, CAST(unnest([1, 2, 3, 4]) AS INT) AS fold FROM (SELECT list_sort(list(DISTINCT reporting_month)) AS ms FROM panel))
+WHERE 12 + (fold - 1) * step < len(ms) - 4""")
 def walk_forward_folds(spark, d):
     return feat.walk_forward_folds(_panel(spark, d))
 
 
-@query()
+@query("panel", f"SELECT row_id, loan_id, CASE WHEN part = CASE WHEN {HELD.format(30)} THEN 'test' ELSE 'train' END THEN part ELSE 'purged' END AS part FROM ({split_sql('panel', 3)})")
 def group_disjoint_split(spark, d):
     return feat.group_disjoint_split(_panel(spark, d)).select("row_id", "loan_id", "part")
 
 
-@query()
+@query("panel", f"SELECT row_id, loan_id, CASE WHEN {HELD.format(25)} THEN 'test' ELSE 'train' END AS part FROM panel")
 def random_group_split(spark, d):
     return feat.random_group_split(_panel(spark, d)).select("row_id", "loan_id", "part")
 
@@ -997,7 +1007,7 @@ def recall_at_precision(spark, d):
     return met.recall_at_precision(_table(spark, d))
 
 
-@query("marked", f"SELECT s AS threshold, tp / np::DOUBLE AS recall, 'highest recall at the precision' AS reason FROM ({AT}) WHERE precision >= 0.5 ORDER BY tp DESC, s DESC LIMIT 1", "threshold recall")
+@query("marked", f"SELECT s AS threshold, tp / np::DOUBLE AS recall, 'highest recall at the precision' AS reason FROM ({AT}) WHERE precision >= 0.5 ORDER BY tp DESC, s LIMIT 1", "threshold recall")
 def choose_threshold(spark, d):
     return met.choose_threshold(_table(spark, d))
 
@@ -1496,15 +1506,13 @@ def _features(spark, d):
 
 PARTS = """
 WITH m AS (SELECT * FROM labels12 WHERE reporting_month <= (SELECT max(reporting_month) - INTERVAL {h} MONTH FROM labels12)),
-ms AS (SELECT list_sort(list(DISTINCT reporting_month)) AS ms FROM m), c AS (SELECT ms[len(ms) - {h} - 6] AS cut, ms[len(ms) - 5] AS test FROM ms),
-t AS (SELECT * FROM m WHERE reporting_month <= (SELECT cut FROM c)), is_ AS (SELECT list_sort(list(DISTINCT reporting_month)) AS ms FROM t),
-ic AS (SELECT ms[len(ms) - {h} - 6] AS cut, ms[len(ms) - 5] AS test FROM is_),
-n AS (SELECT (SELECT count(*) FROM t WHERE reporting_month <= (SELECT cut FROM ic)) AS inner_fit, (SELECT count(*) FROM t WHERE reporting_month >= (SELECT test FROM ic)) AS cal)
+o AS (SELECT * FROM {outer}), t AS (SELECT * EXCLUDE part FROM o WHERE part = 'train'), i AS (SELECT * FROM {inner}),
+n AS (SELECT count(*) FILTER (WHERE part = 'train') AS inner_fit, count(*) FILTER (WHERE part = 'test') AS cal FROM i)
 SELECT '{t}' AS target, CASE WHEN cal > 200 THEN inner_fit ELSE (SELECT count(*) FROM t) END AS n_fit, CASE WHEN cal > 200 THEN cal ELSE 0 END AS n_calibration,
-  (SELECT count(*) FROM m WHERE reporting_month >= (SELECT test FROM c)) AS n_test, (SELECT count(*) FROM labels12) - (SELECT count(*) FROM m) AS n_immature FROM n"""
+  (SELECT count(*) FROM o WHERE part = 'test') AS n_test, (SELECT count(*) FROM labels12) - (SELECT count(*) FROM m) AS n_immature FROM n"""
 
 
-@query("labels12", " UNION ALL ".join(f"SELECT * FROM ({PARTS.format(t=t, h=h)})" for t, h in feat.HORIZONS.items()))
+@query("labels12", " UNION ALL ".join(f"SELECT * FROM ({PARTS.format(t=t, h=h, outer='(' + split_sql('m', h) + ')', inner='(' + split_sql('t', h) + ')')})" for t, h in feat.HORIZONS.items()))
 def target_parts(spark, d):
     """How many rows each target is fitted, calibrated and tested on."""
     from panelworks.operators import models as mod
@@ -1558,25 +1566,45 @@ def next_state_hierarchical(spark, d):
     return metrics.withColumn("champion", F.col("model") == champion)
 
 
-@query("ruled", """
-SELECT count(*) AS n_residual, count(*) FILTER (WHERE y) AS n_exceptions, count(*) FILTER (WHERE y) >= 20 AS enough, count(*) FILTER (WHERE y AND early) AS n_train_positive, count(*) FILTER (WHERE y AND NOT early) AS n_test_positive,
-  count(*) FILTER (WHERE y) >= 20 AND count(*) FILTER (WHERE y AND early) >= 5 AND count(*) FILTER (WHERE y AND NOT early) >= 3 AS trainable,
-  coalesce((SELECT string_agg(exception_type, ',' ORDER BY exception_type) FROM (SELECT exception_type FROM ruled WHERE NOT covered AND exception_type NOT IN ('none', 'status_reversal') GROUP BY 1 HAVING count(*) >= 25)), '') AS learnable_types
-FROM (SELECT exception_required = 1 AS y, reporting_month <= cut AS early FROM ruled, (SELECT ms[len(ms) - 6] AS cut FROM (SELECT list_sort(list(DISTINCT reporting_month)) AS ms FROM ruled WHERE NOT covered)) WHERE NOT covered)""")
+@query("ruled", f"""
+WITH u AS (SELECT * FROM ruled WHERE NOT covered), p AS (SELECT *, exception_required = 1 AS y FROM ({split_sql('u', 0, 0.25)})),
+k AS (SELECT exception_type AS k, count(*) AS n, n >= 25 AND k <> 'status_reversal' AS good FROM u WHERE exception_type <> 'none' GROUP BY 1)
+SELECT count(*) AS n_residual, count(*) FILTER (WHERE y) AS n_exceptions, count(*) FILTER (WHERE y) >= 20 AS enough, count(*) FILTER (WHERE y AND part = 'train') AS n_train_positive, count(*) FILTER (WHERE y AND part = 'test') AS n_test_positive,
+  count(*) FILTER (WHERE y) >= 20 AND count(*) FILTER (WHERE y AND part = 'train') >= 5 AND count(*) FILTER (WHERE y AND part = 'test') >= 3 AS trainable,
+  coalesce((SELECT string_agg(k, ',' ORDER BY k) FROM k WHERE good), '') AS learnable_types, coalesce((SELECT string_agg(k || ' ' || n, ',' ORDER BY k || ' ' || n) FROM k WHERE NOT good), '') AS skipped_types
+FROM p""")
 def residual_gates(spark, d):
     from panelworks.operators import models as mod
 
     return mod.residual_gates(_ruled(spark, d))
 
 
+#: Exceptions that the rules leave: late accounts of a conflicting source, and accounts whose feed is late, by type.
+RESIDUAL_COLUMNS = ["current_balance", "days_past_due", "servicer_update_lag_days", "panel_update_lag_days", "current_status"]
+
+
+def _residual(spark, d):
+    kind = F.when(F.col("current_status").isin("30DPD", "60DPD", "90DPD") & F.col("source_conflict"), "late_conflict").when(F.col("servicer_update_lag_days") > 6, "late_feed")
+    df = _ruled(spark, d).drop("residual_prob").withColumn("exception_type", F.coalesce(kind, "exception_type"))
+    return df.withColumn("exception_required", (F.col("exception_type") != "none").cast("int"))
+
+
+@query()
+def residual_type_model(spark, d):
+    """How well types of uncovered exceptions are told apart, beside the types that gates leave out."""
+    from panelworks.operators import models as mod
+
+    found = mod.train_residual_models(_residual(spark, d), RESIDUAL_COLUMNS, rounds=10)
+    return found.kind_metrics.crossJoin(found.gates.select("learnable_types", "skipped_types"))
+
+
 @query()
 def residual_exception_model(spark, d):
-    """Rows that are required to be looked at although no detector rule fires: late updates of delinquent loans here."""
+    """Rows that are required to be looked at although no detector rule fires, with probability and type."""
     from panelworks.operators import models as mod
 
-    df = _ruled(spark, d).drop("residual_prob").withColumn("exception_required", F.when(F.col("current_status").isin("60DPD", "90DPD") & F.col("source_conflict"), 1).otherwise(F.col("exception_required")))
-    scored, _ = mod.residual_exception_model(df, ["current_balance", "days_past_due", "servicer_update_lag_days", "panel_update_lag_days", "current_status"], rounds=5)
-    return rul.combined_exception_output(scored).select("row_id", "residual_prob", "exception_probability", "decided_by")
+    scored, _ = mod.residual_exception_model(_residual(spark, d), RESIDUAL_COLUMNS, rounds=10)
+    return rul.combined_exception_output(scored).select("row_id", "residual_prob", "exception_probability", "exception_kind", "decided_by")
 
 
 @query()
@@ -1605,9 +1633,8 @@ def temporal_ensemble(spark, d):
     return mod.temporal_ensemble(df, late, "delinq_3", ["days_past_due", "loan_age_months", "current_status"], rounds=3).select("row_id", "mean_prediction", "spread", "relative_spread")
 
 
-@query()
-def covariate_paths(spark, d):
-    """Chains whose matrices follow the loans' covariates, with weights from later rows."""
+def _chain(spark, d):
+    """Latest rows, origin models with weights from later rows, empirical cells and the columns of both."""
     from panelworks.operators import models as mod
 
     columns = ["loan_age_months", "remaining_term_months", "interest_rate", "balance_ratio", "credit_score_band"]
@@ -1616,7 +1643,15 @@ def covariate_paths(spark, d):
     cells = checkpoint(tra.empirical_matrix(early))
     models = mod.transition_model(early, columns)
     weights = mod.blend_weights(tra.one_step_scores(late, cells), models, columns)
-    loans = feat.amortisation(rec.latest_per_loan(_panel(spark, d)))
+    return feat.amortisation(rec.latest_per_loan(_panel(spark, d))), models, weights, cells, columns
+
+
+@query()
+def covariate_paths(spark, d):
+    """Chains whose matrices follow the loans' covariates, with weights from later rows."""
+    from panelworks.operators import models as mod
+
+    loans, models, weights, cells, columns = _chain(spark, d)
     return tra.portfolio_curves(mod.covariate_paths(loans, models, weights, cells, tp.scenarios(spark), columns))
 
 
@@ -1659,6 +1694,152 @@ def boosted_model(spark, d):
     return mod.score(fitted, test.drop("p"), MODEL_COLUMNS).select("row_id", "p")
 
 
+#: Isotonic regression as the largest of the smallest means: over starts up to a value, of means to ends from it on.
+ISOTONIC = """
+g AS (SELECT p, row_number() OVER (ORDER BY p) AS k, sum(delinq_3) AS y, count(*) AS n, sum(delinq_3 * delinq_3 * 1.0) AS yy FROM marked GROUP BY p),
+c AS (SELECT *, sum(y) OVER w AS sy, sum(n) OVER w AS sn FROM g WINDOW w AS (ORDER BY k)),
+m AS (SELECT a.k AS a, b.k AS b, min((b.sy - a.sy + a.y)::DOUBLE / (b.sn - a.sn + a.n)) OVER (PARTITION BY a.k ORDER BY b.k DESC) AS least FROM c a JOIN c b ON b.k >= a.k),
+i AS (SELECT b AS k, max(least) OVER (PARTITION BY b) AS v FROM m QUALIFY row_number() OVER (PARTITION BY b ORDER BY a) = 1),
+o AS (SELECT round(v, 12) AS v, sum(n) AS n, sum(n * v * v - 2 * v * y + y) AS e FROM i JOIN g USING (k) GROUP BY 1)"""
+
+
+@query("marked", f"""
+WITH {ISOTONIC}
+SELECT n, n_positive, n_distinct, tie_share, brier_isotonic, n >= 1000 AND n_positive >= 50 AND n_distinct / n::DOUBLE >= 0.05 AND tie_share <= 0.25 AS isotonic_kept FROM (
+  SELECT CAST(sum(n) AS BIGINT) AS n, (SELECT CAST(sum(delinq_3) AS BIGINT) FROM marked) AS n_positive, count(*) AS n_distinct, max(n) / sum(n)::DOUBLE AS tie_share, sum(e) / sum(n)::DOUBLE AS brier_isotonic FROM o)""", "tie_share brier_isotonic")
+def select_calibrator(spark, d):
+    """What decides whether isotonic regression may be chosen, of its own output."""
+    from panelworks.operators import models as mod
+
+    c = mod.select_calibrator(_marked(spark, d), "delinq_3", "p")
+    kept = c.n >= mod.LEAST_ROWS and c.n_positive >= mod.LEAST_POSITIVES and c.isotonic_kept_ranks
+    return spark.createDataFrame([(c.n, c.n_positive, c.n_distinct, c.tie_share, c.brier_isotonic, kept)], "n long, n_positive long, n_distinct long, tie_share double, brier_isotonic double, isotonic_kept boolean")
+
+
+@query()
+def calibrators(spark, d):
+    """The chosen calibrator and both forced ones, with what they make of the scores."""
+    from panelworks.operators import models as mod
+
+    rows = checkpoint(_marked(spark, d).select("delinq_3", "p"))
+    out = [(m, mod.select_calibrator(rows, "delinq_3", "p", m)) for m in ("auto", "platt", "isotonic", "identity")]
+    return spark.createDataFrame([(m, c.method, c.brier_raw, c.brier_platt, c.brier_isotonic, c.reason) for m, c in out], "asked string, method string, brier_raw double, brier_platt double, brier_isotonic double, reason string")
+
+
+@query("marked", """
+WITH r AS (SELECT credit_score_band, state, document_status, servicer_name FROM marked WHERE NOT """ + HALF + """),
+t AS (SELECT 'state' AS c, state AS v FROM r UNION ALL SELECT 'document_status', document_status FROM r UNION ALL SELECT 'servicer_name', servicer_name FROM r),
+n AS (SELECT c, v, count(*) AS n FROM t WHERE v IS NOT NULL GROUP BY ALL), o AS (SELECT c, min_by(v, (-n, v)) AS mode FROM n GROUP BY c),
+k AS (SELECT c, v FROM n WHERE n >= 400),
+a AS (SELECT 'state' AS c, state AS v FROM marked UNION ALL SELECT 'document_status', document_status FROM marked UNION ALL SELECT 'servicer_name', servicer_name FROM marked)
+SELECT c AS "column", CASE WHEN k.v IS NULL THEN '(rare)' ELSE k.v END AS level, count(*) AS n FROM (SELECT c, coalesce(v, mode) AS v FROM a JOIN o USING (c)) x LEFT JOIN k USING (c, v) GROUP BY ALL""")
+def preprocess(spark, d):
+    """Levels of three columns as learnt on later rows, with 400 rows as the bar, and applied to all."""
+    from panelworks.operators.preprocess import encoder
+
+    columns = ["state", "document_status", "servicer_name"]
+    late, df = _halves(_marked(spark, d))[1], _marked(spark, d)
+    fitted = encoder(late, columns, least=400).fit(late)
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), fitted.level(c).alias("level")) for c in columns])
+    return df.select(F.explode(cells).alias("x")).groupBy("x.column", "x.level").agg(F.count("*").alias("n"))
+
+
+@query("panel", "SELECT unnest(['credit_score_band', 'current_balance', 'current_status', 'days_past_due', 'document_status', 'interest_rate', 'loan_age_months', 'modification_flag', 'month_index', 'original_balance', 'remaining_term_months', 'servicer_name', 'source_system', 'state']) AS \"column\"")
+def feature_columns(spark, d):
+    """What models may use of the panel."""
+    from panelworks.operators import models as mod
+
+    df = feat.forward_labels(_panel(spark, d)).withColumn("constant", F.lit(1))
+    return spark.createDataFrame([(c,) for c in mod.feature_columns(df)], "column string")
+
+
+@query()
+def linear_shap_model(spark, d):
+    """Attributions of a fitted logistic regression for all rows, against the rows that it was fitted on."""
+    from panelworks.operators import explain
+    from panelworks.operators import models as mod
+
+    df = _features(spark, d)
+    early = _halves(df)[0]
+    return explain.linear_shap(mod.baseline_model(early, "delinq_3", RAW_COLUMNS), df, early)
+
+
+def _what_if_sides(spark, d):
+    """(before, after, all rows with features): four kinds of overrides, of every 97th row."""
+    from panelworks.operators import whatif
+
+    p = checkpoint(_scored(spark, d))
+    rates = checkpoint(feat.market_rates(p))
+    features = lambda df: feat.quality_features(feat.band_ordinals(feat.history(feat.rate_incentive(feat.amortisation(df), rates))))
+    kinds = [(1, "current_balance", 0.0, None), (2, "days_past_due", 60.0, "60DPD"), (3, "interest_rate", 9.0, None), (4, "nothing", 0.0, None)]
+    kinds = spark.createDataFrame(kinds, "scenario_id int, field string, x double, status string")
+    to = lambda c: F.when(F.col("field") == c, F.col("x")).alias(c)
+    asked = p.where("row_id % 97 = 0").select("loan_id", "reporting_month").distinct().crossJoin(F.broadcast(kinds))
+    overrides = asked.select("scenario_id", "loan_id", "reporting_month", *map(to, ("current_balance", "days_past_due", "interest_rate")), F.col("status").alias("current_status"))
+    return *whatif.what_if_features(p, overrides, features), checkpoint(features(feat.forward_labels(p)))
+
+
+@query()
+def what_if_scores(spark, d):
+    """Probabilities of trained models before and after four kinds of overrides, the fourth of which changes nothing."""
+    from panelworks.operators import models as mod
+    from panelworks.operators import whatif
+
+    before, after, df = _what_if_sides(spark, d)
+    columns = [*ENGINEERED, "rate_incentive", "data_quality_score"]
+    return whatif.what_if_scores(before, after, [mod.train_binary_target(df, t, RAW_COLUMNS, columns, rounds=10, segments=()) for t in ("delinq_3", "prepay_12")])
+
+
+@query()
+def what_if_states(spark, d):
+    """Next states of trained transition models before and after the same overrides."""
+    from panelworks.operators import models as mod
+    from panelworks.operators import whatif
+
+    before, after, df = _what_if_sides(spark, d)
+    moves, columns = checkpoint(tra.transition_frame(df.drop("next_state"))), ["loan_age_months", "interest_rate", "balance_ratio", "days_past_due", "credit_score_band"]
+    return whatif.what_if_states(before, after, checkpoint(tra.empirical_matrix(moves)), mod.transition_model(moves, columns), columns)
+
+
+#: One folder for each application and input: the queries on the file share its stages.
+_FILES: dict[tuple[str, str], str] = {}
+FILE_CUT = "1998-01-01"
+
+
+def _scoring_file(spark, d):
+    from panelworks.operators import submission
+
+    key = spark.sparkContext.applicationId, d
+    path = _FILES.setdefault(key, f"{shared_dir(spark).rstrip('/')}/submission-{uuid.uuid4().hex}")
+    panel = _panel(spark, d)
+    early = F.col("reporting_month") < F.lit(FILE_CUT).cast("date")
+    train, score = checkpoint(feat.forward_labels(panel.where(early))), panel.where(~early)
+    columns = [*ENGINEERED, "remaining_term_months", "rate_incentive", "max_dpd_to_date", "data_quality_score", "servicer_update_lag_days"]
+    return submission.score_panel(spark, train, score, tp.feed(panel), submission.Recipe(RAW_COLUMNS, columns, rounds=10), path), score
+
+
+@query()
+def score_submission(spark, d):
+    """The scoring file of the panel's last months, every column by models and rules of the months before."""
+    return _scoring_file(spark, d)[0].drop("row_id")
+
+
+@query("flags", f"""
+SELECT loan_id, strftime(reporting_month, '%Y-%m-%d') AS reporting_month, CAST(covered AS INT) AS exception_required_pred, assigned AS exception_type_pred FROM (
+  SELECT *, {' OR '.join(r for r in RULES if r not in rul.ADVISORY)} AS covered, CASE {' '.join(f"WHEN {r} THEN '{t}'" for r, t in rul.TARGETS.items())} ELSE 'none' END AS assigned FROM flags)
+WHERE reporting_month >= DATE '{FILE_CUT}'""")
+def submission_rules(spark, d):
+    """Keys of the scoring file, and what rules decide in it."""
+    return _scoring_file(spark, d)[0].select("loan_id", "reporting_month", "exception_required_pred", "exception_type_pred")
+
+
+@query()
+def submission_checks(spark, d):
+    """The checks of the scoring file that models made."""
+    out, score = _scoring_file(spark, d)
+    return sco.validate_submission(out, score)
+
+
 @query()
 def platt(spark, d):
     from panelworks.operators import models as mod
@@ -1710,7 +1891,17 @@ def monte_carlo(spark, d):
 def mc_percentiles(spark, d):
     from panelworks.operators import simulate
 
-    return simulate.mc_percentiles(_sims(spark, d))
+    return simulate.mc_bands(_sims(spark, d))
+
+
+@query()
+def monte_carlo_covariates(spark, d):
+    """Bands of all three shares by chains that follow the loans' covariates."""
+    from panelworks.operators import models as mod
+    from panelworks.operators import simulate
+
+    loans, models, weights, cells, columns = _chain(spark, d)
+    return simulate.mc_bands(simulate.monte_carlo_covariates(mod.covariate_matrices(loans, models, weights, cells, columns), tp.scenarios(spark)))
 
 
 @query()
@@ -1725,12 +1916,23 @@ def isolation_forest(spark, d):
     from panelworks.operators import simulate
 
     train, rest = _halves(_panel(spark, d))
-    return sco.anomaly_score(simulate.isolation_forest(train, rest, NUMS)).select("row_id", "anomaly_score")
+    return sco.anomaly_score(simulate.isolation_forest(train, rest, NUMS)).select("row_id", "anomaly_score", "anomaly_flagged")
+
+
+@query()
+def anomaly_flags(spark, d):
+    """Rows flagged beyond the training scores' quantile of 2 %, in the training half and in the other."""
+    from panelworks.operators import simulate
+
+    train, rest = _halves(_panel(spark, d))
+    forest = simulate.fit_isolation_forest(train, NUMS, contamination=0.02)
+    both = forest.score(train.withColumn("half", F.lit("train"))).unionByName(forest.score(rest.withColumn("half", F.lit("rest"))))
+    return both.groupBy("half").agg(F.count("*").alias("n"), F.sum(F.col("anomaly_flagged").cast("long")).alias("n_flagged"))
 
 
 FOLDS = ["f1", "f2", "f3"]
 FOLD_SQL = "SELECT *, ((row_id * 7) % 100 + 100) / 1000.0::DOUBLE AS f1, ((row_id * 11) % 100 + 100) / 1000.0::DOUBLE AS f2, ((row_id * 13) % 400) / 1000.0::DOUBLE AS f3 FROM marked"
-SPREAD_SQL = f"""SELECT row_id, delinq_3, mean_prediction, spread, low, high, spread / mean_prediction AS relative_spread FROM (
+SPREAD_SQL = f"""SELECT row_id, delinq_3, mean_prediction, spread, low, high, spread / greatest(mean_prediction, 1e-6) AS relative_spread FROM (
   SELECT *, (f1 + f2 + f3) / 3 AS mean_prediction, sqrt(((f1 - mean_prediction) ** 2 + (f2 - mean_prediction) ** 2 + (f3 - mean_prediction) ** 2) / 3) AS spread, least(f1, f2, f3) AS low, greatest(f1, f2, f3) AS high FROM ({FOLD_SQL}))"""
 
 

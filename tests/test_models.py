@@ -169,7 +169,7 @@ def test_target_and_residual_gates(spark):
     df = checkpoint(features.forward_labels(panel).withColumn("days_past_due", F.when((F.col("delinq_3") == 1) & (F.col("row_id") % 7 > 0), 9).otherwise(0)))
     parts = models.target_parts(df, "delinq_3")
     span = {k: parts[k].agg(F.min("month_index"), F.max("month_index")).first() for k in ("fit", "calibration", "test")}
-    assert [tuple(span[k]) for k in ("fit", "calibration", "test")] == [(0, 18), (22, 27), (31, 36)] and parts["n_immature"] == 3 * 80
+    assert [tuple(span[k]) for k in ("fit", "calibration", "test")] == [(0, 18), (22, 26), (30, 36)] and parts["n_immature"] == 3 * 80
     fitted = models.train_binary_target(df, "delinq_3", ["loan_age_months"], ["days_past_due", "loan_age_months"], rounds=3)
     scored = fitted.score(df, "q")
     assert scored.columns == [*df.columns, "q"] and scored.where("q BETWEEN 0 AND 1").count() == df.count() and fitted.champion in ("baseline", "boosted")

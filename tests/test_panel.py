@@ -97,10 +97,47 @@ def test_split_is_purged(spark):
     parts = features.time_aware_split(df, horizon=3).groupBy("part").agg(F.max("month_index").alias("hi"), F.min("month_index").alias("lo"), F.count("*").alias("n"))
     got = {r["part"]: (r["lo"], r["hi"], r["n"]) for r in parts.collect()}
     assert got == {"train": (0, 20, 21), "purged": (21, 23, 3), "test": (24, 29, 6)}
+    # Sixty months, a purge of three: a fifth of them is tested on, from the calendar month after the purge.
+    long = [dt.date(2020 + i // 12, i % 12 + 1, 1) for i in range(60)]
+    assert features.split_months(long, 3) == (dt.date(2023, 9, 1), dt.date(2024, 1, 1))
+    assert features.split_months(long[:6], 3) == (long[1], long[5])  # too short for both: what is left is tested on
+    holes = [m for m in long if m.month != 1]
+    assert features.split_months(holes, 3)[1] == features.add_months(features.split_months(holes, 3)[0], 4)
+    assert features.add_months(dt.date(2023, 10, 31), 4) == dt.date(2024, 2, 29)
     with pytest.raises(ValueError):
         features.time_aware_split(frame(spark, row("a", 0)), 3)
 
 
+def test_folds_keep_a_least_training_window(spark):
+    df = frame(spark, *[row("a", i) for i in range(60)])
+    start = df.agg(F.min("reporting_month")).first()[0]
+    at = lambda i: features.add_months(start, i)
+    got = [tuple(r) for r in features.walk_forward_folds(df, 4, 3).collect()]
+    assert got == [(k + 1, at(12 + 11 * k), at(16 + 11 * k), at(12 + 11 * k + 14)) for k in range(4)]
+    with pytest.raises(ValueError):
+        features.walk_forward_folds(frame(spark, *[row("a", i) for i in range(18)]), 4, 3)
+
+
+def test_manifest_and_market_rate(spark):
+    rows = [row("a", 0, interest_rate=9.0), row("b", 0, interest_rate=5.0)]
+    df = frame(spark, *rows).withColumn("original_interest_rate", F.lit(4.0))
+    assert [r["market_rate"] for r in features.market_rates(df).collect()] == [4.0]
+    assert [r["market_rate"] for r in features.market_rates(frame(spark, *rows)).collect()] == [7.0]
+    _, manifest = features.engineer_features(frame(spark, *rows).drop("interest_rate"))
+    by = {m["step"]: m for m in manifest}
+    assert by["amortisation"] == {"step": "amortisation", "built": False, "added": [], "missing": ["interest_rate"]}
+    assert by["quality_features"]["built"] and "data_quality_score" in by["quality_features"]["added"]
+
+
+def test_threshold_and_bands(spark):
+    table = metrics.score_table(spark.createDataFrame([(1, 0.9), (0, 0.5)], "y int, p double"), "y", "p")
+    assert metrics.choose_threshold(table).first()["threshold"] == 0.5  # the lowest of equal recalls
+    df = spark.createDataFrame([(0.2,), (0.25,), (0.5,), (0.76,), (None,)], "relative_spread double")
+    assert [r["confidence"] for r in metrics.confidence_band(df, fixed=(0.25, 0.75)).collect()] == ["high", "high", "medium", "low", "unknown"]
+    zero = metrics.temporal_spread(spark.createDataFrame([(0.0, 0.0), (0.0, 2e-6)], "a double, b double"), ["a", "b"]).collect()
+    assert [r["relative_spread"] for r in zero] == [0.0, 1.0]
+
+
 def walk(spark):
     states = ["Current", "Current", "30DPD", "Current", "60DPD", "90DPD", "Default"]
     return frame(spark, *[row(f"l{k}", i, k, current_status=states[(i + k) % 7 if i < 5 else 0]) for k in range(6) for i in range(12) if (k, i) != (2, 6)])
