@@ -162,29 +162,29 @@ def known_sentences(text: str) -> tuple[list[tuple[int, str]], int]:
 
 
 def match_rules(found: list[tuple[int, str]]) -> list[dict]:
-    """Matches in (place, identifier) pairs sorted by place: by rule, then by place; no place twice."""
-    left, hits = list(found), []
+    """Matches in (place, identifier) pairs sorted by place: by rule, then by place; no place twice.
+
+    A rule is tried from each place of its first sentence and looks no farther than its gaps allow, so a text of very
+    many sentences takes time in proportion.
+    """
+    places: dict[str, list[int]] = {}
+    for at, (_, name) in enumerate(found):
+        places.setdefault(name, []).append(at)
+    gone, hits = [False] * len(found), []
     for license_id, ids in RULES:
-        start = 0
-        while start < len(left):
-            taken = []
-            for at in range(start, len(left)):
-                place, name = left[at]
-                if name == ids[len(taken)] and (not taken or place - left[taken[-1]][0] <= GAP + 1):
-                    taken.append(at)
-                    if len(taken) == len(ids):
-                        break
-                elif not taken or place - left[taken[-1]][0] > GAP + 1:
-                    if taken:
-                        break
-            if len(taken) < len(ids):
-                if not taken:
-                    break
-                start = taken[0] + 1
+        for first in places.get(ids[0], ()):
+            if gone[first]:
                 continue
-            hits.append({"license": license_id, "sentences": [left[i][1] for i in taken], "first": left[taken[0]][0], "last": left[taken[-1]][0]})
-            start = taken[0]
-            left = [x for i, x in enumerate(left) if i not in taken]
+            taken = [first]
+            for at in range(first + 1, len(found) if len(ids) > 1 else 0):
+                if len(taken) == len(ids) or found[at][0] - found[taken[-1]][0] > GAP + 1:
+                    break
+                if not gone[at] and found[at][1] == ids[len(taken)]:
+                    taken.append(at)
+            if len(taken) == len(ids):
+                hits.append({"license": license_id, "sentences": [found[i][1] for i in taken], "first": found[first][0], "last": found[taken[-1]][0]})
+                for i in taken:
+                    gone[i] = True
     return sorted(hits, key=lambda h: (h["first"], h["license"]))
 
 

@@ -1,6 +1,6 @@
 """PII surrogates: keyed replacements of the same type and form, distinct and coreferent.
 
-1. Detection finds e-mail addresses, telephone, card and IPv4 numbers, secret tokens and titled person
+1. Detection finds e-mail addresses, telephone, card, account (IBAN) and IP numbers, secret tokens and titled person
    names in whole texts. Within a text a person is carried on: an untitled repeat of the name, and its
    family or given name alone (with a title or without), are mentions of the same person and receive
    the same part of the surrogate. What is compared is the canonical value (letter case and separators
@@ -8,8 +8,8 @@
 2. A surrogate is drawn from HMAC-SHA256(key, type, canonical value, attempt) and takes the mention's
    form: digits for digits and letters for letters of the same case and script, separators in place,
    a given name of the same gender, which the title tells or else the given name; one gender for all
-   mentions of a name in the corpus. Mail goes to example.com and addresses lie in 10.0.0.0/8, so no one
-   is reached by a surrogate.
+   mentions of a name in the corpus. Mail goes to the reserved domain example and addresses lie in
+   10.0.0.0/8 and fd00::/8, so no one is reached by a surrogate.
 3. Collision checks: the distinct entities of all documents are grouped by surrogate. Of those that
    share one, or whose surrogate is itself an entity of the corpus, all but the first draw again,
    until none is left. Only what drew again, or is said with different genders, is handed to the rewriting pass.
@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -52,7 +54,11 @@ ENDS = {
     ("female", "CYRILLIC"): "ова ина ева".split(), ("male", "CYRILLIC"): "ов ин ев".split(),
     ("female", "GREEK"): "α η ου".split(), ("male", "GREEK"): "ος ης ας".split(),
 }
-TITLES = {"Mr": "male", "Mrs": "female", "Ms": "female", "Herr": "male", "Frau": "female", "Monsieur": "male", "Madame": "female", "Señor": "male", "Señora": "female", "Dr": None}
+TITLES = {
+    "Mr": "male", "Mrs": "female", "Ms": "female", "Miss": "female", "Herr": "male", "Frau": "female", "Monsieur": "male", "Madame": "female", "Señor": "male", "Señora": "female",
+    "Dr": None, "Doctor": None, "Prof": None, "Professor": None,
+}
+_TOLD = {t.casefold(): gender for t, gender in TITLES.items()}
 _GENDER = {name.casefold(): gender for (gender, _), names in GIVEN.items() for name in names}
 
 # Two-digit calling codes; 1 and 7 have one digit and all others three.
@@ -72,8 +78,12 @@ def _upper_class() -> str:
 _UP = _upper_class()
 # A capitalised word (O'Brien is one) after initials and particles; no part begins with a lower-case letter but particles.
 _NAME_WORD = rf"(?:(?:{'|'.join(sorted(PARTICLES))})[ ])*(?:{_UP}\.[ -]?)*{_UP}(?:\w+|(?=['’]{_UP}))(?:['’]{_UP}\w*)*"
-_NAME = rf"{_NAME_WORD}(?:[ -]{_NAME_WORD})*"
-_TITLE = "(?:Mrs|Mr|Ms|Dr|Herr|Frau|Monsieur|Madame|Señora|Señor)"
+# Scripts without letter case: a run of their letters is a name where a title stands before it.
+_PLAIN = "[\\u0590-\\u06ff\\u0900-\\u0e7f\\u10d0-\\u10ff\\u3041-\\u30ff\\u3400-\\u9fff\\uac00-\\ud7a3]"
+_NAME = rf"(?:{_NAME_WORD}(?:[ -]{_NAME_WORD})*|{_PLAIN}{{2,}}(?:[ ・]{_PLAIN}{{2,}})?)"
+_LONGEST = sorted(TITLES, key=len, reverse=True)
+# As written or in capitals; abbreviations in lower case need their dot.
+_TITLE = rf"(?:(?:{'|'.join([*_LONGEST, *(t.upper() for t in _LONGEST)])})\b|(?:mrs|mr|ms|dr|prof)(?=\.))"
 _GAP = r"[ ./\-   ‐‑]{0,2}"
 # One pattern finds every kind; the first alternative that fits at a place decides. Numbers with a plus sign have 8 to 15
 # digits in any groups (11 after +1).
@@ -82,15 +92,18 @@ _ENTITY = re.compile(
     rf"|(?P<phone>(?<![\w+])\+1(?:{_GAP}\(?\d\)?){{10}}(?!\d)|(?<![\w+])\+\d(?:{_GAP}\(?\d\)?){{7,14}}(?!\d)"
     r"|(?<![\w+(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w.-]*\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]*\d))"
-    r"|(?P<card>(?<![\w.-])\d{4}(?P<sep>[ -]?)\d{4}(?P=sep)\d{4}(?P=sep)\d{4}(?![\w-]*\d))"
+    r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
+    r"|(?P<card>(?<![\w.-])(?:\d{4}(?P<sep>[ -]?)\d{4}(?P=sep)\d{4}(?P=sep)\d{4}|3[47]\d{2}(?P<gap>[ -]?)\d{6}(?P=gap)\d{5})(?![\w-]*\d))"
     r"|(?P<ipv4>(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\w))"
+    r"|(?P<ipv6>(?<![\w:.])(?:[A-Fa-f0-9]{1,4}:){2,7}(?::?[A-Fa-f0-9]{1,4})(?::[A-Fa-f0-9]{1,4}){0,5}(?![\w:]))"
     r"|(?P<token>(?<![A-Za-z0-9])(?=[A-Fa-f]*\d)(?=\d*[A-Fa-f])[A-Fa-f0-9]{32,64}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9]))"
     rf"|(?P<person>\b(?P<titles>(?:{_TITLE}\.?[ ])+)(?P<name>{_NAME}))"
 )
 #: No entity but a person is without one of these; most texts have none and are left after one quick look.
 _HINT = re.compile("[0-9@]|AKIA|ASIA")
-KINDS = ("email", "phone", "ssn", "card", "ipv4", "token", "person")
-_CAPITAL = re.compile(rf"(?<!\w){_UP}\w*")
+_TITLED = re.compile(rf"\b{_TITLE}")
+KINDS = ("email", "phone", "ssn", "iban", "card", "ipv4", "ipv6", "token", "person")
+_CAPITAL = re.compile(rf"(?<!\w)(?:{_UP}\w*|{_PLAIN}{{2,}})")
 _INITIAL = re.compile(rf"{_UP}\.", re.I)
 
 
@@ -108,13 +121,19 @@ class Mention:
 
 def find(text: str | None) -> list[Mention]:
     """The entities of a text in order; none overlap."""
-    if not text or not (_HINT.search(text) or any(t in text for t in TITLES)):
+    if not text or not (_HINT.search(text) or _TITLED.search(text)):
         return []
-    out, named = [], []
-    for m in _ENTITY.finditer(text):
-        kind = next(k for k in KINDS if m[k] is not None)
-        if kind == "person":
-            told = [TITLES[t] for t in re.findall(r"\w+", m["titles"]) if TITLES[t]]
+    out, named, at = [], [], 0
+    while m := _ENTITY.search(text, at):
+        kind, at = next(k for k in KINDS if m[k] is not None), m.end()
+        if kind == "iban" and not _sound_iban(m[0]) or kind == "ipv6" and not _groups(m[0]):
+            at = m.start() + 3  # what looked like one may hold something else
+        elif kind == "iban":
+            out.append(Mention(m.start(), m.end(), kind, m[0].replace(" ", "").casefold()))
+        elif kind == "ipv6":
+            out.append(Mention(m.start(), m.end(), kind, ":".join(f"{g:x}" for g in _groups(m[0]))))
+        elif kind == "person":
+            told = [_TOLD[t.casefold()] for t in re.findall(r"\w+", m["titles"]) if _TOLD[t.casefold()]]
             named.append((m.start("name"), m.end("name"), m["name"], told[0] if told else None))
         elif kind in ("email", "token"):
             out.append(Mention(m.start(), m.end(), kind, m[0].casefold()))
@@ -129,6 +148,26 @@ def find(text: str | None) -> list[Mention]:
     return out
 
 
+def _sound_iban(said: str) -> bool:
+    """Whether an account number has ten digits or more and passes its check."""
+    plain = said.replace(" ", "")
+    return len(plain) >= 15 and sum(c.isdigit() for c in plain) >= 10 and _remainder(plain) == 1
+
+
+def _remainder(iban: str) -> int:
+    """The account number as one number, its first four places last and letters as 10 to 35, modulo 97."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def _groups(said: str) -> list[int] | None:
+    """The eight groups of an IPv6 address; None if it is none, or has fewer than three groups in writing."""
+    try:
+        packed = ipaddress.IPv6Address(said).packed
+    except ValueError:
+        return None
+    return [int.from_bytes(packed[i : i + 2], "big") for i in range(0, 16, 2)] if sum(map(bool, said.split(":"))) > 2 else None
+
+
 def _words(name: str) -> list[str]:
     return re.split("[ -]", name)
 
@@ -145,6 +184,7 @@ def _persons(text: str, named: list[tuple], others: list[Mention]) -> list[Menti
     parts: dict[str, list[tuple[int, str, tuple[int, int] | None]]] = {}  # name in lower case -> (place, person, its words)
     forms: dict[str, set[str]] = {}  # first capitalised word -> names as they are written
     full = [x for x in named if " " in x[2]]
+    gendered: dict[str, set] = {}  # genders of the persons who have a part of that name; final once full names are done
     for start, _, name, told in full + [x for x in named if " " not in x[2]]:
         value = name.casefold()
         pieces = [(name, None)]
@@ -154,24 +194,38 @@ def _persons(text: str, named: list[tuple], others: list[Mention]) -> list[Menti
             pieces += [(last, (n - len(_words(last)), n))]
             if not _INITIAL.fullmatch(first) and first not in PARTICLES:
                 pieces += [(first, (0, len(_words(first))))]
-        elif any(_fits(genders[person], told) for _, person, words in parts.get(value, ()) if words):
-            continue
+        else:
+            if value not in gendered:
+                gendered[value] = {genders[person] for _, person, words in parts.get(value, ()) if words}
+            if any(_fits(gender, told) for gender in gendered[value]):
+                continue
         given = _GENDER.get(_words(value)[0])
         genders[value] = genders.get(value) or told or given
         for piece, words in pieces:
             parts.setdefault(piece.casefold(), []).append((start, value, words))
-            for form in (piece, piece.upper()):
+            for form in (piece, piece.upper(), *[re.sub(r"\w+", lambda w: w[0] if w[0].casefold() in PARTICLES else w[0].capitalize(), piece)] * piece.isupper()):
                 if m := _CAPITAL.search(form):
                     forms.setdefault(form[m.start() : m.end()], set()).add(form[m.start() :] if m.start() == 0 else form)
     order = {k: sorted(v, key=len, reverse=True) for k, v in forms.items()}
     out, taken = [], sorted((x.start, x.end) for x in others)
     titled = {_CAPITAL.search(text, start).start(): (start, end, told) for start, end, _, told in named}  # particles may come first
 
+    said: dict[tuple, tuple] = {}
+
     def say(start: int, end: int, told: str | None) -> None:
-        known = parts.get(text[start:end].casefold(), [])
-        fit = [x for x in known if x[2] is None or _fits(genders[x[1]], told)] or known
-        before = [x for x in fit if x[0] <= start]
-        _, value, words = max(before, key=lambda x: (x[2] is None, x[0])) if before else min(fit, key=lambda x: (x[2] is not None, x[0]))
+        key = text[start:end].casefold(), told
+        if key not in said:
+            known = parts.get(key[0], [])
+            fit = [x for x in known if x[2] is None or _fits(genders[x[1]], told)] or known
+            both = [sorted((x for x in fit if (x[2] is None) == bare), key=lambda x: x[0]) for bare in (True, False)]
+            said[key] = [(part, [x[0] for x in part]) for part in both if part]
+        # Whole names first: the last one before the place, else the first one after it.
+        for part, starts in said[key]:
+            if n := bisect_right(starts, start):
+                _, value, words = part[bisect_left(starts, starts[n - 1])]
+                break
+        else:
+            _, value, words = said[key][0][0][0]
         out.append(Mention(start, end, "person", value, genders[value], words))
 
     at, k = 0, 0
@@ -252,8 +306,19 @@ def surrogate_value(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
     """The canonical surrogate of a canonical value."""
     draw = Stream(key, kind, value, attempt)
     if kind == "email":
-        local, _, _ = value.partition("@")
-        return "x" + _letters("a" * max(9, min(len(local), 20)), draw) + "@example.com"
+        # Both sides keep their form, and addresses of one domain share its surrogate; short ones grow when they run out.
+        local, _, domain = value.partition("@")
+        labels, keyed = domain.split(".")[:-1], Stream(key, "domain", domain, 0)
+        labels[0] = labels[0].ljust(6, "x")
+        return _letters(local, draw) + _letters("a" * (attempt // 2), draw) + "@" + ".".join(_letters(label, keyed) for label in labels) + ".example"
+    if kind == "iban":
+        front, rest = value[:2], _letters(value[4:], draw)
+        return front + f"{98 - _remainder(front + '00' + rest):02d}" + rest
+    if kind == "ipv6":
+        # In the network of local addresses; groups of zeros stay, the others keep their length.
+        groups = value.split(":")
+        new = [g if g == "0" else "%x" % (16 ** (len(g) - 1) + draw.below(15 * 16 ** (len(g) - 1))) for g in groups[1:]]
+        return ":".join(["fd%02x" % draw.below(256), *new])
     if kind == "ipv4":
         # The private network; where that runs out, the reserved addresses, then all.
         front = ["10"] if attempt < 16 else [str(240 + draw.below(16))] if attempt < 32 else [str(draw.below(256))]
@@ -306,6 +371,16 @@ def formed(kind: str, mention: str, new: str) -> str:
         digits = iter(new.removeprefix("+"))
         trunk = "(0)" if new.startswith("+") else "^"
         return trunk.join("".join(next(digits) if ch.isdigit() else ch for ch in part) for part in mention.split(trunk))
+    if kind == "iban":
+        chars = iter(new.upper())
+        return "".join(ch if ch == " " else next(chars) for ch in mention)
+    if kind == "ipv6":
+        groups, (front, _, back) = new.split(":"), mention.partition("::")
+        front, back = front.split(":"), back.split(":") if back else []
+        at = [*range(len(front)), *range(8 - len(back), 8)]
+        told = [groups[i].zfill(len(w)) for i, w in zip(at, front + back)]
+        out = ":".join(told[: len(front)]) + ("::" if "::" in mention else "") + ":".join(told[len(front) :])
+        return out.upper() if mention.isupper() else out
     if kind == "person":
         said = _words(mention)
         words = [w if w in PARTICLES else w.upper().capitalize() for w in new.split(" ")]  # upper first, for final sigmas
