@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DataType, DoubleType, StructField, StructType
 
 from panelworks.session import checkpoint
 
@@ -12,20 +18,40 @@ from panelworks.session import checkpoint
 def prefix_sums(counts: DataFrame, order: str, sums: list[str], partitions: int | None = None) -> DataFrame:
     """``counts`` with up_<c>: the sum of c over all rows of a smaller ``order``; a global running sum.
 
-    Rows are dealt by range of ``order``; each partition sums its own rows, and the totals of the
-    partitions before it (one row each) are added. No task sees all rows.
+    Rows are dealt by range of ``order`` and sorted in their places, in one shuffle; each partition sums its own rows
+    as they come, and the totals of the partitions before it (one row each) are added. No task sees all rows.
     """
     spark = counts.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = checkpoint(counts.repartitionByRange(n, order).withColumn("_part", F.spark_partition_id()))
-    ends = dealt.groupBy("_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    dealt = checkpoint(counts.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()))
+    ends = dealt.groupBy("_part").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"_t_{c}") for c in sums])
     w = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = ends.select("_part", *[F.coalesce(F.sum(f"_t_{c}").over(w), F.lit(0)).alias(f"_o_{c}") for c in sums])
-    local = W.partitionBy("_part").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    out = dealt.withColumns({f"_l_{c}": F.coalesce(F.sum(c).over(local), F.lit(0)) for c in sums}).join(F.broadcast(offsets), "_part")
+    kinds = [offsets.schema[f"_o_{c}"].dataType for c in sums]
+    schema = StructType([*dealt.schema.fields, *[StructField(f"_l_{c}", kind) for c, kind in zip(sums, kinds)]])
+    out = dealt.mapInArrow(_running([dealt.columns.index(c) for c in sums], [f"_l_{c}" for c in sums], kinds), schema).join(F.broadcast(offsets), "_part")
     return out.withColumns({f"up_{c}": F.col(f"_l_{c}") + F.col(f"_o_{c}") for c in sums}).drop("_part", *[f"_l_{c}" for c in sums], *[f"_o_{c}" for c in sums])
 
 
+def _running(at: list[int], names: list[str], kinds: list[DataType]):
+    """Adds what the rows before each row sum up to, in the order in which they come."""
+    types = [to_arrow_type(kind) for kind in kinds]
+
+    def run(batches):
+        before = [0] * len(at)
+        for batch in batches:
+            added = []
+            for i, (column, kind) in enumerate(zip(at, types)):
+                x = batch.column(column).fill_null(0).cast(kind)
+                so_far = pc.cumulative_sum(x, start=pa.scalar(before[i], kind))
+                added.append(pc.subtract(so_far, x).cast(kind))
+                if len(so_far):
+                    before[i] = so_far[-1].as_py()
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *names])
+
+    return run
+
+
 def quantiles(rows: DataFrame, qs: list[float]) -> DataFrame:
     """(g, n, q): exact quantiles of x by group, interpolated between neighbours.
 
@@ -44,11 +70,48 @@ def quantiles(rows: DataFrame, qs: list[float]) -> DataFrame:
     return out.select("g", F.col("_total").alias("n"), F.array(*[value(i, q) for i, q in enumerate(qs)]).alias("q"))
 
 
+#: A sketch places a value within this share of the rows; brackets are twice as wide on both sides.
+_SKETCH = 2000
+
+
 def quantile_row(df: DataFrame, columns: dict[str, Column], qs: list[float], prefix: str) -> DataFrame:
-    """One row with <prefix><name>: the quantiles of each column as an array; null where it has no value."""
-    cells = F.array(*[F.struct(F.lit(name).alias("g"), c.cast("double").alias("x")) for name, c in columns.items()])
-    found = quantiles(df.select(F.explode(cells).alias("c")).select("c.*"), qs)
-    return found.agg(*[F.first(F.when(F.col("g") == name, F.col("q")), ignorenulls=True).alias(f"{prefix}{name}") for name in columns])
+    """One row with <prefix><name>: the exact quantiles of each column as an array; null where it has no value.
+
+    A mergeable sketch brackets each wanted place in one pass, a second pass counts what lies below each bracket, and
+    only the values inside of them, some thousandths of all, are placed among each other. Where a bracket
+    missed its place, or a column holds NaN, all its values are.
+    """
+    names = list(columns)
+    rows = df.select(*[c.cast("double").alias(f"x{i}") for i, c in enumerate(columns.values())])
+    wide = 2 / _SKETCH
+    shares = [min(1.0, max(0.0, q + d)) for q in qs for d in (-wide, wide)]
+    told = rows.agg(*[
+        F.struct(F.count(x), F.count_if(F.isnan(x)), F.percentile_approx(x, shares, _SKETCH)).alias(x) for x in rows.columns
+    ]).first()  # one row of a few numbers for each column
+    brackets = {(i, k): (told[i][2][2 * k], told[i][2][2 * k + 1]) for i in range(len(names)) if told[i][0] and not told[i][1] for k in range(len(qs))}
+    found: dict[int, list[float]] = {}
+    if brackets:
+        below = rows.agg(*[F.count_if(F.col(f"x{i}") < lo).alias(f"b{i}_{k}") for (i, k), (lo, _) in brackets.items()]).first()
+        cells = F.array(*[F.when(F.col(f"x{i}").between(lo, hi), F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), F.col(f"x{i}").alias("x"))) for (i, k), (lo, hi) in brackets.items()])
+        inside = rows.select(F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("c")).groupBy("c.i", "c.k", "c.x").agg(F.count("*").alias("n"))
+        placed = checkpoint(prefix_sums(inside.select(F.struct("i", "k", "x").alias("o"), "n"), "o", ["n"]).select("o.*", "n", "up_n"))
+        base = placed.groupBy("i", "k").agg(F.min("up_n").alias("base"))
+        # The place counts from the bracket's first value, where it is the only part of the panel that is looked at.
+        wanted = [(i, k, math.floor(p) - below[f"b{i}_{k}"], math.ceil(p) - below[f"b{i}_{k}"]) for i, k in brackets for p in [qs[k] * (told[i][0] - 1)]]
+        asked = F.broadcast(df.sparkSession.createDataFrame(wanted, "i int, k int, lo long, hi long"))
+        first, n = F.col("up_n") - F.col("base"), F.col("n")
+        here = lambda p: F.max(F.when((first <= F.col(p)) & (F.col(p) < first + n), F.col("x")))
+        ends = placed.join(F.broadcast(base), ["i", "k"]).join(asked, ["i", "k"]).groupBy("i", "k").agg(here("lo").alias("lo"), here("hi").alias("hi"))
+        for r in ends.collect():  # a row for each column and quantile
+            if r["lo"] is not None and r["hi"] is not None:
+                p = qs[r["k"]] * (told[r["i"]][0] - 1)
+                found.setdefault(r["i"], [None] * len(qs))[r["k"]] = r["lo"] + (r["hi"] - r["lo"]) * (p - math.floor(p))
+    missed = [i for i in range(len(names)) if told[i][0] and (i not in found or None in found[i])]
+    if missed:
+        cells = F.array(*[F.struct(F.lit(i).alias("g"), F.col(f"x{i}").alias("x")) for i in missed])
+        found |= {r["g"]: list(r["q"]) for r in quantiles(rows.select(F.explode(cells).alias("c")).select("c.*"), qs).collect()}
+    schema = StructType([StructField(f"{prefix}{name}", ArrayType(DoubleType())) for name in names])
+    return df.sparkSession.createDataFrame([tuple(found.get(i) for i in range(len(names)))], schema)
 
 
 def auc_by_group(rows: DataFrame) -> DataFrame:

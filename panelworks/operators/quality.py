@@ -76,7 +76,11 @@ def numeric_correlations(df: DataFrame, columns: list[str], least: float = 0.8)
 
 
 def categorical_associations(df: DataFrame, columns: list[str], least: float = 0.0, most_levels: int = 40) -> DataFrame:
-    """(a, b, cramers_v): bias-corrected association of all pairs of columns, in one pass."""
+    """(a, b, cramers_v): bias-corrected association of all pairs of columns, in one pass.
+
+    Columns of more than ``most_levels`` values are dropped before any pair is counted, so a pair has a bounded number of cells.
+    """
+    columns = narrow(df, columns, most_levels)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     rows = df.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("string").alias("x"), F.col(b).cast("string").alias("y")) for a, b in pairs])).alias("p")).select("p.*")
     cells = rows.where("x IS NOT NULL AND y IS NOT NULL").groupBy("a", "b", "x", "y").agg(F.count("*").cast("double").alias("o"))
@@ -94,6 +98,16 @@ def categorical_associations(df: DataFrame, columns: list[str], least: float = 0
     return stat.select("a", "b", v.alias("cramers_v")).where(F.col("cramers_v") >= least)
 
 
+def narrow(df: DataFrame, columns: list[str], most_levels: int) -> list[str]:
+    """The columns of no more than ``most_levels`` values, null aside: one count of levels for all, no value comes to the driver."""
+    if not columns:
+        return []
+    cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns])
+    levels = df.select(F.explode(cells).alias("x")).where("x.v IS NOT NULL").groupBy("x.c", "x.v").agg(F.count("*").alias("n"))
+    wide = {r["c"] for r in levels.groupBy("c").agg(F.count("*").alias("levels")).where(F.col("levels") > most_levels).collect()}  # names of columns
+    return [c for c in columns if c not in wide]
+
+
 def _w(*keys):
     from pyspark.sql import Window
 
@@ -109,9 +123,12 @@ def folded(value: Column) -> Column:
 
 
 def inconsistent_categories(df: DataFrame, columns: list[str], most_levels: int = 200) -> DataFrame:
-    """(column, key, n_variants, n_rows): spellings that fold to one key."""
+    """(column, key, n_variants, n_rows): spellings that fold to one key; columns of more than ``most_levels`` values are left out."""
+    columns = narrow(df, columns, most_levels)
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, key string, n_variants long, n_rows long")
     values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])).alias("p")).select("p.*").where("value IS NOT NULL")
-    counts = values.groupBy("column", "value").agg(F.count("*").alias("n")).withColumn("levels", F.count("*").over(_w("column"))).where(F.col("levels") <= most_levels)
+    counts = values.groupBy("column", "value").agg(F.count("*").alias("n"))
     return counts.groupBy("column", folded(F.col("value")).alias("key")).agg(F.count("*").alias("n_variants"), F.sum("n").alias("n_rows")).where("n_variants > 1")
 
 
@@ -209,8 +226,9 @@ def drift_report(expected: DataFrame, actual: DataFrame, numbers: list[str], cat
     counts = rows.select("column", "side", value.alias("value"), (binned & (F.size("edges") < 3)).alias("flat")).groupBy("column", "value").agg(
         F.sum((F.col("side") == "e").cast("long")).alias("e"), F.sum((F.col("side") == "a").cast("long")).alias("a"), F.first("flat").alias("flat")
     )
-    n_e, n_a = F.sum(F.when(F.col("value").isNotNull(), F.col("e"))).over(_w("column")), F.sum(F.when(F.col("value").isNotNull(), F.col("a"))).over(_w("column"))
-    shares = counts.withColumns({"ne": n_e, "na": n_a})
+    counts = checkpoint(counts)
+    totals = counts.groupBy("column").agg(*[F.sum(F.when(F.col("value").isNotNull(), F.col(c))).alias(f"n{c}") for c in ("e", "a")])
+    shares = counts.join(F.broadcast(totals), "column")  # one row for each column
     es, as_ = (F.greatest(F.col(c) / F.nullif(F.col(n), F.lit(0)), F.lit(1e-6)) for c, n in (("e", "ne"), ("a", "na")))
     term = F.when(F.col("value").isNotNull(), (as_ - es) * F.ln(as_ / es))
     missing = lambda c, n: 100.0 * F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col(c))), F.lit(0)) / F.sum(c)

@@ -209,7 +209,7 @@ def tfidf_search(docs: DataFrame, questions: DataFrame, least: float = 0.12, top
     """(item_id, doc_id, score, rank): passages of the highest cosine for each question.
 
     Sublinear tf, smooth idf over ``docs``, unit vectors. Terms are counted once as 64-bit hashes; only terms that a
-    question has are joined, norms take all terms of a passage. With ``name``, a column of ``docs``, a passage that has
+    question has are joined, the commonest of them only for passages that others bring up, and norms take all terms of a passage. With ``name``, a column of ``docs``, a passage that has
     one is found only by a question that says a word of it; it is looked for among the 5 * top (10 at least) of the
     highest cosine.
     """
@@ -218,12 +218,20 @@ def tfidf_search(docs: DataFrame, questions: DataFrame, least: float = 0.12, top
     n = docs.agg(F.count("*").alias("n_docs"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(n)).select("term", (F.ln((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    d = tf.join(idf, "term").select("doc_id", "term", ((1 + F.ln("c")) * F.col("idf")).alias("w"), "idf")
+    d = tf.join(idf, "term").select("doc_id", "term", ((1 + F.ln("c")) * F.col("idf")).alias("w"))
     q_tf = checkpoint(hashed(questions, "item_id"))
-    asked = d.join(q_tf.select("item_id", "term", (1 + F.ln("c")).alias("qw")), "term").groupBy("doc_id", "item_id").agg(F.sum(F.col("w") * F.col("idf") * F.col("qw")).alias("dot"))
     dn = d.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
-    q = q_tf.join(idf, "term").select("item_id", ((1 + F.ln("c")) * F.col("idf")).alias("qw"))
+    q = checkpoint(q_tf.join(df.select("term", "df"), "term").join(idf, "term").select("item_id", "term", "df", ((1 + F.ln("c")) * F.col("idf")).alias("qw")))
     qn = q.groupBy("item_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
+    # A passage of unit length gains no more from some terms than these terms' share of the question's length. So the
+    # commonest terms that together stay below ``least`` make no candidate, they only complete those that others make.
+    so_far = F.sum(F.col("qw") * F.col("qw")).over(W.partitionBy("item_id").orderBy(F.desc("df"), "term"))
+    q = checkpoint(q.join(qn, "item_id").withColumn("only", F.sqrt(so_far) < F.lit(least * (1 - 1e-9)) * F.col("qn")).select("item_id", "term", "qw", "only"))
+    part = lambda only: q.where(F.col("only") == only).select("item_id", "term", "qw")
+    sums = lambda rows: rows.groupBy("doc_id", "item_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    found = checkpoint(sums(d.join(part(False), "term")))
+    rest = sums(found.select("doc_id", "item_id").join(part(True), "item_id").join(d, ["doc_id", "term"]))
+    asked = found.unionByName(rest).groupBy("doc_id", "item_id").agg(F.sum("dot").alias("dot"))
     scored = asked.join(dn, "doc_id").join(qn, "item_id").select("item_id", "doc_id", (F.col("dot") / (F.col("dn") * F.col("qn"))).alias("score")).where(F.col("score") >= least)
     order = W.partitionBy("item_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
     if name:
