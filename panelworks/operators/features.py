@@ -68,7 +68,9 @@ def rate_incentive_pctile(df: DataFrame) -> DataFrame:
     months = placed.groupBy("reporting_month").agg(F.sum("n").alias("_total"), F.min("up_n").alias("_base"))
     rank = (F.col("up_n") - F.col("_base") + (F.col("n") + 1) / 2) / F.col("_total")
     ranks = placed.join(F.broadcast(months), "reporting_month").select("reporting_month", "rate_incentive", rank.alias("rate_incentive_pctile"))
-    return df.join(ranks, ["reporting_month", "rate_incentive"], "left")
+    # Rows without an incentive would all have one key a month; they need no rank.
+    some = F.col("rate_incentive").isNotNull()
+    return df.where(some).join(ranks, ["reporting_month", "rate_incentive"], "left").unionByName(df.where(~some).withColumn("rate_incentive_pctile", F.lit(None).cast("double")))
 
 
 def history(df: DataFrame) -> DataFrame:
@@ -216,12 +218,14 @@ def random_group_split(df: DataFrame, test_pct: int = 25) -> DataFrame:
     return df.withColumn("part", F.when(F.coalesce(held_out(test_pct), F.lit(False)), "test").otherwise("train"))
 
 
-def scoring_frame(train: DataFrame, score: DataFrame, prepare) -> DataFrame:
-    """The score rows with everything that ``prepare`` adds, worked out over both panels.
+def scoring_frame(train: DataFrame, score: DataFrame, prepare, static: DataFrame | None = None) -> DataFrame:
+    """The score rows with everything that ``prepare`` adds, worked out over both panels, with the columns of ``static`` that
+    they lack joined by loan first.
 
     A score row's history reaches back into the training rows of its loan; ``prepare`` maps a panel to
     one with flags, quality and features. Rows keep score_order, the order to write them in.
     """
-    from panelworks.operators.reconcile import union_panels
+    from panelworks.operators.reconcile import attach_static, union_panels
 
-    return prepare(union_panels(train, score)).where("origin = 'score'").drop("origin")
+    both = union_panels(train, score)
+    return prepare(both if static is None else attach_static(both, static)).where("origin = 'score'").drop("origin")

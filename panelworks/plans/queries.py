@@ -361,9 +361,11 @@ def union_panels(spark, d):
     return rec.union_panels(*_halves(_panel(spark, d))).select("row_id", "origin", "score_order")
 
 
-@query("panel", f"SELECT DISTINCT loan_id FROM panel WHERE NOT {HALF} AND loan_id NOT IN (SELECT loan_id FROM panel WHERE {HALF})")
+@query("panel", f"SELECT DISTINCT loan_id FROM panel WHERE NOT {HALF} AND loan_id NOT IN (SELECT loan_id FROM panel WHERE {HALF} AND CAST(loan_id AS BIGINT) % 7 <> 0)")
 def loans_without_history(spark, d):
-    return rec.loans_without_history(*_halves(_panel(spark, d)))
+    """Loans of the later half that the earlier one, without every seventh loan, does not know."""
+    early, late = _halves(_panel(spark, d))
+    return rec.loans_without_history(early.where(F.col("loan_id").cast("long") % 7 != 0), late)
 
 
 @query("panel", f"SELECT loan_id FROM panel WHERE {HALF} INTERSECT SELECT loan_id FROM panel WHERE NOT {HALF}")
@@ -467,15 +469,6 @@ def combined_exception_output(spark, d):
     return rul.combined_exception_output(_ruled(spark, d)).select("row_id", "exception_probability", "exception_kind", "decided_by")
 
 
-@query("ruled", f"""
-SELECT row_id, exception_probability, anomaly_score, decided_by, fired_rules FROM (
-  SELECT *, row_number() OVER (PARTITION BY decided_by = 'rule' ORDER BY exception_probability DESC, anomaly_score DESC, row_id) AS rn
-  FROM ({DECIDED % ("concat_ws(', ', " + ', '.join(f"CASE WHEN {r} THEN '{r}' END" for r in RULES) + ") AS fired_rules")}))
-WHERE rn <= CASE WHEN decided_by = 'rule' THEN 15 ELSE 10 END""", "exception_probability anomaly_score")
-def reviewer_queue(spark, d):
-    return rul.reviewer_queue(rul.combined_exception_output(_ruled(spark, d)))
-
-
 @query("ruled", f"SELECT decided_by, count(*) AS n, count(*) / (SELECT count(*) FROM ruled)::DOUBLE AS share FROM ({DECIDED % '0 AS x'}) GROUP BY decided_by", "share")
 def decided_by_mix(spark, d):
     return rul.decided_by_mix(rul.combined_exception_output(_ruled(spark, d)))
@@ -725,12 +718,13 @@ def transition_frame(spark, d):
     return tra.transition_frame(_panel(spark, d)).select("row_id", "from_state", "to_state")
 
 
-@query("panel", """
-SELECT count(*) AS n_rows, count(*) FILTER (WHERE nx IS NULL) AS n_without_successor, count(*) FILTER (WHERE g <> 1) AS n_gaps, count(*) FILTER (WHERE g = 1) AS n_kept FROM (
-  SELECT nx, (year(nx) - year(reporting_month)) * 12 + month(nx) - month(reporting_month) AS g FROM (
-    SELECT reporting_month, lead(reporting_month) OVER (PARTITION BY loan_id ORDER BY reporting_month, row_id) AS nx FROM panel))""")
+@query("labels12", """
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE nx IS NULL) AS n_without_successor, count(*) FILTER (WHERE g <> 1) AS n_gaps, count(*) FILTER (WHERE g = 1) AS n_kept, count(*) FILTER (WHERE g = 1 AND next_state <> nt) AS n_disagree FROM (
+  SELECT nx, nt, next_state, (year(nx) - year(reporting_month)) * 12 + month(nx) - month(reporting_month) AS g FROM (
+    SELECT reporting_month, next_state, lead(reporting_month) OVER w AS nx, lead(current_status) OVER w AS nt FROM labels12 WINDOW w AS (PARTITION BY loan_id ORDER BY reporting_month, row_id)))""")
 def transition_losses(spark, d):
-    return tra.transition_losses(_panel(spark, d))
+    """Beside what is left out, how often the next month is in another state than the panel's own next_state."""
+    return tra.transition_losses(feat.forward_labels(_panel(spark, d)))
 
 
 @query("trans spine", """
@@ -1238,6 +1232,17 @@ def anomaly_text(spark, d):
     return out.withColumn("n_drivers", F.col("n_drivers").cast("long"))
 
 
+@query("ruled", f"""
+SELECT q.row_id, exception_probability, anomaly_score, decided_by, fired_rules, drivers FROM (
+  SELECT *, row_number() OVER (PARTITION BY decided_by = 'rule' ORDER BY exception_probability DESC, anomaly_score DESC, row_id) AS rn
+  FROM ({DECIDED % ("concat_ws(', ', " + ', '.join(f"CASE WHEN {r} THEN '{r}' END" for r in RULES) + ") AS fired_rules")})) q JOIN ({SQL['anomaly_text']}) t ON t.row_id = q.row_id
+WHERE rn <= CASE WHEN decided_by = 'rule' THEN 15 ELSE 10 END""", "exception_probability anomaly_score")
+def reviewer_queue(spark, d):
+    """With what makes each row unusual."""
+    p = _panel(spark, d)
+    return rul.reviewer_queue(rul.combined_exception_output(_ruled(spark, d)), drivers=sco.anomaly_text(p, sco.anomaly_drivers(p, DRIVE)))
+
+
 @query("panel", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature FROM panel HAVING min({c}) < max({c})" for c in ("loan_age_months", "remaining_term_months", "original_balance", "current_balance", "interest_rate", "days_past_due", "modification_flag")) + ")")
 def detector_features(spark, d):
     df = _panel(spark, d).withColumn("same", F.lit(3))
@@ -2012,13 +2017,36 @@ def answer_lookup(spark, d):
     return txt.answer_lookup(bench, txt.tfidf_search(docs, bench), docs)
 
 
-@query("scored rated hist", f"""
-SELECT s.row_id, s.row_id AS score_order, h.balance_ratio, r.rate_incentive, CAST(h.months_delinquent_to_date AS BIGINT) AS months_delinquent_to_date, s.data_quality_score
-FROM scored s JOIN rated r USING (row_id) JOIN hist h USING (row_id) WHERE NOT s.{HALF}""", "balance_ratio rate_incentive data_quality_score")
+@query("scored rated hist static", f"""
+SELECT s.row_id, s.row_id AS score_order, h.balance_ratio, r.rate_incentive, CAST(h.months_delinquent_to_date AS BIGINT) AS months_delinquent_to_date, s.data_quality_score, t.ltv_band,
+  CASE t.dti_band WHEN '<=30' THEN 25 WHEN '31-36' THEN 33 WHEN '37-43' THEN 40 END AS dti_band_ordinal
+FROM scored s JOIN rated r USING (row_id) JOIN hist h USING (row_id) LEFT JOIN static t ON t.loan_id = s.loan_id WHERE NOT s.{HALF}""", "balance_ratio rate_incentive data_quality_score")
 def scoring_frame(spark, d):
     def everything(df):
         flagged = rul.rule_scores(rul.evaluate_rules(rec.reconcile(df, tp.feed(_panel(spark, d)))))
         return feat.engineer_features(qual.record_quality(flagged))[0]
 
-    out = feat.scoring_frame(*_halves(_panel(spark, d)), everything)
-    return out.select("row_id", "score_order", "balance_ratio", "rate_incentive", "months_delinquent_to_date", "data_quality_score")
+    out = feat.scoring_frame(*_halves(_panel(spark, d)), everything, tp.static(spark, d))
+    return out.select("row_id", "score_order", "balance_ratio", "rate_incentive", "months_delinquent_to_date", "data_quality_score", "ltv_band", "dti_band_ordinal")
+
+
+# The derived tables, and the query that each is made by.
+DERIVED = {
+    "rule_flags": "evaluate_rules", "top_anomalies": "worst_records", "scenario_curves": "portfolio_curves", "segment_impacts": "segment_impacts", "monte_carlo_curves": "mc_percentiles",
+    "exception_output": "combined_exception_output", "reviewer_examples": "reviewer_queue", "uncertainty": "temporal_uncertainty",
+}
+
+
+def _derived(name: str, source: str) -> None:
+    def run(spark, d):
+        path = f"{shared_dir(spark).rstrip('/')}/derived-{uuid.uuid4().hex}/{name}"
+        pack.write_derived(QUERIES[source](spark, d), path)
+        return spark.read.parquet(path)
+
+    QUERIES[f"derived_{name}"] = run
+    if source in SQL:
+        SQL[f"derived_{name}"] = SQL[source]
+
+
+for _name, _source in DERIVED.items():
+    _derived(_name, _source)
