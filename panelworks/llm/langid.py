@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from panelworks.llm.textgrams import groups, hashed
 from panelworks.session import checkpoint
@@ -27,6 +28,8 @@ CENTROIDS = 4
 ROUNDS = 5
 #: At most about so many texts of each language are learned from, chosen by a hash of the row.
 TRAIN_ROWS = 1500
+#: Distinct values of lang that a model can hold.
+MOST_LANGUAGES = 1000
 #: A cluster with a smaller share of its language's texts is dropped: likely wrong labels.
 LEAST_SHARE = 0.1
 #: Cosine below this quantile of a centroid's own training texts means rejection.
@@ -112,15 +115,17 @@ def _add(pdf: pd.DataFrame) -> pd.DataFrame:
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """``docs`` has doc_id, text and lang; rows with a null in the last two, or without a letter, are left out.
 
-    The sample holds at most about ``train_rows`` rows of each language, whatever the input. It is chosen by
-    a hash of doc_id and text, so of a text that comes often no more than its share is taken. One row for each
-    language is broadcast; the model itself holds far more for each.
+    More than MOST_LANGUAGES distinct values of lang raise, as each is broadcast and gets centroids. The sample
+    holds at most about ``train_rows`` rows of each language, whatever the input. It is chosen by
+    a hash of doc_id and text, so of a text that comes often no more than its share is taken.
     """
     spark = docs.sparkSession
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("size"))
+    sizes = checkpoint(rows.groupBy("lang").agg(F.count("*").alias("size")))
     space = 1_000_000
     share = F.least(F.lit(1.0), F.lit(train_rows) / F.col("size")) * space
+    if sizes.limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: clean the column first")
     sample = rows.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(space)) < share)
     parts = max(1, min(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     sample = checkpoint(sample.repartition(parts, F.xxhash64("doc_id", "text")).select("lang", "text"))
@@ -130,9 +135,14 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     table = np.zeros((1 << BITS) + 1)
     table[df["bucket"].to_numpy() + 1] = df["n"]
     idf = (np.log((1 + table[0]) / (1 + table[1:])) + 1).astype(np.float32)
+    # Seeds are found by their hashes; only their texts, CENTROIDS of each language, come to the driver.
     ranked = sample.select("lang", "text", F.xxhash64("text", F.lit("seed")).alias("h"))
-    seeds = ranked.groupBy("lang").agg(F.slice(F.sort_array(F.collect_set(F.struct("h", "text"))), 1, CENTROIDS)["text"].alias("texts")).collect()
-    centroids = {r["lang"]: vectors(r["texts"], idf) for r in seeds}
+    order = Window.partitionBy("lang").orderBy("h")
+    first = ranked.select("lang", "h").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= CENTROIDS)
+    texts: dict[str, list[str]] = {}
+    for r in ranked.join(F.broadcast(first), ["lang", "h"]).groupBy("lang", "r").agg(F.min("text").alias("text")).orderBy("lang", "r").collect():
+        texts.setdefault(r["lang"], []).append(r["text"])
+    centroids = {lang: vectors(own, idf) for lang, own in texts.items()}
     if not centroids:
         return Model([], np.zeros((0, 1 << BITS), np.float32), idf, np.zeros(0))
     for last in [False] * ROUNDS + [True]:

@@ -96,3 +96,15 @@ def test_very_long_texts_take_time_in_proportion():
     found = pii.find(text)
     assert len(found) == 21_000 and found[-1].value == f"{given[-1]} smith"  # the one named last
     assert time.time() - began < 30
+
+
+def test_language_model_bounds_its_labels(spark, monkeypatch):
+    from panelworks.llm import langid
+
+    rows = [(i, f"{w} some words of language {w} number {i % 7}", w) for i in range(60) for w in ("ab", "cd", "ef")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert set(model.languages) == {"ab", "cd", "ef"}
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        langid.fit(docs)
