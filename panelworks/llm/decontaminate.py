@@ -8,17 +8,21 @@ have a weighted Jaccard similarity of 0.8 or more.
    a few anchor words of each item that together lie in more than that share of its shingles must
    occur there, with one neighbour in place. Windows without that cannot reach t. One pass over the
    documents' words finds them. Bags ignore order, so an item-sized window begins at every place from
-   which it holds the anchor word; of these stay the ones with as many shingles of the item as t needs.
+   which it holds the anchor word.
 2. SimHash. Each distinct window and each item gets a 64-bit SimHash of its shingles.
-3. Multi-index Hamming. The 64 bits are cut into radius + 1 blocks; two fingerprints within the
-   radius agree in one block at least, so joins on (item key, block, value) find all of them. The
-   key is that of the item whose anchors placed the window, so a window meets the items it may hold
-   and no others, however many items there are.
+3. Multi-index Hamming. The 64 bits are cut into BLOCKS blocks. Two fingerprints within the radius
+   differ in at most radius // BLOCKS bits of one block at least, so an item is filed under all values
+   that near of each of its blocks, and a window asks with its own: joins on (item key, block, value)
+   find every pair within the radius. The key is that of the item whose anchors placed the window, so
+   a window meets the items it may hold and no others, however many items there are. Only
+   fingerprints travel; texts are fetched for the windows that are within the radius.
 4. Exact weighted-shingle similarity decides.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +33,8 @@ WIDTH = 5
 SIMILARITY = 0.8
 #: Sets of similarity 0.8 differ by 10 bits on average, with a deviation of 2.9.
 RADIUS = 20
+#: Blocks of about nine bits, of which a pair within the radius differs in two at most in one of them.
+BLOCKS = 7
 #: Anchor words are broadcast up to this many rows (some 100 bytes each), else Spark joins by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -46,21 +52,27 @@ def shingles_of(words: Column, width: int = WIDTH) -> Column:
     return F.when(n == 0, F.array().cast("array<string>")).otherwise(joined)
 
 
-def simhash_of(shingles: Column) -> Column:
-    hashes = F.transform(shingles, lambda s: F.xxhash64(s))
-    ones = F.transform(
-        F.sequence(F.lit(0), F.lit(63)),
-        lambda b: F.size(F.filter(hashes, lambda h: F.expr("1L").bitwiseAND(F.call_function("shiftright", h, b)) == 1)) * 2 > F.size(hashes),
-    )
-    return F.aggregate(ones, F.lit(0).cast("long"), lambda acc, one: F.shiftleft(acc, 1).bitwiseOR(one.cast("long")))
+def simhashes(df: DataFrame, keys: list[str], shingles: Column) -> DataFrame:
+    """(*keys, fp): a bit of fp is 1 if it is set in over half of the hashes of the keys' shingles.
+
+    Each of 32 sums counts two bits side by side, in generated code. Rows without shingles give none.
+    """
+    hashes = df.select(*keys, F.explode(shingles).alias("_s")).select(*keys, F.xxhash64("_s").alias("_h"))
+    sums = [F.sum(F.shiftrightunsigned("_h", j).bitwiseAND(F.lit(1 << 32 | 1))).alias(f"_c{j}") for j in range(32)]
+    fp = F.lit(0).cast("long")
+    for b in range(64):
+        ones = F.shiftrightunsigned(f"_c{b % 32}", b - b % 32).bitwiseAND(F.lit((1 << 32) - 1))
+        fp = fp.bitwiseOR(F.when(ones * 2 > F.col("_n"), F.lit((1 << b) - (1 << 64 if b == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long")))
+    return hashes.groupBy(*keys).agg(F.count("*").alias("_n"), *sums).select(*keys, fp.alias("fp"))
 
 
 def weighted_jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as bags: the sum of the smaller counts by the sum of the larger counts."""
     count = lambda xs, s: F.size(F.filter(xs, lambda x: x == s))
-    shared = F.aggregate(
-        F.array_intersect(a, b), F.lit(0), lambda acc, s: acc + F.least(count(a, s), count(b, s))
-    )
+    both = F.array_intersect(a, b)
+    # Where one side repeats nothing, each shared shingle counts once.
+    once = (F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b))
+    shared = F.when(once, F.size(both)).otherwise(F.aggregate(both, F.lit(0), lambda acc, s: acc + F.least(count(a, s), count(b, s))))
     return shared / (F.size(a) + F.size(b) - shared)
 
 
@@ -121,37 +133,27 @@ def _hits(said: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def _windows(docs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
-    """(doc_id, text_hash, start, key, w, win): item-sized windows, cut at the document's end.
+    """(doc_id, text_hash, start, key, w, win): all item-sized windows with an anchor, cut at the document's end.
 
-    Of bags of n and m shingles with similarity t, t (n + m) / (1 + t) are shared. A window in which fewer
-    positions hold a shingle of the item is left out, which loses none.
+    Bags of n and m shingles reach the similarity m / n at most, so windows cut shorter than that are left out.
     """
     said = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
-    items = items.select("words", "w", "shingles", "key").dropDuplicates(["words"])
-    hits = _hits(said, _anchors(items, similarity))
+    hits = _hits(said, _anchors(items.select("words", "w", "key").dropDuplicates(["words"]), similarity))
     # The words that windows with the hit can hold: w - 1 on either side of it.
     first = F.greatest(F.col("p") - F.col("w") + 1, F.lit(0))
     near = hits.select("doc_id", "text_hash", "key", "w", "p", first.alias("first"), F.slice("words", first + 1, F.col("p") + F.col("w") - first).alias("near"))
-    near = near.join(items.select("key", "shingles"), "key").select("*", F.least("w", F.lit(WIDTH)).alias("width"), F.size("near").alias("size"))
-    of_item = F.filter(
-        F.sequence(F.lit(0), F.col("size") - 1),
-        lambda i: (i + F.col("width") <= F.col("size")) & F.array_contains(F.col("shingles"), F.concat_ws(" ", F.slice("near", i + 1, F.col("width")))),
-    )
-    enough = lambda n, m: (n + m) * similarity / (1 + similarity) - 1e-9
-    n = F.size("shingles")
-    near = near.select("*", of_item.alias("found")).where(F.size("found") >= enough(n, n * similarity))
     placed = near.select("*", F.explode(F.sequence(F.lit(0), F.col("p") - F.col("first"))).alias("o"))
-    m = F.least("w", F.col("size") - F.col("o")) - F.col("width") + 1
-    shared = F.size(F.filter("found", lambda i: (i >= F.col("o")) & (i < F.col("o") + m)))
-    placed = placed.where((m > 0) & (shared >= enough(n, m)))
+    width = F.least("w", F.lit(WIDTH))
+    n, m = F.col("w") - width + 1, F.least("w", F.size("near") - F.col("o")) - width + 1
+    placed = placed.where((m > 0) & (m >= n * similarity - 1e-9))
     return placed.select(
         "doc_id", "text_hash", (F.col("first") + F.col("o")).alias("start"), "key", "w", F.concat_ws(" ", F.slice("near", F.col("o") + 1, F.col("w"))).alias("win")
     ).distinct()
 
 
-def _cuts(radius: int) -> list[tuple[int, int]]:
-    """First bit and end of each of radius + 1 blocks of 64 bits."""
-    edges = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
+def _cuts(blocks: int) -> list[tuple[int, int]]:
+    """First bit and end of each of the blocks of 64 bits."""
+    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
     return list(zip(edges, edges[1:]))
 
 
@@ -159,9 +161,26 @@ def _bits(x: Column, lo: int, hi: int) -> Column:
     return F.shiftrightunsigned(x, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1))
 
 
-def _blocks(prints: DataFrame, radius: int) -> DataFrame:
-    """One row for each block of the fingerprint."""
-    return prints.select("*", F.posexplode(F.array(*[_bits(F.col("fp"), *cut) for cut in _cuts(radius)])).alias("block", "value"))
+def _blocks(prints: DataFrame, blocks: int, flips: int = 0) -> DataFrame:
+    """One row for each block of the fingerprint ``fp`` and each value that differs from it in ``flips`` bits at most."""
+    near = prints.select("*", F.posexplode(F.array(*[_bits(F.col("fp"), *cut) for cut in _cuts(blocks)])).alias("block", "own"))
+    size = max(hi - lo for lo, hi in _cuts(blocks))
+    masks = [sum(1 << i for i in bits) for k in range(flips + 1) for bits in combinations(range(size), k)]
+    return near.select("*", F.explode(F.array(*[F.col("own").bitwiseXOR(F.lit(mask)) for mask in masks])).alias("value")).drop("own")
+
+
+def within_radius(windows: DataFrame, items: DataFrame, radius: int, blocks: int = BLOCKS) -> DataFrame:
+    """(key, w, fp, item_fp): the pairs of fingerprints of one key and length that differ in ``radius`` bits at most.
+
+    Both sides have key, w and fp. None is lost: of radius differing bits one block holds radius // blocks at most.
+    """
+    blocks = min(blocks, radius + 1)
+    asked = _blocks(windows.select("key", "w", "fp").distinct(), blocks)
+    filed = _blocks(items.select("key", "w", "fp").distinct(), blocks, radius // blocks).withColumnRenamed("fp", "item_fp")
+    apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
+    # A pair that is near in several blocks counts at the first of them.
+    first = F.coalesce(*[F.when(F.bit_count(_bits(apart, *cut)) <= radius // blocks, i) for i, cut in enumerate(_cuts(blocks))])
+    return asked.join(filed, ["key", "w", "block", "value"]).where((F.bit_count(apart) <= radius) & (F.col("block") == first)).select("key", "w", "fp", "item_fp")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -174,21 +193,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     """
     items = checkpoint(_items(benchmark))
     windows = checkpoint(_windows(docs, items, similarity))
-    said = windows.select("key", "w", "win").distinct().select("key", "w", "win", shingles_of(F.split("win", " ")).alias("said"))
-    # Fingerprints are stored, else each block and filter below would work them out anew.
-    left = _blocks(checkpoint(said.select("*", simhash_of(F.col("said")).alias("fp"))), radius)
-    right = _blocks(checkpoint(items.select("item_id", "key", "w", "shingles", simhash_of(F.col("shingles")).alias("fp"))), radius)
-    pairs = (
-        left.withColumnRenamed("fp", "win_fp")
-        .join(right, ["key", "w", "block", "value"])
-        .where(F.bit_count(F.col("win_fp").bitwiseXOR(F.col("fp"))) <= radius)
-    )
-    # A pair that agrees in several blocks is scored at the first of them.
-    apart = F.col("win_fp").bitwiseXOR(F.col("fp"))
-    agree = [F.when(_bits(apart, *cut) == 0, i) for i, cut in enumerate(_cuts(radius))]
-    pairs = pairs.where(F.col("block") == F.coalesce(*agree))
+    # Fingerprints are stored, else each use below would work them out anew. So many partitions are not merged into few,
+    # as the work on a window is much for its bytes.
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = windows.select("key", "w", "win").repartition(partitions, "win").distinct()
+    prints = checkpoint(simhashes(texts.withColumn("words", F.split("win", " ")), ["key", "w", "win"], shingles_of(F.col("words"))))
+    sides = checkpoint(simhashes(items, ["item_id", "key", "w", "shingles"], F.col("shingles")))
+    pairs = prints.join(within_radius(prints, sides, radius), ["key", "w", "fp"])
+    pairs = pairs.join(sides.withColumnRenamed("fp", "item_fp"), ["key", "w", "item_fp"])
+    said = pairs.withColumn("words", F.split("win", " ")).withColumn("said", shingles_of(F.col("words")))
     scored = checkpoint(
-        pairs.select("key", "w", "win", "item_id", weighted_jaccard(F.col("said"), F.col("shingles")).alias("similarity"))
+        said.select("key", "w", "win", "item_id", weighted_jaccard(F.col("said"), F.col("shingles")).alias("similarity"))
         .where(F.col("similarity") >= similarity - 1e-12)
     )
     return (

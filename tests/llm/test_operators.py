@@ -1,6 +1,7 @@
 """Operators against brute force, round trips and edge cases on small frames."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -230,6 +231,39 @@ def test_decontamination_recall_near_the_bar(spark):
     assert len(want) > 200 and len(want & found) >= 0.99 * len(want)
 
 
+def test_hamming_blocks_find_every_pair_within_the_radius(spark):
+    """Against all pairs of a key, with pairs planted at each distance around the radius."""
+    r = random.Random(12)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    items = [(k, 30, r.getrandbits(64)) for k in (1, 1, 2, 3)]
+    asked = [(k, w, fp ^ sum(1 << b for b in r.sample(range(64), d))) for k, w, fp in items for d in [*range(15, 26), 0] for _ in range(25)]
+    asked += [(k, 30, r.getrandbits(64)) for k in (1, 2, 3, 4) for _ in range(200)]
+    frame = lambda rows: spark.createDataFrame([(k, w, signed(fp)) for k, w, fp in rows], "key long, w int, fp long")
+    for radius, blocks in ((20, 7), (20, 21), (3, 7), (0, 7)):
+        got = [tuple(x) for x in decontaminate.within_radius(frame(asked), frame(items), radius, blocks).collect()]
+        want = {(k, w, signed(a), signed(b)) for k, w, a in asked for j, v, b in items if (j, v) == (k, w) and (a ^ b).bit_count() <= radius}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_simhash_and_the_exact_step_both_decide(spark):
+    """Windows beside the item fall to their fingerprints, changed copies within the radius to the exact comparison."""
+    item = said(81, 60)
+    changed = item.split()
+    changed[20] = changed[40] = "other"
+    docs = spark.createDataFrame([(1, said(82, 80) + " " + item + " " + said(83, 80)), (2, said(84, 80) + " " + " ".join(changed)), (3, said(85, 200))], "doc_id long, text string")
+    items = decontaminate._items(spark.createDataFrame([(1, item)], "item_id long, text string"))
+    windows = decontaminate._windows(docs, items, 0.8).select("key", "w", "win").distinct().withColumn("words", F.split("win", " "))
+    prints = [(x["fp"], x["win"].split()) for x in decontaminate.simhashes(windows, ["win"], decontaminate.shingles_of(F.col("words"))).collect()]
+    own = decontaminate.simhashes(items, ["key"], F.col("shingles")).first()
+    slow = lambda hs: sum((2 * sum(h >> b & 1 for h in hs) > len(hs)) << b for b in range(64))
+    hashes = items.select(F.transform("shingles", lambda x: F.xxhash64(x)).alias("h")).first()["h"]
+    assert own["fp"] & (1 << 64) - 1 == slow(hashes)
+    near = [words for fp, words in prints if ((fp ^ own["fp"]) & (1 << 64) - 1).bit_count() <= decontaminate.RADIUS]
+    alike = [words for words in near if slow_jaccard(shingles(words), shingles(item.split())) >= 0.8]
+    assert len(prints) > len(near) > len(alike) > 0
+    assert {r["doc_id"] for r in decontaminate.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()} >= {1}
+
+
 def test_filter_stages_keep_clashing_columns(spark):
     rows = [(i, said(100 + i, 40), 1, 2, 3, 4, 5, 6, 7, 8) for i in range(30)]
     names = ["score", "_score", "score_", "_leak_id", "_leak_hash", "_row", "fp", "id"]
