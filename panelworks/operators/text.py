@@ -26,6 +26,8 @@ CERTAINTY = [
 DISCLAIMER = ["recommendation", "not a decision", "for review", "model estimate", "requires review", "not established causes", "advisory"]
 # Dashes and blanks that stand for ASCII ones.
 DASHES, BLANKS = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212", "\u00a0\u202f\u2009"
+# White space between a number and its sign or percent sign; DuckDB's \\s, which has no vertical tab.
+_SPACE = r"\t\n\f\r "
 #: Stands for a minus sign while numbers are looked for; no text keeps it.
 _MINUS = "\ue000"
 RELATIVE, ABSOLUTE = 0.02, 1e-6
@@ -43,13 +45,13 @@ def extract_numbers(text: Column) -> Column:
     A hyphen is a sign at the beginning and after white space, an opening bracket, colon, comma or equals sign; after
     a letter or digit it parts words.
     """
-    signed = F.regexp_replace(normalise_text(text), r"(^|[\s(\[{:,=])-\s*(\$?\d)", f"$1{_MINUS}$2")
-    found = F.regexp_extract_all(signed, F.lit(rf"({_MINUS}?\$?\d[\d,]*\.?\d*\s*%?)"), F.lit(1))
+    signed = F.regexp_replace(normalise_text(text), rf"(^|[{_SPACE}(\[{{:,=])-[{_SPACE}]*(\$?\d)", f"$1{_MINUS}$2")
+    found = F.regexp_extract_all(signed, F.lit(rf"({_MINUS}?\$?\d[\d,]*\.?\d*[{_SPACE}]*%?)"), F.lit(1))
 
     def one(x: Column) -> Column:
-        value = F.regexp_replace(x, rf"[,$%\s{_MINUS}]", "").try_cast("double")
+        value = F.regexp_replace(x, rf"[,$%{_SPACE}{_MINUS}]", "").try_cast("double")
         minus = F.startswith(x, F.lit(_MINUS))
-        return F.struct(F.translate(F.rtrim(x), _MINUS, "-").alias("raw"), F.when(minus, -value).otherwise(value).alias("value"), F.contains(x, F.lit("%")).alias("is_percent"))
+        return F.struct(F.translate(F.regexp_replace(x, rf"[{_SPACE}]+$", ""), _MINUS, "-").alias("raw"), F.when(minus, -value).otherwise(value).alias("value"), F.contains(x, F.lit("%")).alias("is_percent"))
 
     return F.filter(F.transform(found, one), lambda n: n["value"].isNotNull())
 
