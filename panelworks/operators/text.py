@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelworks.functions.columns import lookup
+from panelworks.operators import postings
 from panelworks.schema import EXCEPTION_LABELS, RULE_LABELS
 from panelworks.session import checkpoint
 
@@ -31,6 +32,8 @@ _SPACE = r"\t\n\f\r "
 #: Stands for a minus sign while numbers are looked for; no text keeps it.
 _MINUS = "\ue000"
 RELATIVE, ABSOLUTE = 0.02, 1e-6
+#: Rows up to which the smaller side of a join is broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def normalise_text(text: Column) -> Column:
@@ -195,12 +198,23 @@ def review_context(df: DataFrame, p: str, flags: list[str], n_risky: int = 10, n
     return both.select("row_id", "queue", F.to_json(context).alias("context"))
 
 
-def _terms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term): unigrams and bigrams of lower-case ASCII words of two characters or more."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"([a-z0-9]{2,})"), F.lit(1))
-    held = df.select(key, words.alias("w"))
-    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    return held.select(key, F.explode(F.concat("w", pairs)).alias("term"))
+def _bags(df: DataFrame, key: str) -> DataFrame:
+    """(key, h): sorted 64-bit hashes of unigrams and bigrams of lower-case ASCII words of two characters or more.
+
+    A key has one row as a rule; those of several are put together.
+    """
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([a-z0-9]{2,})"), F.lit(1))
+    hashed = df.select(key, words.alias("w")).select(key, F.transform("w", lambda w: F.xxhash64(w)).alias("u"))
+    pairs = F.transform(F.slice("u", F.lit(2), F.greatest(F.size("u") - 1, F.lit(0))), lambda x, i: F.xxhash64(F.get("u", i), x))
+    rows = hashed.select(key, F.sort_array(F.concat("u", pairs)).alias("h"))
+    if df.groupBy(key).count().where("count > 1").isEmpty():
+        return rows
+    return rows.groupBy(key).agg(F.sort_array(F.flatten(F.collect_list("h"))).alias("h"))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Marked for broadcast, if its rows were counted and are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _tokens(text: Column) -> Column:
@@ -210,37 +224,57 @@ def _tokens(text: Column) -> Column:
 def tfidf_search(docs: DataFrame, questions: DataFrame, least: float = 0.12, top: int = 3, name: str | None = None) -> DataFrame:
     """(item_id, doc_id, score, rank): passages of the highest cosine for each question.
 
-    Sublinear tf, smooth idf over ``docs``, unit vectors. Terms are counted once as 64-bit hashes; only terms that a
-    question has are joined, the commonest of them only for passages that others bring up, and norms take all terms of a passage. With ``name``, a column of ``docs``, a passage that has
-    one is found only by a question that says a word of it; it is looked for among the 5 * top (10 at least) of the
-    highest cosine.
+    Sublinear tf, smooth idf over ``docs``, unit vectors; norms take all terms of a passage. With ``name``, a column of
+    ``docs``, a passage that has one is found only by a question that says a word of it; it is looked for among the
+    5 * top (10 at least) of the highest cosine.
+
+    Terms are 64-bit hashes, and texts are read again for each pass: only terms that questions have leave their task.
+    Document frequencies of all others are bounded by a sketch, so each cosine lies between two bounds; passages that
+    these leave to the first places get exact weights. Questions of the same terms are looked up once.
     """
-    hashed = lambda df, key: _terms(df, key, "text").groupBy(key, F.xxhash64("term").alias("term")).agg(F.count("*").cast("int").alias("c"))
-    tf = checkpoint(hashed(docs, "doc_id"))
-    n = docs.agg(F.count("*").alias("n_docs"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(n)).select("term", (F.ln((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    d = tf.join(idf, "term").select("doc_id", "term", ((1 + F.ln("c")) * F.col("idf")).alias("w"))
-    q_tf = checkpoint(hashed(questions, "item_id"))
+    bags, n = _bags(docs, "doc_id"), docs.count()
+    wanted = max(5 * top, 10) if name else top
+    sure = 1 - 1e-9
+    asked = checkpoint(_bags(questions, "item_id").withColumn("asked_id", F.min("item_id").over(W.partitionBy("h"))))
+    q_tf = asked.where("item_id = asked_id").select("asked_id", F.explode("h").alias("term")).groupBy("asked_id", "term").agg(F.count("*").alias("c"))
+    buckets = postings.sketch(bags)
+    idf = lambda df: (F.ln(F.lit(1 + n) / (1 + df)) + 1)
+    q_tf = checkpoint(q_tf)
+    known = checkpoint(postings.document_frequencies(bags, q_tf))
+    q = q_tf.join(known, "term").select("asked_id", "term", "df", idf(F.col("df")).alias("idf"), ((1 + F.ln("c")) * idf(F.col("df"))).alias("qw"))
+    # What a term adds to a cosine is at most its weight in the question times its highest in any passage, both of unit
+    # length. The commonest terms that together stay below half of ``least`` make no candidate.
+    tops = postings.shares(bags, "doc_id", known, buckets, n).groupBy("term").agg(F.max(F.col("tf") / F.col("low")).alias("_top"))
+    q = q.join(tops, "term").withColumn("qn", F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(W.partitionBy("asked_id"))))
+    w = W.partitionBy("asked_id").orderBy(F.desc("df"), "term")
+    by_length = F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(w)) / F.col("qn")
+    by_terms = F.sum(F.col("qw") / F.col("qn") * F.least(F.col("_top") * F.col("idf"), F.lit(1.0))).over(w)
+    q = q.withColumn("_upto", F.least(by_length, by_terms)).withColumn("only", F.col("_upto") < F.lit(least / 2))
+    q = checkpoint(q.withColumn("light", F.max(F.when(F.col("only"), F.col("_upto")).otherwise(0.0)).over(W.partitionBy("asked_id"))))
+    makes = q.where("NOT only").select("asked_id", "term", "light", (F.col("idf") * F.col("qw") / F.col("qn")).alias("_w"))
+    found = postings.shares(bags, "doc_id", makes, buckets, n).join(_small(makes), "term").groupBy("asked_id", "doc_id").agg(
+        F.sum(F.col("tf") * F.col("_w")).alias("dot"), F.max("low").alias("low"), F.max("high").alias("high"), F.max("light").alias("light")
+    )
+    bounds = found.select("asked_id", "doc_id", (F.col("dot") / F.col("high")).alias("at_least"), (F.col("dot") / F.col("low") + F.col("light")).alias("at_most"))
+    bounds = checkpoint(bounds.where(F.col("at_most") >= F.lit(least * sure)))
+    # No passage whose cosine must lie below that of ``wanted`` others is looked at further.
+    best = bounds.withColumn("_r", F.row_number().over(W.partitionBy("asked_id").orderBy(F.desc("at_least"), "doc_id"))).where(F.col("_r") <= wanted)
+    bar = best.where(F.col("_r") == wanted).select("asked_id", (F.col("at_least") * sure).alias("_bar"))
+    near = checkpoint(bounds.join(bar, "asked_id", "left").where(F.col("_bar").isNull() | (F.col("at_most") >= F.col("_bar"))).select("asked_id", "doc_id"))
+    held = bags.join(_small(near.select("doc_id").distinct()), "doc_id", "left_semi")
+    # The outer form: for the plain one Spark would work out the hashes once more, to test whether there are any.
+    tf = checkpoint(held.select("doc_id", F.explode_outer("h").alias("term")).where("term IS NOT NULL").groupBy("doc_id", "term").agg(F.count("*").alias("c")))
+    weights = tf.join(postings.document_frequencies(bags, tf), "term").select("doc_id", "term", ((1 + F.ln("c")) * idf(F.col("df"))).alias("w"))
+    d = checkpoint(weights)
     dn = d.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
-    q = checkpoint(q_tf.join(df.select("term", "df"), "term").join(idf, "term").select("item_id", "term", "df", ((1 + F.ln("c")) * F.col("idf")).alias("qw")))
-    qn = q.groupBy("item_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    # A passage of unit length gains no more from some terms than these terms' share of the question's length. So the
-    # commonest terms that together stay below ``least`` make no candidate, they only complete those that others make.
-    so_far = F.sum(F.col("qw") * F.col("qw")).over(W.partitionBy("item_id").orderBy(F.desc("df"), "term"))
-    q = checkpoint(q.join(qn, "item_id").withColumn("only", F.sqrt(so_far) < F.lit(least * (1 - 1e-9)) * F.col("qn")).select("item_id", "term", "qw", "only"))
-    part = lambda only: q.where(F.col("only") == only).select("item_id", "term", "qw")
-    sums = lambda rows: rows.groupBy("doc_id", "item_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    found = checkpoint(sums(d.join(part(False), "term")))
-    rest = sums(found.select("doc_id", "item_id").join(part(True), "item_id").join(d, ["doc_id", "term"]))
-    asked = found.unionByName(rest).groupBy("doc_id", "item_id").agg(F.sum("dot").alias("dot"))
-    scored = asked.join(dn, "doc_id").join(qn, "item_id").select("item_id", "doc_id", (F.col("dot") / (F.col("dn") * F.col("qn"))).alias("score")).where(F.col("score") >= least)
-    order = W.partitionBy("item_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
+    dots = near.join(q.select("asked_id", "term", "qw", "qn"), "asked_id").join(d, ["doc_id", "term"]).groupBy("asked_id", "doc_id").agg((F.sum(F.col("w") * F.col("qw")) / F.max("qn")).alias("dot"))
+    scored = dots.join(dn, "doc_id").select("asked_id", "doc_id", (F.col("dot") / F.col("dn")).alias("score")).where(F.col("score") >= least)
+    first = lambda of: F.row_number().over(W.partitionBy(of).orderBy(F.desc(F.round("score", 9)), "doc_id"))
+    scored = scored.withColumn("_r", first("asked_id")).where(F.col("_r") <= wanted).join(asked.select("asked_id", "item_id"), "asked_id").select("item_id", "doc_id", "score")
     if name:
-        scored = scored.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max(5 * top, 10)).drop("_r")
         scored = scored.join(docs.select("doc_id", _tokens(F.col(name)).alias("_name")), "doc_id").join(questions.select("item_id", _tokens(F.regexp_replace("text", "[^A-Za-z0-9_]+", " ")).alias("_asked")), "item_id")
         scored = scored.where((F.size("_name") == 0) | F.arrays_overlap("_name", "_asked")).drop("_name", "_asked")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return scored.withColumn("rank", first("item_id")).where(F.col("rank") <= top)
 
 
 NOT_COVERED = "The provided documentation does not cover this."
