@@ -27,7 +27,7 @@ CERTAINTY = [
 DISCLAIMER = ["recommendation", "not a decision", "for review", "model estimate", "requires review", "not established causes", "advisory"]
 # Dashes and blanks that stand for ASCII ones.
 DASHES, BLANKS = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212", "\u00a0\u202f\u2009"
-# White space between a number and its sign or percent sign; DuckDB's \\s, which has no vertical tab.
+# White space between a number and its sign or percent sign; DuckDB's \s, which has no vertical tab.
 _SPACE = r"\t\n\f\r "
 #: Stands for a minus sign while numbers are looked for; no text keeps it.
 _MINUS = "\ue000"
