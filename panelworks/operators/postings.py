@@ -80,3 +80,63 @@ def shares(df: DataFrame, key: str, terms: DataFrame, buckets: np.ndarray, n: in
             yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(r)), pa.array(term[at]), pa.array(tf[at]), pa.array(low[r]), pa.array(high[r])], [key, "term", "tf", "low", "high"])
 
     return df.select(key, "h").mapInArrow(weigh, f"{key} {df.schema[key].dataType.simpleString()}, term long, tf double, low double, high double")
+
+
+#: Postings that a slice of a batch is met with at once; bounds what a task holds.
+SLICE = 2**21
+
+
+def bounds(df: DataFrame, key: str, makes: DataFrame, buckets: np.ndarray, n: int, least: float) -> DataFrame:
+    """(asked_id, key, at_least, at_most) where the cosine of a row and a question may reach ``least``.
+
+    ``makes`` (asked_id, term, light, _w) comes whole to every task, so its rows must be counted and few. A row's terms are in
+    one place, so its sums are done there and only pairs that may reach ``least`` leave the task. ``df`` and ``buckets`` as in
+    :func:`shares`.
+    """
+    sc = df.sparkSession.sparkContext
+    rows = makes.select("asked_id", "term", "light", "_w").toArrow()
+    asked, at = np.unique(rows.column("asked_id").to_numpy(), return_inverse=True)
+    light = np.zeros(len(asked))
+    light[at] = rows.column("light").to_numpy()
+    terms = rows.column("term").to_numpy()
+    order = np.argsort(terms, kind="stable")
+    terms, starts = np.unique(terms[order], return_index=True)
+    smallest = np.log((1 + n) / (1 + np.minimum(buckets, n))) + 1
+    most = np.log((1 + n) / 2) + 1
+    slots = np.zeros(SLOTS, bool)
+    slots[terms & (SLOTS - 1)] = True
+    held = sc.broadcast((slots, smallest, asked, light, terms, np.r_[starts, len(order)], at[order].astype(np.int64), rows.column("_w").to_numpy()[order]))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots, smallest, asked, light, terms, starts, who, weight = held.value
+        for batch in batches:
+            row, term, c = _bags(batch)
+            tf = 1 + np.log(c)
+            total = lambda x: np.sqrt(np.bincount(row, x * x, batch.num_rows))
+            low, high = total(tf * smallest[term & (BUCKETS - 1)]), total(tf * most)
+            some = np.flatnonzero(slots[term & (SLOTS - 1)])
+            place = np.searchsorted(terms, term[some])
+            right = place < len(terms)
+            right[right] = terms[place[right]] == term[some][right]
+            some, place = some[right], place[right]
+            row, tf, first, many = row[some], tf[some], starts[place], starts[place + 1] - starts[place]
+            # Slices end where a row does, so that no pair is in two of them.
+            ends = np.flatnonzero(np.r_[row[1:] != row[:-1], True][: len(row)]) + 1
+            upto, lo = np.cumsum(many), 0
+            while lo < len(row):
+                before = upto[lo - 1] if lo else 0
+                fits = ends[(ends > lo) & (upto[ends - 1] - before <= SLICE)]
+                hi = fits[-1] if len(fits) else ends[ends > lo][0]
+                m = many[lo:hi]
+                posting = np.repeat(first[lo:hi] - np.r_[0, np.cumsum(m)[:-1]], m) + np.arange(m.sum())
+                pair, inverse = np.unique(np.repeat(row[lo:hi], m) * len(asked) + who[posting], return_inverse=True)
+                dot = np.bincount(inverse, np.repeat(tf[lo:hi], m) * weight[posting], len(pair))
+                r, q = pair // len(asked), pair % len(asked)
+                above = dot / low[r] + light[q]
+                kept = np.flatnonzero(above >= least)
+                r, q = r[kept], q[kept]
+                yield pa.RecordBatch.from_arrays([pa.array(asked[q]), batch.column(key).take(pa.array(r)), pa.array(dot[kept] / high[r]), pa.array(above[kept])], ["asked_id", key, "at_least", "at_most"])
+                lo = hi
+
+    kind = lambda frame, c: frame.schema[c].dataType.simpleString()
+    return df.select(key, "h").mapInArrow(meet, f"asked_id {kind(makes, 'asked_id')}, {key} {kind(df, key)}, at_least double, at_most double")

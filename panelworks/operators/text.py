@@ -252,11 +252,16 @@ def tfidf_search(docs: DataFrame, questions: DataFrame, least: float = 0.12, top
     q = q.withColumn("_upto", F.least(by_length, by_terms)).withColumn("only", F.col("_upto") < F.lit(least / 2))
     q = checkpoint(q.withColumn("light", F.max(F.when(F.col("only"), F.col("_upto")).otherwise(0.0)).over(W.partitionBy("asked_id"))))
     makes = q.where("NOT only").select("asked_id", "term", "light", (F.col("idf") * F.col("qw") / F.col("qn")).alias("_w"))
-    found = postings.shares(bags, "doc_id", makes, buckets, n).join(_small(makes), "term").groupBy("asked_id", "doc_id").agg(
-        F.sum(F.col("tf") * F.col("_w")).alias("dot"), F.max("low").alias("low"), F.max("high").alias("high"), F.max("light").alias("light")
-    )
-    bounds = found.select("asked_id", "doc_id", (F.col("dot") / F.col("high")).alias("at_least"), (F.col("dot") / F.col("low") + F.col("light")).alias("at_most"))
-    bounds = checkpoint(bounds.where(F.col("at_most") >= F.lit(least * sure)))
+    makes = checkpoint(makes)
+    if makes.count() <= BROADCAST_ROWS:
+        bounds = postings.bounds(bags, "doc_id", makes, buckets, n, least * sure)
+    else:
+        found = postings.shares(bags, "doc_id", makes, buckets, n).join(makes, "term").groupBy("asked_id", "doc_id").agg(
+            F.sum(F.col("tf") * F.col("_w")).alias("dot"), F.max("low").alias("low"), F.max("high").alias("high"), F.max("light").alias("light")
+        )
+        bounds = found.select("asked_id", "doc_id", (F.col("dot") / F.col("high")).alias("at_least"), (F.col("dot") / F.col("low") + F.col("light")).alias("at_most"))
+        bounds = bounds.where(F.col("at_most") >= F.lit(least * sure))
+    bounds = checkpoint(bounds)
     # No passage whose cosine must lie below that of ``wanted`` others is looked at further.
     best = bounds.withColumn("_r", F.row_number().over(W.partitionBy("asked_id").orderBy(F.desc("at_least"), "doc_id"))).where(F.col("_r") <= wanted)
     bar = best.where(F.col("_r") == wanted).select("asked_id", (F.col("at_least") * sure).alias("_bar"))

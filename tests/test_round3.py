@@ -66,6 +66,19 @@ def test_search_makes_no_pair_of_common_words(spark, kept):
     assert max(kept) < 6000
 
 
+@pytest.mark.parametrize("slices, most", [(2**21, 10**6), (3, 10**6), (2**21, 0)])
+def test_search_sums_pairs_where_the_text_is(spark, monkeypatch, slices, most):
+    monkeypatch.setattr(text.postings, "SLICE", slices)
+    monkeypatch.setattr(text, "BROADCAST_ROWS", most)
+    plans, write = {}, text.checkpoint
+    monkeypatch.setattr(text, "checkpoint", lambda df: (plans.setdefault(tuple(df.columns), df._jdf.queryExecution().executedPlan().toString()), write(df))[1])
+    docs = [(2 * i + j, f"{'acct' if j else 'phone'}_{i}x: {'balance of' if j else 'kept for'} nation {i % 25}") for i in range(60) for j in (0, 1)] + [(500, None), (501, "")]
+    questions = [(i, f"What does acct_{i}x mean, or phone?" if i % 2 else f"what is the balance of nation {i % 5 + 10}?") for i in range(60)] + [(90, None)]
+    assert searched(spark, docs, questions) == brute_force(docs, questions)
+    # No pair of a text and a question is shuffled, unless the questions are too many for every task.
+    assert ("Exchange" in plans["asked_id", "doc_id", "at_least", "at_most"]) == (most == 0)
+
+
 def test_numbers_end_without_white_space(spark, tmp_path):
     cases = [(i, t) for i, t in enumerate(["7.\n", "65 \t\r\n", "5\n%", "5\v%", "-\v5", "( - 5\f", "3\n\n4 "])]
     spark.createDataFrame(cases, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
