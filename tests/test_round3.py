@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from panelworks.operators import text
+from panelworks.operators import metrics, text
 from panelworks.plans import queries
 
 
@@ -111,3 +111,16 @@ def test_repeated_overrides_repeat_their_rows(spark, tmp_path):
     got = queries.QUERIES["what_if_batch"](spark, str(tmp_path))
     told = by_sql(tmp_path, "lineitem", "what_if_batch", got.columns)
     assert len(told) == 33 and sorted((tuple(r) for r in got.collect()), key=str) == told
+
+
+def planned(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_spread_of_folds_is_plain_arithmetic(spark):
+    df = metrics.temporal_spread(spark.createDataFrame([(0.1, 0.2, 0.6), (0.4, None, 0.2), (None, None, None)], "a double, b double, c double"), ["a", "b", "c"])
+    assert "lambda" not in planned(df)
+    shown = ["mean_prediction", "spread", "low", "high", "relative_spread"]
+    first, second, none = [[r[c] for c in shown] for r in df.collect()]
+    assert first == pytest.approx([0.3, math.sqrt(0.14 / 3), 0.1, 0.6, math.sqrt(0.14 / 3) / 0.3]) and second == pytest.approx([0.3, 0.1, 0.2, 0.4, 1 / 3])
+    assert none == [None] * 5
