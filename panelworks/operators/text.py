@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelworks.functions.columns import lookup
+from panelworks.functions.columns import any_of, lookup
 from panelworks.operators import postings
 from panelworks.schema import EXCEPTION_LABELS, RULE_LABELS
 from panelworks.session import checkpoint
@@ -94,11 +94,12 @@ def literal_numbers(*texts: Column) -> Column:
 
 def phrase_flags(df: DataFrame, text: str = "text") -> DataFrame:
     """has_causal, has_decision, has_certainty, has_disclaimer, is_empty and cites_number."""
-    low = F.lower(normalise_text(F.col(text)))
-    hit = lambda ps: F.exists(F.array(*[F.lit(p) for p in ps]), lambda p: F.contains(low, p))
-    return df.withColumns(
+    # A column of its own: inside a lambda the text would be normalised again for each phrase.
+    low = F.col("_low")
+    hit = lambda ps: any_of([F.contains(low, F.lit(p)) for p in ps])
+    return df.withColumn("_low", F.lower(normalise_text(F.col(text)))).withColumns(
         {"has_causal": hit(CAUSAL), "has_decision": hit(DECISION), "has_certainty": hit(CERTAINTY), "has_disclaimer": hit(DISCLAIMER), "is_empty": F.trim(low) == "", "cites_number": low.rlike("[0-9]")}
-    )
+    ).drop("_low")
 
 
 def note_checks(df: DataFrame, text: str, quantities: Column, literals: Column) -> DataFrame:

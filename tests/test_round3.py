@@ -124,3 +124,10 @@ def test_spread_of_folds_is_plain_arithmetic(spark):
     first, second, none = [[r[c] for c in shown] for r in df.collect()]
     assert first == pytest.approx([0.3, math.sqrt(0.14 / 3), 0.1, 0.6, math.sqrt(0.14 / 3) / 0.3]) and second == pytest.approx([0.3, 0.1, 0.2, 0.4, 1 / 3])
     assert none == [None] * 5
+
+
+def test_phrases_are_looked_for_in_a_text_normalised_once(spark):
+    df = text.phrase_flags(spark.createDataFrame([("It WILL default",), (None,), ("For\u00a0review 7",)], "text string"))
+    assert planned(df).count("translate(") == 1
+    names = ["has_causal", "has_decision", "has_certainty", "has_disclaimer", "is_empty", "cites_number"]
+    assert [[r[c] for c in names] for r in df.collect()] == [[False, False, True, False, False, False], [False, False, False, False, True, False], [False, False, False, True, False, True]]
