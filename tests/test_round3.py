@@ -131,3 +131,16 @@ def test_phrases_are_looked_for_in_a_text_normalised_once(spark):
     assert planned(df).count("translate(") == 1
     names = ["has_causal", "has_decision", "has_certainty", "has_disclaimer", "is_empty", "cites_number"]
     assert [[r[c] for c in names] for r in df.collect()] == [[False, False, True, False, False, False], [False, False, False, False, True, False], [False, False, False, True, False, True]]
+
+
+def test_rules_read_the_lines_once(spark):
+    ruled = queries._ruled(spark, "/root/testdata/sf0.001")
+    assert "lineitem" not in ruled._jdf.queryExecution().executedPlan().toString()
+    # Quality scores pass over the flags several times; none of them joins the feed or ranks a loan's rows again.
+    scored = queries._scored(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in scored and "SortMergeJoin" not in scored
+
+
+def test_features_are_written_once(spark):
+    df = queries._features(spark, "/root/testdata/sf0.001")
+    assert "lineitem" not in planned(df) and "written-" in df.inputFiles()[0]
