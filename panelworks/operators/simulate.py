@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from panelworks.operators.metrics import quantile_row
 from panelworks.operators.transitions import AGE_BUCKETS, _stress_kinds, scenario_matrices
@@ -234,21 +235,19 @@ class IsolationForest:
 
     def score(self, rows: DataFrame) -> DataFrame:
         """``rows`` with raw (minus the isolation score, so that lower is stranger) and anomaly_flagged."""
-        held, n = rows.sparkSession.sparkContext.broadcast(self.trees), len(self.columns)
+        held, n, wide = rows.sparkSession.sparkContext.broadcast([(size, *_flat(tree)) for size, tree in self.trees]), len(self.columns), len(rows.columns)
 
         def run(batches):
             for batch in batches:
-                x = np.column_stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(n)])
+                x = np.column_stack([batch.column(wide + i).to_numpy(zero_copy_only=False) for i in range(n)])
                 total, scale = np.zeros(len(x)), 0.0
-                for size, tree in held.value:
-                    out = np.zeros(len(x))
-                    _depth(tree, x, np.arange(len(x)), out)
-                    total += out
+                for size, *tree in held.value:
+                    total += _depths(x, *tree)
                     scale += _mean_path(size)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(-np.power(2.0, -total / max(scale, 1e-9)))], names=["row_id", "raw"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:wide], pa.array(-np.power(2.0, -total / max(scale, 1e-9)))], names=[*batch.schema.names[:wide], "raw"])
 
-        scored = rows.select("row_id", *self._filled()).mapInArrow(run, "row_id long, raw double")
-        return rows.join(scored, "row_id").withColumn("anomaly_flagged", F.col("raw") < F.lit(self.offset))
+        scored = rows.select("*", *self._filled()).mapInArrow(run, StructType([*rows.schema.fields, StructField("raw", DoubleType())]))
+        return scored.withColumn("anomaly_flagged", F.col("raw") < F.lit(self.offset))
 
 
 def fit_isolation_forest(train: DataFrame, columns: list[str], trees: int = 300, sample: int = 256, contamination: float | None = None) -> IsolationForest:
@@ -256,6 +255,7 @@ def fit_isolation_forest(train: DataFrame, columns: list[str], trees: int = 300,
     tree; scoring is a map with the trees broadcast (some 10 kB each). Nulls take the training median. Rows below the
     offset are flagged: the ``contamination`` quantile of the training rows' own scores, or half way if that is None.
     """
+    train = checkpoint(train.select("row_id", *dict.fromkeys(columns)))
     row = quantile_row(train, {c: F.col(c) for c in columns}, [0.5], "").first()
     forest = IsolationForest(columns, {c: float(row[c][0] or 0.0) if row[c] else 0.0 for c in columns}, [], None)
     names = [f"_f{i}" for i in range(len(columns))]
@@ -288,7 +288,8 @@ def fit_isolation_forest(train: DataFrame, columns: list[str], trees: int = 300,
     if contamination is None:
         forest.offset = AUTO_OFFSET
         return forest
-    edge = quantile_row(forest.score(train.select("row_id", *dict.fromkeys(columns))), {"raw": F.col("raw")}, [contamination], "").first()
+    # The scores are written once: their quantile is found in several passes.
+    edge = quantile_row(checkpoint(forest.score(train).select("raw")), {"raw": F.col("raw")}, [contamination], "").first()
     forest.offset = float(edge["raw"][0]) if edge["raw"] else None
     return forest
 
@@ -298,13 +299,34 @@ def isolation_forest(train: DataFrame, rows: DataFrame, columns: list[str], tree
     return fit_isolation_forest(train, columns, trees, sample, contamination).score(rows)
 
 
-def _depth(node: list, x: np.ndarray, at: np.ndarray, out: np.ndarray) -> None:
-    if len(node) == 1:
-        out[at] = node[0]
-    elif len(at):
-        low = x[at, node[0]] < node[1]
-        _depth(node[2], x, at[low], out)
-        _depth(node[3], x, at[~low], out)
+def _flat(tree: list) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(levels, column, cut, child, depth) of a tree's nodes; node i goes on at child[2 * i] if its value is not below the cut,
+    else at child[2 * i + 1]. A leaf goes on at itself."""
+    column, cut, child, depth, levels = [], [], [], [], 0
+
+    def add(node: list, level: int) -> int:
+        nonlocal levels
+        at, levels = len(column), max(levels, level)
+        leaf = len(node) == 1
+        column.append(0 if leaf else node[0])
+        cut.append(0.0 if leaf else node[1])
+        depth.append(node[0] if leaf else 0.0)
+        child.extend((at, at))
+        if not leaf:
+            child[2 * at + 1] = add(node[2], level + 1)
+            child[2 * at] = add(node[3], level + 1)
+        return at
+
+    add(tree, 0)
+    return levels, np.array(column, np.intp), np.array(cut), np.array(child, np.intp), np.array(depth)
+
+
+def _depths(x: np.ndarray, levels: int, column: np.ndarray, cut: np.ndarray, child: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """The depth at which each row ends; all rows go down one level at a time."""
+    at, first, flat = np.zeros(len(x), np.intp), np.arange(len(x)) * x.shape[1], np.ascontiguousarray(x).ravel()
+    for _ in range(levels):
+        at = child.take(2 * at + (flat.take(first + column.take(at)) < cut.take(at)))
+    return depth.take(at)
 
 
 def _mean_path(n: int) -> float:

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from panelworks.operators import metrics, text
+from panelworks.operators import metrics, simulate, text
 from panelworks.plans import queries
 
 
@@ -133,6 +133,21 @@ def test_phrases_are_looked_for_in_a_text_normalised_once(spark):
     assert [[r[c] for c in names] for r in df.collect()] == [[False, False, True, False, False, False], [False, False, False, False, True, False], [False, False, False, True, False, True]]
 
 
+def test_forest_scores_rows_where_they_are(spark):
+    df = spark.range(400).selectExpr("id AS row_id", "CAST(id % 37 AS DOUBLE) AS a", "CASE WHEN id % 9 > 0 THEN id * id % 101 END AS b", "'x' AS kept")
+    forest = simulate.fit_isolation_forest(df, ["a", "b"], trees=20, sample=64)
+    out = forest.score(df)
+    assert "Join" not in planned(out) and out.columns == ["row_id", "a", "b", "kept", "raw", "anomaly_flagged"]
+
+    def walk(node, x):
+        return node[0] if len(node) == 1 else walk(node[2] if x[node[0]] < node[1] else node[3], x)
+
+    scale = sum(simulate._mean_path(n) for n, _ in forest.trees)
+    for r in out.collect():
+        x = r["a"], forest.medians["b"] if r["b"] is None else r["b"]
+        assert r["raw"] == pytest.approx(-(2.0 ** (-sum(walk(t, x) for _, t in forest.trees) / scale)), rel=1e-12)
+
+
 def test_rules_read_the_lines_once(spark):
     ruled = queries._ruled(spark, "/root/testdata/sf0.001")
     assert "lineitem" not in ruled._jdf.queryExecution().executedPlan().toString()
