@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelworks.operators import metrics, simulate, text
-from panelworks.plans import queries
+from panelworks.plans import queries, testpanel
 
 
 def brute_force(docs, questions, least=0.12, top=3):
@@ -159,3 +159,11 @@ def test_rules_read_the_lines_once(spark):
 def test_features_are_written_once(spark):
     df = queries._features(spark, "/root/testdata/sf0.001")
     assert "lineitem" not in planned(df) and "written-" in df.inputFiles()[0]
+
+
+def test_panel_reads_the_lines_once(spark):
+    df = testpanel.panel(spark, "/root/testdata/sf0.001")
+    assert planned(df).count("l_suppkey") and planned(df).count("Relation") == 1
+    con, lines = duckdb.connect(), "(SELECT * FROM '/root/testdata/sf0.001/lineitem.parquet')"
+    there = con.execute(f"SELECT count(*), sum(row_id), sum(row_id * days_past_due) FROM ({testpanel.PANEL.replace('FROM lineitem)', f'FROM {lines})')})").fetchone()
+    assert df.agg(F.count("*"), F.sum("row_id"), F.sum(F.expr("row_id * days_past_due"))).first() == there
