@@ -167,3 +167,7 @@ def test_panel_reads_the_lines_once(spark):
     con, lines = duckdb.connect(), "(SELECT * FROM '/root/testdata/sf0.001/lineitem.parquet')"
     there = con.execute(f"SELECT count(*), sum(row_id), sum(row_id * days_past_due) FROM ({testpanel.PANEL.replace('FROM lineitem)', f'FROM {lines})')})").fetchone()
     assert df.agg(F.count("*"), F.sum("row_id"), F.sum(F.expr("row_id * days_past_due"))).first() == there
+
+
+def test_halves_for_a_fit_are_written_once(spark):
+    assert all("written-" in half.inputFiles()[0] for half in queries._parts(spark, "/root/testdata/sf0.001"))
