@@ -22,7 +22,7 @@ from panelworks.operators.quality import numeric_columns
 from panelworks.operators.rules import rule_covered
 from panelworks.operators.transitions import advance_covariates, fold_paths, log_loss_multiclass, one_step_scores, score_next_state, stressed
 from panelworks.schema import ABSORBING, STATES
-from panelworks.session import checkpoint
+from panelworks.session import checkpoint, written
 
 # Columns that tell the outcome, or who a row is.
 LEAKS = ["delinq_3", "delinq_6", "default_12", "prepay_12", "next_state", "exception_required", "exception_type"]
@@ -207,15 +207,18 @@ def transition_model(
     ``estimator`` makes any classifier that reads features and a label and writes a probability vector. Its places are
     the classes of that origin in the order of the states, whatever the classifier.
     """
-    models = {}
-    for state in [s for s in STATES if s not in ABSORBING]:
-        rows = frame.where(F.col("from_state") == state)
-        counts = {r["to_state"]: r["count"] for r in rows.groupBy("to_state").count().collect()}  # six at most
+    models, origins = {}, [s for s in STATES if s not in ABSORBING]
+    # Written once: each origin's fit reads its own rows several times.
+    held = written(frame.where(F.col("from_state").isin(origins)).select(*dict.fromkeys(["from_state", "to_state", *columns])))
+    moves = held.groupBy("from_state", "to_state").count().collect()  # a row for each pair of states
+    for state in origins:
+        rows = held.where(F.col("from_state") == state)
+        counts = {r["to_state"]: r["count"] for r in moves if r["from_state"] == state}
         classes = [s for s in STATES if counts.get(s, 0) >= least_class]
         if sum(counts.values()) < least_rows or len(classes) < 2:
             continue
         label = F.array_position(F.array(*[F.lit(s) for s in classes]), F.col("to_state")).cast("double") - 1
-        rows = checkpoint(rows.where(F.col("to_state").isin(classes)).withColumn("_y", label).select("_y", *columns))
+        rows = rows.where(F.col("to_state").isin(classes)).withColumn("_y", label).select("_y", *columns)
         made = estimator()
         made = made.copy({made.getParam("labelCol"): "_y", made.getParam("featuresCol"): "features"})
         models[state] = Pipeline(stages=[*preprocess(rows, columns, least=RARE_LEVEL), made]).fit(rows), classes
@@ -223,8 +226,11 @@ def transition_model(
 
 
 def score_transitions(frame: DataFrame, models: dict, columns: list[str], fallback: str = "p") -> DataFrame:
-    """``frame`` with p_model: probabilities by the origin state's model, or the empirical ones."""
-    keep = frame.columns
+    """``frame`` with p_model: probabilities by the origin state's model, or the empirical ones.
+
+    The frame is written once, as each model reads the rows of its own state.
+    """
+    keep, frame = frame.columns, written(frame)
     parts = frame.where(~F.coalesce(F.col("from_state").isin(list(models)), F.lit(False))).withColumn("p_model", F.col(fallback))
     for state, fitted in models.items():
         parts = parts.unionByName(_six(fitted, frame.where(F.col("from_state") == state), columns, "p_model").select(*keep, "p_model"))

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from panelworks.operators import metrics, simulate, text
+from panelworks.operators import metrics, models, simulate, text
 from panelworks.plans import queries, testpanel
 
 
@@ -171,3 +171,23 @@ def test_panel_reads_the_lines_once(spark):
 
 def test_halves_for_a_fit_are_written_once(spark):
     assert all("written-" in half.inputFiles()[0] for half in queries._parts(spark, "/root/testdata/sf0.001"))
+
+
+def seen(df):
+    """``df`` and an accumulator of how many of its rows were worked out."""
+    n = df.sparkSession.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            n.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(count, df.schema), n
+
+
+def test_transition_frame_is_worked_out_once(spark):
+    rows = [(i, s, t, float(i % 7), [0.25] * 4) for i in range(40) for s in ("Current", "30DPD", "60DPD") for t in ("Current", "Default")]
+    frame, n = seen(spark.createDataFrame(rows, "row_id long, from_state string, to_state string, x double, p array<double>"))
+    fitted = models.transition_model(frame, ["x"], least_rows=20)
+    assert set(fitted) == {"Current", "30DPD", "60DPD"} and n.value == len(rows)
+    assert models.score_transitions(frame, fitted, ["x"]).count() == len(rows) and n.value == 2 * len(rows)
