@@ -161,6 +161,19 @@ def _held(batch: pa.RecordBatch, classes: int, width: int, since: list[Trees]) -
     return y, bins, margin
 
 
+def _together(batches: Iterator[pa.RecordBatch], least: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about ``least`` rows, so that numpy works on more rows at a time."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= least:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _advance(since: list[Trees], classes: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,20 +189,19 @@ def _count(since: list[Trees], trees: Trees, prior: np.ndarray, level: int, clas
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, nodes = 2**level - 1, 2**level
         total = np.zeros((2, classes * nodes * width * n_bins))
-        for batch in batches:
+        for batch in _together(batches):
             y, bins, margin = _held(batch, classes, width, since)
             p = softmax(margin + prior)
             at = trees.leaves(bins) - first  # rows that stopped above are below zero
+            places = np.arange(width) * n_bins + bins  # of a node's features and bins
             for k in range(classes):
                 (in_level,) = np.nonzero(at[:, k] >= 0)
                 g = np.rint((p[in_level, k] - (y[in_level] == k)) * _UNIT)
                 h = np.rint(p[in_level, k] * (1 - p[in_level, k]) * _UNIT)
-                base = (k * nodes + at[in_level, k]) * width
-                for j in range(width):
-                    slot = (base + j) * n_bins + bins[in_level, j]
-                    lo, hi = k * nodes * width * n_bins, (k + 1) * nodes * width * n_bins
-                    total[0, lo:hi] += np.bincount(slot - lo, g, hi - lo)
-                    total[1, lo:hi] += np.bincount(slot - lo, h, hi - lo)
+                slot = (places[in_level] + (at[in_level, k] * (width * n_bins))[:, None]).ravel()
+                lo, size = k * nodes * width * n_bins, nodes * width * n_bins
+                total[0, lo : lo + size] += np.bincount(slot, np.repeat(g, width), size)
+                total[1, lo : lo + size] += np.bincount(slot, np.repeat(h, width), size)
         (some,) = np.nonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(t[some].astype(np.int64)) for t in total)], names=["slot", "g", "h"])
 

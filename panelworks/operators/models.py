@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 from pyspark.ml import Estimator, Pipeline, PipelineModel
@@ -240,17 +241,32 @@ def score_transitions(frame: DataFrame, models: dict, columns: list[str], fallba
 # Supervised targets.
 @dataclass
 class Fitted:
-    """A fitted target: the champion and its calibrator, with what was measured on the way."""
+    """A fitted target: the champion and its calibrator. Metrics, reliability and segments are worked out when they are first
+    asked for, as scoring needs none of them."""
 
     target: str
     columns: list[str]
     champion: str
     model: PipelineModel | None
     calibrator: Calibrator
-    metrics: DataFrame | None
-    reliability: DataFrame | None
-    segments: dict[str, DataFrame]
     notes: list[str]
+    measure: Callable[[], tuple[DataFrame, DataFrame | None, dict[str, DataFrame]]] | None = None
+
+    @cached_property
+    def _measured(self) -> tuple[DataFrame | None, DataFrame | None, dict[str, DataFrame]]:
+        return self.measure() if self.measure else (None, None, {})
+
+    @property
+    def metrics(self) -> DataFrame | None:
+        return self._measured[0]
+
+    @property
+    def reliability(self) -> DataFrame | None:
+        return self._measured[1]
+
+    @property
+    def segments(self) -> dict[str, DataFrame]:
+        return self._measured[2]
 
     def score(self, df: DataFrame, name: str = "p") -> DataFrame:
         """``df`` with the calibrated probability, within [0, 1]; a target without a model raises."""
@@ -268,7 +284,7 @@ def target_parts(df: DataFrame, target: str, horizon: int | None = None, test_fr
     horizon = HORIZONS.get(target, 0) if horizon is None else horizon
     usable = df.where(F.col(target).isNotNull())
     mature = mature_label_mask(usable, horizon)
-    parts = checkpoint(time_aware_split(mature, horizon, test_fraction))
+    parts = written(time_aware_split(mature, horizon, test_fraction))
     train, test = (parts.where(F.col("part") == p).drop("part") for p in ("train", "test"))
     fit, calibration = train, None
     if len(months_of(train)) >= 3:
@@ -286,36 +302,45 @@ def train_binary_target(df: DataFrame, target: str, base_columns: list[str], col
 
     The champion is measured raw and calibrated on test rows that neither saw.
     """
-    parts, notes = target_parts(df, target), []
-    fit, test = checkpoint(parts["fit"]), checkpoint(parts["test"])
+    # Only what is fitted on or measured is written.
+    segments = tuple(c for c in segments if c in df.columns)
+    told = [c for c in ("row_id", target, *segments) if c in df.columns]
+    parts, notes = target_parts(df.select(*dict.fromkeys(["reporting_month", *told, *base_columns, *columns])), target), []
+    fit, test = parts["fit"], parts["test"]
     if parts["n_immature"]:
         notes.append(f"{parts['n_immature']} rows whose window ends after the panel are left out")
     classes = lambda rows: rows.select(target).distinct().count()
     if classes(test) < 2 or classes(fit) < 2:
-        return Fitted(target, columns, "none", None, Calibrator("identity"), None, None, {}, [*notes, "no label variation; skipped"])
-    candidates, rows = {}, []
+        return Fitted(target, columns, "none", None, Calibrator("identity"), [*notes, "no label variation; skipped"])
+    candidates = {}
     for name, maker, cols in (("baseline", baseline_model, base_columns), ("boosted", boosted_model, columns)):
         model = maker(fit, target, cols) if maker is baseline_model else maker(fit, target, cols, rounds)
-        scored = checkpoint(score(model, test, cols, "_p"))
+        scored = checkpoint(score(model, test, cols, "_p").select(*told, "_p"))
         candidates[name] = model, cols, scored, pr_auc(score_table(scored, target, "_p")).first()["pr_auc"] or 0.0
-        rows.append(binary_metrics(scored, target, "_p").select(F.lit(name).alias("model"), F.lit(len(cols)).alias("n_features"), F.lit(False).alias("calibrated"), "*"))
     champion = max(candidates, key=lambda k: candidates[k][3])
     model, cols, *_ = candidates[champion]
-    calibrator, reliability, by_segment = Calibrator("identity", reason="too few rows to calibrate on"), None, {}
+    calibrator = Calibrator("identity", reason="too few rows to calibrate on")
     if parts["calibration"] is None:
         notes.append(calibrator.reason)
     else:
         calibrator = select_calibrator(score(model, parts["calibration"], cols, "_p"), target, "_p", method)
-    out = Fitted(target, cols, champion, model, calibrator, None, None, {}, notes)
-    if parts["calibration"] is not None:
-        final = checkpoint(out.score(test, "_p"))
-        rows.append(binary_metrics(final, target, "_p").select(F.lit(f"{champion} + {calibrator.method}").alias("model"), F.lit(len(cols)).alias("n_features"), F.lit(True).alias("calibrated"), "*"))
-        reliability = reliability_bins(final, target, "_p")
-        by_segment = {c: calibration_by_segment(final, target, "_p", c) for c in segments if c in final.columns}
-    metrics = rows[0]
-    for r in rows[1:]:
-        metrics = metrics.unionByName(r)
-    out.metrics, out.reliability, out.segments = metrics, reliability, by_segment
+    out = Fitted(target, cols, champion, model, calibrator, notes)
+
+    def row(rows: DataFrame, name: str, n: int, calibrated: bool) -> DataFrame:
+        return binary_metrics(rows, target, "_p").select(F.lit(name).alias("model"), F.lit(n).alias("n_features"), F.lit(calibrated).alias("calibrated"), "*")
+
+    def measure() -> tuple[DataFrame, DataFrame | None, dict[str, DataFrame]]:
+        metrics = None
+        for name, (_, cols, scored, _) in candidates.items():
+            r = row(scored, name, len(cols), False)
+            metrics = r if metrics is None else metrics.unionByName(r)
+        if parts["calibration"] is None:
+            return metrics, None, {}
+        final = checkpoint(out.score(test, "_p").select(*told, "_p"))
+        metrics = metrics.unionByName(row(final, f"{champion} + {calibrator.method}", len(out.columns), True))
+        return metrics, reliability_bins(final, target, "_p"), {c: calibration_by_segment(final, target, "_p", c) for c in segments}
+
+    out.measure = measure
     return out
 
 
@@ -384,8 +409,9 @@ def temporal_ensemble(df: DataFrame, rows: DataFrame, target: str, columns: list
     Folds without both labels are left out; fewer than two usable folds raise.
     """
     horizon, names = HORIZONS.get(target, 0), []
+    df = written(df.select(*dict.fromkeys(["reporting_month", target, *columns])))
     for f in walk_forward_folds(df, folds, horizon).collect():  # one row for each fold
-        train = checkpoint(df.where(F.col("reporting_month") <= F.lit(f["train_end"])))
+        train = df.where(F.col("reporting_month") <= F.lit(f["train_end"]))
         if train.select(target).distinct().count() == 2:
             names.append(f"_f{f['fold']}")
             rows = checkpoint(score(boosted_model(train, target, columns, rounds), rows, columns, names[-1]))
@@ -410,7 +436,7 @@ def multiclass_model(train: DataFrame, label: str, columns: list[str], classes:
     there = {r[0] for r in train.where(F.col(label).isin(classes)).select(label).distinct().collect()}  # no more than ``classes``
     known = [s for s in classes if s in there]
     y = F.array_position(F.array(*[F.lit(s) for s in known]), F.col(label)).cast("double") - 1
-    rows = checkpoint(train.where(F.col(label).isin(known)).withColumn("_y", y))
+    rows = written(train.where(F.col(label).isin(known)).select(y.alias("_y"), *columns))
     return Pipeline(stages=[*preprocess(rows, columns, scale=False), BoostedClasses(labelCol="_y", rounds=rounds)]).fit(rows), known
 
 
@@ -430,14 +456,15 @@ def next_state_hierarchical(df: DataFrame, columns: list[str], target: str = "ne
     stage is not class-weighted, as its output is multiplied and not cut.
     """
     notes = []
-    parts = checkpoint(time_aware_split(df.where(F.col(target).isNotNull() & F.col("current_status").isNotNull()), 1))
+    df = df.select(*dict.fromkeys(["reporting_month", target, "current_status", *columns]))
+    parts = written(time_aware_split(df.where(F.col(target).isNotNull() & F.col("current_status").isNotNull()), 1))
     train, test = (parts.where(F.col("part") == p).drop("part") for p in ("train", "test"))
     states = F.array(*[F.lit(s) for s in STATES])
     scored = test.withColumn("_persistence", F.transform(states, lambda s: (s == F.col("current_status")).cast("double")))
     scored = checkpoint(_six(multiclass_model(train, target, columns, rounds=rounds), scored, columns, "_flat"))
     names = {"persistence": "_persistence", "flat": "_flat"}
     changed = train.withColumn("_changed", (F.col(target) != F.col("current_status")).cast("int"))
-    moves = checkpoint(changed.where("_changed = 1"))
+    moves = changed.where("_changed = 1")
     if moves.count() >= least_changes and moves.select(target).distinct().count() >= 2:
         first = Pipeline(stages=[*preprocess(changed, columns, scale=False), GBTClassifier(labelCol="_changed", maxIter=rounds, maxDepth=4, stepSize=0.1, seed=7)]).fit(changed)
         scored = _six(multiclass_model(moves, target, columns, rounds=rounds), score(first, scored, columns, "_change"), columns, "_to")
@@ -518,10 +545,11 @@ def train_residual_models(flagged: DataFrame, columns: list[str], label: str = "
 
     The model of types knows those of enough rows, two at least, and is fitted on exceptions only.
     """
-    flagged = checkpoint(flagged)
+    flagged = written(flagged)
     gates = checkpoint(residual_gates(flagged, label, kind))
     row = gates.first()
-    parts = checkpoint(_residual_parts(flagged).withColumn(label, F.coalesce(F.col(label), F.lit(0))))
+    parts = _residual_parts(flagged).withColumn(label, F.coalesce(F.col(label), F.lit(0)))
+    parts = written(parts.select(*dict.fromkeys(["row_id", "part", label, kind, *columns])))
     train, test = (parts.where(F.col("part") == p) for p in ("train", "test"))
     required = measured = kinds = kind_metrics = None
     if row["trainable"]:

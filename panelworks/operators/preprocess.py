@@ -20,6 +20,8 @@ LEAST_LEVEL = 25
 RARE = "(rare)"
 #: A column with more levels than this, each of enough rows, is no category; fitting it raises.
 MOST_LEVELS = 5000
+#: Columns of so many levels at most get an expression for each place.
+FEW_LEVELS = 64
 
 
 class _Encoding(Params):
@@ -115,10 +117,18 @@ class PanelEncoderModel(Model, _Encoding, DefaultParamsReadable, DefaultParamsWr
             median, mean, dev = learnt["numbers"][c]
             x = F.coalesce(_number(c), F.lit(median))
             values.append((x - F.lit(mean)) / F.lit(dev) if scale else x)
-        vector = F.array(*values).cast("array<double>")
+        # Places of few levels are compared one by one in compiled code; a long list goes through an array function.
+        runs = []
         for c, at in named.items():
-            levels, own = F.array(*[F.lit(v) for v in (*learnt["levels"][c][1], RARE)]), F.col(at)
-            vector = F.concat(vector, F.transform(levels, _is(own)))
+            levels, own = (*learnt["levels"][c][1], RARE), F.col(at)
+            if len(levels) <= FEW_LEVELS:
+                values += [(own == v).cast("double") for v in levels]
+            else:
+                runs += [values, F.transform(F.array(*[F.lit(v) for v in levels]), _is(own))]
+                values = []
+        runs.append(values)
+        parts = [F.array(*r).cast("array<double>") if isinstance(r, list) else r for r in runs]
+        vector = F.concat(*parts) if len(parts) > 1 else parts[0]
         attrs = [{"idx": i, "name": name} for i, (name, _) in enumerate(self.places())]
         meta = {"ml_attr": {"attrs": {"numeric": attrs}, "num_attrs": len(attrs)}}
         return df.select(*[F.col(c) for c in kept if c != "features"], array_to_vector(vector).alias("features", metadata=meta))

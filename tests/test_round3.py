@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from panelworks.operators import metrics, models, simulate, text
+from panelworks.operators import boosting, metrics, models, preprocess, simulate, text
 from panelworks.plans import queries, testpanel
 
 
@@ -191,3 +191,51 @@ def test_transition_frame_is_worked_out_once(spark):
     fitted = models.transition_model(frame, ["x"], least_rows=20)
     assert set(fitted) == {"Current", "30DPD", "60DPD"} and n.value == len(rows)
     assert models.score_transitions(frame, fitted, ["x"]).count() == len(rows) and n.value == 2 * len(rows)
+
+
+@pytest.fixture
+def wrote(monkeypatch):
+    """Columns of every table that the models write."""
+    out, write = [], models.written
+
+    def told(df):
+        out.append(df.columns)
+        return write(df)
+
+    monkeypatch.setattr(models, "written", told)
+    return out
+
+
+def test_targets_are_fitted_on_their_columns_and_measured_when_asked(spark, monkeypatch, wrote):
+    calls, measure = [], models.binary_metrics
+    monkeypatch.setattr(models, "binary_metrics", lambda *a: calls.append(1) or measure(*a))
+    month = F.add_months(F.lit("2020-01-01").cast("date"), (F.col("id") % 24).cast("int"))
+    df = spark.range(600).select(F.col("id").alias("row_id"), month.alias("reporting_month"), (F.col("id") % 5).cast("double").alias("x"), (F.col("id") % 3 == 0).cast("int").alias("y"), F.lit("a").alias("other"))
+    fitted = models.train_binary_target(df, "y", ["x"], ["x"], rounds=1)
+    assert models.score_targets(df, [fitted], {"y": "q"}).where("q BETWEEN 0 AND 1").count() == 600
+    assert not calls and wrote and all("other" not in columns for columns in wrote)
+    assert fitted.metrics.count() == len(calls) >= 2
+
+
+def test_classes_are_fitted_on_their_columns(spark, wrote):
+    df = spark.range(60).select((F.col("id") % 5).cast("double").alias("x"), F.when(F.col("id") % 2 == 0, "Current").otherwise("Default").alias("y"), F.lit("a").alias("other"))
+    models.multiclass_model(df, "y", ["x"], rounds=1)
+    assert wrote == [["_y", "x"]]
+
+
+def test_boosting_counts_many_rows_at_a_time():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 3))], ["y"]) for i in range(0, 30, 3)]
+    out = list(boosting._together(iter(batches), 8))
+    assert [b.num_rows for b in out] == [9, 9, 9, 3] and [v for b in out for v in b.column(0).to_pylist()] == list(range(30))
+
+
+def test_long_lists_of_levels_have_the_same_places(spark, monkeypatch):
+    df = spark.createDataFrame([(float(i), f"a{i % 3}", f"b{i % 5}") for i in range(30)], "x double, a string, b string")
+    fitted = preprocess.PanelEncoder(numbers=["x"], names=["a", "b"], least=2).fit(df)
+    vectors = lambda: [r["features"].toArray().tolist() for r in fitted.transform(df).collect()]
+    short = vectors()
+    for few in (0, 4):
+        monkeypatch.setattr(preprocess, "FEW_LEVELS", few)
+        assert vectors() == short and len(short[0]) == len(fitted.places()) == 11
