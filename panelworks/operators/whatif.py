@@ -11,7 +11,7 @@ from panelworks.operators.models import Fitted, score_targets, score_transitions
 from panelworks.operators.scoring import changed_columns, what_if_deltas, what_if_frames
 from panelworks.operators.transitions import one_step_scores, score_next_state
 from panelworks.schema import ABSORBING
-from panelworks.session import checkpoint
+from panelworks.session import checkpoint, written
 
 # Columns that describe the record and not the loan, as a clean record has them.
 RECORD = {"rule_violation_count": 0, "source_conflict": 0, "source_stale": 0, "servicer_update_lag_days": 0, "data_quality_score": 100.0}
@@ -25,15 +25,18 @@ KEYS = ["scenario_id", "row_id"]
 def what_if_features(rows: DataFrame, overrides: DataFrame, features: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(before, after): the overridden rows with features, once without and once with the overrides.
 
-    A whole loan is worked out anew, as later rows follow from earlier ones. Columns of RECORD are the same on both
+    A whole loan is worked out anew, as later rows follow from earlier ones; ``features`` of a row follow from its loan
+    alone. Columns of RECORD are the same on both
     sides: overrides of them are ignored, and where ``rows`` has none they are those of a clean record.
     """
     overrides = overrides.drop(*RECORD)
     rows = rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(v))) if c in rows.columns else F.lit(float(v)) for c, v in RECORD.items()})
-    before, after = what_if_frames(rows, overrides, features)
+    rows = written(rows.join(overrides.select("loan_id").distinct(), "loan_id", "left_semi"))
+    _, after = what_if_frames(rows, overrides, features)
     asked = overrides.select("scenario_id", "loan_id", "reporting_month").distinct()
-    keep = lambda df: checkpoint(df.join(asked, ["scenario_id", "loan_id", "reporting_month"], "left_semi"))
-    return keep(before), keep(after)
+    # Without overrides a loan is the same in all of its scenarios, so it is worked out once.
+    before = features(rows).join(asked, ["loan_id", "reporting_month"])
+    return checkpoint(before.select("scenario_id", *[c for c in before.columns if c != "scenario_id"])), checkpoint(after.join(asked, ["scenario_id", "loan_id", "reporting_month"], "left_semi"))
 
 
 def what_if_scores(before: DataFrame, after: DataFrame, models: list[Fitted]) -> DataFrame:

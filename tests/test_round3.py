@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from panelworks.operators import boosting, metrics, models, preprocess, simulate, text
+from panelworks.operators import boosting, features, metrics, models, preprocess, simulate, text, whatif
 from panelworks.plans import queries, testpanel
 
 
@@ -239,3 +239,19 @@ def test_long_lists_of_levels_have_the_same_places(spark, monkeypatch):
     for few in (0, 4):
         monkeypatch.setattr(preprocess, "FEW_LEVELS", few)
         assert vectors() == short and len(short[0]) == len(fitted.places()) == 11
+
+
+def test_loans_without_overrides_are_worked_out_once(spark):
+    sizes = []
+
+    def prepare(df):
+        sizes.append(df.count())
+        return features.quality_features(df)
+
+    rows = spark.createDataFrame([(i, f"L{i % 4}", datetime.date(2020, 1 + i // 4, 1), 5.0) for i in range(12)], "row_id long, loan_id string, reporting_month date, interest_rate double")
+    asked = rows.where("row_id IN (4, 5)").crossJoin(spark.range(3).toDF("scenario_id")).select("scenario_id", "loan_id", "reporting_month", F.lit(9.0).alias("interest_rate"))
+    before, after = whatif.what_if_features(rows, asked, prepare)
+    # Two of four loans have overrides; three scenarios of each are changed.
+    assert min(sizes) == 6 and max(sizes) == 18
+    got = lambda df: sorted((r["scenario_id"], r["row_id"], r["interest_rate"]) for r in df.collect())
+    assert got(before) == [(s, i, 5.0) for s in range(3) for i in (4, 5)] and got(after) == [(s, i, 9.0) for s in range(3) for i in (4, 5)]
