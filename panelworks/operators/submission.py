@@ -21,7 +21,7 @@ from panelworks.operators import scoring as sco
 from panelworks.operators import simulate
 from panelworks.operators import transitions as tra
 from panelworks.operators.explain import attributions_of
-from panelworks.session import checkpoint
+from panelworks.session import checkpoint, written
 
 # Targets by the column of the file, those that explain a row in order of preference, the one whose spread tells confidence.
 TARGETS = {"delinq_3": "next_3m_delinquency_prob", "delinq_6": "next_6m_delinquency_prob", "default_12": "next_12m_default_prob", "prepay_12": "next_12m_prepayment_prob"}
@@ -64,7 +64,8 @@ class Recipe:
 
 def panel_features(df: DataFrame, feed: DataFrame) -> DataFrame:
     """A panel with the second source's conflicts, rule flags and scores, record quality and all features."""
-    flagged = rul.rule_scores(rul.evaluate_rules(rec.reconcile(df, feed)))
+    # Written, as the quality of a record is judged by quantiles of the whole panel.
+    flagged = written(rul.rule_scores(rul.evaluate_rules(rec.reconcile(df, feed))))
     return feat.engineer_features(qual.record_quality(flagged))[0]
 
 
@@ -84,7 +85,7 @@ def score_panel(spark: SparkSession, train: DataFrame, score: DataFrame, feed: D
         return panel_features(both, feed)
 
     frame = stages.table("frame", everything)
-    told = frame.where("origin = 'train'").join(train.select("row_id", *labels), "row_id")
+    told = stages.table("told", lambda: frame.where("origin = 'train'").join(train.select("row_id", *labels), "row_id"))
     new = frame.where("origin = 'score'")
     columns = [c for c in recipe.columns if c in frame.columns]
     base = [c for c in recipe.base_columns if c in frame.columns]
@@ -94,7 +95,7 @@ def score_panel(spark: SparkSession, train: DataFrame, score: DataFrame, feed: D
 
     def target(name: str) -> mod.Fitted:
         if name not in fitted:
-            fitted[name] = mod.train_binary_target(checkpoint(told.select(*dict.fromkeys(["row_id", "loan_id", "reporting_month", name, *base, *columns]))), name, base, columns, recipe.rounds, (), recipe.method)
+            fitted[name] = mod.train_binary_target(told.select(*dict.fromkeys(["row_id", "loan_id", "reporting_month", name, *base, *columns])), name, base, columns, recipe.rounds, (), recipe.method)
         return fitted[name]
 
     def probabilities() -> DataFrame:
@@ -102,11 +103,11 @@ def score_panel(spark: SparkSession, train: DataFrame, score: DataFrame, feed: D
         return out.select("row_id", *[F.col(c) if c in out.columns else F.lit(None).cast("double").alias(c) for c in TARGETS.values()])
 
     def next_state() -> DataFrame:
-        moves = checkpoint(tra.transition_frame(told.drop("next_state")))
-        names = [c for c in TRANSITION_COLUMNS if c in moves.columns]
+        names = [c for c in TRANSITION_COLUMNS if c in told.columns]
+        moves = written(tra.transition_frame(told.drop("next_state")).select(*dict.fromkeys(["from_state", "to_state", "loan_age_months", *names])))
         cells = checkpoint(tra.empirical_matrix(moves))
         models = mod.transition_model(moves, names)
-        at = tra.one_step_scores(new.withColumn("from_state", F.col("current_status")), cells)
+        at = tra.one_step_scores(new.select(*dict.fromkeys(["row_id", "current_status", "loan_age_months", *names])).withColumn("from_state", F.col("current_status")), cells)
         scored = tra.score_next_state(mod.score_transitions(at, models, names), "p_model")
         return scored.select("row_id", F.coalesce("next_state_pred", "current_status").alias("next_state_pred"), F.coalesce("next_state_confidence", F.lit(0.0)).alias("next_state_confidence"))
 

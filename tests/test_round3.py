@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from panelworks.operators import boosting, features, metrics, models, preprocess, simulate, text, whatif
+from panelworks.operators import boosting, features, metrics, models, preprocess, simulate, submission, text, whatif
 from panelworks.plans import queries, testpanel
 
 
@@ -255,3 +255,13 @@ def test_loans_without_overrides_are_worked_out_once(spark):
     assert min(sizes) == 6 and max(sizes) == 18
     got = lambda df: sorted((r["scenario_id"], r["row_id"], r["interest_rate"]) for r in df.collect())
     assert got(before) == [(s, i, 5.0) for s in range(3) for i in (4, 5)] and got(after) == [(s, i, 9.0) for s in range(3) for i in (4, 5)]
+
+
+def test_flags_of_the_scoring_file_are_written_once(spark, monkeypatch):
+    out = []
+    monkeypatch.setattr(submission, "written", lambda df: out.append(df.columns) or df)
+    monkeypatch.setattr(submission.qual, "record_quality", lambda df: df)
+    monkeypatch.setattr(submission.feat, "engineer_features", lambda df: (df, []))
+    panel = testpanel.panel(spark, "/root/testdata/sf0.001").limit(20)
+    submission.panel_features(panel, testpanel.feed(panel))
+    assert len(out) == 1 and "rule_severity_score" in out[0]
