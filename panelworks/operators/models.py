@@ -513,14 +513,41 @@ def residual_gates(flagged: DataFrame, label: str = "exception_required", kind:
 
 @dataclass
 class ResidualModels:
-    """What is learnt of rows that no rule covers; a model whose gates are not met is None."""
+    """What is learnt of rows that no rule covers; a model whose gates are not met is None. Each is fitted when it is first asked for."""
 
     gates: DataFrame
     columns: list[str]
-    required: PipelineModel | None
-    required_metrics: DataFrame | None
-    kinds: tuple[PipelineModel, list[str]] | None
-    kind_metrics: DataFrame | None
+    parts: DataFrame
+    trainable: bool
+    known: list[str]
+    label: str
+    kind: str
+    rounds: int
+
+    def _part(self, name: str) -> DataFrame:
+        return self.parts.where(F.col("part") == name)
+
+    @cached_property
+    def required(self) -> PipelineModel | None:
+        return boosted_model(self._part("train"), self.label, self.columns, self.rounds) if self.trainable else None
+
+    @cached_property
+    def required_metrics(self) -> DataFrame | None:
+        return binary_metrics(checkpoint(score(self.required, self._part("test"), self.columns, "_p")), self.label, "_p") if self.trainable else None
+
+    @cached_property
+    def kinds(self) -> tuple[PipelineModel, list[str]] | None:
+        of_kind = F.col(self.kind).isin(self.known)
+        if len(self.known) < 2 or self._part("test").where(of_kind).select(self.kind).distinct().count() < 2:
+            return None
+        return multiclass_model(self._part("train").where(of_kind), self.kind, self.columns, self.known, self.rounds)
+
+    @cached_property
+    def kind_metrics(self) -> DataFrame | None:
+        if not self.kinds:
+            return None
+        scored = self.kinds[0].transform(self._part("test").where(F.col(self.kind).isin(self.known))).withColumn("_kind", best_of("probability", self.kinds[1]))
+        return classification_report(checkpoint(scored.select(self.kind, "_kind")), self.kind, "_kind")
 
     def score(self, flagged: DataFrame) -> DataFrame:
         """``flagged`` with residual_prob and residual_type, null where a rule covers the row or there is no model."""
@@ -550,17 +577,8 @@ def train_residual_models(flagged: DataFrame, columns: list[str], label: str = "
     row = gates.first()
     parts = _residual_parts(flagged).withColumn(label, F.coalesce(F.col(label), F.lit(0)))
     parts = written(parts.select(*dict.fromkeys(["row_id", "part", label, kind, *columns])))
-    train, test = (parts.where(F.col("part") == p) for p in ("train", "test"))
-    required = measured = kinds = kind_metrics = None
-    if row["trainable"]:
-        required = boosted_model(train, label, columns, rounds)
-        measured = binary_metrics(checkpoint(score(required, test, columns, "_p")), label, "_p")
     known = [t for t in row["learnable_types"].split(",") if t]
-    if len(known) >= 2 and test.where(F.col(kind).isin(known)).select(kind).distinct().count() >= 2:
-        kinds = multiclass_model(train.where(F.col(kind).isin(known)), kind, columns, known, rounds)
-        scored = kinds[0].transform(test.where(F.col(kind).isin(known))).withColumn("_kind", best_of("probability", kinds[1]))
-        kind_metrics = classification_report(checkpoint(scored.select(kind, "_kind")), kind, "_kind")
-    return ResidualModels(gates, columns, required, measured, kinds, kind_metrics)
+    return ResidualModels(gates, columns, parts, row["trainable"], known, label, kind, rounds)
 
 
 def residual_exception_model(flagged: DataFrame, columns: list[str], label: str = "exception_required", rounds: int = 20) -> tuple[DataFrame, DataFrame]:

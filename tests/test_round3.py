@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from panelworks.operators import boosting, features, metrics, models, preprocess, simulate, submission, text, whatif
+from panelworks.operators import boosting, features, metrics, models, preprocess, rules, simulate, submission, text, whatif
 from panelworks.plans import queries, testpanel
 
 
@@ -265,3 +265,18 @@ def test_flags_of_the_scoring_file_are_written_once(spark, monkeypatch):
     panel = testpanel.panel(spark, "/root/testdata/sf0.001").limit(20)
     submission.panel_features(panel, testpanel.feed(panel))
     assert len(out) == 1 and "rule_severity_score" in out[0]
+
+
+def test_types_are_told_apart_without_the_other_model(spark, monkeypatch):
+    months = F.add_months(F.lit("2020-01-01").cast("date"), (F.floor(F.col("row_id") / 4) % 12).cast("int"))
+    kind = F.when(F.col("row_id") % 4 == 0, "late").when(F.col("row_id") % 4 == 1, "doc").otherwise("none")
+    df = spark.range(480).toDF("row_id").withColumns({"exception_type": kind, "x": F.col("row_id") % 4 + F.rand(3), "reporting_month": months, "anomaly_score": F.lit(0.1)})
+    df = df.withColumn("exception_required", (F.col("exception_type") != "none").cast("int")).withColumns({name: F.lit(name == "date_order_valid") & (F.col("row_id") % 60 == 0) for name in rules.REGISTRY})
+    fits, fit = [], models.boosted_model
+    monkeypatch.setattr(models, "boosted_model", lambda *a: (fits.append(a[1]), fit(*a))[1])
+    found = models.train_residual_models(df, ["x"], rounds=2)
+    assert found.gates.first()["trainable"] and found.kind_metrics.first()["macro_f1"] > 0.9
+    # The types' metrics take no model of whether a row is an exception; it is there when asked for, once.
+    assert fits == []
+    assert found.required is found.required and found.required_metrics.count() and fits == ["exception_required"]
+    assert found.score(df).where("residual_prob IS NULL").count() == 8
