@@ -6,8 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
+from panelworks.session import checkpoint
+
 #: Buckets of the sketch of document frequencies, and of the filter of terms that are asked for; both bound what is broadcast.
 BUCKETS, SLOTS = 2**20, 2**23
 
@@ -21,53 +24,73 @@ def _bags(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row[first], term[first], np.diff(np.r_[first, len(term)])
 
 
-def _slots(terms: DataFrame) -> np.ndarray:
+def slots(terms: DataFrame) -> Broadcast:
     """A filter that lets every one of ``terms`` pass, and few others."""
     held = np.zeros(SLOTS, bool)
-    slots = terms.selectExpr(f"CAST(term & {SLOTS - 1} AS INT) AS s").distinct().toArrow().column("s").to_numpy()
-    held[slots] = True
-    return held
+    at = terms.selectExpr(f"CAST(term & {SLOTS - 1} AS INT) AS s").distinct().toArrow().column("s").to_numpy()
+    held[at] = True
+    return terms.sparkSession.sparkContext.broadcast(held)
 
 
-def sketch(df: DataFrame) -> np.ndarray:
-    """For each bucket of terms how many (row, term) it has: no less than the rows that have any one of its terms."""
+def sketch(df: DataFrame, held: Broadcast) -> tuple[DataFrame, np.ndarray, int]:
+    """In one pass: (term, df) as :func:`document_frequencies`; for each bucket of terms how many (row, term) it has, which is no less than the
+    rows that have any one of its terms; and the number of rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(BUCKETS, np.int64)
+        n, rows = np.zeros(BUCKETS, np.int64), 0
+        out = lambda kind, at, n: pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at), pa.array(n)], ["kind", "at", "n"])
         for batch in batches:
-            n += np.bincount(_bags(batch)[1] & (BUCKETS - 1), minlength=BUCKETS)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["b", "n"])
+            term = _bags(batch)[1]
+            n += np.bincount(term & (BUCKETS - 1), minlength=BUCKETS)
+            rows += batch.num_rows
+            yield out(0, *_asked(term, held))
+        some = np.flatnonzero(n)
+        yield out(1, some, n[some])
+        yield out(2, np.zeros(1, np.int64), np.full(1, rows))
+
+    counted = checkpoint(df.select("h").mapInArrow(count, "kind int, at long, n long").groupBy("kind", "at").agg({"n": "sum"}).toDF("kind", "at", "n"))
+    rest = counted.where("kind > 0").toArrow()
+    kind, at, n = (rest.column(c).to_numpy() for c in ("kind", "at", "n"))
+    buckets = np.zeros(BUCKETS, np.int64)
+    buckets[at[kind == 1]] = n[kind == 1]
+    return counted.where("kind = 0").selectExpr("at AS term", "n AS df"), buckets, int(n[kind == 2].sum())
+
 
-    rows = df.select("h").mapInArrow(count, "b int, n long").groupBy("b").agg({"n": "sum"}).toArrow()
-    out = np.zeros(BUCKETS, np.int64)
-    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
-    return out
+def _asked(term: np.ndarray, held: Broadcast) -> tuple[np.ndarray, np.ndarray]:
+    """Terms that ``held`` lets pass, and how many rows of a batch have them."""
+    return np.unique(term[held.value[term & (SLOTS - 1)]], return_counts=True)
 
 
-def document_frequencies(df: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, df): in how many rows each of ``terms`` is, exactly; a term in no row is left out."""
-    held = df.sparkSession.sparkContext.broadcast(_slots(terms))
+def document_frequencies(df: DataFrame, held: Broadcast) -> DataFrame:
+    """(term, df): in how many rows each term of :func:`slots` is, exactly, and few others; a term in no row is left out."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            term = _bags(batch)[1]
-            found, n = np.unique(term[held.value[term & (SLOTS - 1)]], return_counts=True)
+            found, n = _asked(_bags(batch)[1], held)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["term", "n"])
 
-    counted = df.select("h").mapInArrow(count, "term long, n long").groupBy("term").agg({"n": "sum"}).toDF("term", "df")
-    return counted.join(terms.select("term").distinct(), "term", "left_semi")
+    return df.select("h").mapInArrow(count, "term long, n long").groupBy("term").agg({"n": "sum"}).toDF("term", "df")
 
 
-def shares(df: DataFrame, key: str, terms: DataFrame, buckets: np.ndarray, n: int) -> DataFrame:
-    """(key, term, tf, low, high) for ``terms`` and few others: sublinear tf, and the row's length between two bounds.
+def counts(df: DataFrame, key: str) -> DataFrame:
+    """(key, term, c): how often each term is in a row."""
 
-    ``buckets`` is :func:`sketch`; as it never counts too few rows, weights by it are never too high.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, term, c = _bags(batch)
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(row)), pa.array(term), pa.array(c)], [key, "term", "c"])
+
+    return df.select(key, "h").mapInArrow(count, f"{key} {df.schema[key].dataType.simpleString()}, term long, c long")
+
+
+def shares(df: DataFrame, key: str, held: Broadcast, buckets: np.ndarray, n: int) -> DataFrame:
+    """(key, term, tf, low, high) for the terms of :func:`slots` and few others: sublinear tf, and the row's length between two bounds.
+
+    ``buckets`` is of :func:`sketch`; as it never counts too few rows, weights by it are never too high.
     """
-    sc = df.sparkSession.sparkContext
     least = np.log((1 + n) / (1 + np.minimum(buckets, n))) + 1
     most = np.log((1 + n) / 2) + 1
-    held, least = sc.broadcast(_slots(terms)), sc.broadcast(least)
+    least = df.sparkSession.sparkContext.broadcast(least)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

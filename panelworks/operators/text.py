@@ -154,18 +154,21 @@ def corpus_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", long
     A row of a table is a passage ``first cell: second cell`` whose name is the first cell; headings of columns and
     rules are left out. A section is the last heading above, or null. Lines are numbered from 0; null texts have none.
     """
-    lines = docs.select(key, F.posexplode(F.split(F.col(text), "\r\n|\n|\r")).alias("line", "_l")).withColumn("_l", F.trim("_l")).where("_l <> ''")
+    # Texts are dealt by key, not their lines: the window needs no other shuffle, and a file of few blocks is split by many tasks.
+    # Their number is fixed, as lines are many times the compressed texts by whose size Spark would put tasks together.
+    dealt = docs.select(key, text).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    lines = dealt.select(key, F.posexplode(F.split(F.col(text), "\r\n|\n|\r")).alias("line", "_l")).withColumn("_l", F.trim("_l")).where("_l <> ''")
+    # What a line is gets decided below the window: a condition above a projection would work out its columns once more for each mention.
     heading = F.startswith("_l", F.lit("#"))
-    title = F.trim(F.regexp_replace("_l", "^#+", ""))
-    rows = lines.withColumn("section", F.last(F.when(heading, title), ignorenulls=True).over(W.partitionBy(key).orderBy("line"))).where(~heading)
-    cells = F.transform(F.split(F.regexp_replace("_l", r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(c))
     is_table = F.startswith("_l", F.lit("|")) & (F.length("_l") - F.length(F.replace("_l", F.lit("|"), F.lit(""))) >= 3)
-    rows = rows.withColumns({"_cells": cells, "_table": is_table})
-    first, second = F.get("_cells", 0), F.get("_cells", 1)
-    row = F.col("_table") & second.isNotNull() & ~first.rlike("^[-: ]*$") & ~F.lower(first).isin("field", "column", "name")
-    prose = ~F.col("_table") & (F.length("_l") > long_line) & ~F.startswith("_l", F.lit(">"))
-    return rows.where(row | prose).select(
-        key, "line", "section", F.when(row, "field").otherwise("prose").alias("kind"), F.when(row, first).alias("name"), F.when(row, F.concat(first, F.lit(": "), second)).otherwise(F.col("_l")).alias("passage")
+    prose = ~F.startswith("_l", F.lit(">")) & (F.length("_l") > long_line)
+    kinds = lines.select(key, "line", "_l", F.when(heading, F.trim(F.ltrim("_l", F.lit("#")))).alias("_title"), F.when(is_table, F.btrim("_l", F.lit("|"))).alias("_inner"), prose.alias("_prose"))
+    cell = lambda i: F.trim(F.substring_index(F.substring_index("_inner", "|", i), "|", -1))
+    cells = kinds.select(key, "line", "_l", "_title", F.col("_inner").isNotNull().alias("_table"), "_prose", cell(1).alias("_first"), F.when(F.contains("_inner", F.lit("|")), cell(2)).alias("_second"))
+    rows = cells.withColumn("section", F.last("_title", ignorenulls=True).over(W.partitionBy(key).orderBy("line"))).where("_title IS NULL")
+    row = F.col("_second").isNotNull() & (F.translate("_first", "-: ", "") != "") & ~F.lower("_first").isin("field", "column", "name")
+    return rows.where(row | (~F.col("_table") & F.col("_prose"))).select(
+        key, "line", "section", F.when(row, "field").otherwise("prose").alias("kind"), F.when(row, F.col("_first")).alias("name"), F.when(row, F.concat("_first", F.lit(": "), "_second")).otherwise(F.col("_l")).alias("passage")
     )
 
 
@@ -199,18 +202,18 @@ def review_context(df: DataFrame, p: str, flags: list[str], n_risky: int = 10, n
     return both.select("row_id", "queue", F.to_json(context).alias("context"))
 
 
-def _bags(df: DataFrame, key: str) -> DataFrame:
+def _bags(df: DataFrame, key: str) -> tuple[DataFrame, bool]:
     """(key, h): sorted 64-bit hashes of unigrams and bigrams of lower-case ASCII words of two characters or more.
 
-    A key has one row as a rule; those of several are put together.
+    A key has one row as a rule; those of several are put together, and the second result is false.
     """
     words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([a-z0-9]{2,})"), F.lit(1))
     hashed = df.select(key, words.alias("w")).select(key, F.transform("w", lambda w: F.xxhash64(w)).alias("u"))
     pairs = F.transform(F.slice("u", F.lit(2), F.greatest(F.size("u") - 1, F.lit(0))), lambda x, i: F.xxhash64(F.get("u", i), x))
     rows = hashed.select(key, F.sort_array(F.concat("u", pairs)).alias("h"))
     if df.groupBy(key).count().where("count > 1").isEmpty():
-        return rows
-    return rows.groupBy(key).agg(F.sort_array(F.flatten(F.collect_list("h"))).alias("h"))
+        return rows, True
+    return rows.groupBy(key).agg(F.sort_array(F.flatten(F.collect_list("h"))).alias("h")), False
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -233,19 +236,20 @@ def tfidf_search(docs: DataFrame, questions: DataFrame, least: float = 0.12, top
     Document frequencies of all others are bounded by a sketch, so each cosine lies between two bounds; passages that
     these leave to the first places get exact weights. Questions of the same terms are looked up once.
     """
-    bags, n = _bags(docs, "doc_id"), docs.count()
+    bags, whole = _bags(docs, "doc_id")
     wanted = max(5 * top, 10) if name else top
     sure = 1 - 1e-9
-    asked = checkpoint(_bags(questions, "item_id").withColumn("asked_id", F.min("item_id").over(W.partitionBy("h"))))
+    asked = checkpoint(_bags(questions, "item_id")[0].withColumn("asked_id", F.min("item_id").over(W.partitionBy("h"))))
     q_tf = asked.where("item_id = asked_id").select("asked_id", F.explode("h").alias("term")).groupBy("asked_id", "term").agg(F.count("*").alias("c"))
-    buckets = postings.sketch(bags)
-    idf = lambda df: (F.ln(F.lit(1 + n) / (1 + df)) + 1)
     q_tf = checkpoint(q_tf)
-    known = checkpoint(postings.document_frequencies(bags, q_tf))
+    slots = postings.slots(q_tf)
+    known, buckets, n = postings.sketch(bags, slots)
+    n = n if whole else docs.count()
+    idf = lambda df: (F.ln(F.lit(1 + n) / (1 + df)) + 1)
     q = q_tf.join(known, "term").select("asked_id", "term", "df", idf(F.col("df")).alias("idf"), ((1 + F.ln("c")) * idf(F.col("df"))).alias("qw"))
     # What a term adds to a cosine is at most its weight in the question times its highest in any passage, both of unit
     # length. The commonest terms that together stay below half of ``least`` make no candidate.
-    tops = postings.shares(bags, "doc_id", known, buckets, n).groupBy("term").agg(F.max(F.col("tf") / F.col("low")).alias("_top"))
+    tops = postings.shares(bags, "doc_id", slots, buckets, n).groupBy("term").agg(F.max(F.col("tf") / F.col("low")).alias("_top"))
     q = q.join(tops, "term").withColumn("qn", F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(W.partitionBy("asked_id"))))
     w = W.partitionBy("asked_id").orderBy(F.desc("df"), "term")
     by_length = F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(w)) / F.col("qn")
@@ -253,11 +257,10 @@ def tfidf_search(docs: DataFrame, questions: DataFrame, least: float = 0.12, top
     q = q.withColumn("_upto", F.least(by_length, by_terms)).withColumn("only", F.col("_upto") < F.lit(least / 2))
     q = checkpoint(q.withColumn("light", F.max(F.when(F.col("only"), F.col("_upto")).otherwise(0.0)).over(W.partitionBy("asked_id"))))
     makes = q.where("NOT only").select("asked_id", "term", "light", (F.col("idf") * F.col("qw") / F.col("qn")).alias("_w"))
-    makes = checkpoint(makes)
     if makes.count() <= BROADCAST_ROWS:
         bounds = postings.bounds(bags, "doc_id", makes, buckets, n, least * sure)
     else:
-        found = postings.shares(bags, "doc_id", makes, buckets, n).join(makes, "term").groupBy("asked_id", "doc_id").agg(
+        found = postings.shares(bags, "doc_id", postings.slots(makes), buckets, n).join(makes, "term").groupBy("asked_id", "doc_id").agg(
             F.sum(F.col("tf") * F.col("_w")).alias("dot"), F.max("low").alias("low"), F.max("high").alias("high"), F.max("light").alias("light")
         )
         bounds = found.select("asked_id", "doc_id", (F.col("dot") / F.col("high")).alias("at_least"), (F.col("dot") / F.col("low") + F.col("light")).alias("at_most"))
@@ -267,14 +270,13 @@ def tfidf_search(docs: DataFrame, questions: DataFrame, least: float = 0.12, top
     best = bounds.withColumn("_r", F.row_number().over(W.partitionBy("asked_id").orderBy(F.desc("at_least"), "doc_id"))).where(F.col("_r") <= wanted)
     bar = best.where(F.col("_r") == wanted).select("asked_id", (F.col("at_least") * sure).alias("_bar"))
     near = checkpoint(bounds.join(bar, "asked_id", "left").where(F.col("_bar").isNull() | (F.col("at_most") >= F.col("_bar"))).select("asked_id", "doc_id"))
-    held = bags.join(_small(near.select("doc_id").distinct()), "doc_id", "left_semi")
-    # The outer form: for the plain one Spark would work out the hashes once more, to test whether there are any.
-    tf = checkpoint(held.select("doc_id", F.explode_outer("h").alias("term")).where("term IS NOT NULL").groupBy("doc_id", "term").agg(F.count("*").alias("c")))
-    weights = tf.join(postings.document_frequencies(bags, tf), "term").select("doc_id", "term", ((1 + F.ln("c")) * idf(F.col("df"))).alias("w"))
-    d = checkpoint(weights)
-    dn = d.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
-    dots = near.join(q.select("asked_id", "term", "qw", "qn"), "asked_id").join(d, ["doc_id", "term"]).groupBy("asked_id", "doc_id").agg((F.sum(F.col("w") * F.col("qw")) / F.max("qn")).alias("dot"))
-    scored = dots.join(dn, "doc_id").select("asked_id", "doc_id", (F.col("dot") / F.col("dn")).alias("score")).where(F.col("score") >= least)
+    there = near.select("doc_id")
+    there = F.broadcast(there) if near.count() <= BROADCAST_ROWS else _small(there.distinct())
+    tf = checkpoint(postings.counts(bags.join(there, "doc_id", "left_semi"), "doc_id"))
+    weights = tf.join(postings.document_frequencies(bags, postings.slots(tf)), "term").select("doc_id", "term", ((1 + F.ln("c")) * idf(F.col("df"))).alias("w"))
+    d = checkpoint(weights.withColumn("dn", F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("doc_id")))))
+    dots = near.join(q.select("asked_id", "term", "qw", "qn"), "asked_id").join(d, ["doc_id", "term"]).groupBy("asked_id", "doc_id")
+    scored = dots.agg((F.sum(F.col("w") * F.col("qw")) / F.max("qn") / F.max("dn")).alias("score")).where(F.col("score") >= least)
     first = lambda of: F.row_number().over(W.partitionBy(of).orderBy(F.desc(F.round("score", 9)), "doc_id"))
     scored = scored.withColumn("_r", first("asked_id")).where(F.col("_r") <= wanted).join(asked.select("asked_id", "item_id"), "asked_id").select("item_id", "doc_id", "score")
     if name:

@@ -280,3 +280,33 @@ def test_types_are_told_apart_without_the_other_model(spark, monkeypatch):
     assert fits == []
     assert found.required is found.required and found.required_metrics.count() and fits == ["exception_required"]
     assert found.score(df).where("residual_prob IS NULL").count() == 8
+
+
+def test_search_takes_few_jobs(spark):
+    docs = [(2 * i + j, f"{'acct' if j else 'phone'}_{i}x: {'balance of' if j else 'kept for'} nation {i % 25}") for i in range(60) for j in (0, 1)]
+    questions = [(i, f"What does acct_{i}x mean, or phone?") for i in range(60)]
+    sc, taken = spark.sparkContext, {}
+    sc.setJobGroup("search", "jobs of a search")
+    try:
+        assert searched(spark, docs, questions) == brute_force(docs, questions)
+        taken = sc.statusTracker().getJobIdsForGroup("search")
+    finally:
+        sc.setJobGroup("", "")
+    # 62 with a pass for the sketch and one more for the document frequencies.
+    assert 0 < len(taken) < 56
+
+
+def test_passages_shuffle_texts_not_lines(spark):
+    plan = text.corpus_chunks(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate posexplode") < plan.index("Exchange")
+
+
+def test_passages_by_odd_ends_of_lines(spark):
+    """Line separators of Unicode end no line, as in the SQL."""
+    texts = ["## A ## \n| a | b | \n|| c || d ||", "|--\u0085| x | y |\n|||\n|||| z\n| only |", "|a|b||\n| - : | v |\n|  | w |\n| Name | n | m |", None, "", "#\n### \n| k | v | |\n" + "p" * 41]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {tuple(r) for r in text.corpus_chunks(docs).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    assert got == set(con.execute(queries.SQL["corpus_chunks_documents"]).fetchall())
