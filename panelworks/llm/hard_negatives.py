@@ -262,18 +262,23 @@ def hard_negatives(
     groups = max(parts, -(-blocks.count() // GROUP_BLOCKS))
     asked_blocks = max(1, -(-asked.count() // ANCHOR_ROWS))
     dealt = blocks.withColumn("group", F.pmod(F.xxhash64("keys"), F.lit(groups)).cast("int"))
+    held = checkpoint(dealt.select("group").distinct())
 
     def met(anchors: DataFrame, score, *more: str) -> DataFrame:
-        """Every anchor with every block: a block goes to one group, the few anchors to all."""
+        """Every anchor with every block: a block goes to one group, the few anchors to all groups that have a block.
+
+        Sizes of binary columns are not known before a run; the hint keeps Spark from taking the anchors of all groups for
+        a table that it may bring to the driver and broadcast.
+        """
         sent = anchors.select("anchor", "anchor_id", "label", "vector", *more).repartition(asked_blocks).mapInArrow(_together, _ASKED)
-        sent = sent.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        return sent.join(dealt, "group").drop("group").mapInArrow(score, _PAIR)
+        sent = sent.crossJoin(F.broadcast(held))
+        return sent.hint("merge").join(dealt, "group").drop("group").mapInArrow(score, _PAIR)
 
     found = met(asked.withColumn("wanted", F.array().cast("array<long>")), _own_label(positives), "wanted")
     order = Window.partitionBy("anchor").orderBy(F.desc("score"), F.asc_nulls_last("id"))
     chosen = checkpoint(found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= positives).drop("place"))
     scores = chosen.groupBy("anchor").agg(F.collect_list("score").alias("wanted"))  # ``positives`` numbers at most
-    others = met(asked.join(scores, "anchor"), _other_labels(negatives, least), "wanted")
+    others = met(asked.hint("merge").join(scores, "anchor"), _other_labels(negatives, least), "wanted")
 
     pairs = chosen.withColumn("negative", F.lit(0)).unionByName(others.withColumn("negative", F.lit(1)))
     ordered = pairs.rdd.map(_keyed).repartitionAndSortWithinPartitions(parts, _dealt_to)

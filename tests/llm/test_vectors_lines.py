@@ -171,6 +171,22 @@ def test_negatives_against_brute_force(spark, monkeypatch):
     assert Counter(map(tuple, hn.hard_negatives(frame).collect())) == want
 
 
+def test_negatives_bring_no_anchors_to_the_driver(spark, monkeypatch, tmp_path):
+    frames = type(spark.range(0))
+    plans, run = [], frames.mapInArrow
+
+    def seen(self, func, schema, *rest, **more):
+        if schema == hn._PAIR:
+            plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return run(self, func, schema, *rest, **more)
+
+    monkeypatch.setattr(frames, "mapInArrow", seen)
+    spark.createDataFrame([(*r, "x") for r in negative_rows()], VECTORS).write.parquet(f"{tmp_path}/v")
+    hn.hard_negatives(spark.read.parquet(f"{tmp_path}/v"))  # a file's size is known, and those of what follows are guessed by it
+    assert len(plans) == 2
+    assert all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans), plans
+
+
 def test_negatives_without_anchors(spark):
     assert hn.hard_negatives(spark.createDataFrame([(1, [1.0], 1, "x"), (2, [1.0], 2, "x")], VECTORS)).count() == 0
     assert hn.hard_negatives(spark.createDataFrame([], VECTORS)).count() == 0
