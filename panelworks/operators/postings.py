@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from panelworks.session import checkpoint
 
@@ -72,15 +73,16 @@ def document_frequencies(df: DataFrame, held: Broadcast) -> DataFrame:
     return df.select("h").mapInArrow(count, "term long, n long").groupBy("term").agg({"n": "sum"}).toDF("term", "df")
 
 
-def counts(df: DataFrame, key: str) -> DataFrame:
-    """(key, term, c): how often each term is in a row."""
+def counts(df: DataFrame, key: str, held: Broadcast) -> DataFrame:
+    """(key, term, c): how often each term is in a row, for the rows whose key's hash passes ``held``, a filter of :func:`slots`."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(held.value[batch.column("_k").to_numpy() & (SLOTS - 1)]))
             row, term, c = _bags(batch)
             yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(row)), pa.array(term), pa.array(c)], [key, "term", "c"])
 
-    return df.select(key, "h").mapInArrow(count, f"{key} {df.schema[key].dataType.simpleString()}, term long, c long")
+    return df.select(key, "h", F.xxhash64(key).alias("_k")).mapInArrow(count, f"{key} {df.schema[key].dataType.simpleString()}, term long, c long")
 
 
 def shares(df: DataFrame, key: str, held: Broadcast, buckets: np.ndarray, n: int) -> DataFrame:

@@ -32,7 +32,7 @@ _SPACE = r"\t\n\f\r "
 #: Stands for a minus sign while numbers are looked for; no text keeps it.
 _MINUS = "\ue000"
 RELATIVE, ABSOLUTE = 0.02, 1e-6
-#: Rows up to which the smaller side of a join is broadcast.
+#: Question terms up to which every task gets all of them.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -216,9 +216,10 @@ def _bags(df: DataFrame, key: str) -> tuple[DataFrame, bool]:
     return rows.groupBy(key).agg(F.sort_array(F.flatten(F.collect_list("h"))).alias("h")), False
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast, if its rows were counted and are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _met(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join that shuffles both sides: sizes behind checkpoints and Python steps are guesses, by which Spark would bring a
+    table of any size to the driver to broadcast it."""
+    return left.hint("merge").join(right, on, how)
 
 
 def _tokens(text: Column) -> Column:
@@ -246,11 +247,11 @@ def tfidf_search(docs: DataFrame, questions: DataFrame, least: float = 0.12, top
     known, buckets, n = postings.sketch(bags, slots)
     n = n if whole else docs.count()
     idf = lambda df: (F.ln(F.lit(1 + n) / (1 + df)) + 1)
-    q = q_tf.join(known, "term").select("asked_id", "term", "df", idf(F.col("df")).alias("idf"), ((1 + F.ln("c")) * idf(F.col("df"))).alias("qw"))
+    q = _met(q_tf, known, "term").select("asked_id", "term", "df", idf(F.col("df")).alias("idf"), ((1 + F.ln("c")) * idf(F.col("df"))).alias("qw"))
     # What a term adds to a cosine is at most its weight in the question times its highest in any passage, both of unit
     # length. The commonest terms that together stay below half of ``least`` make no candidate.
     tops = postings.shares(bags, "doc_id", slots, buckets, n).groupBy("term").agg(F.max(F.col("tf") / F.col("low")).alias("_top"))
-    q = q.join(tops, "term").withColumn("qn", F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(W.partitionBy("asked_id"))))
+    q = _met(q, tops, "term").withColumn("qn", F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(W.partitionBy("asked_id"))))
     w = W.partitionBy("asked_id").orderBy(F.desc("df"), "term")
     by_length = F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(w)) / F.col("qn")
     by_terms = F.sum(F.col("qw") / F.col("qn") * F.least(F.col("_top") * F.col("idf"), F.lit(1.0))).over(w)
@@ -260,7 +261,7 @@ def tfidf_search(docs: DataFrame, questions: DataFrame, least: float = 0.12, top
     if makes.count() <= BROADCAST_ROWS:
         bounds = postings.bounds(bags, "doc_id", makes, buckets, n, least * sure)
     else:
-        found = postings.shares(bags, "doc_id", postings.slots(makes), buckets, n).join(makes, "term").groupBy("asked_id", "doc_id").agg(
+        found = _met(postings.shares(bags, "doc_id", postings.slots(makes.select("term")), buckets, n), makes, "term").groupBy("asked_id", "doc_id").agg(
             F.sum(F.col("tf") * F.col("_w")).alias("dot"), F.max("low").alias("low"), F.max("high").alias("high"), F.max("light").alias("light")
         )
         bounds = found.select("asked_id", "doc_id", (F.col("dot") / F.col("high")).alias("at_least"), (F.col("dot") / F.col("low") + F.col("light")).alias("at_most"))
@@ -269,18 +270,20 @@ def tfidf_search(docs: DataFrame, questions: DataFrame, least: float = 0.12, top
     # No passage whose cosine must lie below that of ``wanted`` others is looked at further.
     best = bounds.withColumn("_r", F.row_number().over(W.partitionBy("asked_id").orderBy(F.desc("at_least"), "doc_id"))).where(F.col("_r") <= wanted)
     bar = best.where(F.col("_r") == wanted).select("asked_id", (F.col("at_least") * sure).alias("_bar"))
-    near = checkpoint(bounds.join(bar, "asked_id", "left").where(F.col("_bar").isNull() | (F.col("at_most") >= F.col("_bar"))).select("asked_id", "doc_id"))
-    there = near.select("doc_id")
-    there = F.broadcast(there) if near.count() <= BROADCAST_ROWS else _small(there.distinct())
-    tf = checkpoint(postings.counts(bags.join(there, "doc_id", "left_semi"), "doc_id"))
-    weights = tf.join(postings.document_frequencies(bags, postings.slots(tf)), "term").select("doc_id", "term", ((1 + F.ln("c")) * idf(F.col("df"))).alias("w"))
+    near = checkpoint(_met(bounds, bar, "asked_id", "left").where(F.col("_bar").isNull() | (F.col("at_most") >= F.col("_bar"))).select("asked_id", "doc_id"))
+    # A filter of fixed size lets these passages pass, and few others, which no pair asks for.
+    looked = postings.slots(near.select(F.xxhash64("doc_id").alias("term")))
+    tf = checkpoint(postings.counts(bags, "doc_id", looked))
+    weights = _met(tf, postings.document_frequencies(bags, postings.slots(tf)), "term").select("doc_id", "term", ((1 + F.ln("c")) * idf(F.col("df"))).alias("w"))
     d = checkpoint(weights.withColumn("dn", F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("doc_id")))))
-    dots = near.join(q.select("asked_id", "term", "qw", "qn"), "asked_id").join(d, ["doc_id", "term"]).groupBy("asked_id", "doc_id")
+    dots = _met(_met(near, q.select("asked_id", "term", "qw", "qn"), "asked_id"), d, ["doc_id", "term"]).groupBy("asked_id", "doc_id")
     scored = dots.agg((F.sum(F.col("w") * F.col("qw")) / F.max("qn") / F.max("dn")).alias("score")).where(F.col("score") >= least)
     first = lambda of: F.row_number().over(W.partitionBy(of).orderBy(F.desc(F.round("score", 9)), "doc_id"))
-    scored = scored.withColumn("_r", first("asked_id")).where(F.col("_r") <= wanted).join(asked.select("asked_id", "item_id"), "asked_id").select("item_id", "doc_id", "score")
+    scored = scored.withColumn("_r", first("asked_id")).where(F.col("_r") <= wanted)
+    scored = _met(scored, asked.select("asked_id", "item_id"), "asked_id").select("item_id", "doc_id", "score")
     if name:
-        scored = scored.join(docs.select("doc_id", _tokens(F.col(name)).alias("_name")), "doc_id").join(questions.select("item_id", _tokens(F.regexp_replace("text", "[^A-Za-z0-9_]+", " ")).alias("_asked")), "item_id")
+        scored = _met(scored, docs.select("doc_id", _tokens(F.col(name)).alias("_name")), "doc_id")
+        scored = _met(scored, questions.select("item_id", _tokens(F.regexp_replace("text", "[^A-Za-z0-9_]+", " ")).alias("_asked")), "item_id")
         scored = scored.where((F.size("_name") == 0) | F.arrays_overlap("_name", "_asked")).drop("_name", "_asked")
     return scored.withColumn("rank", first("item_id")).where(F.col("rank") <= top)
 
@@ -294,7 +297,7 @@ def answer_lookup(questions: DataFrame, hits: DataFrame, docs: DataFrame, source
     Citations name all hits in order: ``source``, by default the doc_id.
     """
     told = docs.select("doc_id", F.col("text").alias("_text"), (source if source is not None else F.col("doc_id").cast("string")).alias("_source"))
-    rows = hits.join(told, "doc_id").groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id", "_text", "_source"))).alias("h"))
+    rows = _met(hits, told, "doc_id").groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id", "_text", "_source"))).alias("h"))
     best = rows.select("item_id", F.get("h", 0)["doc_id"].alias("doc_id"), F.get("h", 0)["_text"].alias("_answer"), F.array_join(F.transform("h", lambda x: x["_source"]), "; ").alias("_cited"))
-    out = questions.select("item_id").join(best, "item_id", "left").withColumn("covered", F.col("doc_id").isNotNull())
+    out = _met(questions.select("item_id"), best, "item_id", "left").withColumn("covered", F.col("doc_id").isNotNull())
     return out.select("item_id", "doc_id", "covered", F.when(F.col("covered"), F.col("_answer")).otherwise(NOT_COVERED).alias("answer"), F.coalesce("_cited", F.lit("")).alias("citations"))

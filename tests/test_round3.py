@@ -310,3 +310,16 @@ def test_passages_by_odd_ends_of_lines(spark):
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
     assert got == set(con.execute(queries.SQL["corpus_chunks_documents"]).fetchall())
+
+
+def test_search_broadcasts_no_table_by_a_guess(spark, monkeypatch, tmp_path):
+    plans, run = [], text.checkpoint
+    monkeypatch.setattr(text, "checkpoint", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or run(df))
+    docs = [(i, f"balance of account acct_{i} in nation {i % 7}", f"acct_{i}") for i in range(200)]
+    spark.createDataFrame(docs, "doc_id long, text string, name string").write.parquet(f"{tmp_path}/docs")
+    spark.createDataFrame([(i, f"what is acct_{i}?") for i in range(0, 200, 10)], "item_id long, text string").write.parquet(f"{tmp_path}/asked")
+    passages, asked = spark.read.parquet(f"{tmp_path}/docs"), spark.read.parquet(f"{tmp_path}/asked")
+    out = text.answer_lookup(asked, text.tfidf_search(passages, asked, name="name"), passages)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and not [p for p in plans if "BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p]
+    assert {r["item_id"]: r["doc_id"] for r in out.collect()} == {i: i for i in range(0, 200, 10)}
