@@ -12,6 +12,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelworks.schema import FEATURE_LABELS
+
 
 def _leaves(node, path: tuple, whole: float) -> list[tuple[float, tuple]]:
     """(value, path) of each leaf; a path has (feature, threshold or categories, goes left, share of the rows)."""
@@ -64,17 +66,28 @@ def attributions(x: np.ndarray, trees: list, weights: list[float]) -> tuple[np.n
     return values, base
 
 
+def _word(source: str) -> str:
+    """The reader's word for a column, by which equal parts are ordered."""
+    return FEATURE_LABELS.get(source, source.replace("_", " "))
+
+
 def feature_sources(model: PipelineModel) -> list[str]:
     """The source column of each place of the feature vector."""
     return [source for _, source in model.stages[0].places()]
 
 
-def tree_shap(model: PipelineModel, df: DataFrame, columns: list[str]) -> DataFrame:
-    """(row_id, source, value, base): each source column's part of a row's margin; parts and base add up to the margin."""
+def tree_shap(model: PipelineModel, df: DataFrame, columns: list[str], top: int | None = None) -> DataFrame:
+    """(row_id, source, value, base): each source column's part of a row's margin; parts and base add up to the margin.
+
+    With ``top``, only so many of a row's largest parts leave its task; of equal ones, the first by the reader's word.
+    """
     trees, weights = tree_paths(model)
     sources = feature_sources(model)
     held = df.sparkSession.sparkContext.broadcast((trees, weights, sources))
     names = sorted(set(sources))
+    words = [_word(c) for c in names]
+    place = np.argsort(np.array(sorted(range(len(names)), key=words.__getitem__)))
+    kept = len(names) if top is None else min(top, len(names))
 
     def run(batches):
         trees, weights, sources = held.value
@@ -84,18 +97,23 @@ def tree_shap(model: PipelineModel, df: DataFrame, columns: list[str]) -> DataFr
             values, base = attributions(x, trees, weights)
             summed = np.zeros((len(x), len(names)))
             np.add.at(summed, (slice(None), at), values)
-            ids = np.repeat(batch.column(0).to_numpy(), len(names))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(names * len(x), pa.string()), pa.array(summed.ravel()), pa.array(np.full(summed.size, base))], names=["row_id", "source", "value", "base"])
+            chosen = np.broadcast_to(np.arange(len(names)), summed.shape)
+            if kept < len(names):
+                chosen = np.lexsort((np.broadcast_to(place, summed.shape), -np.abs(summed)), axis=-1)[:, :kept]
+            ids, said = np.repeat(batch.column(0).to_numpy(), kept), pa.array(names, pa.string()).take(pa.array(chosen.ravel()))
+            summed = np.take_along_axis(summed, chosen, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), said, pa.array(summed.ravel()), pa.array(np.full(summed.size, base))], names=["row_id", "source", "value", "base"])
 
     rows = model.transform(df).select(F.col("row_id").cast("long").alias("row_id"), vector_to_array("features").alias("x"))
     return rows.mapInArrow(run, "row_id long, source string, value double, base double")
 
 
-def linear_shap(model: PipelineModel, df: DataFrame, background: DataFrame) -> DataFrame:
+def linear_shap(model: PipelineModel, df: DataFrame, background: DataFrame, top: int | None = None) -> DataFrame:
     """(row_id, source, value, base): each source column's part of a row's log-odds under a fitted logistic regression.
 
     A place of the encoded vector adds its coefficient times its distance from the background's mean, and the places of a
-    column are added up. base is the log-odds at the means; parts and base add up to the row's log-odds.
+    column are added up. base is the log-odds at the means; parts and base add up to the row's log-odds. ``top`` as in
+    :func:`tree_shap`.
     """
     encode, fitted, sources = model.stages[0], model.stages[-1], feature_sources(model)
     coefs = [float(c) for c in fitted.coefficients]
@@ -109,10 +127,15 @@ def linear_shap(model: PipelineModel, df: DataFrame, background: DataFrame) -> D
         n = len(list(run))
         cells.append(F.struct(F.lit(source).alias("source"), F.aggregate(F.slice("_parts", at + 1, n), F.lit(0.0), lambda a, v: a + v).alias("value")))
         at += n
-    rows = encode.transform(df).select("row_id", parts.alias("_parts"))
-    return rows.select("row_id", F.explode(F.array(*cells)).alias("c")).select("row_id", "c.*", F.lit(base).alias("base"))
-
-
-def attributions_of(fitted, df: DataFrame, background: DataFrame) -> DataFrame:
-    """Attributions of a fitted target's champion, whichever kind it is."""
-    return linear_shap(fitted.model, df, background) if fitted.champion == "baseline" else tree_shap(fitted.model, df, fitted.columns)
+    rows = encode.transform(df).select("row_id", parts.alias("_parts")).select("row_id", F.array(*cells).alias("_cells"))
+    if top is not None and top < len(cells):
+        # Sorted as structs: the largest first, of equal ones the first by the reader's word.
+        words = F.array(*[F.lit(_word(source)) for source, _ in itertools.groupby(sources)])
+        ranked = F.sort_array(F.zip_with("_cells", words, lambda c, w: F.struct((-F.abs(c["value"])).alias("largest"), w.alias("word"), c.alias("cell"))))
+        rows = rows.select("row_id", F.transform(F.slice(ranked, 1, top), lambda r: r["cell"]).alias("_cells"))
+    return rows.select("row_id", F.explode("_cells").alias("c")).select("row_id", "c.*", F.lit(base).alias("base"))
+
+
+def attributions_of(fitted, df: DataFrame, background: DataFrame, top: int | None = None) -> DataFrame:
+    """Attributions of a fitted target's champion, whichever kind it is; of each row all, or the ``top`` largest."""
+    return linear_shap(fitted.model, df, background, top) if fitted.champion == "baseline" else tree_shap(fitted.model, df, fitted.columns, top)

@@ -414,8 +414,9 @@ def temporal_ensemble(df: DataFrame, rows: DataFrame, target: str, columns: list
         train = df.where(F.col("reporting_month") <= F.lit(f["train_end"]))
         if train.select(target).distinct().count() == 2:
             names.append(f"_f{f['fold']}")
-            rows = checkpoint(score(boosted_model(train, target, columns, rounds), rows, columns, names[-1]))
-    return temporal_spread(rows, names).drop(*names)
+            rows = score(boosted_model(train, target, columns, rounds), rows, columns, names[-1])
+    # All models score a row in one pass, and later steps read the scores only.
+    return temporal_spread(written(rows), names).drop(*names)
 
 
 # Next state.

@@ -3,14 +3,16 @@
 import datetime
 import math
 import re
+import threading
 from collections import Counter
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from panelworks.operators import boosting, features, metrics, models, preprocess, rules, simulate, submission, text, whatif
+from panelworks.operators import boosting, explain, features, metrics, models, preprocess, rules, scoring, simulate, submission, text, whatif
 from panelworks.plans import queries, testpanel
+from panelworks.session import checkpoint
 
 
 def brute_force(docs, questions, least=0.12, top=3):
@@ -323,3 +325,36 @@ def test_search_broadcasts_no_table_by_a_guess(spark, monkeypatch, tmp_path):
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 5 and not [p for p in plans if "BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p]
     assert {r["item_id"]: r["doc_id"] for r in out.collect()} == {i: i for i in range(0, 200, 10)}
+
+
+def test_largest_parts_leave_the_task_only(spark):
+    columns = ["months_delinquent_to_date", "interest_rate", "balance_ratio", "state", "never"]
+    df = spark.range(800).select(
+        F.col("id").alias("row_id"), (F.col("id") % 7).alias(columns[0]), (F.col("id") * 31 % 11).cast("double").alias(columns[1]), (F.col("id") * 17 % 13).cast("double").alias(columns[2]),
+        F.when(F.col("id") % 3 == 0, "CA").otherwise("TX").alias(columns[3]), F.lit(1.0).alias(columns[4]), ((F.col("id") % 7 > 4) | (F.col("id") * 31 % 11 > 8)).cast("int").alias("y"),
+    )
+    df = checkpoint(df)
+    for maker, shap in ((models.boosted_model, lambda m, *top: explain.tree_shap(m, df, columns, *top)), (models.baseline_model, lambda m, *top: explain.linear_shap(m, df, df, *top))):
+        model = maker(df, "y", columns)
+        whole, cut = (checkpoint(shap(model, *top)) for top in ((), (3,)))
+        assert whole.count() == 800 * len(columns) and cut.count() == 800 * 3
+        said = lambda values: {tuple(r) for r in scoring.local_drivers(values.withColumn("source", scoring.label(F.col("source"))), 3).collect()}
+        assert said(whole) == said(cut) and len(said(cut)) == 800
+        assert cut.select("row_id", "source", "value").exceptAll(whole.select("row_id", "source", "value")).isEmpty()
+
+
+def test_independent_fits_run_side_by_side(spark):
+    both = threading.Barrier(2, timeout=60)
+    submission._at_once(spark, [both.wait, both.wait])
+    with pytest.raises(ZeroDivisionError):
+        submission._at_once(spark, [lambda: 1 // 0, lambda: spark.range(3).count()])
+
+
+def test_scores_of_folds_are_written_once(spark, monkeypatch):
+    wrote, write = [], models.written
+    monkeypatch.setattr(models, "written", lambda df: wrote.append(df.columns) or write(df))
+    monkeypatch.setattr(models, "checkpoint", lambda df: pytest.fail("a table for each fold"))
+    month = F.add_months(F.lit("2020-01-01").cast("date"), (F.col("id") % 24).cast("int"))
+    df = spark.range(1200).select(F.col("id").alias("row_id"), month.alias("reporting_month"), (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 7 * 3 + F.col("id") % 5 > 12).cast("int").alias("delinq_3"))
+    out = models.temporal_ensemble(df, df.select("row_id", "x"), "delinq_3", ["x"], 3, 2)
+    assert out.count() == 1200 and len(wrote) == 2 and wrote[1][:2] == ["row_id", "x"] and len(wrote[1]) >= 4
