@@ -32,7 +32,7 @@ CONFIDENCE_TARGET, CONFIDENCE_FOLDS = "delinq_3", 4
 #: Drivers that a row is told.
 TOP_DRIVERS = 3
 #: Fits that run side by side; each keeps its rows in memory or on disk while it lasts.
-AT_ONCE = 3
+AT_ONCE = 2
 #: Column names that the transition models use where a panel has them.
 TRANSITION_COLUMNS = ["loan_age_months", "remaining_term_months", "interest_rate", "balance_ratio", "credit_score_band", "months_delinquent_to_date", "days_past_due"]
 
